@@ -79,24 +79,15 @@ def write_packed(docs: DataFrame, tokenizer_path: str, n_shards: int | None = No
     if bits > 16:
         raise ValueError("word-cached tokenising keeps ids in 16 bits; the vocabulary needs more")
 
-    def encoded(batches):
-        words = WordTokenizer(tokenizer_path)
-        end = np.array([END_ID], np.uint16).tobytes()
-        for b in batches:
-            raw, off = utf8(b.column(1))
-            raw, at = raw.tobytes(), 0
-            while at < b.num_rows:  # slices of about 4 MB keep the lists of words small
-                to = max(at + 1, int(np.searchsorted(off, off[at] + (4 << 20), "right")) - 1)
-                made = words.encode([raw[off[i] : off[i + 1]] for i in range(at, to)])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), pa.array([x + end for x in made], pa.binary())], names=["doc_id", "ids"])
-                at = to
-
-    tokens = Table(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encoded, "doc_id long, ids binary"), "tokens")
     shards = n_shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = tokens.df.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    ordered = ordered.select(F.spark_partition_id().cast("long").alias("shard"), "doc_id", "ids")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("text")]
+    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    ordered = ordered.select(F.spark_partition_id().cast("long").alias("shard"), "doc_id", "text")
+    schema = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("bits", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary())])
 
     def blocks(batches):
+        words = WordTokenizer(tokenizer_path)
+        end = np.array([END_ID], np.uint16).tobytes()
         number, shard, ids, body, held = 0, 0, [], [], 0
 
         def block():
@@ -104,22 +95,24 @@ def write_packed(docs: DataFrame, tokenizer_path: str, n_shards: int | None = No
             offsets = np.concatenate([[0], np.cumsum([len(x) // 2 for x in body])]).tolist()
             return pa.RecordBatch.from_pydict({"shard": [shard], "block": [number], "bits": [bits], "doc_ids": [list(ids)], "offsets": [offsets], "payload": [pack(flat, bits)]}, schema=schema)
 
-        schema = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("bits", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary())])
         for b in batches:
-            for s, i, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                shard = s
-                ids.append(i)
-                body.append(x)
-                held += len(x) // 2
-                if held >= _BLOCK_IDS:
-                    yield block()
-                    number, ids, body, held = number + 1, [], [], 0
+            shard, doc_ids = b.column(0)[0].as_py() if b.num_rows else shard, b.column(1).to_pylist()
+            raw, off = utf8(b.column(2))
+            raw, at = raw.tobytes(), 0
+            while at < b.num_rows:  # slices of about 2 MB keep the lists of words small
+                to = max(at + 1, int(np.searchsorted(off, off[at] + (2 << 20), "right")) - 1)
+                for i, x in enumerate(words.encode([raw[off[j] : off[j + 1]] for j in range(at, to)]), at):
+                    ids.append(doc_ids[i])
+                    body.append(x + end)
+                    held += len(x) // 2 + 1
+                    if held >= _BLOCK_IDS:
+                        yield block()
+                        number, ids, body, held = number + 1, [], [], 0
+                at = to
         if ids:
             yield block()
 
-    out = Table(ordered.mapInArrow(blocks, _BLOCKS), "packed")
-    tokens.drop()
-    return out
+    return Table(ordered.mapInArrow(blocks, _BLOCKS), "packed")
 
 
 def read_packed(blocks: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bitpack_output import default_tokenizer, read_packed, write_packed
 from .jaccard_join import jaccard_components
+from .substring_dedup import remove_repeats
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,8 +19,16 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_read(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_packed(write_packed(_read(spark, sf_dir, "documents"), default_tokenizer()).df)
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_read(spark, sf_dir, "documents"), width=13)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_jaccard,)}
+    return {f.__name__: f for f in (op2_ngram_jaccard, op5_token_output, op7_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

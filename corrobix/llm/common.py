@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -45,6 +46,12 @@ class Table:
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are no longer referenced; else they stay until the driver's next collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def with_ids(df: DataFrame, ids: DataFrame, col: str, n_ids: int | None = None) -> DataFrame:
     """Rows of df whose col is in ids (one column of distinct values): a broadcast filter while the set is small, a shuffle beyond."""
     n = ids.count() if n_ids is None else n_ids

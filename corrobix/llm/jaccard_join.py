@@ -4,7 +4,8 @@ A document is its set of distinct k-word shingles. Shingles are ordered by frequ
 shortest prefix that any partner must meet: single shingles of the rare class and, where a prefix reaches frequent classes,
 pairs or triples of shingles that fall in the same subclass. If fewer than k of a subclass's prefix shingles are shared, at
 least c - k + 1 of its c are missing; the prefix grows until these sum to more than a linked document can miss, so every
-linked pair shares a key. Candidates are verified on the whole sets.
+linked pair shares a key. A prefix of rare shingles alone is extended by `spare` more, and then a linked pair shares more than
+the smaller spare of its two documents. Candidates are verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -17,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, Table, bounded_batches, components, mix, shingle_sets, with_ids
+from .common import BROADCAST_IDS, Table, bounded_batches, components, mix, release, shingle_sets, with_ids
 
 SKETCH_BITS = 22
 _PART = 1 << 16
 #: A shingle is rare below RARE counts above the sketch's noise, in the middle class below FREQUENT.
 RARE, FREQUENT = 24, 2048
 _SMALL_LEVEL = 16
-_FINGERPRINT = "doc_id long, n long, sig1 long, sig2 long, keys array<long>"
+_FINGERPRINT = "doc_id long, n long, spare long, sig1 long, sig2 long, keys array<long>"
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -43,18 +44,18 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     def fingerprints(batches):
         for b in batches:
             sets = shingle_sets(b.column(1), k)
-            keys = [prefix_keys(s, classes.value, percent) for s in sets]
+            keys, spare = zip(*(prefix_keys(s, classes.value, percent) for s in sets), strict=True) if sets else ((), ())
             offsets = np.zeros(len(keys) + 1, np.int32)
             np.cumsum([len(x) for x in keys], out=offsets[1:])
             flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
             sums = [(s.sum(dtype=np.uint64), mix(s).sum(dtype=np.uint64)) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                    b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(spare, pa.int64()),
                     *(pa.array(np.array([x[i] for x in sums], np.uint64).view(np.int64)) for i in range(2)),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64))),
                 ],
-                names=["doc_id", "n", "sig1", "sig2", "keys"],
+                names=["doc_id", "n", "spare", "sig1", "sig2", "keys"],
             )
 
     prints = Table(docs.mapInArrow(fingerprints, _FINGERPRINT), "prints")
@@ -65,27 +66,31 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     dropped = member.df.where("rep <> doc_id").select("doc_id").distinct()
     n_dropped = dropped.count()
     singles = prints.df.where("n > 0 and doc_id is not null").join(F.broadcast(dropped) if n_dropped <= BROADCAST_IDS else dropped, "doc_id", "left_anti")
-    rows = singles.select("doc_id", "n", F.explode(F.array_distinct("keys")).alias("key"))
-    shared = Table(rows.groupBy("key").agg(F.count("*").alias("c"), F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last").select("key", "pivot"), "keys")
+    rows = singles.select("doc_id", "n", "spare", F.explode(F.array_distinct("keys")).alias("key"))
+    shared = rows.groupBy("key").agg(F.min(F.struct("doc_id", "n", "spare")).alias("pivot"), F.max("doc_id").alias("last"))
+    shared = Table(shared.where("pivot.doc_id < last").select("key", "pivot"), "keys")
     posted = Table(rows.join(shared.df, "key"), "postings")
     shared.drop()
+    alike = f"{percent} * greatest(n1, n2) <= 100 * least(n1, n2)"
     # Each key's documents against its smallest one first: most groups of near copies are one component after that.
-    stars = posted.df.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    tried = Table(stars, "stars")
+    stars = posted.df.where("doc_id <> pivot.doc_id").select(F.col("pivot.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("pivot.n").alias("n1"), F.col("n").alias("n2"), F.least("spare", "pivot.spare").alias("spare"))
+    tried = Table(stars.where(alike).groupBy("a", "b").agg(F.count("*").alias("c"), F.max("spare").alias("spare")).where("c > spare").select("a", "b"), "stars")
     linked = Table(verify(tried.df, docs, k, percent), "linked")
     labels = components(linked.df.where("similar"))
     # Then what a key still holds of other components, against all documents of the key.
-    by_doc, by_pivot = labels.df.toDF("doc_id", "label"), labels.df.toDF("pivot", "top")
-    labelled = Table(posted.df.join(by_doc, "doc_id", "left").join(by_pivot, "pivot", "left").select("key", "doc_id", "n", F.coalesce("label", "doc_id").alias("label"), F.coalesce("top", "pivot").alias("top")), "labelled")
+    by_doc, by_pivot = labels.df.toDF("doc_id", "label"), labels.df.toDF("first", "top")
+    labelled = posted.df.withColumn("first", F.col("pivot.doc_id")).join(by_doc, "doc_id", "left").join(by_pivot, "first", "left")
+    labelled = Table(labelled.select("key", "doc_id", F.col("n").alias("n2"), F.col("spare").alias("s2"), F.coalesce("label", "doc_id").alias("label"), F.coalesce("top", "first").alias("top")), "labelled")
     posted.drop()
-    odd = labelled.df.where("label <> top").select("key", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
-    cross = odd.join(labelled.df, "key").where(f"lx <> label and {percent} * greatest(nx, n) <= 100 * least(nx, n)")
-    cross = cross.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct().join(tried.df, ["a", "b"], "left_anti")
-    more = Table(verify(cross, docs, k, percent), "linked")
+    odd = labelled.df.where("label <> top").select("key", F.col("doc_id").alias("x"), F.col("n2").alias("n1"), F.col("s2").alias("s1"), F.col("label").alias("own"))
+    cross = odd.join(labelled.df, "key").where(f"own <> label and (label = top or x < doc_id) and {alike}")
+    cross = cross.groupBy(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).agg(F.count("*").alias("c"), F.max(F.least("s1", "s2")).alias("spare")).where("c > spare")
+    more = Table(verify(cross.select("a", "b").join(tried.df, ["a", "b"], "left_anti"), docs, k, percent), "linked")
     edges = linked.df.unionByName(more.df).where("similar")
     final = components(edges)
     for t in (prints, copies, tried, labelled, labels, linked, more):
         t.drop()
+    release(spark)
     roots = final.df.toDF("rep", "root")
     return member.df.join(roots, "rep", "left").select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
 
@@ -96,6 +101,7 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
     ids = Table(pairs.df.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     texts = Table(with_ids(docs, ids.df, "doc_id"), "texts")
     ids.drop()
+    release(docs.sparkSession)
     left, right = texts.df.toDF("a", "text_a"), texts.df.toDF("b", "text_b")
     both = pairs.df.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
 
@@ -168,30 +174,28 @@ def _levels(percent: int) -> np.ndarray:
     return np.array(bounds)
 
 
-def prefix_keys(tokens: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
-    """Index keys of a sorted set of shingle hashes."""
+def prefix_keys(tokens: np.ndarray, classes: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """Index keys of a sorted set of shingle hashes, and by how many the prefix is longer than it must be."""
     n = len(tokens)
     if not n:
-        return tokens
+        return tokens, 0
     budget = n - (percent * n + 99) // 100 + 1
     bounds = _levels(percent)
     level = int(np.searchsorted(bounds, n, "right")) - 1
-    if bounds[level] < _SMALL_LEVEL:
-        small = [tokens]
-        own = tokens[np.argsort(classes[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")]
-        small = own[:budget]
-        if bounds[level + 1] < _SMALL_LEVEL:
-            return small
-        return np.unique(np.concatenate([small, _at_level(tokens, classes, budget, level + 1, bounds)]))
     kind = classes[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    if bounds[level] < _SMALL_LEVEL:  # sets this small index single shingles of any class
+        keys = tokens[np.argsort(kind, kind="stable")][:budget]
+        if bounds[level + 1] >= _SMALL_LEVEL:
+            keys = np.unique(np.concatenate([keys, _at_level(tokens, kind, budget, level + 1, bounds)]))
+        return keys, 0
     rare = tokens[kind == 0]
     if len(rare) >= budget:
-        return rare[:budget]
-    return np.unique(np.concatenate([_at_level(tokens, classes, budget, x, bounds) for x in (level, level + 1)]))
+        spare = min(budget // 4, len(rare) - budget)
+        return rare[: budget + spare], spare
+    return np.unique(np.concatenate([_at_level(tokens, kind, budget, x, bounds) for x in (level, level + 1)])), 0
 
 
-def _at_level(tokens: np.ndarray, classes: np.ndarray, budget: int, level: int, bounds: np.ndarray) -> np.ndarray:
-    kind = classes[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+def _at_level(tokens: np.ndarray, kind: np.ndarray, budget: int, level: int, bounds: np.ndarray) -> np.ndarray:
     rare = tokens[kind == 0][:budget]
     left = budget - len(rare)
     keys = [rare]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, Table, bounded_batches, ngram_hashes, utf8, with_ids, word_hashes
+from .common import BROADCAST_IDS, Table, bounded_batches, ngram_hashes, release, utf8, with_ids, word_hashes
 
 GRAM = 5
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -71,6 +71,7 @@ class FingerprintIndex:
         met = Table(met.where("fresh and first < last").select("fp"), "met")
         lists = Table(every.join(met.df, "fp").groupBy("doc_id").agg(F.collect_set("fp").alias("fps")), "lists")
         met.drop()
+        release(self.spark)
         texts = with_ids(batch if archive is None else archive.unionByName(batch), lists.df.select("doc_id"), "doc_id").join(lists.df, "doc_id")
         width = self.width
 
@@ -100,6 +101,7 @@ class FingerprintIndex:
         out = Table(later.groupBy("doc_id").agg(F.collect_set("window").alias("windows")), "repeats")
         for t in (lists, seen, firsts):
             t.drop()
+        release(self.spark)
         if len(self.runs) > self.fan_in:
             self.compact()
         return out
