@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bitpack_output import default_tokenizer, read_packed, write_packed
 from .jaccard_join import jaccard_components
+from .source_mix import mix_sources
 from .substring_dedup import remove_repeats
 
 
@@ -27,8 +28,12 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_read(spark, sf_dir, "documents"), width=13)
 
 
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_jaccard, op5_token_output, op7_substring_dedup)}
+    return {f.__name__: f for f in (op2_ngram_jaccard, op5_token_output, op7_substring_dedup, op9_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
