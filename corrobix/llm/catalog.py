@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bitpack_output import default_tokenizer, read_packed, write_packed
 from .jaccard_join import jaccard_components
+from .secret_scan import digest, scan_secrets
 from .source_mix import mix_sources
 from .substring_dedup import remove_repeats
 
@@ -32,8 +33,12 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(scan_secrets(_read(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_jaccard, op5_token_output, op7_substring_dedup, op9_source_mix)}
+    return {f.__name__: f for f in (op2_ngram_jaccard, op5_token_output, op7_substring_dedup, op9_source_mix, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
