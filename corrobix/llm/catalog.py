@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bitpack_output import default_tokenizer, read_packed, write_packed
 from .jaccard_join import jaccard_components
+from .language_id import held_out, learn_profiles, predict_language
 from .secret_scan import digest, scan_secrets
 from .source_mix import mix_sources
 from .substring_dedup import remove_repeats
@@ -17,6 +18,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").withColumn("held_out", held_out())
+    return predict_language(docs, learn_profiles(docs.where("not held_out")), keep=("held_out",))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_read(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -38,7 +44,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_jaccard, op5_token_output, op7_substring_dedup, op9_source_mix, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard, op5_token_output, op7_substring_dedup, op9_source_mix, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
