@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bitpack_output import default_tokenizer, read_packed, write_packed
+from .embedding_dedup import link_embeddings
 from .jaccard_join import jaccard_components
 from .language_id import held_out, learn_profiles, predict_language
 from .secret_scan import digest, scan_secrets
@@ -27,6 +28,10 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_read(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_embeddings(_read(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_packed(write_packed(_read(spark, sf_dir, "documents"), default_tokenizer()).df)
 
@@ -44,7 +49,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard, op5_token_output, op7_substring_dedup, op9_source_mix, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard, op4_embedding_dedup, op5_token_output, op7_substring_dedup, op9_source_mix, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
