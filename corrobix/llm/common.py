@@ -90,6 +90,25 @@ def components(edges: DataFrame, max_rounds: int = 60) -> Table:
     return out
 
 
+def spanning(edges: np.ndarray) -> np.ndarray:
+    """Edges from each node to the smallest node of its component in a block."""
+    if not len(edges):
+        return edges
+    nodes, flat = np.unique(edges, return_inverse=True)
+    a, b = flat.reshape(-1, 2).T
+    low = np.arange(len(nodes))
+    while True:
+        new = low.copy()
+        np.minimum.at(new, a, low[b])
+        np.minimum.at(new, b, low[a])
+        new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    moved = low != np.arange(len(nodes))
+    return np.stack([nodes[moved], nodes[low[moved]]], axis=1)
+
+
 def _digest(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)), F.coalesce(F.sum((F.xxhash64("v", "u") % 1000003)), F.lit(0))).first())
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Table, components, release
+from .common import Table, components, release, spanning
 
 #: Bounds of the training sample, and of the members and queries that one task compares.
 SAMPLE_ROWS, SAMPLE_BYTES, MOST_LISTS = 16_384, 32 << 20, 4096
@@ -110,25 +110,6 @@ def link_block(index: Index, lst: int, ids: np.ndarray, weights: np.ndarray, cod
     return counts, spanning(np.concatenate(edges)) if edges else np.zeros((0, 2), np.int64)
 
 
-def spanning(edges: np.ndarray) -> np.ndarray:
-    """Edges from each node to the smallest node of its component in a block."""
-    if not len(edges):
-        return edges
-    nodes, flat = np.unique(edges, return_inverse=True)
-    a, b = flat.reshape(-1, 2).T
-    low = np.arange(len(nodes))
-    while True:
-        new = low.copy()
-        np.minimum.at(new, a, low[b])
-        np.minimum.at(new, b, low[a])
-        new = new[new]
-        if (new == low).all():
-            break
-        low = new
-    moved = low != np.arange(len(nodes))
-    return np.stack([nodes[moved], nodes[low[moved]]], axis=1)
-
-
 def link_embeddings(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row.
 

@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, Table, bounded_batches, components, mix, release, shingle_sets, with_ids
+from .common import BROADCAST_IDS, Table, bounded_batches, components, mix, release, shingle_sets, spanning, with_ids
 
 SKETCH_BITS = 22
 _PART = 1 << 16
 #: A shingle is rare below RARE counts above the sketch's noise, in the middle class below FREQUENT.
 RARE, FREQUENT = 24, 2048
 _SMALL_LEVEL = 16
+#: A key with more documents than this is not paired row by row: its documents are compared in blocks of so many shingles and documents.
+HOT_KEY, BLOCK_SHINGLES, BLOCK_DOCS = 32, 400_000, 2048
 _FINGERPRINT = "doc_id long, n long, spare long, sig1 long, sig2 long, keys array<long>"
 
 
@@ -67,8 +69,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     n_dropped = dropped.count()
     singles = prints.df.where("n > 0 and doc_id is not null").join(F.broadcast(dropped) if n_dropped <= BROADCAST_IDS else dropped, "doc_id", "left_anti")
     rows = singles.select("doc_id", "n", "spare", F.explode(F.array_distinct("keys")).alias("key"))
-    shared = rows.groupBy("key").agg(F.min(F.struct("doc_id", "n", "spare")).alias("pivot"), F.max("doc_id").alias("last"))
-    shared = Table(shared.where("pivot.doc_id < last").select("key", "pivot"), "keys")
+    shared = rows.groupBy("key").agg(F.min(F.struct("doc_id", "n", "spare")).alias("pivot"), F.max("doc_id").alias("last"), F.count("*").alias("c"))
+    shared = Table(shared.where("pivot.doc_id < last").select("key", "pivot", "c"), "keys")
     posted = Table(rows.join(shared.df, "key"), "postings")
     shared.drop()
     alike = f"{percent} * greatest(n1, n2) <= 100 * least(n1, n2)"
@@ -80,15 +82,17 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     # Then what a key still holds of other components, against all documents of the key.
     by_doc, by_pivot = labels.df.toDF("doc_id", "label"), labels.df.toDF("first", "top")
     labelled = posted.df.withColumn("first", F.col("pivot.doc_id")).join(by_doc, "doc_id", "left").join(by_pivot, "first", "left")
-    labelled = Table(labelled.select("key", "doc_id", F.col("n").alias("n2"), F.col("spare").alias("s2"), F.coalesce("label", "doc_id").alias("label"), F.coalesce("top", "first").alias("top")), "labelled")
+    labelled = Table(labelled.select("key", "c", "first", "doc_id", F.col("n").alias("n2"), F.col("spare").alias("s2"), F.coalesce("label", "doc_id").alias("label"), F.coalesce("top", "first").alias("top")), "labelled")
     posted.drop()
-    odd = labelled.df.where("label <> top").select("key", F.col("doc_id").alias("x"), F.col("n2").alias("n1"), F.col("s2").alias("s1"), F.col("label").alias("own"))
-    cross = odd.join(labelled.df, "key").where(f"own <> label and (label = top or x < doc_id) and {alike}")
+    light = labelled.df.where(F.col("c") <= HOT_KEY)
+    odd = light.where("label <> top").select("key", F.col("doc_id").alias("x"), F.col("n2").alias("n1"), F.col("s2").alias("s1"), F.col("label").alias("own"))
+    cross = odd.join(light, "key").where(f"own <> label and (label = top or x < doc_id) and {alike}")
     cross = cross.groupBy(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).agg(F.count("*").alias("c"), F.max(F.least("s1", "s2")).alias("spare")).where("c > spare")
     more = Table(verify(cross.select("a", "b").join(tried.df, ["a", "b"], "left_anti"), docs, k, percent), "linked")
-    edges = linked.df.unionByName(more.df).where("similar")
+    blocks = Table(compare_groups(labelled.df.where(F.col("c") > HOT_KEY), docs, k, percent), "blocks")
+    edges = linked.df.unionByName(more.df).where("similar").select("a", "b").unionByName(blocks.df)
     final = components(edges)
-    for t in (prints, copies, tried, labelled, labels, linked, more):
+    for t in (prints, copies, tried, labelled, labels, linked, more, blocks):
         t.drop()
     release(spark)
     roots = final.df.toDF("rep", "root")
@@ -122,6 +126,60 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
     return both.mapInArrow(judged, "a long, b long, similar boolean")
 
 
+def compare_groups(rows: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Edges (a, b) that span all links among documents that share a key of rows.
+
+    Keys with the same first document form one group, as the many keys of near copies mostly do, so a pair is compared about
+    once. Groups are cut into blocks of bounded size; a task intersects two blocks by matrix products and returns no pairs.
+    """
+    members = Table(rows.select(F.col("first").alias("g"), "doc_id", "n2", "label").distinct(), "members")
+    mixed = members.df.groupBy("g").agg(F.count("*").alias("docs"), F.sum("n2").alias("shingles"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    mixed = Table(mixed.select("g", F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("docs") / BLOCK_DOCS)).alias("nb")), "mixed")
+    dealt = Table(members.df.join(mixed.df, "g").select("g", "doc_id", "nb", F.pmod(F.xxhash64("doc_id"), "nb").alias("block")), "dealt")
+    ids = Table(dealt.df.select("doc_id").distinct(), "ids")
+    texts = Table(with_ids(docs, ids.df, "doc_id"), "texts")
+    for t in (members, mixed, ids):
+        t.drop()
+    release(docs.sparkSession)
+    sent = dealt.df.join(texts.df, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+    sent = sent.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "text")
+
+    def linked(table: pa.Table) -> pa.Table:
+        sets = shingle_sets(table.column("text"), k)
+        ids, block = table.column("doc_id").to_numpy(), table.column("block").to_numpy()
+        left, right = np.flatnonzero(block == table.column("i")[0].as_py()), np.flatnonzero(block == table.column("j")[0].as_py())
+        a, b = similar_pairs(sets, left, right, percent)
+        edges = spanning(np.stack([ids[a], ids[b]], axis=1))
+        return pa.table({"a": pa.array(edges[:, 0], pa.int64()), "b": pa.array(edges[:, 1], pa.int64())})
+
+    return sent.groupBy("g", "i", "j").applyInArrow(linked, "a long, b long")
+
+
+def similar_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, width: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of indexes from left and right whose sets reach the threshold; shingles in a single set are left out of the products."""
+    if not len(left) or not len(right):
+        return left[:0], right[:0]
+    sizes = np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets)), sizes)
+    _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(n > 1) - 1
+    keep = n[at] > 1
+    row, at = row[keep], shared[at[keep]]
+    common = np.zeros((len(left), len(right)), np.float32)
+    by = np.argsort(at, kind="stable")
+    row, at = row[by], at[by]
+    total = int(at[-1]) + 1 if len(at) else 0
+    for start in range(0, total, width):
+        s, e = np.searchsorted(at, (start, start + width))
+        chunk = np.zeros((len(sets), width), np.float32)
+        chunk[row[s:e], at[s:e] - start] = 1
+        common += chunk[left] @ chunk[right].T
+    ok = 100 * common.astype(np.float64) >= percent * (sizes[left][:, None] + sizes[right][None, :] - common)
+    i, j = np.nonzero(ok & (common > 0))
+    a, b = left[i], right[j]
+    return a[a != b], b[a != b]
+
+
 def frequency_classes(docs: DataFrame, k: int) -> np.ndarray:
     """Class 0, 1 or 2 (rare to frequent) for each of 2**SKETCH_BITS hash buckets, from counts over all documents.
 
