@@ -94,12 +94,16 @@ class FingerprintIndex:
                 yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), b.column(0).take(pa.array(np.concatenate(row) if row else np.zeros(0, np.int64)))], names=["window", "doc_id"])
 
         seen = Table(texts.mapInArrow(windows, "window long, doc_id long"), "windows")
+        lists.drop()
+        del texts, every
+        release(self.spark)
         firsts = Table(seen.df.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("window", "first"), "firsts")
+        release(self.spark)
         later = seen.df.join(firsts.df, "window").where("doc_id > first")
         if archive is not None:
             later = later.join(F.broadcast(batch.agg(F.min("doc_id").alias("low"))), F.col("doc_id") >= F.col("low"))
         out = Table(later.groupBy("doc_id").agg(F.collect_set("window").alias("windows")), "repeats")
-        for t in (lists, seen, firsts):
+        for t in (seen, firsts):
             t.drop()
         release(self.spark)
         if len(self.runs) > self.fan_in:
