@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bitpack_output import default_tokenizer, read_packed, write_packed
+from .decontaminate import find_leaks
 from .embedding_dedup import link_embeddings
 from .jaccard_join import jaccard_components
 from .language_id import held_out, learn_profiles, predict_language
@@ -40,6 +41,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_read(spark, sf_dir, "documents"), width=13)
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents"))
 
@@ -49,7 +54,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard, op4_embedding_dedup, op5_token_output, op7_substring_dedup, op9_source_mix, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard, op4_embedding_dedup, op5_token_output, op7_substring_dedup, op8_decontaminate, op9_source_mix, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
