@@ -22,7 +22,7 @@ from .common import Table, bounded_batches, utf8
 
 END_ID = 2
 _BLOCK_IDS = 1 << 16
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 250_000
 _BLOCKS = "shard long, block long, bits long, doc_ids array<long>, offsets array<long>, payload binary"
 
 
@@ -45,26 +45,62 @@ def unpack(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
 
 
 class WordTokenizer:
-    """The library's encoding of whole texts, with a bounded cache of white-space-separated words.
+    """The library's encoding of whole texts, with a bounded table of known words.
 
-    Only valid for tokenizers that drop white space and never merge across it; the caller names such a file.
+    Only valid for tokenizers that lower the case, drop white space and never merge across it or across a letter and a mark,
+    and that have `separator` as a special token; the caller names such a file.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, separator: str = "<|endoftext|>"):
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, np.ndarray] = {}
+        self.separator, self.separator_id = separator, self.tokenizer.token_to_id(separator)
+        self.known: dict[bytes, bytes] = {}
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [t.split() for t in texts]
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text as little-endian 16-bit integers."""
+        split = [t.lower().split() for t in texts]  # bytes: only A-Z change, white space is ASCII's
         known = self.known
-        if len(known) > _CACHE_WORDS:
-            known.clear()
-        new = list({w for words in split for w in words if w not in known})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, np.uint16 if max(e.ids, default=0) < 65536 else np.uint32).tobytes()
-        return [b"".join([known[w] for w in words]) for words in split]
+        full = len(known) >= _CACHE_WORDS
+        new = {w for words in split for w in words if w not in known}
+        marked = [w for w in new if w[-1] in b",." and len(w) > 1 and w[-2:-1].isalnum()]
+        parts = new.difference(marked) | {w[:-1] for w in marked} | {b",", b"."}
+        parts = [w for w in parts if w not in known]
+        for at in range(0, len(parts), 4_000):
+            self._learn(parts[at : at + 4_000])
+        for w in marked:
+            known[w] = known[w[:-1]] + known[w[-1:]]
+        out = [b"".join([known[w] for w in words]) for words in split]
+        if full:
+            for w in new.union(parts):
+                del known[w]
+        return out
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Encode words: letters A-Z alone by the model itself, the others in one text, told apart by the separator unless they hold it."""
+        odd, model = self.separator.encode()[:2], self.tokenizer.model
+        plain = []
+        for w in words:
+            if w.isalpha():
+                self.known[w] = np.array([t.id for t in model.tokenize(w.decode())], "<u2").tobytes()
+            elif odd not in w:
+                plain.append(w)
+        ids = np.array(self.tokenizer.encode_batch_fast([self.separator.join(w.decode() for w in plain)], add_special_tokens=False)[0].ids if plain else [], np.int64)
+        cut = np.flatnonzero(ids == self.separator_id)
+        for w, own in zip(plain, np.split(ids.astype("<u2"), cut), strict=True) if plain else ():
+            self.known[w] = (own[1:] if len(own) and own[0] == self.separator_id else own).tobytes()
+        for w in words:
+            if odd in w:
+                self.known[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u2").tobytes()
+
+
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def shared_tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer for all tasks of a worker."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
 
 
 def write_packed(docs: DataFrame, tokenizer_path: str, n_shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> Table:
@@ -86,7 +122,7 @@ def write_packed(docs: DataFrame, tokenizer_path: str, n_shards: int | None = No
     schema = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("bits", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary())])
 
     def blocks(batches):
-        words = WordTokenizer(tokenizer_path)
+        words = shared_tokenizer(tokenizer_path)
         end = np.array([END_ID], np.uint16).tobytes()
         number, shard, ids, body, held = 0, 0, [], [], 0
 
@@ -99,8 +135,8 @@ def write_packed(docs: DataFrame, tokenizer_path: str, n_shards: int | None = No
             shard, doc_ids = b.column(0)[0].as_py() if b.num_rows else shard, b.column(1).to_pylist()
             raw, off = utf8(b.column(2))
             raw, at = raw.tobytes(), 0
-            while at < b.num_rows:  # slices of about 2 MB keep the lists of words small
-                to = max(at + 1, int(np.searchsorted(off, off[at] + (2 << 20), "right")) - 1)
+            while at < b.num_rows:  # slices of about 1 MB keep the lists of words small
+                to = max(at + 1, int(np.searchsorted(off, off[at] + (1 << 20), "right")) - 1)
                 for i, x in enumerate(words.encode([raw[off[j] : off[j + 1]] for j in range(at, to)]), at):
                     ids.append(doc_ids[i])
                     body.append(x + end)
