@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .bitpack_output import default_tokenizer, read_packed, write_packed
 from .decontaminate import find_leaks
 from .embedding_dedup import link_embeddings
+from .html_extract import extract_text, train_labeller
 from .jaccard_join import jaccard_components
 from .language_id import held_out, learn_profiles, predict_language
+from .quality import score_quality, train_quality
 from .secret_scan import digest, scan_secrets
 from .source_mix import mix_sources
 from .substring_dedup import remove_repeats
@@ -29,6 +31,11 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_read(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return score_quality(docs, train_quality(docs, _read(spark, sf_dir, "labels")))
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_embeddings(_read(spark, sf_dir, "embeddings"), cosine=0.95)
 
@@ -37,6 +44,11 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_packed(write_packed(_read(spark, sf_dir, "documents"), default_tokenizer()).df)
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages")
+    return extract_text(pages, train_labeller(pages))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_read(spark, sf_dir, "documents"), width=13)
 
@@ -54,7 +66,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard, op4_embedding_dedup, op5_token_output, op7_substring_dedup, op8_decontaminate, op9_source_mix, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard, op3_quality, op4_embedding_dedup, op5_token_output, op6_html_extract, op7_substring_dedup, op8_decontaminate, op9_source_mix, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
