@@ -8,6 +8,8 @@ vocabulary. Id i of a block starts at bit i * bits, so any document or id is rea
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import Table, bounded_batches, utf8
+from .common import Table, bounded_batches, hash_spans, utf8, word_bounds
 
 END_ID = 2
 _BLOCK_IDS = 1 << 16
@@ -44,6 +46,12 @@ def unpack(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
     return (cells.astype(np.uint32) << np.arange(bits, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
 
 
+_LATIN = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: The byte-level alphabet's rule: printable bytes stand for themselves, the others for characters from 256 on.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
 class WordTokenizer:
     """The library's encoding of whole texts, with a bounded table of known words.
 
@@ -56,12 +64,23 @@ class WordTokenizer:
         self.separator, self.separator_id = separator, self.tokenizer.token_to_id(separator)
         self.known: dict[bytes, bytes] = {}
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian 16-bit integers."""
-        split = [t.lower().split() for t in texts]  # bytes: only A-Z change, white space is ASCII's
+    def encode(self, raw: np.ndarray, off: np.ndarray) -> list[bytes]:
+        """Ids of each text (rows of raw from off) as little-endian 16-bit integers: each distinct word is looked up once."""
+        starts, ends, rows = word_bounds(raw, off)
+        _, first, at = np.unique(hash_spans(raw, starts, ends, lower=True), return_index=True, return_inverse=True)
+        body = raw.tobytes().lower()  # bytes: only A-Z change
+        ids = self._lookup([body[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+        sizes = np.array([len(x) // 2 for x in ids], np.int64)
+        flat, begin, counts = np.frombuffer(b"".join(ids), "<u2"), np.cumsum(sizes) - sizes, sizes[at]
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        out = flat[np.arange(upto[-1]) + np.repeat(begin[at] - upto[:-1], counts)].tobytes()
+        cut = (2 * upto[rows]).tolist()
+        return [out[s:e] for s, e in zip(cut[:-1], cut[1:], strict=True)]
+
+    def _lookup(self, words: list[bytes]) -> list[bytes]:
         known = self.known
         full = len(known) >= _CACHE_WORDS
-        new = {w for words in split for w in words if w not in known}
+        new = {w for w in words if w not in known}
         marked = [w for w in new if w[-1] in b",." and len(w) > 1 and w[-2:-1].isalnum()]
         parts = new.difference(marked) | {w[:-1] for w in marked} | {b",", b"."}
         parts = [w for w in parts if w not in known]
@@ -69,19 +88,22 @@ class WordTokenizer:
             self._learn(parts[at : at + 4_000])
         for w in marked:
             known[w] = known[w[:-1]] + known[w[-1:]]
-        out = [b"".join([known[w] for w in words]) for words in split]
+        out = [known[w] for w in words]
         if full:
             for w in new.union(parts):
                 del known[w]
         return out
 
     def _learn(self, words: list[bytes]) -> None:
-        """Encode words: letters A-Z alone by the model itself, the others in one text, told apart by the separator unless they hold it."""
-        odd, model = self.separator.encode()[:2], self.tokenizer.model
+        """Encode words: plain Latin letters by the model itself, the others in one text, told apart by the separator unless they hold it."""
+        odd, tokenize = self.separator.encode()[:2], self.tokenizer.model.tokenize
         plain = []
         for w in words:
             if w.isalpha():
-                self.known[w] = np.array([t.id for t in model.tokenize(w.decode())], "<u2").tobytes()
+                self.known[w] = struct.pack(f"<{len(ids)}H", *ids) if (ids := [t.id for t in tokenize(w.decode())]) else b""
+            elif _LATIN.fullmatch(text := w.decode()):  # lowering and normal form are simple for these
+                ids = [t.id for t in tokenize(text.lower().encode().decode("latin-1").translate(_BYTE_CHARS))]
+                self.known[w] = struct.pack(f"<{len(ids)}H", *ids)
             elif odd not in w:
                 plain.append(w)
         ids = np.array(self.tokenizer.encode_batch_fast([self.separator.join(w.decode() for w in plain)], add_special_tokens=False)[0].ids if plain else [], np.int64)
@@ -134,10 +156,10 @@ def write_packed(docs: DataFrame, tokenizer_path: str, n_shards: int | None = No
         for b in batches:
             shard, doc_ids = b.column(0)[0].as_py() if b.num_rows else shard, b.column(1).to_pylist()
             raw, off = utf8(b.column(2))
-            raw, at = raw.tobytes(), 0
-            while at < b.num_rows:  # slices of about 1 MB keep the lists of words small
-                to = max(at + 1, int(np.searchsorted(off, off[at] + (1 << 20), "right")) - 1)
-                for i, x in enumerate(words.encode([raw[off[j] : off[j + 1]] for j in range(at, to)]), at):
+            at = 0
+            while at < b.num_rows:  # slices of about 2 MB keep the arrays small
+                to = max(at + 1, int(np.searchsorted(off, off[at] + (2 << 20), "right")) - 1)
+                for i, x in enumerate(words.encode(raw[off[at] : off[to]], off[at : to + 1] - off[at]), at):
                     ids.append(doc_ids[i])
                     body.append(x + end)
                     held += len(x) // 2 + 1

@@ -173,6 +173,11 @@ def word_hashes(column, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """
     raw, off = utf8(column)
     starts, ends, rows = word_bounds(raw, off)
+    return hash_spans(raw, starts, ends, lower), rows
+
+
+def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """Hashes of ascending spans of bytes."""
     out = np.empty(len(starts), np.uint64)
     table = _LOWER if lower else _BYTE
     i = 0
@@ -186,7 +191,7 @@ def word_hashes(column, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
         s, e = starts[i:j] - at, ends[i:j] - at
         out[i:j] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64))
         i = j
-    return out, rows
+    return out
 
 
 def _power_table(size: int) -> tuple[np.ndarray, np.ndarray]:
