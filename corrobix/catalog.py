@@ -3,11 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions.keys import ELIGIBLE_CLASSES, KEY, blocked_reason, keeps_global, service_class
+from .operators import baselines, evaluation, overlap, perturb, scoring, sequences
+from .plans.oracle import BASE, EVENTS
+from .sources.observations import evidence_cube, from_events, from_star_schema, with_key
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
+_K = "device_type, endpoint, protocol, port"
+
+
+def query(sql: str | None, base: str = BASE):
+    """Register a query under its name, with the SQL that gives the same rows."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = base + sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,3 +36,551 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+def _cube(spark, d):
+    return evidence_cube(from_star_schema(spark, d))
+
+
+def _scored(spark, d, **gate):
+    return scoring.score(_cube(spark, d), **gate)
+
+
+def _r(*cols):
+    return [F.round(c, 6).alias(c) for c in cols]
+
+
+def _event_cube(spark, d):
+    e = from_events(spark, d)
+    return e.select("site_id", "device_type", "endpoint", F.lit("tcp").alias("protocol"), F.lit(1).alias("port"), F.to_date("timestamp").alias("day")).groupBy("site_id", *KEY, "day").agg(F.count("*").alias("n"))
+
+
+@query("SELECT seq, site_id, device_id, device_type, fqdn, remote_ip, protocol, port, ts AS timestamp, evidence_type, response_observed FROM obs")
+def obs_normalized(spark, d):
+    return from_star_schema(spark, d).drop("source_dataset", "direction")
+
+
+@query("SELECT * FROM cube")
+def evidence_cube_(spark, d):
+    return _cube(spark, d)
+
+
+_QUERIES["evidence_cube"] = _QUERIES.pop("evidence_cube_")
+_SQL["evidence_cube"] = _SQL.pop("evidence_cube_")
+
+
+@query("SELECT site_id, device_type, count(*) AS n FROM obs WHERE NOT (fqdn IS NULL AND remote_ip LIKE '10.%') GROUP BY 1, 2")
+def obs_global_filter(spark, d):
+    return from_star_schema(spark, d).where(keeps_global()).groupBy("site_id", "device_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT device_type, endpoint_class, count(*) AS facts FROM base GROUP BY 1, 2")
+def endpoint_class(spark, d):
+    return scoring.fact_totals(_cube(spark, d)).withColumn("endpoint_class", service_class()).groupBy("device_type", "endpoint_class").agg(F.count("*").alias("facts"))
+
+
+@query(f"SELECT {_K}, round(site_confidence, 6) AS site_confidence, round(temporal_confidence, 6) AS temporal_confidence, round(score, 6) AS score FROM vanilla")
+def score_vanilla(spark, d):
+    return _scored(spark, d).select(*KEY, *_r("site_confidence", "temporal_confidence", "score"))
+
+
+@query(f"SELECT {_K}, endpoint_class, supporting_sites, eligible_sites, round(score, 6) AS score, accepted FROM scored")
+def score_admitted(spark, d):
+    """Flagship: every fact with its confidence, class and whether it is admitted."""
+    return _scored(spark, d).select(*KEY, "endpoint_class", "supporting_sites", "eligible_sites", *_r("score"), "accepted")
+
+
+_TRUST = """, tc AS (SELECT device_type, endpoint, protocol, port, sum(weight) AS w FROM pairs JOIN weights USING (site_id) GROUP BY 1, 2, 3, 4),
+te AS (SELECT device_type, sum(weight) AS all_w FROM (SELECT DISTINCT device_type, site_id, weight FROM pairs JOIN weights USING (site_id)) GROUP BY 1)
+"""
+
+
+@query(_TRUST + f"SELECT {_K}, round(w / all_w, 6) AS site_confidence, round(0.6 * (w / all_w) + 0.4 * temporal_confidence, 6) AS score FROM tc JOIN te USING (device_type) JOIN base USING ({_K})")
+def score_trust(spark, d):
+    cube = _cube(spark, d)
+    return scoring.score(cube, scoring.trust_confidence(cube, scoring.trust_weights(cube))).select(*KEY, *_r("site_confidence", "score"))
+
+
+_TAU = 0.35
+_CLUSTERS = f""", edge AS (SELECT device_type, a, b FROM jac WHERE jaccard >= {_TAU} UNION ALL SELECT device_type, b, a FROM jac WHERE jaccard >= {_TAU}),
+reach AS (SELECT device_type, site_id, site_id AS other FROM sizes UNION SELECT r.device_type, r.site_id, e.b FROM reach r JOIN edge e ON e.device_type = r.device_type AND e.a = r.other),
+cl AS (SELECT device_type, site_id, min(other) AS cluster FROM reach GROUP BY 1, 2)
+"""
+_RECURSIVE = BASE.replace("WITH raw", "WITH RECURSIVE raw", 1)
+
+
+def _clusters(cube):
+    return overlap.site_clusters(overlap.site_jaccard(cube), cube, _TAU)
+
+
+@query(_CLUSTERS + "SELECT * FROM cl", _RECURSIVE)
+def site_clusters(spark, d):
+    return _clusters(_cube(spark, d))
+
+
+@query(_CLUSTERS + f"""SELECT {_K}, round(CAST(c AS DOUBLE) / all_c, 6) AS site_confidence, round(0.6 * (CAST(c AS DOUBLE) / all_c) + 0.4 * temporal_confidence, 6) AS score
+FROM (SELECT {_K}, count(DISTINCT cluster) AS c FROM pairs JOIN cl USING (device_type, site_id) GROUP BY ALL) JOIN (SELECT device_type, count(DISTINCT cluster) AS all_c FROM cl GROUP BY 1) USING (device_type) JOIN base USING ({_K})""", _RECURSIVE)
+def score_independence(spark, d):
+    cube = _cube(spark, d)
+    return scoring.score(cube, scoring.cluster_confidence(cube, _clusters(cube))).select(*KEY, *_r("site_confidence", "score"))
+
+
+@query(_CLUSTERS + f"""SELECT {_K}, round(w / all_w, 6) AS site_confidence FROM
+(SELECT {_K}, sum(m) AS w FROM (SELECT {_K}, cluster, max(weight) AS m FROM pairs JOIN cl USING (device_type, site_id) JOIN weights USING (site_id) GROUP BY ALL) GROUP BY ALL)
+JOIN (SELECT device_type, sum(m) AS all_w FROM (SELECT device_type, cluster, max(weight) AS m FROM cl JOIN weights USING (site_id) GROUP BY 1, 2) GROUP BY 1) USING (device_type)""", _RECURSIVE)
+def score_combined(spark, d):
+    cube = _cube(spark, d)
+    return scoring.score(cube, scoring.combined_confidence(cube, _clusters(cube), scoring.trust_weights(cube))).select(*KEY, *_r("site_confidence"))
+
+
+def _quarantine_sql(sites: str) -> str:
+    return f""", q AS ({sites}), qc AS (SELECT * FROM cube WHERE site_id NOT IN (SELECT site_id FROM q)),
+qf AS (SELECT {_K}, count(DISTINCT day) AS days, sum(n) AS n FROM qc GROUP BY ALL), qd AS (SELECT device_type, count(DISTINCT day) AS dd, sum(n) AS dn FROM qc GROUP BY 1)
+SELECT {_K}, round(0.6 * site_confidence + 0.4 * least(1.0, 0.7 * (CAST(coalesce(qf.days, 0) AS DOUBLE) / greatest(coalesce(dd, 0), 1)) + 0.3 * (CAST(coalesce(qf.n, 0) AS DOUBLE) / greatest(coalesce(dn, 0), 1))), 6) AS score
+FROM base LEFT JOIN qf USING ({_K}) LEFT JOIN qd USING (device_type)"""
+
+
+@query(_quarantine_sql("SELECT site_id FROM cube GROUP BY 1 HAVING date_diff('day', min(day), (SELECT max(day) FROM cube)) < 2525"))
+def score_quarantine_tenure(spark, d):
+    cube = _cube(spark, d)
+    return scoring.score(cube, quarantined=scoring.quarantined_by_tenure(cube, 2525)).select(*KEY, *_r("score"))
+
+
+@query(_quarantine_sql("SELECT site_id FROM breadth WHERE breadth < 1000"))
+def score_quarantine_floor(spark, d):
+    cube = _cube(spark, d)
+    return scoring.score(cube, quarantined=scoring.quarantined_by_breadth(cube, 1000)).select(*KEY, *_r("score"))
+
+
+@query(f"""SELECT {_K}, concat_ws('+', CASE WHEN supporting_sites < 2 THEN 'quorum' END, CASE WHEN endpoint_class = 'other' THEN 'class' END, CASE WHEN score < CAST(0.65 AS DOUBLE) THEN 'score' END) AS reason FROM scored WHERE NOT accepted""")
+def blocked_reasons(spark, d):
+    return _scored(spark, d).where("not accepted").select(*KEY, blocked_reason(scoring.THETA, scoring.QUORUM).alias("reason"))
+
+
+@query("SELECT * FROM breadth")
+def site_breadth(spark, d):
+    return scoring.site_breadth(_cube(spark, d))
+
+
+@query("SELECT site_id, breadth, reference, round(weight, 6) AS weight FROM weights")
+def trust_weights(spark, d):
+    return scoring.trust_weights(_cube(spark, d)).select("site_id", "breadth", "reference", *_r("weight"))
+
+
+@query(f"SELECT DISTINCT {_K} FROM cube")
+def baseline_local(spark, d):
+    return baselines.local_union(_cube(spark, d))
+
+
+@query(f"SELECT {_K}, supporting_sites, eligible_sites FROM base WHERE CAST(supporting_sites AS DOUBLE) / eligible_sites >= 0.5")
+def baseline_majority(spark, d):
+    cube = _cube(spark, d)
+    return baselines.majority(scoring.fact_totals(cube).join(scoring.device_totals(cube), "device_type"))
+
+
+def _vote_sql(weights: str, test: str) -> str:
+    return f""", vw AS ({weights}), pv AS (SELECT p.*, w FROM pairs p JOIN vw USING (site_id)),
+ev AS (SELECT device_type, sum(w) AS all_w FROM (SELECT DISTINCT device_type, site_id, w FROM pv) GROUP BY 1)
+SELECT * FROM (SELECT {_K}, round(sum(w) / any_value(all_w), 9) AS ratio FROM pv JOIN ev USING (device_type) GROUP BY ALL) WHERE ratio {test}"""
+
+
+@query(_vote_sql("SELECT site_id, CAST(r AS DOUBLE) / max(r) OVER () AS w FROM (SELECT site_id, sum(n) AS r FROM cube GROUP BY 1)", ">= 0.6"))
+def baseline_weighted(spark, d):
+    return baselines.weighted(_cube(spark, d))
+
+
+@query(_vote_sql("SELECT site_id, CASE WHEN site_id IN ('site-8', 'site-9') THEN 0.1 ELSE weight END AS w FROM weights", "> 0.5"))
+def baseline_rwv(spark, d):
+    """Sites 8 and 9 are new: they vote on probation."""
+    cube = _cube(spark, d)
+    return baselines.reputation(cube, scoring.trust_weights(cube).where(~F.col("site_id").isin("site-8", "site-9")))
+
+
+@query(f"SELECT {_K}, n FROM fact WHERE n >= 20")
+def baseline_frequency(spark, d):
+    return baselines.frequent(_cube(spark, d), 20)
+
+
+@query("SELECT site_id, device_type, coalesce(fqdn, remote_ip) AS fqdn, protocol, port, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS count FROM obs GROUP BY 1, 2, 3, 4, 5")
+def local_profiles(spark, d):
+    return baselines.local_profiles(from_star_schema(spark, d))
+
+
+@query("SELECT device_type, count(*) AS endpoint_count, count(*) FILTER (accepted) AS accepted_count, string_agg(endpoint || '/' || port, ',' ORDER BY round(score, 6) DESC, endpoint, protocol, port) AS listing FROM scored GROUP BY 1")
+def global_profiles(spark, d):
+    listing = F.array_join(F.transform("endpoints", lambda x: F.concat_ws("/", x["endpoint"], x["port"].cast("string"))), ",")
+    return baselines.global_profiles(_scored(spark, d)).select("device_type", "endpoint_count", "accepted_count", listing.alias("listing"))
+
+
+@query("""SELECT *, row_number() OVER (PARTITION BY device_type ORDER BY supporting_profiles DESC, fqdn, protocol, port) AS place FROM
+(SELECT device_type, coalesce(fqdn, remote_ip) AS fqdn, protocol, port, count(DISTINCT site_id) AS supporting_profiles, count(*) AS total FROM obs GROUP BY ALL)""")
+def registry_global_profile(spark, d):
+    return baselines.registry_profile(baselines.local_profiles(from_star_schema(spark, d)))
+
+
+@query("""SELECT device_type, count(*) AS total, count(fqdn) AS with_fqdn, round(CAST(count(fqdn) AS DOUBLE) / count(*), 6) AS fqdn_ratio, count(DISTINCT endpoint) AS endpoints,
+count(*) FILTER (evidence_type = 'flow') AS flow, count(*) FILTER (evidence_type = 'flow+http_host') AS http_host, count(*) FILTER (evidence_type = 'flow+tls_sni') AS tls_sni FROM keyed GROUP BY 1""")
+def coverage_summary(spark, d):
+    return baselines.coverage(with_key(from_star_schema(spark, d)))
+
+
+@query("SELECT device_type, supporting_sites, count(*) AS facts FROM base GROUP BY 1, 2")
+def support_distribution(spark, d):
+    return scoring.fact_totals(_cube(spark, d)).groupBy("device_type", "supporting_sites").agg(F.count("*").alias("facts"))
+
+
+@query("""SELECT device_type, CAST(count(*) AS INTEGER) AS n, median(CAST(x AS DOUBLE)) AS median,
+CASE WHEN count(*) < 2 THEN min(x) ELSE median(CAST(x AS DOUBLE)) FILTER (i <= c // 2) END AS q1, CASE WHEN count(*) < 2 THEN min(x) ELSE median(CAST(x AS DOUBLE)) FILTER (i > c - c // 2) END AS q3,
+CAST(quantile_disc(x, 0.95) AS DOUBLE) AS p95 FROM (SELECT device_type, size AS x, row_number() OVER (PARTITION BY device_type ORDER BY size) AS i, count(*) OVER (PARTITION BY device_type) AS c FROM sizes) GROUP BY 1""")
+def workload_quantiles(spark, d):
+    sizes = _cube(spark, d).select("site_id", *KEY).distinct().groupBy("device_type", "site_id").agg(F.count("*").alias("size"))
+    return evaluation.tukey_spread(sizes, "device_type", "size")
+
+
+def _truth(spark, d):
+    """Reference facts: those that answered at three sites or more."""
+    seen = with_key(from_star_schema(spark, d)).where("response_observed")
+    return seen.groupBy(*KEY).agg(F.count_distinct("site_id").alias("s")).where("s >= 3").select(*KEY)
+
+
+_TRUTH = f", truth AS (SELECT {_K} FROM keyed WHERE response_observed GROUP BY ALL HAVING count(DISTINCT site_id) >= 3)\n"
+
+
+def _rules(spark, d):
+    """Literal rules from the reference facts that have names; a block of addresses and a wildcard for each device type."""
+    truth = _truth(spark, d)
+    devices = truth.select("device_type").distinct()
+    block = devices.select("device_type", F.lit("8.8.0.0/25").alias("endpoint"), F.lit("unknown").alias("protocol"), F.lit(0).alias("port"))
+    clock = devices.select("device_type", F.lit("*").alias("endpoint"), F.lit("udp").alias("protocol"), F.lit(123).alias("port"))
+    return truth.where(F.contains("endpoint", F.lit("example.com"))).unionByName(block).unionByName(clock)
+
+
+_IP = "(CAST(split_part(endpoint, '.', 3) AS BIGINT) = 0 AND CAST(split_part(endpoint, '.', 4) AS BIGINT) < 128 AND endpoint LIKE '8.8.%')"
+_MATCH = _TRUTH + f""", pred AS (SELECT * FROM scored WHERE accepted), lit AS (SELECT {_K} FROM truth WHERE endpoint LIKE '%example.com'), rdev AS (SELECT DISTINCT device_type FROM truth),
+ip AS (SELECT * FROM pred WHERE endpoint NOT LIKE '%example.com'), ntp AS (SELECT * FROM pred WHERE protocol = 'udp' AND port = 123),
+hp AS (SELECT {_K} FROM pred SEMI JOIN lit USING ({_K}) UNION SELECT {_K} FROM ip SEMI JOIN rdev USING (device_type) WHERE {_IP} UNION SELECT {_K} FROM ntp SEMI JOIN rdev USING (device_type)),
+hr AS (SELECT device_type, endpoint FROM lit SEMI JOIN pred USING ({_K}) UNION SELECT device_type, 'block' FROM ip SEMI JOIN rdev USING (device_type) WHERE {_IP} UNION SELECT device_type, 'clock' FROM ntp SEMI JOIN rdev USING (device_type)),
+n AS (SELECT device_type, coalesce(p, 0) AS predicted, coalesce(r, 0) AS rules, coalesce(hp, 0) AS hp, coalesce(hr, 0) AS hr FROM (SELECT device_type, count(*) AS p FROM pred GROUP BY 1)
+FULL JOIN (SELECT device_type, count(*) AS r FROM (SELECT device_type, endpoint, protocol, port FROM lit UNION ALL SELECT device_type, 'a', 'a', 0 FROM rdev UNION ALL SELECT device_type, 'b', 'b', 0 FROM rdev) GROUP BY 1) USING (device_type)
+LEFT JOIN (SELECT device_type, count(*) AS hp FROM hp GROUP BY 1) USING (device_type) LEFT JOIN (SELECT device_type, count(*) AS hr FROM hr GROUP BY 1) USING (device_type)),
+m AS (SELECT *, CASE WHEN predicted > 0 THEN CAST(hp AS DOUBLE) / predicted ELSE 0 END AS p, CASE WHEN rules > 0 THEN CAST(hr AS DOUBLE) / rules ELSE 0 END AS r FROM n)
+SELECT device_type, predicted, rules, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM m"""
+
+
+@query(_MATCH)
+def semantic_match(spark, d):
+    return evaluation.semantic_metrics(_scored(spark, d).where("accepted"), _rules(spark, d))
+
+
+@query(_TRUTH + f""", b AS (SELECT device_type, count(p) AS np, count(t) AS nt, count(p + t) AS hit, count(*) AS either FROM (SELECT {_K}, 1 AS p FROM scored WHERE accepted) FULL JOIN (SELECT {_K}, 1 AS t FROM truth) USING ({_K}) GROUP BY 1),
+m AS (SELECT *, CASE WHEN np > 0 THEN CAST(hit AS DOUBLE) / np ELSE 0 END AS p, CASE WHEN nt > 0 THEN CAST(hit AS DOUBLE) / nt ELSE 0 END AS r FROM b)
+SELECT device_type, hit, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1, round(CAST(hit AS DOUBLE) / either, 6) AS jaccard FROM m""")
+def set_metrics_by_device(spark, d):
+    return evaluation.set_metrics(_scored(spark, d).where("accepted"), _truth(spark, d))
+
+
+_STAGES = {"observed": "TRUE", "quorum": "supporting_sites >= 2", "class": "supporting_sites >= 2 AND endpoint_class <> 'other'", "admitted": "accepted"}
+
+
+@query(_TRUTH + ", td AS (SELECT device_type, count(*) AS total FROM truth GROUP BY 1)\n" + " UNION ALL ".join(
+    f"""SELECT {i} AS step, '{s}' AS stage, CAST(sum(kept) AS BIGINT) AS kept, round(CAST(sum(kept) AS DOUBLE) / sum(total), 6) AS micro, round(avg(CAST(kept AS DOUBLE) / total), 6) AS macro FROM (SELECT td.device_type, total, count(t.device_type) AS kept FROM td LEFT JOIN (SELECT truth.* FROM truth SEMI JOIN (SELECT * FROM scored WHERE {c}) s USING ({_K})) t ON t.device_type = td.device_type GROUP BY 1, 2)"""
+    for i, (s, c) in enumerate(_STAGES.items())
+))
+def recall_funnel(spark, d):
+    scored = _scored(spark, d)
+    return evaluation.funnel({s: scored.where(c) for s, c in _STAGES.items()}, _truth(spark, d))
+
+
+@query(_TRUTH + f"""SELECT device_type, count(*) AS queue, count(t) AS confirmed, round(CAST(count(*) AS DOUBLE) / nullif(count(t), 0), 6) AS cost FROM (SELECT {_K} FROM scored WHERE endpoint_class <> 'other') LEFT JOIN (SELECT {_K}, 1 AS t FROM truth) USING ({_K}) GROUP BY 1""")
+def review_cost(spark, d):
+    rows = _scored(spark, d).where(F.col("endpoint_class").isin(*ELIGIBLE_CLASSES)).select(*KEY).join(_truth(spark, d).withColumn("t", F.lit(1)), list(KEY), "left")
+    hits = F.count("t")
+    return rows.groupBy("device_type").agg(F.count("*").alias("queue"), hits.alias("confirmed"), F.round(F.count("*").cast("double") / F.nullif(hits, F.lit(0)), 6).alias("cost"))
+
+
+@query(f"SELECT {_K}, supporting_sites, n, place FROM (SELECT *, row_number() OVER (PARTITION BY device_type ORDER BY supporting_sites DESC, n DESC, endpoint, protocol, port) AS place FROM fact) WHERE place <= 5")
+def topn_facts(spark, d):
+    return sequences.top_facts(scoring.fact_totals(_cube(spark, d)), 5).select(*KEY, "supporting_sites", "n", "place")
+
+
+_RANKED = _TRUTH + f", flagged AS (SELECT v.*, t.hit FROM (SELECT {_K}, round(score, 9) AS score FROM vanilla) v LEFT JOIN (SELECT {_K}, 1 AS hit FROM truth) t USING ({_K}))\n"
+
+
+def _ranked(spark, d):
+    return _scored(spark, d).select(*KEY, F.round("score", 9).alias("score"))
+
+
+@query(_RANKED + """, ties AS (SELECT device_type, score, count(*) AS size, count(hit) AS hits FROM flagged GROUP BY 1, 2),
+t AS (SELECT *, greatest(0, least(size, 40 - (sum(size) OVER (PARTITION BY device_type ORDER BY score DESC ROWS UNBOUNDED PRECEDING) - size))) AS take FROM ties)
+SELECT device_type, round(sum(CAST(hits * take AS DOUBLE) / size), 6) AS expected, CAST(sum(least(hits, take)) AS BIGINT) AS best, CAST(sum(greatest(0, take - (size - hits))) AS BIGINT) AS worst FROM t GROUP BY 1""")
+def ranked_union_budget(spark, d):
+    return evaluation.budget_yield(_ranked(spark, d), _truth(spark, d), 40)
+
+
+@query(_RANKED + """SELECT device_type, min(CASE WHEN run >= 5 THEN place END) AS depth FROM (SELECT *, sum(coalesce(hit, 0)) OVER (PARTITION BY device_type ORDER BY place ROWS UNBOUNDED PRECEDING) AS run
+FROM (SELECT *, row_number() OVER (PARTITION BY device_type ORDER BY score DESC, endpoint, protocol, port) AS place FROM flagged)) GROUP BY 1""")
+def ranked_depth(spark, d):
+    return evaluation.depth_of_hit(_ranked(spark, d), _truth(spark, d), 5)
+
+
+@query("""SELECT device_type, endpoint_class, count(*) AS facts FROM (SELECT *, row_number() OVER (PARTITION BY device_type ORDER BY round(score, 9) DESC, endpoint, protocol, port) AS place FROM scored) WHERE place <= 20 GROUP BY 1, 2""")
+def ranked_prefix_composition(spark, d):
+    rows = evaluation.ranked(_scored(spark, d).withColumn("score", F.round("score", 9)))
+    return rows.where("rank <= 20").groupBy("device_type", "endpoint_class").agg(F.count("*").alias("facts"))
+
+
+@query("""SELECT user_id, round(avg(CAST(device_type <> before AS INTEGER)), 6) AS flip_rate, count(*) AS steps FROM (SELECT *, lag(device_type) OVER (PARTITION BY user_id ORDER BY ts, seq) AS before FROM ev) WHERE before IS NOT NULL GROUP BY 1""", EVENTS)
+def flip_rate(spark, d):
+    return sequences.flip_rate(from_events(spark, d), "user_id", ("timestamp", "seq"), "device_type")
+
+
+@query("""SELECT device_type, count(*) FILTER (train) AS train, count(*) FILTER (NOT train) AS test FROM (SELECT device_type, row_number() OVER (PARTITION BY device_type ORDER BY ts, seq) <= greatest(1, floor(count(*) OVER (PARTITION BY device_type) * 0.7)) AS train FROM ev) GROUP BY 1""", EVENTS)
+def chronological_split(spark, d):
+    return sequences.chronological_split(from_events(spark, d), "device_type", ("timestamp", "seq"), 0.7).groupBy("device_type").agg(F.count_if("train").alias("train"), F.count_if(~F.col("train")).alias("test"))
+
+
+@query("""SELECT site_id, count(*) FILTER (early) AS bootstrap, count(*) AS total FROM (SELECT site_id, row_number() OVER (PARTITION BY site_id ORDER BY ts, seq) <= greatest(1, floor(count(*) OVER (PARTITION BY site_id) * 0.2)) AS early FROM ev) GROUP BY 1""", EVENTS)
+def bootstrap_window_split(spark, d):
+    rows = sequences.chronological_split(from_events(spark, d), "site_id", ("timestamp", "seq"), 0.2)
+    return rows.groupBy("site_id").agg(F.count_if("train").alias("bootstrap"), F.count("*").alias("total"))
+
+
+@query(f"""SELECT day, coalesce(new, 0) AS new, CAST(sum(coalesce(new, 0)) OVER (ORDER BY day) AS BIGINT) AS queue FROM (SELECT DISTINCT day FROM cube) LEFT JOIN
+(SELECT day, count(*) AS new FROM (SELECT {_K}, min(day) AS day, row_number() OVER (PARTITION BY {_K} ORDER BY min(day), site_id) AS place FROM cube GROUP BY {_K}, site_id) WHERE place = 3 GROUP BY 1) USING (day)""")
+def daily_queue_churn(spark, d):
+    return sequences.daily_queue(_cube(spark, d), 3)
+
+
+_STEPS = (1994, 1996, 1998, 2000)
+
+
+def _by_step(spark, d):
+    cube = _cube(spark, d)
+    parts = [scoring.fact_totals(cube.where(F.year("day") < y)).where("supporting_sites >= 4").select(F.lit(i).alias("step"), *KEY) for i, y in enumerate(_STEPS)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(", st AS (" + " UNION ALL ".join(f"SELECT {i} AS step, {_K} FROM cube WHERE year(day) < {y} GROUP BY {_K} HAVING count(DISTINCT site_id) >= 4" for i, y in enumerate(_STEPS)) + f""")
+SELECT step, count(n + o) AS kept, count(*) FILTER (o IS NULL) AS added, count(*) FILTER (n IS NULL) AS removed FROM (SELECT *, 1 AS n FROM st) FULL JOIN (SELECT * REPLACE (step + 1 AS step), 1 AS o FROM st) USING (step, {_K}) WHERE step <= (SELECT max(step) FROM st) GROUP BY 1""")
+def lifecycle_churn(spark, d):
+    return sequences.churn(_by_step(spark, d))
+
+
+@query(f"SELECT {_K}, coalesce(min(step), {len(_STEPS)}) AS first_accepted FROM fact LEFT JOIN (" + " UNION ALL ".join(f"SELECT {i} AS step, {_K} FROM cube WHERE year(day) < {y} GROUP BY {_K} HAVING count(DISTINCT site_id) >= 4" for i, y in enumerate(_STEPS)) + f") USING ({_K}) GROUP BY {_K}")
+def first_accepted_budget(spark, d):
+    first = _by_step(spark, d).groupBy(*KEY).agg(F.min("step").alias("first_accepted"))
+    return scoring.fact_totals(_cube(spark, d)).select(*KEY).join(first, list(KEY), "left").fillna(len(_STEPS), ["first_accepted"])
+
+
+@query("SELECT site_id, day, CAST(n AS BIGINT) AS n FROM (SELECT site_id, day, sum(n) AS n, row_number() OVER (PARTITION BY site_id ORDER BY sum(n) DESC, day) AS i FROM cube GROUP BY 1, 2) WHERE i = 1")
+def busiest_day(spark, d):
+    return sequences.busiest_day(_cube(spark, d))
+
+
+@query("SELECT round(sum(weight) FILTER (i <= 3) / sum(weight), 6) AS fraction FROM (SELECT weight, row_number() OVER (ORDER BY weight DESC, site_id) AS i FROM weights)")
+def max_weighted_fraction(spark, d):
+    w = scoring.trust_weights(_cube(spark, d)).withColumn("i", F.row_number().over(Window.orderBy(F.desc("weight"), "site_id")))  # a row a site
+    return w.agg(F.round(F.sum(F.when(F.col("i") <= 3, F.col("weight"))) / F.sum("weight"), 6).alias("fraction"))
+
+
+@query("SELECT seq, coalesce(fqdn, name) AS fqdn, CASE WHEN fqdn IS NULL AND name IS NOT NULL THEN evidence_type || '+ip_backfill' ELSE evidence_type END AS evidence_type FROM obs LEFT JOIN (SELECT remote_ip, arg_min(fqdn, seq) AS name FROM obs WHERE fqdn IS NOT NULL GROUP BY 1) USING (remote_ip)")
+def backfill_first(spark, d):
+    obs = from_star_schema(spark, d)
+    filled = F.col("fqdn").isNull() & F.col("name").isNotNull()
+    return obs.join(sequences.first_name(obs), "remote_ip", "left").select("seq", F.coalesce("fqdn", "name").alias("fqdn"), F.when(filled, F.concat("evidence_type", F.lit("+ip_backfill"))).otherwise(F.col("evidence_type")).alias("evidence_type"))
+
+
+def _nearest(spark, d):
+    e = from_events(spark, d)
+    rows = e.where("value < 50").select("site_id", "device_type", "timestamp", "seq")
+    known = e.where("value >= 50").groupBy("site_id", "device_type", "timestamp").agg(F.min("endpoint").alias("name"))
+    return rows, known, sequences.nearest_evidence(rows, known, ("site_id", "device_type"), 24)
+
+
+_NEAREST = """, r AS (SELECT * FROM ev WHERE value < 50), e AS (SELECT site_id, device_type, ts AS t, min(endpoint) AS name FROM ev WHERE value >= 50 GROUP BY 1, 2, 3),
+b AS (SELECT r.*, e.name AS bn, e.t AS bt FROM r ASOF LEFT JOIN e ON r.site_id = e.site_id AND r.device_type = e.device_type AND r.ts >= e.t),
+c AS (SELECT b.*, e.name AS an, e.t AS later FROM b ASOF LEFT JOIN e ON b.site_id = e.site_id AND b.device_type = e.device_type AND b.ts <= e.t),
+g AS (SELECT *, CAST(floor(epoch(ts)) - floor(epoch(bt)) AS BIGINT) AS gb, CAST(floor(epoch(later)) - floor(epoch(ts)) AS BIGINT) AS ga FROM c),
+h AS (SELECT seq, CASE WHEN ga IS NULL OR (gb IS NOT NULL AND gb <= ga) THEN gb ELSE ga END AS gap, CASE WHEN ga IS NULL OR (gb IS NOT NULL AND gb <= ga) THEN bn ELSE an END AS hit FROM g)
+"""
+
+
+@query(_NEAREST + "SELECT seq, CASE WHEN gap <= 86400 THEN hit END AS name, CASE WHEN gap <= 86400 THEN gap END AS gap_seconds FROM h", EVENTS)
+def backfill_nearest(spark, d):
+    return _nearest(spark, d)[2].drop("known_here")
+
+
+@query(_NEAREST + "SELECT CASE WHEN gap <= 86400 THEN 'resolved' WHEN hit IS NOT NULL THEN 'outside window' ELSE 'none at this site' END AS outcome, count(*) AS n FROM h GROUP BY 1", EVENTS)
+def backfill_report(spark, d):
+    found = _nearest(spark, d)[2]
+    outcome = F.when(F.col("name").isNotNull(), "resolved").when(F.col("known_here"), "outside window").otherwise("none at this site")
+    return found.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT device_type, count(*) AS edges, CAST(sum(weight) AS BIGINT) AS weight, max(weight) AS heaviest FROM (SELECT p.device_type, p.endpoint || '|' || p.protocol || '|' || p.port AS a, q.endpoint || '|' || q.protocol || '|' || q.port AS b, count(*) AS weight
+FROM pairs p JOIN pairs q ON p.device_type = q.device_type AND p.site_id = q.site_id AND (p.endpoint || '|' || p.protocol || '|' || p.port) < (q.endpoint || '|' || q.protocol || '|' || q.port) GROUP BY 1, 2, 3) GROUP BY 1""")
+def cooccurrence_edges(spark, d):
+    return overlap.cooccurrence(_cube(spark, d)).groupBy("device_type").agg(F.count("*").alias("edges"), F.sum("weight").alias("weight"), F.max("weight").alias("heaviest"))
+
+
+@query("SELECT device_type, a, b, common, either, round(jaccard, 6) AS jaccard FROM jac")
+def site_jaccard(spark, d):
+    return overlap.site_jaccard(_cube(spark, d)).select("device_type", "a", "b", "common", "either", *_r("jaccard"))
+
+
+@query("""SELECT device_type, site_id, nearest, jaccard FROM (SELECT device_type, site_id, other AS nearest, round(jaccard, 6) AS jaccard, row_number() OVER (PARTITION BY device_type, site_id ORDER BY jaccard DESC, other) AS i
+FROM (SELECT device_type, a AS site_id, b AS other, jaccard FROM jac UNION ALL SELECT device_type, b, a, jaccard FROM jac)) WHERE i = 1""")
+def nearest_site(spark, d):
+    return overlap.nearest_site(overlap.site_jaccard(_cube(spark, d))).select("device_type", "site_id", "nearest", *_r("jaccard"))
+
+
+@query("SELECT a, b, round(avg(jaccard), 6) AS jaccard, count(*) AS devices FROM jac GROUP BY 1, 2")
+def org_overlap(spark, d):
+    return overlap.site_jaccard(_cube(spark, d)).groupBy("a", "b").agg(F.round(F.avg("jaccard"), 6).alias("jaccard"), F.count("*").alias("devices"))
+
+
+@query(f"SELECT site_id, device_type, count(*) AS exceptions FROM pairs ANTI JOIN (SELECT {_K} FROM scored WHERE accepted) s USING ({_K}) GROUP BY 1, 2")
+def exceptions_per_site(spark, d):
+    cube = _cube(spark, d)
+    return cube.select("site_id", *KEY).distinct().join(scoring.score(cube).where("accepted"), list(KEY), "left_anti").groupBy("site_id", "device_type").agg(F.count("*").alias("exceptions"))
+
+
+@query("""SELECT 'site-' || r AS receiver, count(*) AS queue, count(o.device_type) AS confirmed FROM (SELECT 0 AS r UNION ALL SELECT 1 UNION ALL SELECT 2) JOIN
+LATERAL (SELECT device_type, endpoint, protocol, port FROM pairs WHERE site_id <> 'site-' || r GROUP BY ALL HAVING count(*) >= 6) q ON TRUE LEFT JOIN pairs o ON o.site_id = 'site-' || r AND o.device_type = q.device_type AND o.endpoint = q.endpoint AND o.protocol = q.protocol AND o.port = q.port GROUP BY 1""")
+def loo_transfer(spark, d):
+    """Facts that six other sites report, and how many of them the receiver has seen."""
+    pairs = _cube(spark, d).select("site_id", *KEY).distinct()
+    receivers = spark.range(3).select(F.concat(F.lit("site-"), F.col("id").cast("string")).alias("receiver"))
+    others = pairs.join(F.broadcast(receivers), F.col("site_id") != F.col("receiver")).groupBy("receiver", *KEY).agg(F.count("*").alias("s")).where("s >= 6")
+    seen = pairs.select(F.col("site_id").alias("receiver"), *KEY, F.lit(1).alias("seen"))
+    return others.join(seen, ["receiver", *KEY], "left").groupBy("receiver").agg(F.count("*").alias("queue"), F.count("seen").alias("confirmed"))
+
+
+@query("SELECT count(*) AS every, count(*) FILTER (supporting_sites >= 4) AS quorum, count(*) FILTER (supporting_sites >= 4 AND score >= CAST(0.5 AS DOUBLE)) AS quorum_score, count(*) FILTER (supporting_sites >= 4 AND score >= CAST(0.5 AS DOUBLE) AND endpoint_class <> 'other') AS admitted FROM scored")
+def matched_ablation(spark, d):
+    q, s, c = F.col("supporting_sites") >= 4, F.col("score") >= 0.5, F.col("endpoint_class").isin(*ELIGIBLE_CLASSES)
+    return _scored(spark, d).agg(F.count("*").alias("every"), F.count_if(q).alias("quorum"), F.count_if(q & s).alias("quorum_score"), F.count_if(q & s & c).alias("admitted"))
+
+
+@query("SELECT theta, m, count(*) FILTER (supporting_sites >= m AND score >= theta AND endpoint_class <> 'other') AS admitted FROM scored, (SELECT unnest([0.25, 0.5, 0.65, 0.8])::DOUBLE AS theta), (SELECT unnest([2, 4, 8])::INTEGER AS m) GROUP BY 1, 2")
+def pareto_sweep(spark, d):
+    grid = F.explode(F.array(*(F.struct(F.lit(t).alias("theta"), F.lit(m).alias("m")) for t in (0.25, 0.5, 0.65, 0.8) for m in (2, 4, 8))))
+    rows = _scored(spark, d).withColumn("g", grid)
+    ok = (F.col("supporting_sites") >= F.col("g.m")) & (F.col("score") >= F.col("g.theta")) & F.col("endpoint_class").isin(*ELIGIBLE_CLASSES)
+    return rows.groupBy(F.col("g.theta").alias("theta"), F.col("g.m").alias("m")).agg(F.count_if(ok).alias("admitted"))
+
+
+@query("SELECT alpha, count(*) FILTER (endpoint_class <> 'other' AND round(alpha * site_confidence + (1 - alpha) * temporal_confidence, 9) >= 0.5) AS admitted FROM base, (SELECT unnest([0.0, 0.3, 0.6, 0.9, 1.0])::DOUBLE AS alpha) GROUP BY 1")
+def one_at_a_time(spark, d):
+    rows = _scored(spark, d).withColumn("alpha", F.explode(F.array(*(F.lit(x) for x in (0.0, 0.3, 0.6, 0.9, 1.0)))))
+    s = F.round(F.col("alpha") * F.col("site_confidence") + (1 - F.col("alpha")) * F.col("temporal_confidence"), 9)
+    return rows.groupBy("alpha").agg(F.count_if((s >= 0.5) & F.col("endpoint_class").isin(*ELIGIBLE_CLASSES)).alias("admitted"))
+
+
+@query("SELECT least(CAST(floor((epoch(ts) - lo) / greatest(hi - lo, 1) * 6) AS BIGINT), 5) AS part, count(*) AS n FROM obs, (SELECT epoch(min(ts)) AS lo, epoch(max(ts)) AS hi FROM obs) GROUP BY 1")
+def time_window_partition(spark, d):
+    rows = perturb.time_window_sites(from_star_schema(spark, d), 6)
+    return rows.groupBy(F.substring_index("site_id", "-", -1).cast("long").alias("part")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT (rank - 1) % 4 AS part, device_type, count(DISTINCT device_id) AS devices, count(*) AS n FROM obs JOIN (SELECT device_type, device_id, row_number() OVER (PARTITION BY device_type ORDER BY device_id) AS rank FROM (SELECT DISTINCT device_type, device_id FROM obs)) USING (device_type, device_id) GROUP BY 1, 2")
+def device_balanced_partition(spark, d):
+    rows = perturb.balanced_sites(from_star_schema(spark, d), 4)
+    return rows.groupBy(F.substring_index("site_id", "-", -1).cast("long").alias("part"), "device_type").agg(F.count_distinct("device_id").alias("devices"), F.count("*").alias("n"))
+
+
+@query("SELECT site_id, 'fake.example.com' AS fqdn, device_id, t + to_days(CAST(i AS INTEGER)) AS timestamp FROM (SELECT site_id, arg_min(ts, seq) AS t, arg_min(device_id, seq) AS device_id FROM obs WHERE device_type = 'brand#11' AND site_id IN ('site-1', 'site-2', 'site-3') GROUP BY 1), range(0, 5) r(i)")
+def inject_fake(spark, d):
+    return perturb.inject_endpoint(from_star_schema(spark, d), ["site-1", "site-2", "site-3"], "brand#11", "fake.example.com", days=5).select("site_id", "fqdn", "device_id", "timestamp")
+
+
+@query("SELECT 'sybil-' || s AS site_id, t + to_days(CAST(i AS INTEGER)) AS timestamp FROM (SELECT min(ts) AS t FROM obs WHERE device_type = 'brand#11'), range(0, 20) a(s), range(0, 3) b(i)")
+def inject_sybil_adaptive(spark, d):
+    return perturb.inject_sybils(from_star_schema(spark, d), 20, "brand#11", "fake.example.com", 3).select("site_id", "timestamp")
+
+
+@query("SELECT site_id, t + to_days(CAST(i + 1 AS INTEGER)) AS timestamp FROM (SELECT site_id, arg_min(ts, seq) AS t FROM obs WHERE device_type = 'brand#12' AND site_id IN ('site-4', 'site-5') GROUP BY 1), range(0, 10) r(i)")
+def inject_drift(spark, d):
+    return perturb.inject_endpoint(from_star_schema(spark, d), ["site-4", "site-5"], "brand#12", "new.example.com", days=10, offset=1).select("site_id", "timestamp")
+
+
+@query("SELECT device_type, count(DISTINCT site_id) AS sites FROM obs GROUP BY 1 HAVING count(DISTINCT CASE WHEN site_id = 'site-9' THEN 'site-8' ELSE site_id END) >= 2")
+def overlap_devices(spark, d):
+    """Device types at two independent sites or more; sites 8 and 9 are one lab."""
+    lab = F.when(F.col("site_id") == "site-9", "site-8").otherwise(F.col("site_id"))
+    rows = from_star_schema(spark, d).groupBy("device_type").agg(F.count_distinct("site_id").alias("sites"), F.count_distinct(lab).alias("labs"))
+    return rows.where("labs >= 2").drop("labs")
+
+
+@query("SELECT site_id, device_type, arg_max(endpoint, seq) AS endpoint, max(seq) AS seq FROM ev GROUP BY 1, 2", EVENTS)
+def outbox_latest(spark, d):
+    return sequences.newest(from_events(spark, d).select("site_id", "device_type", "endpoint", "seq"), ("site_id", "device_type")).select("site_id", "device_type", "endpoint", "seq")
+
+
+@query("SELECT endpoint, count(*) FILTER (value >= 50) AS positive, count(*) AS sites, CASE WHEN count(*) FILTER (value >= 50) >= 3 THEN 'corroborated' ELSE 'provisional' END AS tier FROM (SELECT endpoint, site_id, arg_max(value, seq) AS value FROM ev GROUP BY 1, 2) GROUP BY 1", EVENTS)
+def attestation_tier(spark, d):
+    """A site's latest stance on an endpoint counts; three positive ones promote it."""
+    stance = sequences.newest(from_events(spark, d).select("endpoint", "site_id", "value", "seq"), ("endpoint", "site_id"))
+    positive = F.count_if(F.col("value") >= 50)
+    return stance.groupBy("endpoint").agg(positive.alias("positive"), F.count("*").alias("sites"), F.when(positive >= 3, "corroborated").otherwise("provisional").alias("tier"))
+
+
+@query("SELECT fold, count(*) AS n FROM (SELECT CAST(('0x' || substr(sha256(device_id), 1, 16))::UBIGINT % 5 AS INTEGER) AS fold FROM (SELECT DISTINCT device_id FROM obs)) GROUP BY 1")
+def stable_fold(spark, d):
+    return from_star_schema(spark, d).select("device_id").distinct().withColumn("fold", perturb.stable_fold("device_id", 5)).groupBy("fold").agg(F.count("*").alias("n"))
+
+
+@query("SELECT label, i AS dimension, round(avg(x), 6) AS mean, round(var_pop(x), 6) AS variance FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY 1, 2", "")
+def gnb_params(spark, d):
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("label", F.posexplode("embedding").alias("dimension", "x"))
+    x = F.col("x").cast("double")
+    return rows.groupBy("label", F.col("dimension").cast("long").alias("dimension")).agg(F.round(F.avg(x), 6).alias("mean"), F.round(F.var_pop(x), 6).alias("variance"))
+
+
+@query("SELECT quality, toxic, count(*) AS n FROM labels GROUP BY 1, 2", "")
+def confusion_report(spark, d):
+    return spark.read.parquet(f"{d}/labels.parquet").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
+
+
+@query("SELECT device_type, round((total - x) / (n - 1), 6) AS without FROM (SELECT device_type, CAST(device_n AS DOUBLE) AS x, sum(device_n) OVER () AS total, count(*) OVER () AS n FROM dev)")
+def leave_one_device_out(spark, d):
+    w = Window.partitionBy()  # a row a device type
+    rows = scoring.device_totals(_cube(spark, d)).select("device_type", F.col("device_n").cast("double").alias("x"))
+    return rows.select("device_type", F.round((F.sum("x").over(w) - F.col("x")) / (F.count("*").over(w) - 1), 6).alias("without"))
+
+
+@query("SELECT site_id, round(avg(diff), 6) AS mean, round(stddev_samp(diff), 6) AS sd, round(avg(diff) / nullif(stddev_samp(diff), 0), 6) AS effect, count(*) AS n FROM (SELECT site_id, device_type, CAST(count(DISTINCT endpoint) AS DOUBLE) - count(DISTINCT day) AS diff FROM cube GROUP BY 1, 2) GROUP BY 1")
+def paired_effect(spark, d):
+    diff = _cube(spark, d).groupBy("site_id", "device_type").agg((F.count_distinct("endpoint").cast("double") - F.count_distinct("day")).alias("diff"))
+    mean, sd = F.avg("diff"), F.stddev_samp("diff")
+    return diff.groupBy("site_id").agg(F.round(mean, 6).alias("mean"), F.round(sd, 6).alias("sd"), F.round(mean / F.nullif(sd, F.lit(0.0)), 6).alias("effect"), F.count("*").alias("n"))
+
+
+@query("SELECT site_id, p, least(1.0, max(raw) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING)) AS adjusted FROM (SELECT site_id, p, row_number() OVER (ORDER BY p, site_id) AS place, p * (count(*) OVER () - row_number() OVER (ORDER BY p, site_id) + 1) AS raw FROM (SELECT site_id, 1.0::DOUBLE / breadth AS p FROM breadth))")
+def holm_adjust(spark, d):
+    """Step-down adjustment; here of one value a site."""
+    order = Window.orderBy("p", "site_id")
+    rows = scoring.site_breadth(_cube(spark, d)).select("site_id", (F.lit(1.0) / F.col("breadth")).alias("p"))
+    rows = rows.withColumn("raw", F.col("p") * (F.count("*").over(Window.partitionBy()) - F.row_number().over(order) + 1))
+    return rows.select("site_id", "p", F.least(F.lit(1.0), F.max("raw").over(order.rowsBetween(Window.unboundedPreceding, 0))).alias("adjusted"))
+
+
+@query("SELECT k, sites, round(0.6 * least(1.0, k / sites) + 0.4, 6) AS bound, 0.65 - (0.6 * least(1.0, k / sites) + 0.4) > 1e-9 AS safe FROM (SELECT unnest(range(0, 11))::DOUBLE AS k), (SELECT unnest([5, 10, 20])::DOUBLE AS sites)", "")
+def poison_bound_grid(spark, d):
+    grid = spark.range(11).select(F.col("id").cast("double").alias("k"), F.explode(F.array(*(F.lit(x) for x in (5.0, 10.0, 20.0)))).alias("sites"))
+    bound = 0.6 * F.least(F.lit(1.0), F.col("k") / F.col("sites")) + 0.4
+    return grid.select("k", "sites", F.round(bound, 6).alias("bound"), (F.lit(0.65) - bound > 1e-9).alias("safe"))
+
+
+@query("SELECT device_type, endpoint, protocol, port, row_number() OVER (PARTITION BY device_type ORDER BY endpoint, protocol, port) - 1 AS ace, 'ietf-acldns:dst-dnsname' AS matcher FROM scored WHERE accepted AND endpoint LIKE '%example.com'")
+def mud_aces(spark, d):
+    """Access-control entries of the admitted named facts, in order."""
+    rows = _scored(spark, d).where("accepted").where(F.contains("endpoint", F.lit("example.com")))
+    place = F.row_number().over(Window.partitionBy("device_type").orderBy("endpoint", "protocol", "port")) - 1
+    return rows.select(*KEY, place.cast("long").alias("ace"), F.lit("ietf-acldns:dst-dnsname").alias("matcher"))
+
+
+@query(None)
+def pagerank_confidence(spark, d):
+    """Graph confidence of facts over the co-occurrence of facts that four sites or more share."""
+    return overlap.pagerank(overlap.cooccurrence(_cube(spark, d)).where("weight >= 4"), rounds=30)
