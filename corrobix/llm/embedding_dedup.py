@@ -24,6 +24,8 @@ from .common import Table, components, release, spanning
 #: Bounds of the training sample, and of the members and queries that one task compares.
 SAMPLE_ROWS, SAMPLE_BYTES, MOST_LISTS = 16_384, 32 << 20, 4096
 MEMBERS, QUERIES = 1024, 2048
+#: Lists hold about so many vectors, while the sample allows for so many lists.
+LIST_SIZE = 128
 #: A probe covers links that cross a list's border by up to REACH standard deviations of a random direction.
 REACH = 4.0
 
@@ -55,7 +57,7 @@ def train(sample: np.ndarray, n_vectors: int, cosine: float, seed: int = 7) -> I
     """Fit centroids and codebooks on unit vectors. The sample is bounded; every vector is indexed afterwards."""
     rng = np.random.default_rng(seed)
     n, d = sample.shape
-    lists = max(1, min(int(math.sqrt(n_vectors)), n // 8 or 1, MOST_LISTS))
+    lists = max(1, min(n_vectors // LIST_SIZE, n // 8, MOST_LISTS))
     centroids = _kmeans(sample, lists, 8, rng)
     residual = sample - centroids[_nearest(sample, centroids)]
     width = 8 if d % 8 == 0 else 1 if d < 8 else d
@@ -95,7 +97,8 @@ def link_block(index: Index, lst: int, ids: np.ndarray, weights: np.ndarray, cod
         rest = unit_q[at : at + 256] - index.centroids[lst]
         distance = np.zeros((len(rest), len(ids)))
         for s in range(m):
-            table = ((rest[:, None, s * width : (s + 1) * width] - index.codebooks[s][None]) ** 2).sum(-1)
+            own, book = rest[:, s * width : (s + 1) * width], index.codebooks[s]
+            table = (own**2).sum(axis=1)[:, None] + (book**2).sum(axis=1) - 2 * own @ book.T
             distance += table[:, codes[:, s]]
         row, col = np.nonzero(distance <= bound)
         linked = np.zeros(len(row), bool)
