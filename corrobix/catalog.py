@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.keys import ELIGIBLE_CLASSES, KEY, blocked_reason, keeps_global, service_class
-from .operators import baselines, evaluation, overlap, perturb, scoring, sequences
+from .operators import baselines, evaluation, lifecycle, overlap, perturb, scoring, sequences
 from .plans.oracle import BASE, EVENTS
 from .sources.observations import evidence_cube, from_events, from_star_schema, with_key
+from .streaming import windows
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -580,6 +581,18 @@ def mud_aces(spark, d):
     return rows.select(*KEY, place.cast("long").alias("ace"), F.lit("ietf-acldns:dst-dnsname").alias("matcher"))
 
 
+@query(None)
+def lifecycle_fold(spark, d):
+    """Status of every endpoint at every site after all events."""
+    return lifecycle.fold(lifecycle.event_log(from_events(spark, d)))
+
+
+@query("SELECT CAST(ts AS DATE) AS day, site_id, device_type, count(*) AS n FROM ev GROUP BY 1, 2, 3", EVENTS)
+def daily_counts(spark, d):
+    """The tumbling daily count, as a batch; the streaming variant has the same operator."""
+    return windows.daily_counts(from_events(spark, d))
+
+
 @query(None)
 def pagerank_confidence(spark, d):
     """Graph confidence of facts over the co-occurrence of facts that four sites or more share."""
