@@ -35,10 +35,10 @@ def bounded_batches(spark: SparkSession) -> None:
 class Table:
     """A DataFrame written as Parquet in the shared folder: cuts lineage and survives lost executors."""
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, compression: str = "snappy"):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/corrobix/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        df.write.option("compression", compression).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
@@ -150,6 +150,16 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def small_batches(batch: pa.RecordBatch, text: int, size: int = 1 << 20):
+    """Slices of whole rows with about `size` bytes of the text column each."""
+    off = utf8(batch.column(text))[1]
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(off, off[at] + size, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def word_bounds(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word [^\\x20\\x09-\\x0D]+, and per row the index of its first word (one more at the end)."""
     inside = ~_SPACE[raw]
