@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import Table, bounded_batches, hash_spans, utf8, word_bounds
+from .common import BROADCAST_IDS, Table, bounded_batches, hash_spans, utf8, word_bounds
 
 END_ID = 2
 _BLOCK_IDS = 1 << 16
@@ -170,7 +170,7 @@ def write_packed(docs: DataFrame, tokenizer_path: str, n_shards: int | None = No
         if ids:
             yield block()
 
-    return Table(ordered.mapInArrow(blocks, _BLOCKS), "packed")
+    return Table(ordered.mapInArrow(blocks, _BLOCKS), "packed", "zstd")
 
 
 def read_packed(blocks: DataFrame) -> DataFrame:
@@ -183,7 +183,8 @@ def read_packed(blocks: DataFrame) -> DataFrame:
     shards = heads.groupBy("shard").agg(F.sum("held").alias("held"))
     before = shards.select("shard", (F.sum("held").over(Window.orderBy("shard")) - F.col("held")).alias("base"))
     placed = heads.join(F.broadcast(before), "shard").select("shard", "block", (F.col("base") + F.sum("held").over(Window.partitionBy("shard").orderBy("block")) - F.col("held")).alias("first"))
-    rows = blocks.join(placed, ["shard", "block"]).select("first", "bits", "doc_ids", "offsets", "payload")
+    few = blocks.count() <= BROADCAST_IDS  # a row a block; beyond that the payloads move by a shuffle
+    rows = blocks.join(F.broadcast(placed) if few else placed, ["shard", "block"]).select("first", "bits", "doc_ids", "offsets", "payload")
 
     def documents(batches: Iterator[pa.RecordBatch]):
         for b in batches:

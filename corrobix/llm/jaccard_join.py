@@ -96,7 +96,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
         t.drop()
     release(spark)
     roots = final.df.toDF("rep", "root")
-    return member.df.join(roots, "rep", "left").select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
+    return member.df.join(roots, "rep", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep")).alias("component_id"))
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
