@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -581,6 +582,67 @@ def mud_aces(spark, d):
     return rows.select(*KEY, place.cast("long").alias("ace"), F.lit("ietf-acldns:dst-dnsname").alias("matcher"))
 
 
+_CLASS_SETS = """, cs AS (SELECT DISTINCT site_id, p.device_type, endpoint_class FROM pairs p JOIN base USING (device_type, endpoint, protocol, port)),
+cn AS (SELECT site_id, device_type, count(*) AS n FROM cs GROUP BY 1, 2), cc AS (SELECT x.device_type, x.site_id AS a, y.site_id AS b, count(*) AS common FROM cs x JOIN cs y USING (device_type, endpoint_class) WHERE x.site_id < y.site_id GROUP BY 1, 2, 3)
+"""
+
+
+@query(_CLASS_SETS + "SELECT device_type, round(avg(CAST(common AS DOUBLE) / (x.n + y.n - common)), 6) AS jaccard, count(*) AS pairs FROM cc JOIN cn x USING (device_type) JOIN cn y USING (device_type) WHERE x.site_id = a AND y.site_id = b GROUP BY 1")
+def granularity_overlap(spark, d):
+    """Mean overlap of pairs of sites by service class: coarser than by fact."""
+    classes = _cube(spark, d).select("site_id", "device_type", service_class().alias("endpoint")).distinct().withColumn("protocol", F.lit("")).withColumn("port", F.lit(0))
+    pairs = overlap.site_jaccard(classes).where("common > 0")
+    return pairs.groupBy("device_type").agg(F.round(F.avg("jaccard"), 6).alias("jaccard"), F.count("*").alias("pairs"))
+
+
+@query("SELECT theta, count(*) FILTER (accepted AND other) AS common, count(*) FILTER (accepted OR other) AS either FROM (SELECT theta, accepted, supporting_sites >= 2 AND endpoint_class <> 'other' AND score >= theta AS other FROM scored, (SELECT unnest([0.45, 0.55, 0.65, 0.75])::DOUBLE AS theta)) GROUP BY 1")
+def sensitivity_jaccard(spark, d):
+    """Facts admitted both at the default and at another threshold, scored once."""
+    rows = _scored(spark, d).withColumn("theta", F.explode(F.array(*(F.lit(x) for x in (0.45, 0.55, 0.65, 0.75)))))
+    other = (F.col("supporting_sites") >= 2) & F.col("endpoint_class").isin(*ELIGIBLE_CLASSES) & (F.col("score") >= F.col("theta"))
+    return rows.groupBy("theta").agg(F.count_if(F.col("accepted") & other).alias("common"), F.count_if(F.col("accepted") | other).alias("either"))
+
+
+@query(_TRUTH + f""", g AS (SELECT alpha, theta, t, round(alpha * site_confidence + (1 - alpha) * temporal_confidence, 9) >= theta AS hit FROM base LEFT JOIN (SELECT {_K}, 1 AS t FROM truth) USING ({_K}), (SELECT unnest([0.2, 0.4, 0.6, 0.8])::DOUBLE AS alpha), (SELECT unnest([0.3, 0.5, 0.7])::DOUBLE AS theta))
+SELECT alpha, theta, count(*) FILTER (hit) AS predicted, count(t) FILTER (hit) AS correct, round(2.0 * count(t) FILTER (hit) / (count(*) FILTER (hit) + count(t)), 6) AS f1 FROM g GROUP BY 1, 2""")
+def weight_grid(spark, d):
+    """F1 against the reference facts over a grid of weights and thresholds."""
+    grid = F.explode(F.array(*(F.struct(F.lit(a).alias("alpha"), F.lit(t).alias("theta")) for a in (0.2, 0.4, 0.6, 0.8) for t in (0.3, 0.5, 0.7))))
+    rows = _scored(spark, d).join(_truth(spark, d).withColumn("t", F.lit(1)), list(KEY), "left").withColumn("g", grid)
+    hit = F.round(F.col("g.alpha") * F.col("site_confidence") + (1 - F.col("g.alpha")) * F.col("temporal_confidence"), 9) >= F.col("g.theta")
+    n, ok, every = F.count_if(hit), F.count(F.when(hit, F.col("t"))), F.count("t")
+    return rows.groupBy(F.col("g.alpha").alias("alpha"), F.col("g.theta").alias("theta")).agg(n.alias("predicted"), ok.alias("correct"), F.round(2 * ok / (n + every), 6).alias("f1"))
+
+
+_PRIORS = {"union": 1, "two sites": 2, "five sites": 5}
+
+
+@query(", late AS (SELECT site_id, device_type, endpoint, protocol, port FROM cube WHERE site_id IN ('site-0', 'site-1', 'site-2') GROUP BY ALL HAVING min(day) >= DATE '1995-01-01')\n" + " UNION ALL ".join(
+    f"SELECT l.site_id AS receiver, '{name}' AS prior, count(*) AS later, count(p.device_type) AS known FROM late l LEFT JOIN (SELECT r.site_id AS receiver, {', '.join('o.' + k for k in KEY)} FROM (SELECT DISTINCT site_id FROM late) r JOIN cube o ON o.site_id <> r.site_id AND o.day < DATE '1995-01-01' GROUP BY ALL HAVING count(DISTINCT o.site_id) >= {m}) p ON p.receiver = l.site_id AND {' AND '.join(f'p.{k} = l.{k}' for k in KEY)} GROUP BY 1"
+    for name, m in _PRIORS.items()
+))
+def cold_start(spark, d):
+    """How many of a receiver's later facts other sites' earlier evidence already holds, by the prior's quorum."""
+    cube, start = _cube(spark, d), F.lit("1995-01-01").cast("date")
+    receivers = ("site-0", "site-1", "site-2")
+    late = cube.where(F.col("site_id").isin(*receivers)).groupBy("site_id", *KEY).agg(F.min("day").alias("first")).where(F.col("first") >= start).select(F.col("site_id").alias("receiver"), *KEY)
+    names = spark.createDataFrame([(r,) for r in receivers], "receiver string")
+    early = cube.where(F.col("day") < start).select("site_id", *KEY).distinct().join(F.broadcast(names), F.col("site_id") != F.col("receiver")).groupBy("receiver", *KEY).agg(F.count("*").alias("s"))
+    rows = late.join(early, ["receiver", *KEY], "left").withColumn("p", F.explode(F.array(*(F.struct(F.lit(k).alias("prior"), F.lit(v).alias("m")) for k, v in _PRIORS.items()))))
+    return rows.groupBy("receiver", F.col("p.prior").alias("prior")).agg(F.count("*").alias("later"), F.count_if(F.coalesce(F.col("s") >= F.col("p.m"), F.lit(False))).alias("known"))
+
+
+_STRATEGIES = {"union": "TRUE", "majority": "site_confidence >= 0.5", "quorum": "supporting_sites >= 5", "score": "score >= 0.65", "gated": "accepted"}
+
+
+@query(_TRUTH + " UNION ALL ".join(f"SELECT '{n}' AS strategy, count(*) AS facts, count(t) AS confirmed, count(*) - count(t) AS false_grants FROM (SELECT {_K} FROM scored WHERE {c.replace('0.65', 'CAST(0.65 AS DOUBLE)')}) LEFT JOIN (SELECT {_K}, 1 AS t FROM truth) USING ({_K})" for n, c in _STRATEGIES.items()))
+def management_strategies(spark, d):
+    """Facts that each way of managing profiles would grant, and those the reference does not confirm."""
+    rows = _scored(spark, d).join(_truth(spark, d).withColumn("t", F.lit(1)), list(KEY), "left")
+    granted = F.explode(F.filter(F.array(*(F.when(F.expr(re.sub(r"(0\.\d+)", r"\1D", c)), F.lit(n)) for n, c in _STRATEGIES.items())), lambda x: x.isNotNull()))
+    return rows.select(granted.alias("strategy"), "t").groupBy("strategy").agg(F.count("*").alias("facts"), F.count("t").alias("confirmed"), (F.count("*") - F.count("t")).alias("false_grants"))
+
+
 @query(None)
 def lifecycle_fold(spark, d):
     """Status of every endpoint at every site after all events."""
