@@ -289,7 +289,7 @@ _STAGES = {"observed": "TRUE", "quorum": "supporting_sites >= 2", "class": "supp
     for i, (s, c) in enumerate(_STAGES.items())
 ))
 def recall_funnel(spark, d):
-    scored = _scored(spark, d)
+    scored = overlap.cut(_scored(spark, d))  # one row a fact, read by every stage
     return evaluation.funnel({s: scored.where(c) for s, c in _STAGES.items()}, _truth(spark, d))
 
 
