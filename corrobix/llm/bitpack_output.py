@@ -138,8 +138,8 @@ def write_packed(docs: DataFrame, tokenizer_path: str, n_shards: int | None = No
         raise ValueError("word-cached tokenising keeps ids in 16 bits; the vocabulary needs more")
 
     shards = n_shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text")]
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    order = [F.col("doc_id").asc_nulls_first(), F.col("text")]  # ranges are cut by a text's head: sampled keys go to the driver
+    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).repartitionByRange(shards, order[0], F.substring("text", 1, 64)).sortWithinPartitions(*order)
     ordered = ordered.select(F.spark_partition_id().cast("long").alias("shard"), "doc_id", "text")
     schema = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("bits", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary())])
 
