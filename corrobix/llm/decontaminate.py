@@ -2,8 +2,9 @@
 
 Words are hashed into buckets weighted by inverse document frequency over all documents. A randomised SVD of passages, summed
 over Spark tasks, gives every bucket a short vector; passages of documents and pieces of benchmark items are compared by cosine
-in that space. Close ones are verified by the longest common subsequence of words and by whether the item's answer, its last
-sentence, is there.
+in that space. Beside them stand all passages whose surroundings hold so many of an item's rare words that it may be leaked
+there; no leak is without them. Both are verified by the longest common subsequence of words and by whether the item's answer,
+its last sentence, is there.
 """
 
 from __future__ import annotations
@@ -20,8 +21,6 @@ from .common import bounded_batches, small_batches, word_hashes
 BUCKETS, RANK, EXTRA = 1 << 15, 64, 16
 #: Passages of BLOCK * SPAN words, one starting every BLOCK words.
 BLOCK, SPAN = 8, 3
-#: The basis is fitted on about so many passages, of documents chosen by a hash; all documents are counted and searched.
-FIT_PASSAGES = 100_000
 COSINE, WHOLE, PART, ANSWER = 0.55, 0.75, 0.5, 0.8
 ITEMS_AT_ONCE = 20_000
 #: Variance of a direction, as a share of the largest, that single precision cannot tell from none.
@@ -30,11 +29,16 @@ _SLICE = 1 << 15
 _PART = 1 << 11
 #: Items whose tables are held at once, and pairs compared at once.
 _GROUP, _PAIRS = 256, 1 << 14
+#: How much likelier a word is in texts of its language than in all; only a guess for speed, no result depends on it.
+TOGETHER = 8
+#: Blocks whose tables are held at once.
+_BLOCKS = 1 << 12
 
 
 @dataclass
 class Basis:
     vectors: np.ndarray  # BUCKETS x RANK, weighted and scaled
+    rate: np.ndarray  # about how many of a text's words are in each bucket
 
 
 def _buckets(words: np.ndarray) -> np.ndarray:
@@ -63,7 +67,7 @@ def fit_basis(docs: DataFrame, seed: int = 7) -> Basis:
     """Right singular vectors of the weighted passage matrix A from one pass: G = A'A O for random O, then Nystrom's formula."""
     df, n, total = document_frequency(docs.select("text"))
     idf = np.log((1 + n) / (1 + df)) + 0.1
-    share = min(1.0, FIT_PASSAGES * BLOCK * SPAN / max(1, total))
+    rate = -np.log1p(-df / (n + 1)) * n / max(1, total)
     rng = np.random.default_rng(seed)
     probe = rng.standard_normal((BUCKETS, RANK + EXTRA)).astype(np.float32)
     given = docs.sparkSession.sparkContext.broadcast((probe * idf[:, None]).astype(np.float32))
@@ -80,7 +84,7 @@ def fit_basis(docs: DataFrame, seed: int = 7) -> Basis:
                 cut = np.concatenate([[0], cut]).astype(np.int64)
                 passage = np.repeat(np.arange(len(cut)), np.diff(np.concatenate([cut, [len(own)]])))
                 y = np.add.reduceat(given.value[own], cut, axis=0)
-                order = np.argsort(own, kind="stable")
+                order = np.argsort(own.astype(np.uint16), kind="stable")
                 used, first = np.unique(own[order], return_index=True)
                 out[used] += np.add.reduceat(y[passage[order]], first, axis=0)
         if out.any():
@@ -95,9 +99,8 @@ def fit_basis(docs: DataFrame, seed: int = 7) -> Basis:
         for part, g in sums.items():
             yield pa.RecordBatch.from_pydict({"part": [part], "g": [g.tobytes()]})
 
-    chosen = docs.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("text")
     g = np.zeros((BUCKETS, RANK + EXTRA))
-    for part, body in chosen.mapInArrow(sketch, "part long, g binary").repartition(BUCKETS // _PART, "part").mapInArrow(total, "part long, g binary").collect():
+    for part, body in docs.select("text").mapInArrow(sketch, "part long, g binary").repartition(BUCKETS // _PART, "part").mapInArrow(total, "part long, g binary").collect():
         g[part : part + _PART] = np.frombuffer(bytes(body)).reshape(-1, RANK + EXTRA)
     g *= idf[:, None]
     q, _ = np.linalg.qr(g)
@@ -107,7 +110,7 @@ def fit_basis(docs: DataFrame, seed: int = 7) -> Basis:
     top = np.argsort(-values)[:RANK]
     real = values[top] > values.max() * ROUNDING + 1e-12  # few passages span few directions, the rest is rounding
     scale = np.where(real, 1 / np.sqrt(np.maximum(values[top], 1e-12)), 0)  # all directions weigh alike, else the language alone decides
-    return Basis(((q @ turn[:, top]) * scale * idf[:, None]).astype(np.float32))
+    return Basis(((q @ turn[:, top]) * scale * idf[:, None]).astype(np.float32), rate)
 
 
 def _block_starts(rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,8 +166,8 @@ def answer_length(text: str) -> int:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, cosine (best), common (words of the longest common subsequence), item_words, answered.
 
-    An item is leaked if WHOLE of its words are found in order near a close passage, or PART of them with its answer. Whole
-    texts are searched, every document against every item, items in blocks of ITEMS_AT_ONCE. Null, empty and blank texts and
+    An item is leaked if WHOLE of its words are found in order near a passage, or PART of them with its answer; every such
+    passage is found. Whole texts are searched, every document against every item, items in blocks of ITEMS_AT_ONCE. Null, empty and blank texts and
     items match nothing; repeated rows give repeated results, null ids a null. Other columns are not read.
     """
     spark = docs.sparkSession
@@ -194,22 +197,81 @@ def _bits(known: list) -> tuple[np.ndarray, np.ndarray]:
     return vocabulary, table
 
 
-def _held(ids: np.ndarray, rows: np.ndarray, member: np.ndarray) -> np.ndarray:
-    """How many words of every passage each item has: passage x item."""
+def _needed(known: list, rate: np.ndarray) -> list[tuple[int, list[int]]]:
+    """For each item a number of words and a set of its words, so that no text without so many words of the set holds a leak.
+
+    A leak has at least `least` of the item's words in order. Of any length - least + k of these, k at least are among them; the
+    rarest are taken, with the k that other texts of that length are least likely to reach.
+    """
+    out = []
+    for _, own, last in known:
+        n, last = len(own), min(last, len(own))
+        least = int(max(1, min(np.ceil(WHOLE * n), max(np.ceil(PART * n), np.ceil(ANSWER * last - 1e-9)))))
+        each = rate[_buckets(np.array(own, np.uint64))]
+        order = np.argsort(each, kind="stable")
+        new = np.zeros(n)
+        new[np.unique(np.array(own, np.uint64)[order], return_index=True)[1]] = 1
+        k = np.arange(1, least + 1)
+        mean = np.maximum(1e-9, np.cumsum(new * each[order])[n - least + k - 1] * TOGETHER * (2 * n + 2 * BLOCK * SPAN))
+        best = int(np.argmin(np.where(k > mean, k - mean - k * np.log(k / mean), 0)))
+        out.append((int(k[best]), [own[i] for i in order[: n - least + int(k[best])]]))
+    return out
+
+
+def _candidates(ids: np.ndarray, rows: np.ndarray, member: np.ndarray, table: np.ndarray, length: np.ndarray, last: np.ndarray, reach: np.ndarray, least: np.ndarray, enough: np.ndarray):
+    """Blocks that start a passage, items, and whether the item may be leaked around it; else half of the words are the item's.
+
+    `member` has 16 for an item's words and 1 more for those of its set. An item may be leaked if so many words of the set are
+    there, and its words there cover so many of its places.
+    """
     starts, counts = _block_starts(rows, BLOCK)
-    row_end = np.repeat(rows[1:], counts)
-    other = len(member) - 1
-    blocks = np.zeros((len(starts), member.shape[1]), np.uint8)
-    for k in range(BLOCK):
-        at = starts + k
-        blocks += member[np.where(at < row_end, ids[np.minimum(at, len(ids) - 1)], other)]
-    end = np.repeat(np.cumsum(counts), counts)
-    place = np.arange(len(starts))
-    total = blocks.copy()
-    for k in range(1, SPAN):
-        ok = np.flatnonzero(place + k < end)
-        total[ok] += blocks[ok + k]
-    return total[(place == np.repeat(np.cumsum(counts) - counts, counts)) | (place + SPAN <= end)]
+    row_end, end = np.repeat(rows[1:], counts), np.repeat(np.cumsum(counts), counts)
+    begin = np.repeat(np.cumsum(counts) - counts, counts)
+    wide = -(-reach // BLOCK)
+    most, kind = int(wide.max()), np.uint16 if wide.max() * BLOCK < 1 << 14 else np.uint32
+    ranges = [(w, *np.searchsorted(wide, [w, w + 1])) for w in np.unique(wide)]  # items lie in order of length
+    for at in range(0, len(starts), _BLOCKS):
+        to = min(len(starts), at + _BLOCKS)
+        low, high = max(0, at - most), min(len(starts), to + SPAN + most)
+        sums = np.zeros((high - low, member.shape[1]), np.uint8)
+        for k in range(BLOCK):
+            word = starts[low:high] + k
+            sums += member[np.where(word < row_end[low:high], ids[np.minimum(word, len(ids) - 1)], len(member) - 1)]
+        place = np.arange(at, to)
+        passage = (place == begin[at:to]) | (place + SPAN <= end[at:to])
+        held = sums[at - low : to - low] >> 4
+        for k in range(1, SPAN):
+            ok = np.flatnonzero(place + k < end[at:to])
+            held[ok] += sums[ok + (at - low + k)] >> 4
+        before = np.zeros((high - low + 1, member.shape[1]), kind)
+        np.cumsum(sums & 15, axis=0, dtype=kind, out=before[1:])
+        may = np.zeros(held.shape, bool)
+        for w, i, j in ranges:
+            a, b = np.maximum(place - w, begin[at:to]) - low, np.minimum(place + SPAN + w, end[at:to]) - low
+            may[:, i:j] = before[b, i:j] - before[a, i:j] >= least[i:j]
+        block, item = np.nonzero(may & passage[:, None])
+        if len(block):
+            covers = np.zeros((high - low, member.shape[1]), np.uint64)
+            for k in range(BLOCK):
+                word = starts[low:high] + k
+                covers |= table[np.where(word < row_end[low:high], ids[np.minimum(word, len(ids) - 1)], len(member) - 1)]
+            a, b = np.maximum(at + block - wide[item], begin[at + block]) - low, np.minimum(at + block + SPAN + wide[item], end[at + block]) - low
+            cover = np.zeros(len(block), np.uint64)
+            for t in range(SPAN + 2 * int(wide[length <= 64].max(initial=0))):
+                cover |= covers[np.minimum(a + t, b - 1), item]
+            n, tail = np.bitwise_count(cover).astype(np.int64), np.bitwise_count(cover >> np.minimum(length - last, 63).astype(np.uint64)[item]).astype(np.int64)
+            ok = (n >= WHOLE * length[item]) | (n >= PART * length[item]) & (tail >= ANSWER * last[item]) | (length[item] > 64)
+            may[block, item] = ok
+        block, item = np.nonzero((may | (held >= enough)) & passage[:, None])
+        yield starts[at + block], item, may[block, item]
+
+
+def _vectors(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, basis: Basis) -> np.ndarray:
+    """Unit vectors of the passages that start there, in rows that end there."""
+    at = starts[:, None] + np.arange(BLOCK * SPAN)
+    found = basis.vectors[_buckets(words[np.minimum(at, len(words) - 1)])]
+    total = (found * (at < ends[:, None])[:, :, None]).sum(axis=1)
+    return total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-12)
 
 
 def _common(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray, table: np.ndarray, skip: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -231,7 +293,10 @@ def _search(docs: DataFrame, items: list, basis: Basis) -> DataFrame:
     words, rows = word_hashes(pa.array(texts, pa.string()), lower=True)
     starts, vectors = passages(words, rows, basis)
     owner = np.searchsorted(rows, starts, "right") - 1
-    known = [(items[i].item, words[rows[i] : rows[i + 1]].tolist(), answer_length(t)) for i, t in enumerate(texts)]
+    order = [i for i in np.argsort(np.diff(rows), kind="stable").tolist() if rows[i + 1] > rows[i]]
+    known = [(items[i].item, words[rows[i] : rows[i + 1]].tolist(), answer_length(texts[i])) for i in order]
+    vectors = np.concatenate([vectors[:0], *(vectors[slice(*np.searchsorted(owner, [i, i + 1]))] for i in order)])
+    owner = np.repeat(np.arange(len(order)), np.bincount(owner, minlength=len(texts))[order])
     given = docs.sparkSession.sparkContext.broadcast((basis, vectors, owner, known))
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("common", pa.int64()), ("item_words", pa.int64()), ("answered", pa.bool_())])
 
@@ -241,13 +306,10 @@ def _search(docs: DataFrame, items: list, basis: Basis) -> DataFrame:
             words, rows = word_hashes(b.column(1), lower=True)
             if not len(words) or not len(queries):
                 continue
-            starts, vectors = passages(words, rows, basis)
-            row = np.searchsorted(rows, starts, "right") - 1
             made = []
             for first in range(0, len(known), _GROUP):
                 own = slice(*np.searchsorted(owner, [first, first + _GROUP]))
-                if own.start < own.stop:
-                    made += _leaks(words, rows, starts, row, vectors, queries[own], owner[own] - first, known[first : first + _GROUP])
+                made += _leaks(words, rows, basis, queries[own], owner[own] - first, known[first : first + _GROUP])
             if made:
                 made = [(b.column(0)[i].as_py(), *leak) for i, *leak in sorted(made, key=lambda x: x[0])]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*made, strict=True), schema, strict=True)], schema=schema)
@@ -255,30 +317,34 @@ def _search(docs: DataFrame, items: list, basis: Basis) -> DataFrame:
     return docs.mapInArrow(search, "doc_id long, item_id long, cosine double, common long, item_words long, answered boolean")
 
 
-def _leaks(words: np.ndarray, rows: np.ndarray, starts: np.ndarray, row: np.ndarray, vectors: np.ndarray, queries: np.ndarray, owner: np.ndarray, known: list) -> list[tuple]:
+def _leaks(words: np.ndarray, rows: np.ndarray, basis: Basis, queries: np.ndarray, owner: np.ndarray, known: list) -> list[tuple]:
     """Row, item, cosine, common words, item's words and whether it is answered, of the best passage of each row and leaked item."""
     vocabulary, table = _bits(known)
     ids = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
     ids = np.where(vocabulary[ids] == words, ids, len(vocabulary))
     distinct = np.count_nonzero(table, axis=0)
-    enough = PART * np.minimum(BLOCK * SPAN, distinct)
-    held = _held(ids, rows, (table != 0).astype(np.uint8))
-    pairs = []
-    for at in range(0, len(starts), 4096):
-        cos = vectors[at : at + 4096] @ queries.T
-        near, piece = np.nonzero((cos >= COSINE) & (held[at : at + 4096] >= enough)[:, owner])
-        pairs.append((at + near, owner[piece], cos[near, piece]))
-    passage, item, cos = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    order = np.lexsort((-cos, item, passage))
-    passage, item, cos = passage[order], item[order], cos[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (passage[1:] != passage[:-1]) | (item[1:] != item[:-1])  # of an item's pieces the closest one
-    passage, item, cos = passage[new], item[new], cos[new]
-
     length = np.array([len(own) for _, own, _ in known])
     last = np.array([min(x, len(own)) for _, own, x in known])
-    reach = length[item] + BLOCK * SPAN // 2
-    lo, hi = np.maximum(rows[row[passage]], starts[passage] - reach), np.minimum(rows[row[passage] + 1], starts[passage] + BLOCK * SPAN + reach)
+    around = length + BLOCK * SPAN // 2
+    member = (table != 0).astype(np.uint8) * np.uint8(16)
+    needed = _needed(known, basis.rate)
+    for i, (_, own) in enumerate(needed):
+        member[np.searchsorted(vocabulary, np.unique(np.array(own, np.uint64))), i] += 1
+    pieces = np.searchsorted(owner, np.arange(len(known)))
+    pairs = []
+    for at, item, may in _candidates(ids, rows, member, table, length, last, around, np.array([n for n, _ in needed]), PART * np.minimum(BLOCK * SPAN, distinct)):
+        for i in range(0, len(at), 4096):
+            start, which = np.unique(at[i : i + 4096], return_inverse=True)
+            vectors = _vectors(words, start, rows[np.searchsorted(rows, start, "right")], basis)
+            cos = np.maximum.reduceat(vectors @ queries.T, pieces, axis=1)[which, item[i : i + 4096]]  # of an item's pieces the closest one
+            ok = may[i : i + 4096] | (cos >= COSINE)
+            pairs.append((at[i : i + 4096][ok], item[i : i + 4096][ok], cos[ok]))
+    if not pairs:
+        return []
+    start, item, cos = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    row = np.searchsorted(rows, start, "right") - 1
+    reach = around[item]
+    lo, hi = np.maximum(rows[row], start - reach), np.minimum(rows[row + 1], start + BLOCK * SPAN + reach)
     common, tail = np.zeros(len(item), np.int64), np.zeros(len(item), np.int64)
     short = np.flatnonzero(length[item] <= 64)
     for at in range(0, len(short), _PAIRS):
@@ -291,8 +357,8 @@ def _leaks(words: np.ndarray, rows: np.ndarray, starts: np.ndarray, row: np.ndar
         common[i], tail[i] = lcs(own, region), lcs(own[len(own) - last[item[i]] :], region)
     answered = tail >= ANSWER * last[item]
     good = np.flatnonzero((common >= WHOLE * length[item]) | (common >= PART * length[item]) & answered)
-    good = good[np.lexsort((-starts[passage[good]], -cos[good], item[good], row[passage[good]]))]
+    good = good[np.lexsort((-start[good], -cos[good], item[good], row[good]))]
     best: dict[tuple[int, int], tuple] = {}
     for i in good.tolist():
-        best.setdefault((int(row[passage[i]]), int(item[i])), (known[item[i]][0], float(cos[i]), int(common[i]), int(length[item[i]]), bool(answered[i])))
+        best.setdefault((int(row[i]), int(item[i])), (known[item[i]][0], float(cos[i]), int(common[i]), int(length[item[i]]), bool(answered[i])))
     return [(r, *leak) for (r, _), leak in best.items()]

@@ -239,6 +239,38 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.lcs([1, 2, 3, 2], [9, 2, 3, 9, 2]) == 3
 
 
+def test_decontaminate_misses_no_leak(spark):
+    """Items in texts of other words, some words replaced, against subsequences around every passage."""
+    rng = np.random.default_rng(12)
+    items = []
+    for n in (6, 12, 16, 20, 24, 30, 40, 70):
+        own = say(rng, n, 900).split()
+        items.append(" ".join(own[: n * 3 // 4]) + ". " + " ".join(own[n * 3 // 4 :]))
+    texts = [say(rng, 150, 900) for _ in range(20)]
+    for item in items:
+        for share in (0, 0.2, 0.3, 0.4, 0.5):
+            own = item.split()
+            body = len(own) * 3 // 4
+            own[:body] = [w if rng.random() >= share else f"x{rng.integers(900)}" for w in own[:body]]
+            host = say(rng, 60 + int(rng.integers(200)), 900).split()
+            at = int(rng.integers(len(host)))
+            texts.append(" ".join(host[:at] + own + host[at:]))
+    size, expected = decontaminate.BLOCK * decontaminate.SPAN, set()
+    for i, text in enumerate(texts):
+        words = text.split()
+        for j, item in enumerate(items):
+            own, last = item.split(), decontaminate.answer_length(item)
+            reach = len(own) + size // 2
+            for at in range(0, max(1, len(words) - size + 8), decontaminate.BLOCK):
+                region = words[max(0, at - reach) : at + size + reach]
+                common, tail = decontaminate.lcs(own, region), decontaminate.lcs(own[-last:], region)
+                if common >= 0.75 * len(own) or common >= 0.5 * len(own) and tail >= 0.8 * last:
+                    expected.add((i, j))
+    table = spark.createDataFrame([(i, t, None, None, 1, 1, "") for i, t in enumerate(texts)], SCHEMA)
+    got = decontaminate.find_leaks(table, spark.createDataFrame([*enumerate(items)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == expected and len(expected) >= 20
+
+
 def test_html_extract(spark):
     page = '<html><head><title>T</title></head><body><nav><ul><li><a href="/">menu</a></li></ul></nav><div class="ad">buy</div><article><h1>Head &amp; line</h1><p>First   para.<p><b>Second<br>line.</article><footer>&copy; x</footer><script>var a="<p>no</p>";</script>'
     made = [(i, "u", page.replace("First", f"First {i}")) for i in range(12)]
