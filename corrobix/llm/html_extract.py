@@ -23,6 +23,8 @@ from .common import bounded_batches
 OWN_PAGES, OWN_CHARS, MADE_PAGES = 200, 60_000, 400
 BUCKETS, EMBED, HIDDEN, EPOCHS = 1024, 16, 20, 14
 _NUMBERS = 5
+#: Tokens pooled apart as the innermost elements; the whole path is pooled beside them.
+_INNER = 12
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -77,7 +79,7 @@ def parse_blocks(page: str) -> list[Block]:
     def add(text: str) -> None:
         nonlocal linked, total, path
         if path is None and not text.isspace():
-            path = tuple(t for _, tokens in stack[-8:] for t in tokens)
+            path = tuple(t for _, tokens in stack for t in tokens)
         parts.append(text)
         total += len(text)
         if any(t == "a" for t, _ in stack):
@@ -133,27 +135,28 @@ def _bucket(token: str) -> int:
 _known: dict[str, int] = {}
 
 
-def features(blocks: list[Block]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-    """Hashed path tokens, hashed words and numbers of each block."""
+def features(blocks: list[Block]) -> tuple[list[list[int]], list[list[int]], np.ndarray, list[list[int]]]:
+    """Hashed tokens of the innermost elements, hashed words and numbers of each block, and hashed tokens of its whole path."""
     if len(_known) > 200_000:
         _known.clear()
-    paths, words = [], []
+    paths, words, whole = [], [], []
     for b in blocks:
-        tail = b.path[-12:]
-        paths.append([_known[t] if t in _known else _known.setdefault(t, _bucket(t)) for t in tail] or [0])
+        every = [_known[t] if t in _known else _known.setdefault(t, _bucket(t)) for t in b.path] or [0]
+        paths.append(every[-_INNER:])
+        whole.append(list(set(every)))
         own = {w.lower() for w in b.text.split()}
         words.append([_known[w] if w in _known else _known.setdefault(w, _bucket(w)) for w in own])
     n = max(1, len(blocks))
     numbers = np.array([(min(1.0, np.log1p(len(b.text)) / 8), b.linked, i / n, 1.0 if b.text[-1] in ".!?" else 0.0, min(1.0, len(b.text.split()) / 50)) for i, b in enumerate(blocks)]).reshape(-1, _NUMBERS)
-    return paths, words, numbers
+    return paths, words, numbers, whole
 
 
-def _scatter(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Flat tokens, their rows and 1 / tokens of the row."""
+def _scatter(lists: list[list[int]], power: float = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Flat tokens, their rows and 1 / tokens of the row, to a power: under 1, a token counts for more among many."""
     n = np.array([len(x) for x in lists])
     flat = np.fromiter((t for x in lists for t in x), np.int64, int(n.sum()))
     row = np.repeat(np.arange(len(lists)), n)
-    return flat, row, 1 / np.maximum(n, 1)[row]
+    return flat, row, (1 / np.maximum(n, 1) ** power)[row]
 
 
 def _mean(table: np.ndarray, tokens: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> np.ndarray:
@@ -174,12 +177,12 @@ class Labeller:
 
     def __init__(self, seed: int = 3):
         rng = np.random.default_rng(seed)
-        width = 2 * EMBED + _NUMBERS
+        width = 3 * EMBED + _NUMBERS
 
         def init(*shape):
             return (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
 
-        self.p = {"path": init(BUCKETS, EMBED) * np.float32(np.sqrt(BUCKETS) / 3), "word": init(BUCKETS, EMBED) * np.float32(np.sqrt(BUCKETS) / 3), "out": init(2 * HIDDEN + width, 1), "bias": np.zeros(1, np.float32)}
+        self.p = {"path": np.zeros((BUCKETS, EMBED), np.float32), "word": init(BUCKETS, EMBED) * np.float32(np.sqrt(BUCKETS) / 3), "whole": np.zeros((BUCKETS, EMBED), np.float32), "out": init(2 * HIDDEN + width, 1), "bias": np.zeros(1, np.float32)}
         for d in "fb":
             self.p |= {f"w{d}": init(width + HIDDEN, 4 * HIDDEN), f"c{d}": np.zeros(4 * HIDDEN, np.float32)}
             self.p[f"c{d}"][HIDDEN : 2 * HIDDEN] = 1
@@ -187,9 +190,9 @@ class Labeller:
     def _inputs(self, pages):
         paths = [x for f in pages for x in f[0]]
         words = [x for f in pages for x in f[1]]
-        tokens = _scatter(paths), _scatter(words)
+        tokens = _scatter(paths), _scatter(words), _scatter([x for f in pages for x in f[3]], 0.5)
         n = len(paths)
-        flat = np.hstack([_mean(self.p["path"], tokens[0], n), _mean(self.p["word"], tokens[1], n), np.concatenate([f[2] for f in pages])]).astype(np.float32)
+        flat = np.hstack([_mean(self.p["path"], tokens[0], n), _mean(self.p["word"], tokens[1], n), _mean(self.p["whole"], tokens[2], n), np.concatenate([f[2] for f in pages])]).astype(np.float32)
         lengths = np.array([len(f[0]) for f in pages])
         return flat, lengths, tokens
 
@@ -276,7 +279,7 @@ class Labeller:
             g[f"w{d}"] = np.vstack([x.reshape(-1, n).T @ flat_gates, lasts.T @ flat_gates])
             g[f"c{d}"] = flat_gates.sum(axis=0)
             d_flat += (gates @ w[:n].T)[step, row]
-        for name, (tok, r, share), cols in (("path", tokens[0], slice(0, EMBED)), ("word", tokens[1], slice(EMBED, 2 * EMBED))):
+        for name, (tok, r, share), cols in (("path", tokens[0], slice(0, EMBED)), ("word", tokens[1], slice(EMBED, 2 * EMBED)), ("whole", tokens[2], slice(2 * EMBED, 3 * EMBED))):
             g[name] = np.zeros_like(self.p[name])
             np.add.at(g[name], tok, d_flat[r, cols] * share[:, None].astype(np.float32))
         return g
@@ -324,6 +327,11 @@ def _made_page(rng: np.random.Generator) -> str:
     def named(kind: str) -> str:
         return f' {pick("class class class id")}="{pick(kind)}{pick("  -box -wrap _area").strip()}"' if rng.random() < 0.9 else ""
 
+    def deep(inner: str) -> str:
+        """The same in up to 12 elements that say nothing, on some pages."""
+        n = int(rng.integers(3, 13)) if nested and rng.random() < 0.6 else 0
+        return "".join(f'<div class="{say(1).strip(".").lower()} {pick("row col grid inner block layout box wrap area")} {pick("inner grid w col box")}{pick("- _")}{rng.integers(12)}">' for _ in range(n)) + inner + "</div>" * n
+
     def other(kind: str) -> str:
         name = named(_OTHER[kind])
         if kind == "nav":
@@ -333,16 +341,17 @@ def _made_page(rng: np.random.Generator) -> str:
             return f"<form{name}><label>{say(2)}</label><input><button>{say(1)}</button><p>{say(8)}</p></form>"
         if kind == "comments":
             inner = "".join(f'<div{named("comment reply")}><p>{say(rng.integers(4, 40))}</p></div>' for _ in range(rng.integers(1, 6)))
-            return f'<{pick("section div")} {pick("class id")}="{pick(_OTHER["comments"])}"><h3>{say(2)}</h3>{inner}</section>'
+            return f'<{pick("section div")} {pick("class id")}="{pick(_OTHER["comments"])}"><h3>{say(2)}</h3>{deep(inner)}</section>'
         tag = {"header": "header", "aside": "aside", "footer": "footer"}.get(kind, "div")
         tag, name = (tag, "") if tag != "div" and rng.random() < 0.6 else ("div", f' class="{pick(_OTHER[kind])}"')
         inner = f'<a href="/">{say(2)}</a>' * int(rng.integers(0, 3)) + pick("p div span").join(["<", ">"]) + say(int(rng.integers(2, 30)))
-        return f"<{tag}{name}>{inner if rng.random() < 0.6 else say(int(rng.integers(2, 20)))}</{tag}>"
+        return f"<{tag}{name}>{deep(inner if rng.random() < 0.6 else say(int(rng.integers(2, 20))))}</{tag}>"
 
     def main() -> str:
         tag = pick("article article article main div div section")
         name = f' class="{pick(_MAIN)}"' if tag in ("div", "section") or rng.random() < 0.3 else ""
-        out = [f"<{tag}{name}>", f"<h1>{_MARK}{say(rng.integers(2, 12))}</h1>"]
+        head = f"<{tag}{name}>"
+        out = [f"<h1>{_MARK}{say(rng.integers(2, 12))}</h1>"]
         for _ in range(int(rng.integers(1, 18))):
             r = rng.random()
             n = int(rng.integers(1, 120))
@@ -362,8 +371,10 @@ def _made_page(rng: np.random.Generator) -> str:
                 out.append("<table><tr>" + "".join(f"<td>{_MARK}{say(2)}</td>" for _ in range(3)) + "</tr></table>")
             else:
                 out.append(other(pick("ad ad share notice")))
-        return "".join(out) + f"</{tag}>"
+        cuts = sorted({0, *rng.integers(0, len(out), int(rng.integers(0, 3))).tolist(), len(out)}) if nested else [0, len(out)]
+        return head + "".join(deep("".join(out[i:j])) for i, j in zip(cuts, cuts[1:], strict=False)) + f"</{tag}>"
 
+    nested = rng.random() < 0.5
     before = [other(k) for k in ("nav", "header", "ad", "notice", "aside", "form") if rng.random() < 0.5]
     after = [other(k) for k in ("comments", "aside", "ad", "form", "share", "footer") if rng.random() < 0.5]
     rng.shuffle(before)
@@ -383,7 +394,7 @@ def semantic_labels(blocks: list[Block]) -> np.ndarray | None:
         return None
     out = []
     for b in blocks:
-        at = max((i for i, t in enumerate(b.path) if t == "article"), default=-1)
+        at = next((i for i, t in enumerate(b.path) if t == "article"), -1)
         inside = b.path[at + 1 :]
         named = any(t in ("nav", "footer", "aside", "form", "button") or (":" in t and t.split(":", 1)[1] in _OUTSIDE) for t in inside)
         out.append(at >= 0 and not named)

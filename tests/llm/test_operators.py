@@ -309,6 +309,22 @@ def test_html_extract(spark):
     assert html_extract.extract_text(table.limit(0), model).collect() == []
 
 
+def test_html_extract_of_deep_pages(spark):
+    """Elements that decide stand far outside of the block."""
+    wraps = "".join(f'<div class="w{i} row grid-{i} inner_box">' for i in range(12))
+    ends = "</div>" * 12
+    page = f'<body><div class="page">{{}}</div><article>{wraps}<p>Text of the article, first.</p><ul><li>A line of its list.</li></ul>{ends}</article><aside>{wraps}<p>Something else to read, maybe.</p>{ends}</aside><section class="comments">{wraps}<p>What a reader says about it.</p>{ends}</section></body>'
+    blocks = html_extract.parse_blocks(page.format(""))
+    assert [b.path.count("div") for b in blocks] == [12] * 4 and ["article" in b.path for b in blocks] == [True, True, False, False]
+    assert "aside" in blocks[2].path and "class:comments" in blocks[3].path
+    assert html_extract.semantic_labels(blocks).tolist() == [1, 1, 0, 0]
+    nested = html_extract.parse_blocks("<article><p>Own text.</p><section class=comments><article><p>A comment.</p></article></section></article>")
+    assert html_extract.semantic_labels(nested).tolist() == [1, 0]
+    table = spark.createDataFrame([(1, "u", page.format(""))], "page_id long, url string, html string")
+    got = html_extract.extract_text(table, html_extract.train_labeller(table.limit(0))).collect()[0].text
+    assert got == "Text of the article, first.\n\nA line of its list."
+
+
 def test_gradients_are_right():
     blocks = html_extract.parse_blocks("<nav><a>x y</a></nav><article><p>some words</p><p>more</p></article>")
     model, data, y = html_extract.Labeller(), [html_extract.features(blocks)] * 2, np.array([0, 1, 1, 0, 1, 1], np.float32)
