@@ -657,5 +657,5 @@ def daily_counts(spark, d):
 
 @query(None)
 def pagerank_confidence(spark, d):
-    """Graph confidence of facts over the co-occurrence of facts that four sites or more share."""
-    return overlap.pagerank(overlap.cooccurrence(_cube(spark, d)).where("weight >= 4"), rounds=30)
+    """Graph confidence of all facts over the co-occurrence of facts that share a site or more."""
+    return overlap.fact_pagerank(_cube(spark, d))

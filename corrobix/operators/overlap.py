@@ -74,8 +74,39 @@ def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, toleran
     return ranks.crossJoin(F.broadcast(top)).select("node", (F.col("rank") / F.col("top")).alias("confidence"))
 
 
-def node_of(c: str):
-    return F.concat_ws("|", "device_type", F.col(c))
+def fact_pagerank(cube: DataFrame, rounds: int = 100, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+    """node, confidence: PageRank of all facts, joined if they share sites and weighted by how many, divided by the largest.
+
+    The sum over a fact's neighbours is taken from fact to site to fact, less the fact's own part, so no pair is made. A fact
+    without a neighbour hands its rank to all facts alike.
+    """
+    seen = cube.select("site_id", "device_type", node_of(F.concat_ws("|", "endpoint", "protocol", F.col("port").cast("string"))).alias("node")).distinct()
+    sizes = seen.groupBy("device_type", "site_id").agg(F.count("*").alias("size"))
+    links = cut(seen.join(sizes, ["device_type", "site_id"]))
+    # A fact's edges weigh, in all, one for each other fact at each of its sites.
+    nodes = cut(links.groupBy("node").agg(F.count("*").alias("sites"), (F.sum("size") - F.count("*")).alias("total")))
+    n = nodes.count()
+    if not n:
+        return nodes.select("node", F.lit(0.0).alias("confidence"))
+    links = cut(links.join(nodes, "node").select("device_type", "site_id", "node", "total"))
+    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
+    for _ in range(rounds):
+        share = F.when(F.col("total") > 0, F.col("rank") / F.col("total")).otherwise(0.0)
+        loose = ranks.where("total = 0").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+        at_site = links.join(ranks.select("node", share.alias("share")), "node").groupBy("device_type", "site_id").agg(F.sum("share").alias("sum"))
+        got = links.where("total > 0").join(at_site, ["device_type", "site_id"]).groupBy("node").agg(F.sum("sum").alias("got"))
+        own = F.coalesce(F.col("got"), F.lit(0.0)) - F.col("sites") * share
+        new = cut(ranks.join(got, "node", "left").select("node", "sites", "total", ((1 - damping + damping * loose) / n + damping * own).alias("rank"), F.col("rank").alias("old")))
+        moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+        ranks = new.drop("old")
+        if moved < n * tolerance:
+            break
+    top = ranks.agg(F.max("rank").alias("top"))
+    return ranks.crossJoin(F.broadcast(top)).select("node", (F.col("rank") / F.col("top")).alias("confidence"))
+
+
+def node_of(c):
+    return F.concat_ws("|", "device_type", F.col(c) if isinstance(c, str) else c)
 
 
 def nearest_site(jaccard: DataFrame) -> DataFrame:

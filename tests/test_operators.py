@@ -69,6 +69,21 @@ def test_pagerank_of_a_star(spark):
     assert got["d|hub"] == 1.0 and 0 < got["d|a"] < 1 and abs(got["d|a"] - got["d|c"]) < 1e-9
 
 
+def test_pagerank_of_all_facts(spark):
+    """Weak edges count, a fact without any keeps its row; against power rounds over the whole matrix."""
+    sites = {"a": "123", "b": "12", "c": "3", "d": "4", "e": "1"}
+    cube = spark.createDataFrame([(s, "cam", f, "tcp", 1) for f, own in sites.items() for s in own], "site_id string, device_type string, endpoint string, protocol string, port int")
+    names = sorted(sites)
+    weight = {(x, y): len(set(sites[x]) & set(sites[y])) if x != y else 0 for x in names for y in names}
+    rank = dict.fromkeys(names, 1 / len(names))
+    for _ in range(6):
+        total = {x: sum(weight[x, y] for y in names) for x in names}
+        loose = sum(rank[x] for x in names if not total[x])
+        rank = {y: (0.15 + 0.85 * loose) / len(names) + 0.85 * sum(rank[x] * weight[x, y] / total[x] for x in names if total[x]) for y in names}
+    got = {r.node: r.confidence for r in overlap.fact_pagerank(cube, rounds=6, tolerance=0).collect()}
+    assert got == pytest.approx({f"cam|{f}|tcp|1": rank[f] / max(rank.values()) for f in names}, abs=1e-6)
+
+
 def test_csv_reader(spark, tmp_path):
     (tmp_path / "o.csv").write_text("site_id,device_type,fqdn,protocol,port,timestamp,source_dataset,evidence_type,response_observed\na,cam, x.example ,HTTPS,443,2026-01-01T00:00:00Z,unit,flow,Yes\na,cam,,udp,53,2026-01-01T00:00:00Z,unit,flow,\n")
     rows = observations.read_observations_csv(spark, str(tmp_path / "o.csv")).collect()
