@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,22 +23,21 @@ BUCKETS, RANK, EXTRA = 1 << 15, 64, 16
 #: Passages of BLOCK * SPAN words, one starting every BLOCK words.
 BLOCK, SPAN = 8, 3
 COSINE, WHOLE, PART, ANSWER = 0.55, 0.75, 0.5, 0.8
-ITEMS_AT_ONCE = 20_000
+ITEMS_AT_ONCE = 4096
 #: Variance of a direction, as a share of the largest, that single precision cannot tell from none.
 ROUNDING = 1e-5
-_SLICE = 1 << 15
-_PART = 1 << 11
-#: Items whose tables are held at once, and pairs compared at once.
-_GROUP, _PAIRS = 256, 1 << 14
-#: How much likelier a word is in texts of its language than in all; only a guess for speed, no result depends on it.
-TOGETHER = 8
-#: Blocks whose tables are held at once.
-_BLOCKS = 1 << 12
+#: Passages whose vectors are held at once, rows of a partial sum, and the ways that partial sums of one part are first dealt.
+_PASSAGES, _PART, _WAYS = 1 << 11, 1 << 9, 32
+#: Items whose tables are one array, pairs compared at once, and windows whose passages are listed at once.
+_GROUP, _PAIRS, _WINDOWS = 256, 1 << 14, 1 << 12
+#: How much likelier a word is in texts of its language than in all, and what a window costs against a word found; only guesses
+#: for speed, no result depends on them.
+TOGETHER, WINDOW_COST = 8, 60
 
 
 @dataclass
 class Basis:
-    vectors: np.ndarray  # BUCKETS x RANK, weighted and scaled
+    vectors: np.ndarray  # BUCKETS + 1 x RANK, weighted and scaled; the last row is for no word
     rate: np.ndarray  # about how many of a text's words are in each bucket
 
 
@@ -52,8 +52,13 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int, int]:
         df, n, total = np.zeros(BUCKETS, np.int64), 0, 0
         for b in (x for whole in batches for x in small_batches(whole, 0)):
             words, rows = word_hashes(b.column(0), lower=True)
-            row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
-            df += np.bincount(np.unique(row * BUCKETS + _buckets(words)) % BUCKETS, minlength=BUCKETS)
+            row = np.repeat(np.arange(len(rows) - 1, dtype=np.int32), np.diff(rows))
+            own = _buckets(words).astype(np.uint16)
+            by = np.argsort(own, kind="stable")
+            own, row = own[by], row[by]
+            first = np.ones(len(own), bool)
+            first[1:] = (own[1:] != own[:-1]) | (row[1:] != row[:-1])
+            df += np.bincount(own[first], minlength=BUCKETS)
             n, total = n + b.num_rows, total + len(words)
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, [BUCKETS, BUCKETS + 1]])), pa.array(np.concatenate([df[at], [n, total]]))], names=["bucket", "n"])
@@ -64,43 +69,53 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int, int]:
 
 
 def fit_basis(docs: DataFrame, seed: int = 7) -> Basis:
-    """Right singular vectors of the weighted passage matrix A from one pass: G = A'A O for random O, then Nystrom's formula."""
+    """Right singular vectors of the weighted passage matrix A from one pass: G = A'A O for random O, then Nystrom's formula.
+
+    A task adds up one array of fixed size for all of its passages; the tasks' arrays are added in two levels, in parts.
+    """
     df, n, total = document_frequency(docs.select("text"))
     idf = np.log((1 + n) / (1 + df)) + 0.1
     rate = -np.log1p(-df / (n + 1)) * n / max(1, total)
     rng = np.random.default_rng(seed)
     probe = rng.standard_normal((BUCKETS, RANK + EXTRA)).astype(np.float32)
-    given = docs.sparkSession.sparkContext.broadcast((probe * idf[:, None]).astype(np.float32))
+    given = docs.sparkSession.sparkContext.broadcast(_padded(probe * idf[:, None]))
 
     def sketch(batches):
         out = np.zeros((BUCKETS, RANK + EXTRA), np.float32)
         for b in (x for whole in batches for x in small_batches(whole, 0)):
             words, rows = word_hashes(b.column(0), lower=True)
-            every = _buckets(words)
-            starts = _block_starts(rows, BLOCK * SPAN)[0]
-            for at in range(0, len(every), _SLICE):
-                own = every[at : at + _SLICE]
-                cut = starts[(starts > at) & (starts < at + len(own))] - at
-                cut = np.concatenate([[0], cut]).astype(np.int64)
-                passage = np.repeat(np.arange(len(cut)), np.diff(np.concatenate([cut, [len(own)]])))
-                y = np.add.reduceat(given.value[own], cut, axis=0)
-                order = np.argsort(own.astype(np.uint16), kind="stable")
-                used, first = np.unique(own[order], return_index=True)
-                out[used] += np.add.reduceat(y[passage[order]], first, axis=0)
+            if not len(words):
+                continue
+            starts, counts = _block_starts(rows, BLOCK * SPAN)
+            y = _sums(_buckets(words), starts, np.repeat(rows[1:], counts), BLOCK * SPAN, given.value)
+            own = _buckets(words).astype(np.uint16)
+            passage = np.repeat(np.arange(len(starts)), np.diff(np.concatenate([starts, rows[-1:]])))
+            by = np.argsort(own, kind="stable")
+            own, passage = own[by], passage[by]
+            for at in range(0, len(own), 1 << 16):
+                used, first = np.unique(own[at : at + (1 << 16)], return_index=True)
+                out[used] += np.add.reduceat(y.take(passage[at : at + (1 << 16)], axis=0), first, axis=0)
         if out.any():
+            way = TaskContext.get().partitionId() % _WAYS
             for part in range(0, BUCKETS, _PART):
-                yield pa.RecordBatch.from_pydict({"part": [part], "g": [out[part : part + _PART].tobytes()]})
-
-    def total(batches):
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for part, g in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                sums[part] = sums.get(part, 0) + np.frombuffer(g, np.float32).astype(np.float64)
-        for part, g in sums.items():
-            yield pa.RecordBatch.from_pydict({"part": [part], "g": [g.tobytes()]})
-
+                yield pa.RecordBatch.from_pydict({"part": [part], "way": [way], "g": [out[part : part + _PART].tobytes()]})
+
+    def total(kind):
+        def add(batches):
+            sums: dict[int, list] = {}
+            for b in batches:
+                for part, way, g in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    own = sums.setdefault(part, [way, 0])
+                    own[1] = own[1] + np.frombuffer(g, kind).astype(np.float64)
+            for part, (way, g) in sums.items():
+                yield pa.RecordBatch.from_pydict({"part": [part], "way": [way], "g": [g.tobytes()]})
+
+        return add
+
+    row = "part long, way long, g binary"
+    parts = docs.select("text").mapInArrow(sketch, row).repartition("part", "way").mapInArrow(total(np.float32), row).repartition("part").mapInArrow(total(np.float64), row)
     g = np.zeros((BUCKETS, RANK + EXTRA))
-    for part, body in docs.select("text").mapInArrow(sketch, "part long, g binary").repartition(BUCKETS // _PART, "part").mapInArrow(total, "part long, g binary").collect():
+    for part, _, body in parts.collect():
         g[part : part + _PART] = np.frombuffer(bytes(body)).reshape(-1, RANK + EXTRA)
     g *= idf[:, None]
     q, _ = np.linalg.qr(g)
@@ -110,7 +125,12 @@ def fit_basis(docs: DataFrame, seed: int = 7) -> Basis:
     top = np.argsort(-values)[:RANK]
     real = values[top] > values.max() * ROUNDING + 1e-12  # few passages span few directions, the rest is rounding
     scale = np.where(real, 1 / np.sqrt(np.maximum(values[top], 1e-12)), 0)  # all directions weigh alike, else the language alone decides
-    return Basis(((q @ turn[:, top]) * scale * idf[:, None]).astype(np.float32), rate)
+    return Basis(_padded((q @ turn[:, top]) * scale * idf[:, None]), rate)
+
+
+def _padded(x: np.ndarray) -> np.ndarray:
+    """Single precision, and a last row of zeros for places where no word is."""
+    return np.concatenate([x, np.zeros((1, x.shape[1]))]).astype(np.float32)
 
 
 def _block_starts(rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,26 +140,26 @@ def _block_starts(rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(rows[:-1] - first * size, counts) + np.arange(int(counts.sum())) * size, counts
 
 
+def _sums(buckets: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int, vectors: np.ndarray) -> np.ndarray:
+    """Sums of the vectors of `size` words from each start, up to its end."""
+    out = np.zeros((len(starts), vectors.shape[1]), np.float32)
+    for at in range(0, len(starts), _PASSAGES):
+        s, e = starts[at : at + _PASSAGES], ends[at : at + _PASSAGES]
+        for k in range(size):
+            out[at : at + _PASSAGES] += vectors.take(np.where(s + k < e, buckets[np.minimum(s + k, len(buckets) - 1)], BUCKETS), axis=0)
+    return out
+
+
 def passages(words: np.ndarray, rows: np.ndarray, basis: Basis) -> tuple[np.ndarray, np.ndarray]:
     """First word and unit vector of every passage; a row shorter than a passage is one."""
     starts, counts = _block_starts(rows, BLOCK)
-    every = _buckets(words)
-    sums = np.zeros((len(starts), RANK), np.float32)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(starts, starts[i] + _SLICE)))
-        to = starts[j] if j < len(starts) else len(every)
-        sums[i:j] = np.add.reduceat(basis.vectors[every[starts[i] : to]], starts[i:j] - starts[i], axis=0)
-        i = j
+    sums = _sums(_buckets(words), starts, np.repeat(rows[1:], counts), BLOCK, basis.vectors)
     end = np.repeat(np.cumsum(counts), counts)
     place = np.arange(len(starts))
-    first = place == np.repeat(np.cumsum(counts) - counts, counts)
-    total = sums.copy()
+    keep = (place == np.repeat(np.cumsum(counts) - counts, counts)) | (place + SPAN <= end)
+    total = sums[keep]
     for k in range(1, SPAN):
-        ok = place + k < end
-        total[ok] += sums[place[ok] + k]
-    keep = first | (place + SPAN <= end)
-    total = total[keep]
+        total += np.where((place + k < end)[keep, None], sums[np.minimum(place[keep] + k, len(sums) - 1)], 0)
     return starts[keep], total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-12)
 
 
@@ -212,66 +232,86 @@ def _needed(known: list, rate: np.ndarray) -> list[tuple[int, list[int]]]:
         new = np.zeros(n)
         new[np.unique(np.array(own, np.uint64)[order], return_index=True)[1]] = 1
         k = np.arange(1, least + 1)
-        mean = np.maximum(1e-9, np.cumsum(new * each[order])[n - least + k - 1] * TOGETHER * (2 * n + 2 * BLOCK * SPAN))
-        best = int(np.argmin(np.where(k > mean, k - mean - k * np.log(k / mean), 0)))
+        found = np.maximum(1e-12, np.cumsum(new * each[order])[n - least + k - 1])
+        mean = found * TOGETHER * (2 * n + 2 * BLOCK * SPAN)
+        best = int(np.argmin(found * (1 + WINDOW_COST * np.exp(np.where(k > mean, k - mean - k * np.log(k / mean), 0)))))
         out.append((int(k[best]), [own[i] for i in order[: n - least + int(k[best])]]))
     return out
 
 
-def _candidates(ids: np.ndarray, rows: np.ndarray, member: np.ndarray, table: np.ndarray, length: np.ndarray, last: np.ndarray, reach: np.ndarray, least: np.ndarray, enough: np.ndarray):
-    """Blocks that start a passage, items, and whether the item may be leaked around it; else half of the words are the item's.
-
-    `member` has 16 for an item's words and 1 more for those of its set. An item may be leaked if so many words of the set are
-    there, and its words there cover so many of its places.
-    """
-    starts, counts = _block_starts(rows, BLOCK)
-    row_end, end = np.repeat(rows[1:], counts), np.repeat(np.cumsum(counts), counts)
-    begin = np.repeat(np.cumsum(counts) - counts, counts)
-    wide = -(-reach // BLOCK)
-    most, kind = int(wide.max()), np.uint16 if wide.max() * BLOCK < 1 << 14 else np.uint32
-    ranges = [(w, *np.searchsorted(wide, [w, w + 1])) for w in np.unique(wide)]  # items lie in order of length
-    for at in range(0, len(starts), _BLOCKS):
-        to = min(len(starts), at + _BLOCKS)
-        low, high = max(0, at - most), min(len(starts), to + SPAN + most)
-        sums = np.zeros((high - low, member.shape[1]), np.uint8)
-        for k in range(BLOCK):
-            word = starts[low:high] + k
-            sums += member[np.where(word < row_end[low:high], ids[np.minimum(word, len(ids) - 1)], len(member) - 1)]
-        place = np.arange(at, to)
-        passage = (place == begin[at:to]) | (place + SPAN <= end[at:to])
-        held = sums[at - low : to - low] >> 4
-        for k in range(1, SPAN):
-            ok = np.flatnonzero(place + k < end[at:to])
-            held[ok] += sums[ok + (at - low + k)] >> 4
-        before = np.zeros((high - low + 1, member.shape[1]), kind)
-        np.cumsum(sums & 15, axis=0, dtype=kind, out=before[1:])
-        may = np.zeros(held.shape, bool)
-        for w, i, j in ranges:
-            a, b = np.maximum(place - w, begin[at:to]) - low, np.minimum(place + SPAN + w, end[at:to]) - low
-            may[:, i:j] = before[b, i:j] - before[a, i:j] >= least[i:j]
-        block, item = np.nonzero(may & passage[:, None])
-        if len(block):
-            covers = np.zeros((high - low, member.shape[1]), np.uint64)
-            for k in range(BLOCK):
-                word = starts[low:high] + k
-                covers |= table[np.where(word < row_end[low:high], ids[np.minimum(word, len(ids) - 1)], len(member) - 1)]
-            a, b = np.maximum(at + block - wide[item], begin[at + block]) - low, np.minimum(at + block + SPAN + wide[item], end[at + block]) - low
-            cover = np.zeros(len(block), np.uint64)
-            for t in range(SPAN + 2 * int(wide[length <= 64].max(initial=0))):
-                cover |= covers[np.minimum(a + t, b - 1), item]
-            n, tail = np.bitwise_count(cover).astype(np.int64), np.bitwise_count(cover >> np.minimum(length - last, 63).astype(np.uint64)[item]).astype(np.int64)
-            ok = (n >= WHOLE * length[item]) | (n >= PART * length[item]) & (tail >= ANSWER * last[item]) | (length[item] > 64)
-            may[block, item] = ok
-        block, item = np.nonzero((may | (held >= enough)) & passage[:, None])
-        yield starts[at + block], item, may[block, item]
-
-
-def _vectors(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, basis: Basis) -> np.ndarray:
-    """Unit vectors of the passages that start there, in rows that end there."""
-    at = starts[:, None] + np.arange(BLOCK * SPAN)
-    found = basis.vectors[_buckets(words[np.minimum(at, len(words) - 1)])]
-    total = (found * (at < ends[:, None])[:, :, None]).sum(axis=1)
-    return total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-12)
+class _Items:
+    """Tables of a group of items, made once in a task."""
+
+    def __init__(self, known: list, queries: np.ndarray, owner: np.ndarray, rate: np.ndarray):
+        self.known, self.queries, self.owner = known, queries, owner
+        self.vocabulary, self.table = _bits(known)
+        self.length = np.array([len(own) for _, own, _ in known])
+        self.last = np.array([min(x, len(own)) for _, own, x in known])
+        self.reach = self.length + BLOCK * SPAN // 2
+        self.wide = -(-self.reach // BLOCK)
+        needed = _needed(known, rate)
+        self.enough = np.array([n for n, _ in needed])
+        pairs = [(np.searchsorted(self.vocabulary, np.unique(np.array(own, np.uint64))), i) for i, (_, own) in enumerate(needed)]
+        word, item = np.concatenate([x for x, _ in pairs]), np.repeat([i for _, i in pairs], [len(x) for x, _ in pairs])
+        by = np.argsort(word, kind="stable")
+        self.item, self.post = item[by].astype(np.uint16), np.searchsorted(word[by], np.arange(len(self.vocabulary) + 2))
+        self.some = np.diff(self.post) > 0
+
+    def ids(self, words: np.ndarray) -> np.ndarray:
+        """Places of words in the vocabulary; its length for other words."""
+        at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == words, at, len(self.vocabulary))
+
+
+def _windows(ids: np.ndarray, rows: np.ndarray, g: _Items) -> tuple[np.ndarray, ...]:
+    """Ranges of passages (item, row, first, last passage of the row) around which an item has enough words of its set."""
+    at = np.flatnonzero(g.some[ids])
+    n = (g.post[ids[at] + 1] - g.post[ids[at]]).astype(np.int64)
+    first = np.cumsum(n) - n
+    item = g.item[np.repeat(g.post[ids[at]] - first, n) + np.arange(int(n.sum()))]
+    by = np.argsort(item, kind="stable")
+    item, word = item[by].astype(np.int64), np.repeat(at, n)[by]
+    row = np.searchsorted(rows, word, "right") - 1
+    to = np.arange(len(item)) + g.enough[item] - 1
+    ok = to < len(item)
+    to = np.minimum(to, len(item) - 1)
+    ok &= (item[to] == item) & (row[to] == row) & (word[to] - word < BLOCK * SPAN + 2 * g.reach[item])
+    item, row, word, end = item[ok], row[ok], word[ok], word[to[ok]]
+    most = np.maximum(1, -(-np.diff(rows) // BLOCK) - SPAN + 1)[row] - 1
+    low = np.maximum(0, -(-(end - BLOCK * SPAN - g.reach[item] + 1 - rows[row]) // BLOCK))
+    high = np.minimum(most, (word + g.reach[item] - rows[row]) // BLOCK)
+    same = np.zeros(len(item), bool)
+    same[1:] = (item[1:] == item[:-1]) & (row[1:] == row[:-1])
+    low[1:] = np.where(same[1:], np.maximum(low[1:], high[:-1] + 1), low[1:])  # both ends ascend within a row
+    ok = low <= high
+    return item[ok], row[ok], low[ok], high[ok]
+
+
+def _covered(ids: np.ndarray, rows: np.ndarray, g: _Items, item: np.ndarray, row: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Passages (first word) and items of those ranges whose surroundings hold words for so many of the item's places."""
+    blocks = -(-np.diff(rows) // BLOCK)[row]
+    a, b = np.maximum(0, low - g.wide[item]), np.minimum(blocks, high + SPAN + g.wide[item])
+    n = b - a
+    first = np.cumsum(n) - n
+    of = np.repeat(np.arange(len(item)), n)
+    word = rows[row][of] + (a[of] + np.arange(int(n.sum())) - first[of]) * BLOCK
+    end, which = rows[row + 1][of], item[of]
+    covers = np.zeros(len(word), np.uint64)
+    for k in range(BLOCK):
+        covers |= g.table[np.where(word + k < end, ids[np.minimum(word + k, len(ids) - 1)], len(g.table) - 1), which]
+    m = high - low + 1
+    of = np.repeat(np.arange(len(item)), m)
+    passage = low[of] + np.arange(int(m.sum())) - (np.cumsum(m) - m)[of]
+    which = item[of]
+    begin = first[of] + np.maximum(0, passage - g.wide[which]) - a[of]
+    stop = first[of] + np.minimum(blocks[of], passage + SPAN + g.wide[which]) - a[of]
+    cover = np.zeros(len(of), np.uint64)
+    for t in range(int((stop - begin).max(initial=0))):
+        cover |= covers[np.minimum(begin + t, stop - 1)]
+    length, last = g.length[which], g.last[which]
+    held, tail = np.bitwise_count(cover).astype(np.int64), np.bitwise_count(cover >> np.clip(length - last, 0, 63).astype(np.uint64)).astype(np.int64)
+    ok = (held >= WHOLE * length) | (held >= PART * length) & (tail >= ANSWER * last) | (length > 64)
+    return rows[row][of[ok]] + passage[ok] * BLOCK, which[ok]
 
 
 def _common(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray, table: np.ndarray, skip: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -302,14 +342,15 @@ def _search(docs: DataFrame, items: list, basis: Basis) -> DataFrame:
 
     def search(batches):
         basis, queries, owner, known = given.value
+        groups = []
+        for first in range(0, len(known), _GROUP):
+            own = slice(*np.searchsorted(owner, [first, first + _GROUP]))
+            groups.append(_Items(known[first : first + _GROUP], queries[own], owner[own] - first, basis.rate))
         for b in (x for whole in batches for x in small_batches(whole, 1)):
             words, rows = word_hashes(b.column(1), lower=True)
-            if not len(words) or not len(queries):
+            if not len(words) or not groups:
                 continue
-            made = []
-            for first in range(0, len(known), _GROUP):
-                own = slice(*np.searchsorted(owner, [first, first + _GROUP]))
-                made += _leaks(words, rows, basis, queries[own], owner[own] - first, known[first : first + _GROUP])
+            made = _leaks(words, rows, basis, groups)
             if made:
                 made = [(b.column(0)[i].as_py(), *leak) for i, *leak in sorted(made, key=lambda x: x[0])]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*made, strict=True), schema, strict=True)], schema=schema)
@@ -317,48 +358,49 @@ def _search(docs: DataFrame, items: list, basis: Basis) -> DataFrame:
     return docs.mapInArrow(search, "doc_id long, item_id long, cosine double, common long, item_words long, answered boolean")
 
 
-def _leaks(words: np.ndarray, rows: np.ndarray, basis: Basis, queries: np.ndarray, owner: np.ndarray, known: list) -> list[tuple]:
+def _leaks(words: np.ndarray, rows: np.ndarray, basis: Basis, groups: list[_Items]) -> list[tuple]:
     """Row, item, cosine, common words, item's words and whether it is answered, of the best passage of each row and leaked item."""
-    vocabulary, table = _bits(known)
-    ids = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
-    ids = np.where(vocabulary[ids] == words, ids, len(vocabulary))
-    distinct = np.count_nonzero(table, axis=0)
-    length = np.array([len(own) for _, own, _ in known])
-    last = np.array([min(x, len(own)) for _, own, x in known])
-    around = length + BLOCK * SPAN // 2
-    member = (table != 0).astype(np.uint8) * np.uint8(16)
-    needed = _needed(known, basis.rate)
-    for i, (_, own) in enumerate(needed):
-        member[np.searchsorted(vocabulary, np.unique(np.array(own, np.uint64))), i] += 1
-    pieces = np.searchsorted(owner, np.arange(len(known)))
-    pairs = []
-    for at, item, may in _candidates(ids, rows, member, table, length, last, around, np.array([n for n, _ in needed]), PART * np.minimum(BLOCK * SPAN, distinct)):
-        for i in range(0, len(at), 4096):
-            start, which = np.unique(at[i : i + 4096], return_inverse=True)
-            vectors = _vectors(words, start, rows[np.searchsorted(rows, start, "right")], basis)
-            cos = np.maximum.reduceat(vectors @ queries.T, pieces, axis=1)[which, item[i : i + 4096]]  # of an item's pieces the closest one
-            ok = may[i : i + 4096] | (cos >= COSINE)
-            pairs.append((at[i : i + 4096][ok], item[i : i + 4096][ok], cos[ok]))
-    if not pairs:
-        return []
-    start, item, cos = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    starts, vectors = passages(words, rows, basis)
+    out = []
+    for g in groups:
+        near = [(at, np.nonzero(vectors[at : at + _PASSAGES] @ g.queries.T >= COSINE)) for at in range(0, len(starts), _PASSAGES)]
+        pairs = [(starts[at + i], g.owner[j]) for at, (i, j) in near if len(i)]
+        ids = g.ids(words)
+        ranges = _windows(ids, rows, g)
+        for at in range(0, len(ranges[0]), _WINDOWS):
+            pairs.append(_covered(ids, rows, g, *(x[at : at + _WINDOWS] for x in ranges)))
+        if not pairs:
+            continue
+        key = np.unique(np.concatenate([s * len(g.known) + i for s, i in pairs]))
+        out += _verified(words, ids, rows, g, key // len(g.known), key % len(g.known), starts, vectors)
+    return out
+
+
+def _verified(words: np.ndarray, ids: np.ndarray, rows: np.ndarray, g: _Items, start: np.ndarray, item: np.ndarray, starts: np.ndarray, vectors: np.ndarray) -> list[tuple]:
     row = np.searchsorted(rows, start, "right") - 1
-    reach = around[item]
-    lo, hi = np.maximum(rows[row], start - reach), np.minimum(rows[row + 1], start + BLOCK * SPAN + reach)
+    reach, length, last = g.reach, g.length, g.last
+    lo, hi = np.maximum(rows[row], start - reach[item]), np.minimum(rows[row + 1], start + BLOCK * SPAN + reach[item])
     common, tail = np.zeros(len(item), np.int64), np.zeros(len(item), np.int64)
     short = np.flatnonzero(length[item] <= 64)
     for at in range(0, len(short), _PAIRS):
         i = short[at : at + _PAIRS]
-        common[i] = _common(ids, lo[i], hi[i], item[i], table, np.zeros(len(i), np.int64), length[item[i]])
+        common[i] = _common(ids, lo[i], hi[i], item[i], g.table, np.zeros(len(i), np.int64), length[item[i]])
         i = i[common[i] >= PART * length[item[i]]]
-        tail[i] = _common(ids, lo[i], hi[i], item[i], table, length[item[i]] - last[item[i]], last[item[i]])
+        tail[i] = _common(ids, lo[i], hi[i], item[i], g.table, length[item[i]] - last[item[i]], last[item[i]])
     for i in np.flatnonzero(length[item] > 64).tolist():
-        own, region = known[item[i]][1], words[lo[i] : hi[i]].tolist()
+        own, region = g.known[item[i]][1], words[lo[i] : hi[i]].tolist()
         common[i], tail[i] = lcs(own, region), lcs(own[len(own) - last[item[i]] :], region)
     answered = tail >= ANSWER * last[item]
     good = np.flatnonzero((common >= WHOLE * length[item]) | (common >= PART * length[item]) & answered)
+    if not len(good):
+        return []
+    pieces = np.searchsorted(g.owner, np.arange(len(g.known)))
+    cos = np.zeros(len(item))
+    for at in range(0, len(good), _PASSAGES):
+        i = good[at : at + _PASSAGES]
+        cos[i] = np.maximum.reduceat(vectors[np.searchsorted(starts, start[i])] @ g.queries.T, pieces, axis=1)[np.arange(len(i)), item[i]]  # of an item's pieces the closest one
     good = good[np.lexsort((-start[good], -cos[good], item[good], row[good]))]
     best: dict[tuple[int, int], tuple] = {}
     for i in good.tolist():
-        best.setdefault((int(row[i]), int(item[i])), (known[item[i]][0], float(cos[i]), int(common[i]), int(length[item[i]]), bool(answered[i])))
+        best.setdefault((int(row[i]), int(item[i])), (g.known[item[i]][0], float(cos[i]), int(common[i]), int(length[item[i]]), bool(answered[i])))
     return [(r, *leak) for (r, _), leak in best.items()]
