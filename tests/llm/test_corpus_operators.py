@@ -150,24 +150,69 @@ def test_language_id(spark, empty):
     assert language_id.predict_language(empty, profiles).collect() == []
 
 
-def test_embedding_links(spark):
+def brute_links(rows):
+    """n_links and component_id of rows (id, vector), each row on its own."""
+    good = [i for i, (_, v) in enumerate(rows) if v and None not in v and np.isfinite(v).all() and np.any(v)]
+    links = np.zeros(len(rows), int)
+    low = [r for r, _ in rows]
+    near = {}
+    for d in {len(rows[i][1]) for i in good}:
+        own = [i for i in good if len(rows[i][1]) == d]
+        x = np.array([rows[i][1] for i in own], "f4").astype(float)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        linked = x @ x.T >= 0.95
+        np.fill_diagonal(linked, False)
+        links[own] = linked.sum(axis=1)
+        near |= {i: [own[j] for j in np.flatnonzero(linked[at])] for at, i in enumerate(own)}
+    seen = set()
+    for i in near:
+        if i in seen:
+            continue
+        group, todo = {i}, [i]
+        while todo:
+            for j in near[todo.pop()]:
+                if j not in group:
+                    group.add(j)
+                    todo.append(j)
+        seen |= group
+        for j in group:
+            low[j] = min(rows[k][0] for k in group)
+    return sorted((r[0], int(n), c, r[0] == c) for r, n, c in zip(rows, links, low, strict=True))
+
+
+def vectors_of_rank(rng, n, d, rank):
+    return (rng.standard_normal((n, rank)) @ rng.standard_normal((rank, d))).tolist()
+
+
+@pytest.mark.parametrize("kind", ["odd", "rank 4", "rank 6", "rank 10", "clusters", "isotropic", "parts"])
+def test_embedding_links(spark, kind, monkeypatch):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((300, 16))
-    near = base[:60] + rng.standard_normal((60, 16)) * 0.05
-    vectors = [*base.tolist(), *near.tolist(), base[0].tolist(), base[0].tolist(), (base[1] * 2).tolist(), None, [], [0.0] * 16, [float("nan")] * 16, [None] * 16, [float("inf")] * 16, [1.0, 2.0], [2.0, 4.0]]
-    df = spark.createDataFrame([(i, v, 0, "x") for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int, rep string")
-    good = {i: np.array(v, "f4").astype(float) for i, v in enumerate(vectors) if v and None not in v and np.isfinite(v).all() and np.any(v)}
-    unit = {i: v / np.linalg.norm(v) for i, v in good.items()}
-    linked = [(a, b) for a in unit for b in unit if a < b and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.95]
-    n = dict.fromkeys(range(len(vectors)), 0)
-    for a, b in linked:
-        n[a], n[b] = n[a] + 1, n[b] + 1
-    low = components_of(range(len(vectors)), linked)
-    got = {r.vec_id: r for r in embedding_dedup.link_embeddings(df).collect()}
-    found = sum(r.n_links for r in got.values()) / 2
-    assert 0.9 * len(linked) <= found <= len(linked)
-    assert sum(r.component_id == low[i] and r.kept == (r.component_id == i) for i, r in got.items()) >= 0.95 * len(got)
-    assert all(got[i].n_links == 0 and got[i].kept for i in range(len(vectors)) if i not in good)
+    if kind == "odd":
+        near = base[:60] + rng.standard_normal((60, 16)) * 0.05
+        vectors = [*base.tolist(), *near.tolist(), base[0].tolist(), base[0].tolist(), (base[1] * 2).tolist(), None, [], [0.0] * 16, [float("nan")] * 16, [None] * 16, [float("inf")] * 16, [1.0, 2.0], [2.0, 4.0]]
+        rows = [*enumerate(vectors), (7, base[8].tolist()), (9, base[8].tolist()), (9, near[3].tolist())]
+    elif kind.startswith("rank"):
+        rows = [*enumerate(vectors_of_rank(rng, 3000, 64, int(kind[5:])))]
+    elif kind == "clusters":
+        centre = rng.standard_normal((40, 32))
+        rows = [*enumerate((centre[rng.integers(0, 40, 2000)] + rng.standard_normal((2000, 32)) * rng.choice([0.05, 0.15, 0.3], (2000, 1))).tolist())]
+    else:
+        if kind == "parts":  # few lists, split by residuals
+            monkeypatch.setattr(embedding_dedup, "LIST_SIZE", 16)
+            monkeypatch.setattr(embedding_dedup, "SAMPLE_ROWS", 256)
+        x = rng.standard_normal((1500, 24))
+        rows = [*enumerate(np.concatenate([x, x[:700] + rng.standard_normal((700, 24)) * 0.2, x[:300] + rng.standard_normal((300, 24)) * 0.3]).tolist())]
+    df = spark.createDataFrame([(i, v, 0, "x", 1, 0.5, True) for i, v in rows], "vec_id long, embedding array<float>, label int, rep string, id long, weight double, list boolean")
+    got = sorted(map(tuple, embedding_dedup.link_embeddings(df).collect()))
+    expected = brute_links(rows)
+    assert got == expected and sum(n for _, n, _, _ in expected) > 40
+
+
+def test_embedding_links_of_repeated_ids(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.05]), (5, [1.0, 0.0]), (None, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted(embedding_dedup.link_embeddings(df).select("vec_id", "n_links", "component_id", "kept").collect(), key=repr)
+    assert list(map(tuple, got)) == [(1, 2, 1, True), (1, 2, 1, True), (5, 2, 1, False), (None, 0, None, False)]
     assert embedding_dedup.link_embeddings(df.limit(0)).collect() == []
 
 
