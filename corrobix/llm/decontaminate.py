@@ -27,7 +27,7 @@ ITEMS_AT_ONCE = 4096
 #: Variance of a direction, as a share of the largest, that single precision cannot tell from none.
 ROUNDING = 1e-5
 #: Passages whose vectors are held at once, rows of a partial sum, and the ways that partial sums of one part are first dealt.
-_PASSAGES, _PART, _WAYS = 1 << 11, 1 << 9, 32
+_PASSAGES, _PART, _WAYS = 1 << 11, 1 << 9, 8
 #: Items whose tables are one array, pairs compared at once, and windows whose passages are listed at once.
 _GROUP, _PAIRS, _WINDOWS = 256, 1 << 14, 1 << 12
 #: How much likelier a word is in texts of its language than in all, and what a window costs against a word found; only guesses
@@ -82,41 +82,32 @@ def fit_basis(docs: DataFrame, seed: int = 7) -> Basis:
 
     def sketch(batches):
         out = np.zeros((BUCKETS, RANK + EXTRA), np.float32)
-        for b in (x for whole in batches for x in small_batches(whole, 0)):
+        for b in (x for whole in batches for x in small_batches(whole, 0, 1 << 23)):
             words, rows = word_hashes(b.column(0), lower=True)
             if not len(words):
                 continue
             starts, counts = _block_starts(rows, BLOCK * SPAN)
             y = _sums(_buckets(words), starts, np.repeat(rows[1:], counts), BLOCK * SPAN, given.value)
-            own = _buckets(words).astype(np.uint16)
-            passage = np.repeat(np.arange(len(starts)), np.diff(np.concatenate([starts, rows[-1:]])))
-            by = np.argsort(own, kind="stable")
-            own, passage = own[by], passage[by]
-            for at in range(0, len(own), 1 << 16):
-                used, first = np.unique(own[at : at + (1 << 16)], return_index=True)
-                out[used] += np.add.reduceat(y.take(passage[at : at + (1 << 16)], axis=0), first, axis=0)
+            _add_by_bucket(out, _buckets(words), np.repeat(np.arange(len(starts)), np.diff(np.concatenate([starts, rows[-1:]]))), y)
         if out.any():
             way = TaskContext.get().partitionId() % _WAYS
             for part in range(0, BUCKETS, _PART):
                 yield pa.RecordBatch.from_pydict({"part": [part], "way": [way], "g": [out[part : part + _PART].tobytes()]})
 
-    def total(kind):
-        def add(batches):
-            sums: dict[int, list] = {}
-            for b in batches:
-                for part, way, g in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    own = sums.setdefault(part, [way, 0])
-                    own[1] = own[1] + np.frombuffer(g, kind).astype(np.float64)
-            for part, (way, g) in sums.items():
-                yield pa.RecordBatch.from_pydict({"part": [part], "way": [way], "g": [g.tobytes()]})
-
-        return add
+    def total(batches):
+        sums: dict[int, list] = {}
+        for b in batches:
+            for part, way, g in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                own = sums.setdefault(part, [way, 0])
+                own[1] = own[1] + np.frombuffer(g, np.float32).astype(np.float64)
+        for part, (way, g) in sums.items():
+            yield pa.RecordBatch.from_pydict({"part": [part], "way": [way], "g": [g.astype(np.float32).tobytes()]})
 
     row = "part long, way long, g binary"
-    parts = docs.select("text").mapInArrow(sketch, row).repartition("part", "way").mapInArrow(total(np.float32), row).repartition("part").mapInArrow(total(np.float64), row)
+    parts = docs.select("text").mapInArrow(sketch, row).repartition("part", "way").mapInArrow(total, row).repartition("part").mapInArrow(total, row)
     g = np.zeros((BUCKETS, RANK + EXTRA))
     for part, _, body in parts.collect():
-        g[part : part + _PART] = np.frombuffer(bytes(body)).reshape(-1, RANK + EXTRA)
+        g[part : part + _PART] = np.frombuffer(bytes(body), np.float32).reshape(-1, RANK + EXTRA)
     g *= idf[:, None]
     q, _ = np.linalg.qr(g)
     core = probe.T.astype(np.float64) @ g
@@ -128,6 +119,21 @@ def fit_basis(docs: DataFrame, seed: int = 7) -> Basis:
     return Basis(_padded((q @ turn[:, top]) * scale * idf[:, None]), rate)
 
 
+def _add_by_bucket(out: np.ndarray, buckets: np.ndarray, passage: np.ndarray, y: np.ndarray) -> None:
+    """Add to each bucket the rows of y of all passages that hold it, as often as they do."""
+    by = np.argsort(buckets.astype(np.uint16), kind="stable")
+    passage = passage[by]
+    used, first, n = np.unique(buckets[by], return_index=True, return_counts=True)
+    often = n > 64
+    for bucket, at, to in zip(used[often].tolist(), first[often].tolist(), (first + n)[often].tolist(), strict=True):
+        for i in range(at, to, 1 << 13):
+            out[bucket] += y.take(passage[i : min(to, i + (1 << 13))], axis=0).sum(axis=0)
+    used, first, n = (x[~often][np.argsort(-n[~often], kind="stable")] for x in (used, first, n))
+    for k in range(int(n.max(initial=0))):  # the k-th place of all buckets that have so many
+        some = int(np.searchsorted(-n, -k))
+        out[used[:some]] += y.take(passage[first[:some] + k], axis=0)
+
+
 def _padded(x: np.ndarray) -> np.ndarray:
     """Single precision, and a last row of zeros for places where no word is."""
     return np.concatenate([x, np.zeros((1, x.shape[1]))]).astype(np.float32)
@@ -243,7 +249,8 @@ class _Items:
     """Tables of a group of items, made once in a task."""
 
     def __init__(self, known: list, queries: np.ndarray, owner: np.ndarray, rate: np.ndarray):
-        self.known, self.queries, self.owner = known, queries, owner
+        self.known, self.queries, self.pieces = known, queries, np.searchsorted(owner, np.arange(len(known) + 1))
+        self.most = int(np.diff(self.pieces).max())
         self.vocabulary, self.table = _bits(known)
         self.length = np.array([len(own) for _, own, _ in known])
         self.last = np.array([min(x, len(own)) for _, own, x in known])
@@ -363,27 +370,36 @@ def _leaks(words: np.ndarray, rows: np.ndarray, basis: Basis, groups: list[_Item
     starts, vectors = passages(words, rows, basis)
     out = []
     for g in groups:
-        near = [(at, np.nonzero(vectors[at : at + _PASSAGES] @ g.queries.T >= COSINE)) for at in range(0, len(starts), _PASSAGES)]
-        pairs = [(starts[at + i], g.owner[j]) for at, (i, j) in near if len(i)]
         ids = g.ids(words)
         ranges = _windows(ids, rows, g)
-        for at in range(0, len(ranges[0]), _WINDOWS):
-            pairs.append(_covered(ids, rows, g, *(x[at : at + _WINDOWS] for x in ranges)))
-        if not pairs:
-            continue
-        key = np.unique(np.concatenate([s * len(g.known) + i for s, i in pairs]))
-        out += _verified(words, ids, rows, g, key // len(g.known), key % len(g.known), starts, vectors)
-    return out
+        possible = [_covered(ids, rows, g, *(x[at : at + _WINDOWS] for x in ranges)) for at in range(0, len(ranges[0]), _WINDOWS)]
+        at, item = (np.concatenate(x) for x in zip(*possible, strict=True)) if possible else (starts[:0], starts[:0])
+        order = np.argsort(at, kind="stable")
+        at, item = np.searchsorted(starts, at[order]), item[order]
+        near = np.zeros(len(at), bool)
+        for first in range(0, len(starts), _PASSAGES):  # cosine search: of all passages and pieces, what is close and what of it can be a leak
+            close = vectors[first : first + _PASSAGES] @ g.queries.T >= COSINE
+            own = slice(*np.searchsorted(at, [first, first + _PASSAGES]))
+            for k in range(g.most):
+                near[own] |= close[at[own] - first, np.minimum(g.pieces[item[own]] + k, g.pieces[item[own] + 1] - 1)]
+        for chosen in (near, ~near):  # then what the words alone say
+            out += _verified(words, ids, rows, g, at[chosen], item[chosen], starts, vectors)
+    best: dict[tuple[int, int], tuple] = {}
+    for row, item, *leak in sorted(out, key=lambda x: (x[0], x[1], -x[2], x[-1])):
+        best.setdefault((row, item), leak[:-1])
+    return [(row, item, *leak) for (row, item), leak in best.items()]
 
 
-def _verified(words: np.ndarray, ids: np.ndarray, rows: np.ndarray, g: _Items, start: np.ndarray, item: np.ndarray, starts: np.ndarray, vectors: np.ndarray) -> list[tuple]:
+def _verified(words: np.ndarray, ids: np.ndarray, rows: np.ndarray, g: _Items, at: np.ndarray, item: np.ndarray, starts: np.ndarray, vectors: np.ndarray) -> list[tuple]:
+    """Leaks among passages and items: row, item, cosine, common words, item's words, whether it is answered, place."""
+    start = starts[at]
     row = np.searchsorted(rows, start, "right") - 1
     reach, length, last = g.reach, g.length, g.last
     lo, hi = np.maximum(rows[row], start - reach[item]), np.minimum(rows[row + 1], start + BLOCK * SPAN + reach[item])
     common, tail = np.zeros(len(item), np.int64), np.zeros(len(item), np.int64)
     short = np.flatnonzero(length[item] <= 64)
-    for at in range(0, len(short), _PAIRS):
-        i = short[at : at + _PAIRS]
+    for first in range(0, len(short), _PAIRS):
+        i = short[first : first + _PAIRS]
         common[i] = _common(ids, lo[i], hi[i], item[i], g.table, np.zeros(len(i), np.int64), length[item[i]])
         i = i[common[i] >= PART * length[item[i]]]
         tail[i] = _common(ids, lo[i], hi[i], item[i], g.table, length[item[i]] - last[item[i]], last[item[i]])
@@ -392,15 +408,9 @@ def _verified(words: np.ndarray, ids: np.ndarray, rows: np.ndarray, g: _Items, s
         common[i], tail[i] = lcs(own, region), lcs(own[len(own) - last[item[i]] :], region)
     answered = tail >= ANSWER * last[item]
     good = np.flatnonzero((common >= WHOLE * length[item]) | (common >= PART * length[item]) & answered)
-    if not len(good):
-        return []
-    pieces = np.searchsorted(g.owner, np.arange(len(g.known)))
-    cos = np.zeros(len(item))
-    for at in range(0, len(good), _PASSAGES):
-        i = good[at : at + _PASSAGES]
-        cos[i] = np.maximum.reduceat(vectors[np.searchsorted(starts, start[i])] @ g.queries.T, pieces, axis=1)[np.arange(len(i)), item[i]]  # of an item's pieces the closest one
-    good = good[np.lexsort((-start[good], -cos[good], item[good], row[good]))]
-    best: dict[tuple[int, int], tuple] = {}
-    for i in good.tolist():
-        best.setdefault((int(row[i]), int(item[i])), (g.known[item[i]][0], float(cos[i]), int(common[i]), int(length[item[i]]), bool(answered[i])))
-    return [(r, *leak) for (r, _), leak in best.items()]
+    out = []
+    for first in range(0, len(good), _PASSAGES):
+        i = good[first : first + _PASSAGES]
+        cos = np.maximum.reduceat(vectors[at[i]] @ g.queries.T, g.pieces[:-1], axis=1)[np.arange(len(i)), item[i]]  # of an item's pieces the closest one
+        out += zip(row[i].tolist(), [g.known[j][0] for j in item[i].tolist()], cos.astype(float).tolist(), common[i].tolist(), length[item[i]].tolist(), answered[i].tolist(), start[i].tolist(), strict=True)
+    return out
