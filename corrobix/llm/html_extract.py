@@ -10,7 +10,8 @@ from __future__ import annotations
 import html
 import re
 import zlib
-from dataclasses import dataclass
+from collections import defaultdict
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -20,16 +21,23 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 
 #: Bounds of the training set: the table's own pages (and their length), generated pages.
-OWN_PAGES, OWN_CHARS, MADE_PAGES = 200, 60_000, 400
-BUCKETS, EMBED, HIDDEN, EPOCHS = 1024, 16, 20, 14
+OWN_PAGES, OWN_CHARS, MADE_PAGES = 200, 60_000, 500
+BUCKETS, EMBED, HIDDEN, EPOCHS = 1024, 16, 20, 12
 _NUMBERS = 5
 #: Tokens pooled apart as the innermost elements; the whole path is pooled beside them.
 _INNER = 12
+#: What is pooled for a block, in the order of `features`, and by which power of their number tokens share.
+_POOLED = (("path", 1), ("word", 1), ("whole", 0.5), ("name", 0.5))
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+# Every part is possessive, so a match takes one pass. Quotes bind after an equals sign only; the second form knows none.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 # Element kinds of HTML.
 _RAW = ("script", "style", "noscript", "template", "iframe", "svg")
+_CODE = ("script", "style")
+_CLOSING = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in _RAW}
+_OTHER_TAGS = ("nav", "footer", "aside", "form", "button")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BREAKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label "
@@ -42,9 +50,22 @@ _SCOPE = frozenset("ul ol dl table tr td th tbody thead tfoot div section articl
 
 @dataclass
 class Block:
-    path: tuple[str, ...]
     text: str
     linked: float
+    inner: list[int]  # hashed tokens of the innermost elements
+    whole: list[int]  # those of all open elements, each once
+    names: list[int]  # of these the ones that many pages use for parts
+    own: bool | None  # in an article and in no named other part; none if no article is open
+    node: tuple | None = field(default=None, repr=False)
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        """Tokens of the open elements from the outside in."""
+        out, node = [], self.node
+        while node:
+            out.append(node[1])
+            node = node[0]
+        return tuple(t for tokens in reversed(out) for t in tokens)
 
 
 def _tokens(tag: str, attributes: str) -> tuple[str, ...]:
@@ -57,49 +78,155 @@ def _tokens(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+_known: dict[str, int] = {}
+
+
+def _bucket(token: str) -> int:
+    if token not in _known:
+        if len(_known) > 200_000:
+            _known.clear()
+        _known[token] = zlib.crc32(token.encode("utf-8", "replace")) % BUCKETS
+    return _known[token]
+
+
+class _Open:
+    """The open elements of a page. Every change takes time in proportion to the elements it opens or closes."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, list[int], list[int]]] = []
+        self.nodes: list[tuple] = []
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.scopes: list[int] = []
+        self.other: list[int] = []  # elements that are no article text inside an article
+        self.apart: list[int] = []  # elements that are none around an article either
+        self.held: dict[int, int] = {}
+        self.names: dict[int, int] = {}
+
+    def push(self, tag: str, attributes: str) -> None:
+        tokens = _tokens(tag, attributes)
+        hashed = [_bucket(t) for t in tokens]
+        at = len(self.stack)
+        names = [t.split(":", 1)[1] for t in tokens[1:]]
+        named = [_bucket(t) for t in (tag, *names) if t in _PARTS]
+        self.stack.append((tag, hashed, named))
+        self.nodes.append((self.nodes[-1] if self.nodes else None, tokens))
+        self.places[tag].append(at)
+        if tag in _SCOPE:
+            self.scopes.append(at)
+        if tag in _OTHER_TAGS or any(n in _OUTSIDE for n in names):
+            self.other.append(at)
+        if tag in ("nav", "footer", "aside") or any(n in _COMMENTS for n in names):
+            self.apart.append(at)
+        for held, own in ((self.held, hashed), (self.names, named)):
+            for h in own:
+                held[h] = held.get(h, 0) + 1
+
+    def cut(self, at: int) -> None:
+        """Close the element at that place and all inside it."""
+        while len(self.stack) > at:
+            tag, hashed, named = self.stack.pop()
+            self.nodes.pop()
+            for places in (self.places[tag], self.scopes, self.other, self.apart):
+                if places and places[-1] >= len(self.stack):
+                    places.pop()
+            for held, own in ((self.held, hashed), (self.names, named)):
+                for h in own:
+                    held[h] -= 1
+                    if not held[h]:
+                        del held[h]
+
+    def last(self, *tags: str) -> int:
+        """Place of the innermost of these elements, -1 without any or behind another scope."""
+        at = max((self.places[t][-1] for t in tags if self.places[t]), default=-1)
+        return at if not self.scopes or at >= self.scopes[-1] else -1
+
+    def close(self, tag: str) -> None:
+        places = self.places[tag]
+        if not places:
+            return
+        if tag not in _BREAKS and self.scopes and self.scopes[-1] > places[-1]:
+            places.pop()  # an inline element does not close the blocks inside it
+        else:
+            self.cut(places[-1])
+
+    def block(self, text: str, linked: float) -> Block:
+        inner: list[int] = []
+        for _, hashed, _ in reversed(self.stack):
+            inner = hashed + inner
+            if len(inner) >= _INNER:
+                break
+        article = self.places["article"]
+        own = not self.apart and not (self.other and self.other[-1] >= article[0]) if article else None
+        return Block(text, linked, inner[-_INNER:] or [0], list(self.held) or [0], list(self.names) or [0], own, self.nodes[-1] if self.nodes else None)
+
+
 def parse_blocks(page: str) -> list[Block]:
-    """Text blocks of a page in order. Scripts, styles, comments and markup are no text; unclosed elements are tolerated."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    blocks: list[Block] = []
-    parts: list[str] = []
+    """Text blocks of a page in order, in time that grows with the page's length whatever its markup.
+
+    Scripts, styles, comments and markup are no text; unclosed elements are tolerated. A tag that the page's end cuts off goes.
+    """
+    elements, blocks, parts = _Open(), [], []
     linked = total = at = 0
-    path: tuple[str, ...] | None = None
+    begun: Block | None = None
+    endless: set[str] = set()
+    pattern, last = _TAG, page.rfind(">")
 
     def end() -> None:
-        nonlocal linked, total, path
-        if path is not None:
+        nonlocal linked, total, begun
+        if begun is not None:
             raw = "".join(parts)
-            text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
-            if text:
-                blocks.append(Block(path, text, linked / max(1, total)))
+            begun.text, begun.linked = " ".join((html.unescape(raw) if "&" in raw else raw).split()), linked / max(1, total)
+            if begun.text:
+                blocks.append(begun)
         parts.clear()
         linked = total = 0
-        path = None
+        begun = None
 
     def add(text: str) -> None:
-        nonlocal linked, total, path
-        if path is None and not text.isspace():
-            path = tuple(t for _, tokens in stack for t in tokens)
+        nonlocal linked, total, begun
+        if begun is None and text and not text.isspace():
+            begun = elements.block("", 0.0)
         parts.append(text)
         total += len(text)
-        if any(t == "a" for t, _ in stack):
+        if elements.places["a"]:
             linked += len(text)
 
-    while True:
-        m = _TAG.search(page, at)
-        if m is None:
-            if at < len(page):
-                add(page[at:])
+    while at < len(page):
+        lt = page.find("<", at)
+        add(page[at : lt if lt >= 0 else len(page)])
+        if lt < 0:
             break
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        closing, tag, attributes = m[1], (m[2] or "").lower(), m[3]
-        if not tag:
+        kind = page[lt + 1 : lt + 2]
+        if not (kind in ("!", "?", "/") or kind.isascii() and kind.isalpha()):
+            add("<")
+            at = lt + 1
+            continue
+        if page.startswith("<!--", lt):
+            close = page.find("-->", lt + 2)
+            at = close + 3 if close >= 0 else len(page)
+            continue
+        if lt > last:
+            break
+        m = None
+        if kind not in ("!", "?"):
+            m = pattern.match(page, lt)
+            if m is None and pattern is _TAG and page[lt + 1 : lt + 3].strip("/")[:1].isalpha():
+                pattern = _LOOSE  # a quote that nothing closes
+                m = pattern.match(page, lt)
+        if m is None:
+            at = page.find(">", lt) + 1
             continue
+        at = m.end()
+        closing, tag, attributes = m[1], m[2].lower(), m[3]
         if not closing and tag in _RAW:
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
+            close = None if tag in endless else _CLOSING[tag].search(page, at)
+            if close:
+                to = page.find(">", close.end())
+                at = to + 1 if to >= 0 else len(page)
+            elif tag in _CODE:
+                break
+            else:
+                endless.add(tag)
             continue
         if tag in _BREAKS:
             end()
@@ -108,47 +235,23 @@ def parse_blocks(page: str) -> list[Block]:
         if tag in _VOID:
             continue
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            elements.close(tag)
             continue
-        if tag in _CLOSES_P and any(t == "p" for t, _ in stack):
-            i = max(i for i, (t, _) in enumerate(stack) if t == "p")
-            if not any(t in _SCOPE for t, _ in stack[i + 1 :]):
-                del stack[i:]
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in _SIBLINGS.get(tag, ()):
-                del stack[i:]
-                break
-            if stack[i][0] in _SCOPE:
-                break
-        stack.append((tag, _tokens(tag, attributes)))
+        if tag in _CLOSES_P and (i := elements.last("p")) >= 0:
+            elements.cut(i)
+        if tag in _SIBLINGS and (i := elements.last(*_SIBLINGS[tag])) >= 0:
+            elements.cut(i)
+        elements.push(tag, attributes)
     end()
     return blocks
 
 
-def _bucket(token: str) -> int:
-    return zlib.crc32(token.encode("utf-8", "replace")) % BUCKETS
-
-
-_known: dict[str, int] = {}
-
-
-def features(blocks: list[Block]) -> tuple[list[list[int]], list[list[int]], np.ndarray, list[list[int]]]:
-    """Hashed tokens of the innermost elements, hashed words and numbers of each block, and hashed tokens of its whole path."""
-    if len(_known) > 200_000:
-        _known.clear()
-    paths, words, whole = [], [], []
-    for b in blocks:
-        every = [_known[t] if t in _known else _known.setdefault(t, _bucket(t)) for t in b.path] or [0]
-        paths.append(every[-_INNER:])
-        whole.append(list(set(every)))
-        own = {w.lower() for w in b.text.split()}
-        words.append([_known[w] if w in _known else _known.setdefault(w, _bucket(w)) for w in own])
+def features(blocks: list[Block]) -> tuple[list[list[int]], list[list[int]], list[list[int]], list[list[int]], np.ndarray]:
+    """Hashed tokens of the innermost elements, words, tokens of the whole path and names of parts in it, and numbers of each block."""
+    words = [[_bucket(w) for w in {w.lower() for w in b.text.split()}] for b in blocks]
     n = max(1, len(blocks))
     numbers = np.array([(min(1.0, np.log1p(len(b.text)) / 8), b.linked, i / n, 1.0 if b.text[-1] in ".!?" else 0.0, min(1.0, len(b.text.split()) / 50)) for i, b in enumerate(blocks)]).reshape(-1, _NUMBERS)
-    return paths, words, numbers, whole
+    return [b.inner for b in blocks], words, [b.whole for b in blocks], [b.names for b in blocks], numbers
 
 
 def _scatter(lists: list[list[int]], power: float = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,22 +280,20 @@ class Labeller:
 
     def __init__(self, seed: int = 3):
         rng = np.random.default_rng(seed)
-        width = 3 * EMBED + _NUMBERS
+        width = len(_POOLED) * EMBED + _NUMBERS
 
         def init(*shape):
             return (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
 
-        self.p = {"path": np.zeros((BUCKETS, EMBED), np.float32), "word": init(BUCKETS, EMBED) * np.float32(np.sqrt(BUCKETS) / 3), "whole": np.zeros((BUCKETS, EMBED), np.float32), "out": init(2 * HIDDEN + width, 1), "bias": np.zeros(1, np.float32)}
+        self.p = {"path": np.zeros((BUCKETS, EMBED), np.float32), "word": init(BUCKETS, EMBED) * np.float32(np.sqrt(BUCKETS) / 3), "whole": np.zeros((BUCKETS, EMBED), np.float32), "name": np.zeros((BUCKETS, EMBED), np.float32), "out": init(2 * HIDDEN + width, 1), "bias": np.zeros(1, np.float32)}
         for d in "fb":
             self.p |= {f"w{d}": init(width + HIDDEN, 4 * HIDDEN), f"c{d}": np.zeros(4 * HIDDEN, np.float32)}
             self.p[f"c{d}"][HIDDEN : 2 * HIDDEN] = 1
 
     def _inputs(self, pages):
-        paths = [x for f in pages for x in f[0]]
-        words = [x for f in pages for x in f[1]]
-        tokens = _scatter(paths), _scatter(words), _scatter([x for f in pages for x in f[3]], 0.5)
-        n = len(paths)
-        flat = np.hstack([_mean(self.p["path"], tokens[0], n), _mean(self.p["word"], tokens[1], n), _mean(self.p["whole"], tokens[2], n), np.concatenate([f[2] for f in pages])]).astype(np.float32)
+        tokens = [_scatter([x for f in pages for x in f[k]], power) for k, (_, power) in enumerate(_POOLED)]
+        n = sum(len(f[0]) for f in pages)
+        flat = np.hstack([*(_mean(self.p[name], own, n) for (name, _), own in zip(_POOLED, tokens, strict=True)), np.concatenate([f[-1] for f in pages])]).astype(np.float32)
         lengths = np.array([len(f[0]) for f in pages])
         return flat, lengths, tokens
 
@@ -279,9 +380,9 @@ class Labeller:
             g[f"w{d}"] = np.vstack([x.reshape(-1, n).T @ flat_gates, lasts.T @ flat_gates])
             g[f"c{d}"] = flat_gates.sum(axis=0)
             d_flat += (gates @ w[:n].T)[step, row]
-        for name, (tok, r, share), cols in (("path", tokens[0], slice(0, EMBED)), ("word", tokens[1], slice(EMBED, 2 * EMBED)), ("whole", tokens[2], slice(2 * EMBED, 3 * EMBED))):
+        for k, ((name, _), (tok, r, share)) in enumerate(zip(_POOLED, tokens, strict=True)):
             g[name] = np.zeros_like(self.p[name])
-            np.add.at(g[name], tok, d_flat[r, cols] * share[:, None].astype(np.float32))
+            np.add.at(g[name], tok, d_flat[r, k * EMBED : (k + 1) * EMBED] * share[:, None].astype(np.float32))
         return g
 
     def fit(self, pages, labels: list[np.ndarray], seed: int = 5, rate: float = 0.01) -> None:
@@ -307,10 +408,17 @@ class Labeller:
 _OTHER = {
     "nav": "nav navbar menu breadcrumb navigation topnav", "header": "header masthead banner topbar logo", "aside": "sidebar aside widget related rail recommended",
     "footer": "footer copyright legal bottom", "ad": "ad ads advert advertisement sponsored promo", "notice": "notice cookie consent gdpr alert popup modal", "form": "form newsletter subscribe signup login search",
-    "comments": "comments comment reply discussion respond disqus", "share": "share social tags pagination meta",
+    "comments": "comments comment reply replies discussion respond responses disqus commentlist thread", "share": "share social tags pagination meta",
 }
+_COMMENTS = frozenset(_OTHER["comments"].split())
 _MAIN = "article post content entry story main body text"
 _SYLLABLES = "an er in on re ti es or th ou la de que ción ß ung lich tre é ai"
+# What such parts often say.
+_SAYS = {
+    "nav": "home about contact us news archive blog shop login help start kontakt inicio accueil", "header": "welcome to our site magazine daily journal", "aside": "related popular latest posts read more recommended",
+    "footer": "copyright © 2019 2024 all rights reserved terms privacy imprint powered by", "ad": "advertisement sponsored buy now offer sale", "notice": "we use cookies accept settings this site", "form": "subscribe newsletter email search submit sign up",
+    "comments": "reply says comments posted by guest on at leave a comment thanks great agree", "share": "share tweet facebook tags filed under previous next page",
+}
 _MARK = "\x02"
 
 
@@ -319,10 +427,17 @@ def _made_page(rng: np.random.Generator) -> str:
     syllables = _SYLLABLES.split()
 
     def pick(words: str) -> str:
-        return str(rng.choice(words.split()))
+        own = words.split()
+        return own[int(rng.integers(len(own)))]
 
     def say(n: int) -> str:
-        return " ".join("".join(rng.choice(syllables, rng.integers(1, 4))) for _ in range(max(1, n))).capitalize() + ("." if rng.random() < 0.8 else "")
+        made = [syllables[i] for i in rng.integers(0, len(syllables), 3 * max(1, n)).tolist()]
+        return " ".join("".join(made[3 * i : 3 * i + k]) for i, k in enumerate(rng.integers(1, 4, max(1, n)).tolist())).capitalize() + ("." if rng.random() < 0.8 else "")
+
+    def line(kind: str, n: int) -> str:
+        """Words of no meaning, often with some that such parts hold."""
+        own = rng.choice(_SAYS[kind].split(), min(n, int(rng.integers(1, 5)))).tolist() if rng.random() < 0.7 else []
+        return " ".join([*own, say(max(1, n - len(own)))]).capitalize()
 
     def named(kind: str) -> str:
         return f' {pick("class class class id")}="{pick(kind)}{pick("  -box -wrap _area").strip()}"' if rng.random() < 0.9 else ""
@@ -336,16 +451,51 @@ def _made_page(rng: np.random.Generator) -> str:
         name = named(_OTHER[kind])
         if kind == "nav":
             tag = pick("nav nav ul div")
-            return f"<{tag}{name if tag in ('ul', 'div') else ''}>" + "".join(f'<li><a href="/x">{say(rng.integers(1, 3))}</a></li>' for _ in range(rng.integers(3, 9))) + f"</{tag}>"
+            return f"<{tag}{name if tag in ('ul', 'div') else ''}>" + "".join(f'<li><a href="/x">{line("nav", int(rng.integers(1, 3)))}</a></li>' for _ in range(rng.integers(3, 9))) + f"</{tag}>"
         if kind == "form":
-            return f"<form{name}><label>{say(2)}</label><input><button>{say(1)}</button><p>{say(8)}</p></form>"
+            return f"<form{name}><label>{line('form', 2)}</label><input><button>{line('form', 1)}</button><p>{line('form', 8)}</p></form>"
         if kind == "comments":
-            inner = "".join(f'<div{named("comment reply")}><p>{say(rng.integers(4, 40))}</p></div>' for _ in range(rng.integers(1, 6)))
-            return f'<{pick("section div")} {pick("class id")}="{pick(_OTHER["comments"])}"><h3>{say(2)}</h3>{deep(inner)}</section>'
+            tag = pick("div div li article")
+            inner = "".join(f"<{tag}{named('comment reply')}>" + (f"<h4>{line('comments', 3)}</h4>" if rng.random() < 0.4 else "") + f"<p>{say(rng.integers(4, 60))}</p>" + (f'<a href="#r">{line("comments", 1)}</a>' if rng.random() < 0.3 else "") + f"</{tag}>" for _ in range(rng.integers(1, 6)))
+            outer = pick("section div div ol" if tag != "li" else "ol ul")
+            return f'<{outer} {pick("class class id")}="{pick(_OTHER["comments"])}{pick("  -list _area -section")}">' + (f"<h3>{line('comments', 2)}</h3>" if outer in ("section", "div") else "") + f"{deep(inner)}</{outer}>"
         tag = {"header": "header", "aside": "aside", "footer": "footer"}.get(kind, "div")
         tag, name = (tag, "") if tag != "div" and rng.random() < 0.6 else ("div", f' class="{pick(_OTHER[kind])}"')
-        inner = f'<a href="/">{say(2)}</a>' * int(rng.integers(0, 3)) + pick("p div span").join(["<", ">"]) + say(int(rng.integers(2, 30)))
-        return f"<{tag}{name}>{deep(inner if rng.random() < 0.6 else say(int(rng.integers(2, 20))))}</{tag}>"
+        inner = f'<a href="/">{line(kind, 2)}</a>' * int(rng.integers(0, 3)) + pick("p div span").join(["<", ">"]) + line(kind, int(rng.integers(2, 30)))
+        return f"<{tag}{name}>{deep(inner if rng.random() < 0.6 else line(kind, int(rng.integers(2, 20))))}</{tag}>"
+
+    def body_text() -> list[str]:
+        """Paragraphs of a page whose elements have no names."""
+        out = [f"<h{rng.integers(1, 3)}>{_MARK}{say(rng.integers(2, 12))}</h1>"] if rng.random() < 0.8 else []
+        for _ in range(int(rng.integers(2, 14))):
+            n = int(rng.integers(8, 120))
+            out.append(f"<p>{_MARK}{say(n)}" + (f' <a href="/y">{say(2)}</a> {say(6)}' if rng.random() < 0.2 else "") + pick("</p> <p></p>"))
+            if rng.random() < 0.1:
+                out.append("<ul>" + "".join(f"<li>{_MARK}{say(rng.integers(3, 20))}</li>" for _ in range(rng.integers(2, 6))) + "</ul>")
+        return out
+
+    def plain(kind: str) -> str:
+        """The other parts of such a page: lists of links, short lines, what readers say under a heading of theirs."""
+        if kind == "nav":
+            tag = pick("li p span div")
+            return "".join(f'<{tag}><a href="/x">{line("nav", int(rng.integers(1, 3)))}</a></{tag}>' for _ in range(rng.integers(3, 9)))
+        if kind == "aside":
+            return f"<b>{line('aside', 2)}</b>" + "".join(f'<p><a href="/x">{say(rng.integers(2, 9))}</a></p>' for _ in range(rng.integers(2, 6)))
+        return f"<{(tag := pick('p div span center'))}>{line(kind, int(rng.integers(2, 14)))}" + (f' <a href="/z">{line(kind, 2)}</a>' if rng.random() < 0.5 else "") + f"</{tag}>"
+
+    def unnamed() -> str:
+        """A layout of tables, or of elements without names."""
+        text = "".join(body_text())
+        side = [plain("nav"), *([plain("aside")] if rng.random() < 0.4 else [])]
+        if rng.random() < 0.5:
+            cells = [f"<td{pick('  width=200 valign=top').strip() and ' valign=top'}>{x}</td>" for x in side] + [f"<td>{text}</td>"]
+            if rng.random() < 0.3:
+                cells = cells[::-1]
+            top = f"<tr><td colspan=3>{plain('header')}</td></tr>" if rng.random() < 0.7 else ""
+            return f"<table border=0>{top}<tr>{''.join(cells)}</tr><tr><td colspan=3>{plain('footer')}</td></tr></table>"
+        order = [plain("header"), side[0], text, *side[1:], plain("footer")]
+        wraps = [pick("div div center span") for _ in order]
+        return "".join(f"<{w}>{x}</{w}>" for w, x in zip(wraps, order, strict=True))
 
     def main() -> str:
         tag = pick("article article article main div div section")
@@ -371,10 +521,16 @@ def _made_page(rng: np.random.Generator) -> str:
                 out.append("<table><tr>" + "".join(f"<td>{_MARK}{say(2)}</td>" for _ in range(3)) + "</tr></table>")
             else:
                 out.append(other(pick("ad ad share notice")))
+        if rng.random() < 0.35:  # readers' comments and notes inside the article's element, behind its text
+            out.append("".join(other(k) for k in (["share"] if rng.random() < 0.3 else []) + ["comments"] + (["form"] if rng.random() < 0.3 else [])))
+        elif rng.random() < 0.3:
+            out.append(other(pick("aside footer share form")))
         cuts = sorted({0, *rng.integers(0, len(out), int(rng.integers(0, 3))).tolist(), len(out)}) if nested else [0, len(out)]
         return head + "".join(deep("".join(out[i:j])) for i, j in zip(cuts, cuts[1:], strict=False)) + f"</{tag}>"
 
     nested = rng.random() < 0.5
+    if rng.random() < 0.3:
+        return f"<html><head><title>{say(6)}</title></head><body>{unnamed()}</body></html>"
     before = [other(k) for k in ("nav", "header", "ad", "notice", "aside", "form") if rng.random() < 0.5]
     after = [other(k) for k in ("comments", "aside", "ad", "form", "share", "footer") if rng.random() < 0.5]
     rng.shuffle(before)
@@ -386,26 +542,24 @@ def _made_page(rng: np.random.Generator) -> str:
 
 
 _OUTSIDE = frozenset(w for v in _OTHER.values() for w in v.split())
+_PARTS = _OUTSIDE | frozenset(_MAIN.split()) | frozenset("nav header footer aside article main form section table button li".split())
 
 
 def semantic_labels(blocks: list[Block]) -> np.ndarray | None:
     """Labels of a page that names its article by element, else None: what lies in it, but not in a named other part."""
-    if not any("article" in b.path for b in blocks):
-        return None
-    out = []
-    for b in blocks:
-        at = next((i for i, t in enumerate(b.path) if t == "article"), -1)
-        inside = b.path[at + 1 :]
-        named = any(t in ("nav", "footer", "aside", "form", "button") or (":" in t and t.split(":", 1)[1] in _OUTSIDE) for t in inside)
-        out.append(at >= 0 and not named)
-    return np.array(out, np.float32)
+    return np.array([bool(b.own) for b in blocks], np.float32) if any(b.own for b in blocks) else None
 
 
 def train_labeller(pages: DataFrame, html_col: str = "html", id_col: str = "page_id") -> Labeller:
-    """Fit on MADE_PAGES generated layouts and at most OWN_PAGES pages of the table, chosen by a hash of their ids."""
-    own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html")).where(F.length("html") <= OWN_CHARS)
-    chosen = own.select("page_id").where("page_id is not null").distinct().orderBy(F.xxhash64(F.lit(23), "page_id"), "page_id").limit(OWN_PAGES)
-    sample = own.join(F.broadcast(chosen), "page_id").select("page_id", "html").collect()
+    """Fit on MADE_PAGES generated layouts and at most OWN_PAGES pages of the table, chosen by a hash of their ids.
+
+    Of rows that repeat an id one is taken, the one with the smallest hash of its page. Null ids, null and empty pages, pages
+    longer than OWN_CHARS and pages without an article element are not fitted on. Without any page the layouts alone decide.
+    """
+    own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html")).where(f"page_id is not null and html > '' and length(html) <= {OWN_CHARS}")
+    own = own.withColumn("h", F.xxhash64("html"))
+    chosen = own.groupBy("page_id").agg(F.min("h").alias("h")).orderBy(F.xxhash64(F.lit(23), "page_id"), "page_id").limit(OWN_PAGES)
+    sample = own.join(F.broadcast(chosen), ["page_id", "h"]).groupBy("page_id").agg(F.min("html").alias("html")).collect()
     rng = np.random.default_rng(11)
     data, labels = [], []
     for _ in range(MADE_PAGES):

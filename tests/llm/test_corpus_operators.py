@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -333,6 +334,66 @@ def test_decontaminate_misses_no_leak(spark):
     assert {(r.doc_id, r.item_id) for r in got} == expected and len(expected) >= 20
 
 
+PAGES = {
+    "comments in the article": (
+        """<html><body><header><a href="/">The Daily Example</a></header><div id="page"><article class="post"><h1 class="title">Bees return to the old mill</h1>
+        <p class="lead">After ten years without a single hive, the mill by the river hums again.</p><p>The keeper, a retired teacher, brought two colonies in <a href="/april">April</a> and has counted nine since.</p>
+        <p>Visitors are welcome on Sundays.</p><section class="comments"><h3>Comments</h3><div class="comment"><p>What lovely news, I used to walk there as a child.</p></div><div class="comment"><p>Will they sell honey at the market too?</p></div></section></article></div><footer><p>Copyright The Daily Example</p></footer></body></html>""",
+        ["Bees return to the old mill", "After ten years without a single hive, the mill by the river hums again.", "The keeper, a retired teacher, brought two colonies in April and has counted nine since.", "Visitors are welcome on Sundays."],
+    ),
+    "a list of comments": (
+        """<body><nav><ul><li><a href="/">Home</a></li><li><a href="/about">About</a></li><li><a href="/log">Log</a></li></ul></nav><main><article><h1>Notes on a slow build</h1><p>The compiler spent most of its time in one header, which every file pulled in.</p>
+        <ul><li>Splitting it took an afternoon.</li><li>The build went from nine minutes to four.</li></ul><p>Nothing else changed, so the gain is easy to explain.</p>
+        <ol class="commentlist"><li class="comment"><p>We saw the same thing with our tests last year.</p><a href="#r">Reply</a></li><li class="comment"><p>Which header was it, if I may ask?</p><a href="#r">Reply</a></li></ol></article></main></body>""",
+        ["Notes on a slow build", "The compiler spent most of its time in one header, which every file pulled in.", "Splitting it took an afternoon.", "The build went from nine minutes to four.", "Nothing else changed, so the gain is easy to explain."],
+    ),
+    "tables": (
+        """<html><body><table width="100%"><tr><td colspan="2"><center>Riverside Rowing Club</center></td></tr><tr><td width="150" valign="top"><p><a href="i.html">Home</a></p><p><a href="n.html">News</a></p><p><a href="c.html">Contact</a></p><p><a href="l.html">Links</a></p></td>
+        <td><h2>The spring regatta</h2><p>Forty boats took part in the spring regatta this year, more than ever since the club was founded in the year of the great flood.</p><p>The eight lost its title by half a length, although it led the field until the second bridge, where the current is strongest.</p><p>Next year the course will be moved upstream, so that the families on the meadow can see the finish.</p></td></tr>
+        <tr><td colspan="2">Copyright 2019 Riverside Rowing Club. All rights reserved.</td></tr></table></body></html>""",
+        ["The spring regatta", "Forty boats took part in the spring regatta this year, more than ever since the club was founded in the year of the great flood.", "The eight lost its title by half a length, although it led the field until the second bridge, where the current is strongest.", "Next year the course will be moved upstream, so that the families on the meadow can see the finish."],
+    ),
+    "no names": (
+        """<body><div>Welcome to my site</div><div><span><a href="1">Home</a></span><span><a href="2">Photos</a></span></div><div><p><a href="3">Older posts</a></p><p><a href="4">Archive</a></p></div><div><h1>How to repot a fig</h1><p>Wait until the first leaves open, then water the tree well and lift it out of its pot with both hands.</p><p>Loosen the outer roots, cut away what is brown, and set the tree a little deeper than it stood before.</p><p>Keep it out of the sun for a week; it will sulk, and then it will grow faster than you like.</p></div><div>Powered by hand. All rights reserved. <a href="5">Imprint</a></div></body>""",
+        ["How to repot a fig", "Wait until the first leaves open, then water the tree well and lift it out of its pot with both hands.", "Loosen the outer roots, cut away what is brown, and set the tree a little deeper than it stood before.", "Keep it out of the sun for a week; it will sulk, and then it will grow faster than you like."],
+    ),
+}
+
+
+@pytest.fixture(scope="module")
+def labeller(spark):
+    return html_extract.train_labeller(spark.createDataFrame([], "page_id long, url string, html string"))
+
+
+def test_html_extract_of_written_pages(spark, labeller):
+    """Pages that no generator made, by a model that saw none of them."""
+    table = spark.createDataFrame([(i, name, page, "x", 1) for i, (name, (page, _)) in enumerate(PAGES.items())], "page_id long, url string, html string, text string, n_chars int")
+    got = {r.url: r.text for r in html_extract.extract_text(table, labeller).collect()}
+    assert got == {name: "\n\n".join(text) for name, (_, text) in PAGES.items()}
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<div>x", "<a ", '<a b="', "<b>", "<ul><li>", "<p><span>", "<!--", "<table><p><h1>", "</script ", "<script>", "<svg>", "&amp", "<p class ", "a<b "])
+def test_broken_markup_takes_linear_time(piece):
+    """1 MB of it takes about ten times as long as 100 kB, not a hundred times."""
+    began = time.perf_counter()
+    for end in ("", ">", "'>"):
+        html_extract.features(html_extract.parse_blocks(piece * (1_000_000 // len(piece)) + end))
+    assert time.perf_counter() - began < 60
+
+
+def test_parse_blocks_of_odd_markup():
+    def texts(page):
+        return [b.text for b in html_extract.parse_blocks(page)]
+
+    assert texts("a < b and c<d>e</d>f &lt;g&gt;") == ["a < b and cef <g>"]
+    assert texts('<p title="x>y">one<p>two</div></span>three') == ["one", "two", "three"]
+    assert texts("<p title=\"open>one</p><p>two</p>") == ["one", "two"]
+    assert texts("<!-- <p>no</p> --><p>yes<!-- open") == ["yes"] and texts("<p>x</p><a href=") == ["x"]
+    assert texts("<script>if (a</b) '</p>'</SCRIPT ><p>x</p><style>y") == ["x"] and texts("<svg><p>x</p>") == ["x"]
+    assert texts("<div><b>one<div>two</b>three</div>four</div>") == ["one", "twothree", "four"]
+    assert texts("") == [] and texts("<") == ["<"] and texts(">") == [">"] and texts("\x00<p>\u2028 x\u00a0y") == ["\x00", "x y"]
+
+
 def test_html_extract(spark):
     page = '<html><head><title>T</title></head><body><nav><ul><li><a href="/">menu</a></li></ul></nav><div class="ad">buy</div><article><h1>Head &amp; line</h1><p>First   para.<p><b>Second<br>line.</article><footer>&copy; x</footer><script>var a="<p>no</p>";</script>'
     made = [(i, "u", page.replace("First", f"First {i}")) for i in range(12)]
