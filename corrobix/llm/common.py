@@ -120,7 +120,7 @@ _LOWER[65:91] = _BYTE[97:123]
 #: An odd base that is 3 modulo 8, so differences of its powers keep almost all bits, and its inverse.
 _BASE = np.uint64(0x9E3779B97F4A7C1B)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
-_COEFF = _RNG.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_COEFF = _RNG.integers(0, 2**63, 128, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _CHUNK = 1 << 20
@@ -219,12 +219,15 @@ def _power_table(size: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(made)
 
 
-def ngram_hashes(words: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of k words inside each row, in order, and each row's first index. Rows with fewer words have none."""
+def ngram_hashes(words: np.ndarray, rows: np.ndarray, k: int, turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of k words inside each row, in order, and each row's first index. Rows with fewer words have none.
+
+    Another `turn` gives hashes that are independent of those of the first.
+    """
     n = max(len(words) - k + 1, 0)
     total = np.zeros(n, np.uint64)
     for j in range(k):
-        total += words[j : j + n] * _COEFF[j]
+        total += words[j : j + n] * _COEFF[j + 64 * turn]
     total = mix(total)
     counts = np.maximum(np.diff(rows) - k + 1, 0)
     first = np.zeros(len(counts) + 1, np.int64)

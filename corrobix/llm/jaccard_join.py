@@ -35,7 +35,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
 
     Returns doc_id, n_shingles, component_id (smallest id reachable by links, itself included), one row per input row.
     Null, empty and blank texts have no shingles and link with nothing. Rows with a null id get a null component. Repeated
-    rows give repeated results; rows that repeat an id with another text count as one document of all of these texts' links.
+    rows give repeated results; rows that repeat an id with another text count as one document of all of these texts' links,
+    but for blank texts, which keep their own id.
     Other columns are not read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -65,9 +66,12 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     copies = Table(prints.df.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"), "copies")
     member = prints.df.select("doc_id", *same).join(copies.df, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
     member = Table(member, "member")
-    dropped = member.df.where("rep <> doc_id").select("doc_id").distinct()
+    # Rows, not ids, leave the search as copies: an id that repeats with other texts keeps its other rows, and joins them all.
+    dropped = prints.df.select("doc_id", *same).join(copies.df, same).where("rep <> doc_id").select("doc_id", *same).distinct()
     n_dropped = dropped.count()
-    singles = prints.df.where("n > 0 and doc_id is not null").join(F.broadcast(dropped) if n_dropped <= BROADCAST_IDS else dropped, "doc_id", "left_anti")
+    singles = prints.df.where("n > 0 and doc_id is not null").join(F.broadcast(dropped) if n_dropped <= BROADCAST_IDS else dropped, ["doc_id", *same], "left_anti")
+    several = member.df.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("doc_id")
+    own = Table(member.df.join(several, "doc_id", "left_semi").where("n_shingles > 0 and rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "own")
     rows = singles.select("doc_id", "n", "spare", F.explode(F.array_distinct("keys")).alias("key"))
     shared = rows.groupBy("key").agg(F.min(F.struct("doc_id", "n", "spare")).alias("pivot"), F.max("doc_id").alias("last"), F.count("*").alias("c"))
     shared = Table(shared.where("pivot.doc_id < last").select("key", "pivot", "c"), "keys")
@@ -76,7 +80,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     alike = f"{percent} * greatest(n1, n2) <= 100 * least(n1, n2)"
     # Each key's documents against its smallest one first: most groups of near copies are one component after that.
     stars = posted.df.where("doc_id <> pivot.doc_id").select(F.col("pivot.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("pivot.n").alias("n1"), F.col("n").alias("n2"), F.least("spare", "pivot.spare").alias("spare"))
-    tried = Table(stars.where(alike).groupBy("a", "b").agg(F.count("*").alias("c"), F.max("spare").alias("spare")).where("c > spare").select("a", "b"), "stars")
+    tried = Table(stars.where(alike).groupBy("a", "b").agg(F.count("*").alias("c"), F.min("spare").alias("spare")).where("c > spare").select("a", "b"), "stars")
     linked = Table(verify(tried.df, docs, k, percent), "linked")
     labels = components(linked.df.where("similar"))
     # Then what a key still holds of other components, against all documents of the key.
@@ -87,16 +91,16 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     light = labelled.df.where(F.col("c") <= HOT_KEY)
     odd = light.where("label <> top").select("key", F.col("doc_id").alias("x"), F.col("n2").alias("n1"), F.col("s2").alias("s1"), F.col("label").alias("own"))
     cross = odd.join(light, "key").where(f"own <> label and (label = top or x < doc_id) and {alike}")
-    cross = cross.groupBy(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).agg(F.count("*").alias("c"), F.max(F.least("s1", "s2")).alias("spare")).where("c > spare")
+    cross = cross.groupBy(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("s1", "s2")).alias("spare")).where("c > spare")
     more = Table(verify(cross.select("a", "b").join(tried.df, ["a", "b"], "left_anti"), docs, k, percent), "linked")
     blocks = Table(compare_groups(labelled.df.where(F.col("c") > HOT_KEY), docs, k, percent), "blocks")
-    edges = linked.df.unionByName(more.df).where("similar").select("a", "b").unionByName(blocks.df)
+    edges = linked.df.unionByName(more.df).where("similar").select("a", "b").unionByName(blocks.df).unionByName(own.df)
     final = components(edges)
-    for t in (prints, copies, tried, labelled, labels, linked, more, blocks):
+    for t in (prints, copies, tried, labelled, labels, linked, more, blocks, own):
         t.drop()
     release(spark)
     roots = final.df.toDF("rep", "root")
-    return member.df.join(roots, "rep", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep")).alias("component_id"))
+    return member.df.join(roots, "rep", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep")).alias("component_id"))
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:

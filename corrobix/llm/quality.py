@@ -159,7 +159,12 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nd
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> Quality:
-    """Fit on at most LABELLED labelled and POOL other documents, chosen by a hash of their ids."""
+    """Fit on at most LABELLED labelled and POOL other documents, chosen by a hash of their ids.
+
+    Null ids, labels without a document and null labels are not used; of labels that repeat an id the largest counts, of
+    documents that repeat one the row with the smallest hash. Null texts and columns are values of their own. Without
+    documents, labels or one kind of label the model gives every document the same score. Other columns are not read.
+    """
     bounded_batches(docs.sparkSession)
     docs = _columns(docs)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -174,8 +179,10 @@ def train_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
             meta = meta_features(*(b.column(i).to_pylist() for i in (3, 4, 5))).astype(np.float32)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (text, meta))], names=["doc_id", "y", "text_x", "meta_x"])
 
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("y").cast("long"), "text", "source", "lang", "n_chars").mapInArrow(features, "doc_id long, y long, text_x binary, meta_x binary").collect()
-    rows = sorted({r.doc_id: r for r in sorted(rows, key=lambda r: (r.doc_id, r.text_x, r.meta_x))}.values(), key=lambda r: zlib.crc32(str(r.doc_id).encode()))
+    body = F.struct("text", "source", "lang", "n_chars")
+    single = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.min(F.struct(F.xxhash64(body).alias("h"), body.alias("d"))).alias("x"))  # one row for each id
+    rows = single.select("doc_id", F.col("y").cast("long"), "x.d.text", "x.d.source", "x.d.lang", "x.d.n_chars").mapInArrow(features, "doc_id long, y long, text_x binary, meta_x binary").collect()
+    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
 
     def matrix(own, width, name):
         return np.stack([np.frombuffer(bytes(r[name]), np.float32) for r in own]).astype(np.float64) if own else np.zeros((0, width))

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import Table
 
 LEAF = 32
+#: Equal rows that one task numbers.
+_EQUAL = 4096
 #: Weights by order of the source names, repeating; the share of all words; how often a source may be repeated.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -26,10 +28,10 @@ WORDS = r"[^\x20\x09-\x0D]+"
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 20240607, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Choose how often each document is taken so that sources near their target words.
 
-    Returns doc_id, size, source_size, target, taken and copies, one row per input row. Sources are ranked by code point, null
+    Returns doc_id, size, source_size, target, taken, copies and source, one row per input row. Sources are ranked by code point, null
     (a source of its own) last, and weigh `weights`, repeating. Targets share `share` of all words by weight, at most `most`
     times a source's size, excess reshared. Null and blank texts have size 0 and take no words. Decisions are hashes of seed
-    and ids: reruns agree. Repeated rows are mixed as rows of their own. Other columns are not read. An empty table gives none.
+    and ids: reruns agree. Rows of one id (or none) are mixed as rows of their own, those of one size alike. Other columns are not read. An empty table gives none.
     """
     sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"))
     sized = Table(sized, "sized")
@@ -37,7 +39,12 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     rows = sized.df.join(sources.df.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "rank", "size", "odds", "n")
     apart = (F.col("size") == 0) | (F.col("odds") == 0)
     alone = rows.where(apart).select("rank", "doc_id", "size", F.when((F.col("size") == 0) & (_uniform(F.lit(seed), "doc_id") < F.col("odds")), 1).otherwise(0).alias("up"))
-    items = rows.where(~apart).select("rank", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.ceil(F.col("n") / LEAF)).alias("leaf"), F.struct("size", "doc_id", F.col("odds").alias("f")).alias("item"))
+    # Rows of one id and size are counted and numbered, so that they are dealt to as many leaves as other rows are.
+    counted = Table(rows.where(~apart).groupBy("rank", "doc_id", "size", "odds", "n").agg(F.count("*").alias("m")), "counted")
+    parts = counted.df.where(F.col("m") > _EQUAL).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / _EQUAL)))).repartition("rank", "doc_id", "size", "part")
+    numbered = counted.df.where(F.col("m") <= _EQUAL).withColumn("part", F.lit(0).cast("long")).unionByName(parts)
+    numbered = numbered.withColumn("k", F.explode(F.sequence(F.col("part") * _EQUAL, F.least("m", (F.col("part") + 1) * _EQUAL) - 1)))
+    items = numbered.select("rank", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "size", "k"), F.ceil(F.col("n") / LEAF)).alias("leaf"), F.struct("size", "doc_id", "k", F.col("odds").alias("f")).alias("item"))
     leaves = int(sources.df.agg(F.max(F.ceil(F.col("n") / LEAF))).first()[0] or 1)
     decided, level = [alone], 0
     while True:
@@ -49,13 +56,13 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
         decided.append(done)
         left = folded.df.select("rank", "leaf", "s.carry")
         if last:
-            decided.append(left.select("rank", "carry.doc_id", "carry.size", F.when(_uniform(F.lit(seed), "rank", "carry.doc_id") < F.col("carry.f"), 1).otherwise(0).alias("up")))
+            decided.append(left.select("rank", "carry.doc_id", "carry.size", F.when(_uniform(F.lit(seed), "rank", "carry.doc_id", "carry.k") < F.col("carry.f"), 1).otherwise(0).alias("up")))
             break
         items = left.select("rank", F.floor(F.col("leaf") / LEAF).alias("leaf"), F.col("carry").alias("item"))
         leaves = -(-leaves // LEAF)
-    out = reduce(DataFrame.unionByName, decided).join(sources.df.select("rank", "source_size", "target", "base"), "rank")
+    out = reduce(DataFrame.unionByName, decided).join(sources.df.select("rank", "source", "source_size", "target", "base"), "rank")
     copies = F.col("base") + F.col("up")
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.cast("long").alias("copies"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.cast("long").alias("copies"), "source")
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -89,21 +96,21 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _fold(items: str, salt: int) -> Column:
-    """Round items (doc_id, size, f) pairwise: struct of done (doc_id, size, up) and the carry, the last one still fractional."""
-    carry_type, done_type = "struct<size:bigint,doc_id:bigint,f:double>", "array<struct<doc_id:bigint,size:bigint,up:int>>"
+    """Round items (doc_id, size, k, f) pairwise: struct of done (doc_id, size, up) and the carry, the last one still fractional."""
+    carry_type, done_type = "struct<size:bigint,doc_id:bigint,k:bigint,f:double>", "array<struct<doc_id:bigint,size:bigint,up:int>>"
     start = F.struct(F.element_at(items, 1).cast(carry_type).alias("carry"), F.array().cast(done_type).alias("done"))
 
     def settled(who: Column, up: int) -> Column:
         return F.struct(who["doc_id"].alias("doc_id"), who["size"].alias("size"), F.lit(up).alias("up"))
 
     def moved(who: Column, f: Column) -> Column:
-        return F.struct(who["size"].alias("size"), who["doc_id"].alias("doc_id"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), f)).alias("f"))
+        return F.struct(who["size"].alias("size"), who["doc_id"].alias("doc_id"), who["k"].alias("k"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), f)).alias("f"))
 
     def merge(acc: Column, x: Column) -> Column:
         c = acc["carry"]
         facts = F.struct(
             (c["size"] * c["f"]).alias("mass_c"), (x["size"] * x["f"]).alias("mass_x"), (c["size"] * (1 - c["f"])).alias("room_c"), (x["size"] * (1 - x["f"])).alias("room_x"),
-            _uniform(F.lit(salt), c["doc_id"], x["doc_id"]).alias("u"),
+            _uniform(F.lit(salt), c["doc_id"], c["k"], x["doc_id"], x["k"]).alias("u"),
         )
 
         def choose(s: Column) -> Column:

@@ -3,7 +3,7 @@
 The index is a list of sorted, immutable runs of (fingerprint, doc_id). A fingerprint is the smallest hash of the 5-word runs
 inside a 13-word window, so equal windows have equal fingerprints and neighbouring windows mostly share theirs: a run is about
 a fifth of all windows. Each new batch becomes a run, is merge-joined with the older runs, and windows whose fingerprint was met
-in several documents are verified on hashes of all their words. Runs are compacted once there are more than `fan_in`.
+in several documents are verified on 128 bits of hashes of all their words. Runs are compacted once there are more than `fan_in`.
 """
 
 from __future__ import annotations
@@ -63,7 +63,11 @@ class FingerprintIndex:
         return docs.mapInArrow(posted, "fp long, doc_id long")
 
     def add(self, batch: DataFrame, archive: DataFrame | None) -> Table:
-        """Append a batch as a new run; return (doc_id, windows): hashes of its windows that start in an earlier document."""
+        """Append a batch as a new run; return (doc_id, windows): hashes of its windows that start in an earlier document.
+
+        Rows without an id or with fewer words than a window add nothing; an empty batch adds an empty run. Rows that repeat an
+        id never count as each other's earlier document.
+        """
         self.runs.append(Table(self._postings(batch).hint("rebalance", F.col("fp")).sortWithinPartitions("fp", "doc_id"), "run"))
         old, new = [r.df.withColumn("fresh", F.lit(False)) for r in self.runs[:-1]], self.runs[-1].df.withColumn("fresh", F.lit(True))
         every = reduce(DataFrame.unionByName, [*old, new])
@@ -79,6 +83,7 @@ class FingerprintIndex:
             for b in batches:
                 words, rows = word_hashes(b.column(1))
                 wide, first = ngram_hashes(words, rows, width)
+                check, _ = ngram_hashes(words, rows, width, turn=1)
                 prints = window_fingerprints(words, width)
                 fps = b.column(2)
                 found, row = [], []
@@ -87,19 +92,26 @@ class FingerprintIndex:
                     own = np.sort(fps[i].values.to_numpy(zero_copy_only=False).view(np.uint64))
                     mine = prints[rows[i] : rows[i] + n]
                     at = np.minimum(np.searchsorted(own, mine), len(own) - 1)
-                    hit = np.unique(wide[first[i] : first[i + 1]][own[at] == mine])
+                    hit = first[i] + np.flatnonzero(own[at] == mine)
+                    hit = hit[np.unique(wide[hit], return_index=True)[1]]
                     found.append(hit)
                     row.append(np.full(len(hit), i))
-                flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), b.column(0).take(pa.array(np.concatenate(row) if row else np.zeros(0, np.int64)))], names=["window", "doc_id"])
+                flat = np.concatenate(found) if found else np.zeros(0, np.int64)
+                columns = [pa.array(x[flat].view(np.int64)) for x in (wide, check)]
+                yield pa.RecordBatch.from_arrays([*columns, b.column(0).take(pa.array(np.concatenate(row) if row else np.zeros(0, np.int64)))], names=["window", "check", "doc_id"])
 
-        seen = Table(texts.mapInArrow(windows, "window long, doc_id long"), "windows")
+        seen = Table(texts.mapInArrow(windows, "window long, check long, doc_id long"), "windows")
         lists.drop()
         del texts, every
         release(self.spark)
-        firsts = Table(seen.df.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("window", "first"), "firsts")
+        firsts = seen.df.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("check").alias("check"), F.max("check").alias("other")).where("first < last")
+        firsts = Table(firsts.select("window", "first", (F.col("check") != F.col("other")).alias("differs")), "firsts")
         release(self.spark)
         later = seen.df.join(firsts.df, "window").where("doc_id > first")
+        if not firsts.df.where("differs").isEmpty():  # one hash of several windows: the other hash tells them apart
+            mixed = seen.df.join(firsts.df.where("differs").select("window"), "window", "left_semi")
+            again = mixed.join(mixed.groupBy("window", "check").agg(F.min("doc_id").alias("first")), ["window", "check"]).where("doc_id > first")
+            later = later.where("not differs").select("window", "doc_id").unionByName(again.select("window", "doc_id"))
         if archive is not None:
             later = later.join(F.broadcast(batch.agg(F.min("doc_id").alias("low"))), F.col("doc_id") >= F.col("low"))
         out = Table(later.groupBy("doc_id").agg(F.collect_set("window").alias("windows")), "repeats")
