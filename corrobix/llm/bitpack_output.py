@@ -62,19 +62,21 @@ class WordTokenizer:
     def __init__(self, path: str, separator: str = "<|endoftext|>"):
         self.tokenizer = Tokenizer.from_file(path)
         self.separator, self.separator_id = separator, self.tokenizer.token_to_id(separator)
+        self.kind = np.dtype("<u2" if bits_of(self.tokenizer) <= 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
 
     def encode(self, raw: np.ndarray, off: np.ndarray) -> list[bytes]:
-        """Ids of each text (rows of raw from off) as little-endian 16-bit integers: each distinct word is looked up once."""
+        """Ids of each text (rows of raw from off) as little-endian integers of `kind`: each distinct word is looked up once."""
         starts, ends, rows = word_bounds(raw, off)
         _, first, at = np.unique(hash_spans(raw, starts, ends, lower=True), return_index=True, return_inverse=True)
         body = raw.tobytes().lower()  # bytes: only A-Z change
         ids = self._lookup([body[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
-        sizes = np.array([len(x) // 2 for x in ids], np.int64)
-        flat, begin, counts = np.frombuffer(b"".join(ids), "<u2"), np.cumsum(sizes) - sizes, sizes[at]
+        width = self.kind.itemsize
+        sizes = np.array([len(x) // width for x in ids], np.int64)
+        flat, begin, counts = np.frombuffer(b"".join(ids), self.kind), np.cumsum(sizes) - sizes, sizes[at]
         upto = np.concatenate([[0], np.cumsum(counts)])
         out = flat[np.arange(upto[-1]) + np.repeat(begin[at] - upto[:-1], counts)].tobytes()
-        cut = (2 * upto[rows]).tolist()
+        cut = (width * upto[rows]).tolist()
         return [out[s:e] for s, e in zip(cut[:-1], cut[1:], strict=True)]
 
     def _lookup(self, words: list[bytes]) -> list[bytes]:
@@ -96,47 +98,64 @@ class WordTokenizer:
 
     def _learn(self, words: list[bytes]) -> None:
         """Encode words: plain Latin letters by the model itself, the others in one text, told apart by the separator unless they hold it."""
-        odd, tokenize = self.separator.encode()[:2], self.tokenizer.model.tokenize
+        odd, tokenize, code = self.separator.encode()[:2], self.tokenizer.model.tokenize, "H" if self.kind.itemsize == 2 else "I"
         plain = []
         for w in words:
             if w.isalpha():
-                self.known[w] = struct.pack(f"<{len(ids)}H", *ids) if (ids := [t.id for t in tokenize(w.decode())]) else b""
+                self.known[w] = struct.pack(f"<{len(ids)}{code}", *ids) if (ids := [t.id for t in tokenize(w.decode())]) else b""
             elif _LATIN.fullmatch(text := w.decode()):  # lowering and normal form are simple for these
                 ids = [t.id for t in tokenize(text.lower().encode().decode("latin-1").translate(_BYTE_CHARS))]
-                self.known[w] = struct.pack(f"<{len(ids)}H", *ids)
+                self.known[w] = struct.pack(f"<{len(ids)}{code}", *ids)
             elif odd not in w:
                 plain.append(w)
         ids = np.array(self.tokenizer.encode_batch_fast([self.separator.join(w.decode() for w in plain)], add_special_tokens=False)[0].ids if plain else [], np.int64)
         cut = np.flatnonzero(ids == self.separator_id)
-        for w, own in zip(plain, np.split(ids.astype("<u2"), cut), strict=True) if plain else ():
+        for w, own in zip(plain, np.split(ids.astype(self.kind), cut), strict=True) if plain else ():
             self.known[w] = (own[1:] if len(own) and own[0] == self.separator_id else own).tobytes()
         for w in words:
             if odd in w:
-                self.known[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u2").tobytes()
+                self.known[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, self.kind).tobytes()
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
+class TextTokenizer:
+    """The library's encoding of whole texts as it is, for any tokenizer."""
 
+    def __init__(self, path: str):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.kind = np.dtype("<u2" if bits_of(self.tokenizer) <= 16 else "<u4")
+
+    def encode(self, raw: np.ndarray, off: np.ndarray) -> list[bytes]:
+        """Ids of each text (rows of raw from off) as little-endian integers of `kind`."""
+        body, cut = raw.tobytes(), off.tolist()
+        texts = [body[s:e].decode() for s, e in zip(cut[:-1], cut[1:], strict=True)]
+        return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def bits_of(tokenizer: Tokenizer) -> int:
+    """The fewest bits that hold every id of the vocabulary."""
+    return max(1, max(END_ID, *tokenizer.get_vocab(with_added_tokens=True).values()).bit_length())
 
-def shared_tokenizer(path: str) -> WordTokenizer:
+
+_tokenizers: dict[tuple[str, bool], WordTokenizer | TextTokenizer] = {}
+
+
+def shared_tokenizer(path: str, by_words: bool) -> WordTokenizer | TextTokenizer:
     """One tokenizer for all tasks of a worker."""
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    if (path, by_words) not in _tokenizers:
+        _tokenizers[path, by_words] = (WordTokenizer if by_words else TextTokenizer)(path)
+    return _tokenizers[path, by_words]
 
 
-def write_packed(docs: DataFrame, tokenizer_path: str, n_shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> Table:
+def write_packed(docs: DataFrame, tokenizer_path: str, n_shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", by_words: bool = True) -> Table:
     """Tokenise whole texts, append END_ID to each document and write blocks in ascending doc_id order.
 
+    `by_words` looks each distinct word up once, for tokenizers that `WordTokenizer` is valid for; others take whole texts.
     Null and empty texts give the end id alone. Repeated doc_ids are each written, side by side; null ids come first. Other
     columns are not read. An empty table writes no blocks.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    bits = max(1, (Tokenizer.from_file(tokenizer_path).get_vocab_size(with_added_tokens=True) - 1).bit_length())
-    if bits > 16:
-        raise ValueError("word-cached tokenising keeps ids in 16 bits; the vocabulary needs more")
-
+    bits = bits_of(Tokenizer.from_file(tokenizer_path))
     shards = n_shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = [F.col("doc_id").asc_nulls_first(), F.col("text")]  # ranges are cut by a text's head: sampled keys go to the driver
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).repartitionByRange(shards, order[0], F.substring("text", 1, 64)).sortWithinPartitions(*order)
@@ -144,13 +163,14 @@ def write_packed(docs: DataFrame, tokenizer_path: str, n_shards: int | None = No
     schema = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("bits", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary())])
 
     def blocks(batches):
-        words = shared_tokenizer(tokenizer_path)
-        end = np.array([END_ID], np.uint16).tobytes()
+        words = shared_tokenizer(tokenizer_path, by_words)
+        kind, width = words.kind, words.kind.itemsize
+        end = np.array([END_ID], kind).tobytes()
         number, shard, ids, body, held = 0, 0, [], [], 0
 
         def block():
-            flat = np.frombuffer(b"".join(body), np.uint16)
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 2 for x in body])]).tolist()
+            flat = np.frombuffer(b"".join(body), kind)
+            offsets = np.concatenate([[0], np.cumsum([len(x) // width for x in body])]).tolist()
             return pa.RecordBatch.from_pydict({"shard": [shard], "block": [number], "bits": [bits], "doc_ids": [list(ids)], "offsets": [offsets], "payload": [pack(flat, bits)]}, schema=schema)
 
         for b in batches:
@@ -162,7 +182,7 @@ def write_packed(docs: DataFrame, tokenizer_path: str, n_shards: int | None = No
                 for i, x in enumerate(words.encode(raw[off[at] : off[to]], off[at : to + 1] - off[at]), at):
                     ids.append(doc_ids[i])
                     body.append(x + end)
-                    held += len(x) // 2 + 1
+                    held += len(x) // width + 1
                     if held >= _BLOCK_IDS:
                         yield block()
                         number, ids, body, held = number + 1, [], [], 0
