@@ -13,7 +13,7 @@ from .html_extract import extract_text, train_labeller
 from .jaccard_join import jaccard_components
 from .language_id import held_out, learn_profiles, predict_language
 from .quality import score_quality, train_quality
-from .secret_scan import digest, scan_secrets
+from .secret_scan import digest, learn_dictionary, scan_secrets
 from .source_mix import mix_sources
 from .substring_dedup import remove_repeats
 
@@ -62,7 +62,8 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(scan_secrets(_read(spark, sf_dir, "documents")))
+    docs = _read(spark, sf_dir, "documents")
+    return digest(scan_secrets(docs, learn_dictionary(docs)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

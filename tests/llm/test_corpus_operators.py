@@ -146,6 +146,27 @@ def test_token_output_round_trip(spark, docs, empty):
     assert bitpack_output.read_packed(bitpack_output.write_packed(empty, path).df).collect() == []
 
 
+@pytest.mark.parametrize("by_words", [True, False])
+def test_token_output_of_a_wide_vocabulary(spark, docs, tmp_path, by_words):
+    """70,000 words need 17 bits: ids go through blocks that are not aligned to bytes."""
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    vocabulary = {"<unk>": 0, "<|endoftext|>": 1, "</s>": 2} | {f"w{i}": 69_999 - i for i in range(69_997)}
+    tokenizer = Tokenizer(models.WordLevel(vocabulary, unk_token="<unk>"))
+    tokenizer.normalizer, tokenizer.pre_tokenizer = normalizers.Lowercase(), pre_tokenizers.WhitespaceSplit()
+    tokenizer.add_special_tokens(["<|endoftext|>"])
+    path = str(tmp_path / "wide.json")
+    tokenizer.save(path)
+    blocks = bitpack_output.write_packed(docs, path, by_words=by_words)
+    assert blocks.df.first().bits == 17
+    expected = {}
+    for r in docs.where("doc_id is not null").collect():
+        ids = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, bitpack_output.END_ID]
+        expected[r.doc_id] = (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    got = bitpack_output.read_packed(blocks.df).where("doc_id is not null").collect()
+    assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in got} == expected and max(n for n, _ in expected.values()) > 19_000
+
+
 @pytest.mark.parametrize("bits", [1, 7, 15, 16, 17, 31])
 def test_bit_packing(bits):
     ids = np.random.default_rng(bits).integers(0, 2**bits, 999).astype(np.uint32)
@@ -290,6 +311,40 @@ def test_secret_scan(spark, empty):
     assert secret_scan.scan_secrets(empty).collect() == []
 
 
+def test_secret_scan_of_planted_secrets(spark):
+    """Recall and precision of novel spans in code and prose, under a dictionary learned from other rows of such text."""
+    rng = np.random.default_rng(31)
+    syllables = "con fig data base user name load save file path host port node item list table value index query event order client server handle request cache token auth key secret private session".split()
+
+    def name(n):
+        style, own = rng.integers(4), [str(rng.choice(syllables)) for _ in range(n)]
+        return {0: "_".join(own), 1: "".join(x.capitalize() for x in own), 2: "/" + "/".join(own), 3: "-".join(own)}[int(style)]
+
+    def secret():
+        letters = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEF0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz0123456789_-"][rng.integers(4)]
+        return "".join(rng.choice(list(letters), rng.integers(28, 50)))
+
+    def line(value):
+        return [f'set("{name(1)}.credential", "{value}");', f"the private one is {value} as of now", f"auth {value}", f'<signature value="{value}"/>', f"session={value};"][rng.integers(5)]
+
+    rows, planted, harmless = [], {}, {}
+    for i in range(600):
+        value = secret() if i % 2 else name(int(rng.integers(3, 7)))
+        while len(value) < 16:
+            value += name(2)
+        text = "\n".join([f"{name(2)} = {name(3)}({name(2)})", line(value), " ".join(rng.choice(syllables, 12))])
+        rows.append((i, text, None, None, 1, 1, ""))
+        (planted if i % 2 else harmless)[i] = (text.index(value), text.index(value) + len(value))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    learned = secret_scan.learn_dictionary(docs.where("doc_id % 2 = 0").unionByName(spark.createDataFrame([(None, None, None, None, 1, 1, ""), (5, "", None, None, 1, 1, "")], SCHEMA)))
+    assert "session" in learned.split() and secret_scan.learn_dictionary(docs.limit(0)) == ""
+    found = {r.doc_id: {(s, e) for k, s, e in zip(r.kinds, r.starts, r.ends, strict=True) if k == "novel"} for r in secret_scan.scan_secrets(docs, learned).collect()}
+    caught = sum(any(s < e2 and s2 < e for s2, e2 in found[i]) for i, (s, e) in planted.items())
+    wrong = sum(bool(found[i]) for i in harmless)
+    print(f"recall {caught / len(planted):.3f}, harmless strings reported {wrong / len(harmless):.3f}")
+    assert caught >= 0.95 * len(planted) and wrong <= 0.05 * len(harmless)
+
+
 def test_secret_scan_on_both_sides_and_down_a_block():
     rng = np.random.default_rng(4)
     letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
