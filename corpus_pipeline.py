@@ -5,7 +5,7 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corrobix.llm.bitpack_output import default_tokenizer, read_packed, write_packed
@@ -13,7 +13,7 @@ from corrobix.llm.common import BROADCAST_IDS, Table, with_ids
 from corrobix.llm.decontaminate import find_leaks
 from corrobix.llm.jaccard_join import jaccard_components
 from corrobix.llm.quality import score_quality, train_quality
-from corrobix.llm.source_mix import mix_sources
+from corrobix.llm.source_mix import WORDS, mix_sources
 
 #: Near duplicates share 80 % of their five-word shingles.
 SHINGLE, PERCENT = 5, 80
@@ -37,31 +37,51 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; rows with a null id, blank texts and an empty benchmark leave all as it is."""
     return _without(docs, find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in as many copies as the mix takes; rows with a null id go with the copies of such rows."""
-    chosen = Table(mix_sources(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0"), "copies").df
-    chosen = chosen.withColumnRenamed("doc_id", "of")
-    taken = docs.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen, F.col("doc_id").eqNullSafe(F.col("of")))
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*docs.columns)
+    """Documents in as many copies as the mix takes.
+
+    Rows of one id (or none), source and size are told apart by their text's hash: the first of them get the larger copies.
+    """
+    size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
+    chosen = mix_sources(docs).groupBy("doc_id", "source", "size").agg(F.count("*").alias("_rows"), F.min("copies").alias("_low"), F.sum("copies").alias("_all"))
+    chosen = Table(chosen.where("_all > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_rows", "_low", "_all"), "copies").df
+    few = chosen.count() <= BROADCAST_IDS // 8  # a row has an id, a name and four numbers
+    key = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
+    taken = docs.withColumn("_words", size).join(F.broadcast(chosen) if few else chosen, key)
+    shared = "_low * _rows < _all"
+    alike = taken.where(f"_rows = 1 or not {shared}").withColumn("_copies", F.when(F.col("_rows") == 1, F.col("_all")).otherwise(F.col("_low")))
+    if not chosen.where(f"_rows > 1 and {shared}").isEmpty():
+        place = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns)))
+        apart = taken.where(f"_rows > 1 and {shared}").withColumn("_copies", F.col("_low") + F.when(place <= F.col("_all") - F.col("_low") * F.col("_rows"), 1).otherwise(0))
+        alike = alike.unionByName(apart)
+    return alike.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*(F.col(c) for c in docs.columns))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents as packed token ids; returns where each starts and a digest, read back from the blocks."""
+    """All documents as packed token ids; returns where each starts and a digest, read back from the blocks.
+
+    Copies of a document are written side by side; null ids come first, null and empty texts are the end id alone.
+    """
     return read_packed(write_packed(docs, default_tokenizer()).df)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("mix", mix), ("token_ids", token_ids)]
 
-#: Trained models, hashes and a tokenizer decide the rows: no SQL says the same. Tests compare each stage with brute force.
+#: Trained models, hashes and a tokenizer decide the rows: no SQL says the same. tests/llm/test_pipeline.py compares each stage
+#: with brute force on a small table.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each one's result written before the next."""
+    """All stages over documents, each one's result written before the next.
+
+    Nulls in any column, blank and very long texts and repeated rows go through every stage as its docstring says; extra columns
+    are carried to the mix. An empty table gives an empty result with the last stage's columns.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = Table(stage(spark, docs, sf_dir), name).df
