@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
 def bounded_batches(spark: SparkSession) -> None:
     """Texts may be long, so Arrow batches are kept to fewer rows than Spark's default."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1500")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
 
 
 class Table:
