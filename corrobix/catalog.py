@@ -12,31 +12,24 @@ from pyspark.sql import functions as F
 from .functions.keys import ELIGIBLE_CLASSES, KEY, blocked_reason, keeps_global, service_class
 from .operators import baselines, evaluation, lifecycle, overlap, perturb, scoring, sequences
 from .plans.oracle import BASE, EVENTS
+from .plans.registered import QUERIES as _QUERIES
+from .plans.registered import SQL as _SQL
+from .plans.registered import query
 from .sources.observations import evidence_cube, from_events, from_star_schema, with_key
+from .sources.tables import written
 from .streaming import windows
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
 _K = "device_type, endpoint, protocol, port"
 
 
-def query(sql: str | None, base: str = BASE):
-    """Register a query under its name, with the SQL that gives the same rows."""
-
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = base + sql
-        return f
-
-    return add
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import attack_queries, report_queries  # noqa: F401  they register theirs
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -44,6 +37,11 @@ def _cube(spark, d):
     return evidence_cube(from_star_schema(spark, d))
 
 
+def _cube_once(spark, d):
+    """The cube as a written table, for queries that read it more than once."""
+    return written(_cube(spark, d), "cube")
+
+
 def _scored(spark, d, **gate):
     return scoring.score(_cube(spark, d), **gate)
 
@@ -99,7 +97,7 @@ te AS (SELECT device_type, sum(weight) AS all_w FROM (SELECT DISTINCT device_typ
 
 @query(_TRUST + f"SELECT {_K}, round(w / all_w, 6) AS site_confidence, round(0.6 * (w / all_w) + 0.4 * temporal_confidence, 6) AS score FROM tc JOIN te USING (device_type) JOIN base USING ({_K})")
 def score_trust(spark, d):
-    cube = _cube(spark, d)
+    cube = _cube_once(spark, d)
     return scoring.score(cube, scoring.trust_confidence(cube, scoring.trust_weights(cube))).select(*KEY, *_r("site_confidence", "score"))
 
 
@@ -117,13 +115,13 @@ def _clusters(cube):
 
 @query(_CLUSTERS + "SELECT * FROM cl", _RECURSIVE)
 def site_clusters(spark, d):
-    return _clusters(_cube(spark, d))
+    return _clusters(_cube_once(spark, d))
 
 
 @query(_CLUSTERS + f"""SELECT {_K}, round(CAST(c AS DOUBLE) / all_c, 6) AS site_confidence, round(0.6 * (CAST(c AS DOUBLE) / all_c) + 0.4 * temporal_confidence, 6) AS score
 FROM (SELECT {_K}, count(DISTINCT cluster) AS c FROM pairs JOIN cl USING (device_type, site_id) GROUP BY ALL) JOIN (SELECT device_type, count(DISTINCT cluster) AS all_c FROM cl GROUP BY 1) USING (device_type) JOIN base USING ({_K})""", _RECURSIVE)
 def score_independence(spark, d):
-    cube = _cube(spark, d)
+    cube = _cube_once(spark, d)
     return scoring.score(cube, scoring.cluster_confidence(cube, _clusters(cube))).select(*KEY, *_r("site_confidence", "score"))
 
 
@@ -131,7 +129,7 @@ def score_independence(spark, d):
 (SELECT {_K}, sum(m) AS w FROM (SELECT {_K}, cluster, max(weight) AS m FROM pairs JOIN cl USING (device_type, site_id) JOIN weights USING (site_id) GROUP BY ALL) GROUP BY ALL)
 JOIN (SELECT device_type, sum(m) AS all_w FROM (SELECT device_type, cluster, max(weight) AS m FROM cl JOIN weights USING (site_id) GROUP BY 1, 2) GROUP BY 1) USING (device_type)""", _RECURSIVE)
 def score_combined(spark, d):
-    cube = _cube(spark, d)
+    cube = _cube_once(spark, d)
     return scoring.score(cube, scoring.combined_confidence(cube, _clusters(cube), scoring.trust_weights(cube))).select(*KEY, *_r("site_confidence"))
 
 
@@ -144,13 +142,13 @@ FROM base LEFT JOIN qf USING ({_K}) LEFT JOIN qd USING (device_type)"""
 
 @query(_quarantine_sql("SELECT site_id FROM cube GROUP BY 1 HAVING date_diff('day', min(day), (SELECT max(day) FROM cube)) < 2525"))
 def score_quarantine_tenure(spark, d):
-    cube = _cube(spark, d)
+    cube = _cube_once(spark, d)
     return scoring.score(cube, quarantined=scoring.quarantined_by_tenure(cube, 2525)).select(*KEY, *_r("score"))
 
 
 @query(_quarantine_sql("SELECT site_id FROM breadth WHERE breadth < 1000"))
 def score_quarantine_floor(spark, d):
-    cube = _cube(spark, d)
+    cube = _cube_once(spark, d)
     return scoring.score(cube, quarantined=scoring.quarantined_by_breadth(cube, 1000)).select(*KEY, *_r("score"))
 
 
@@ -166,7 +164,7 @@ def site_breadth(spark, d):
 
 @query("SELECT site_id, breadth, reference, round(weight, 6) AS weight FROM weights")
 def trust_weights(spark, d):
-    return scoring.trust_weights(_cube(spark, d)).select("site_id", "breadth", "reference", *_r("weight"))
+    return scoring.trust_weights(_cube_once(spark, d)).select("site_id", "breadth", "reference", *_r("weight"))
 
 
 @query(f"SELECT DISTINCT {_K} FROM cube")
@@ -176,7 +174,7 @@ def baseline_local(spark, d):
 
 @query(f"SELECT {_K}, supporting_sites, eligible_sites FROM base WHERE CAST(supporting_sites AS DOUBLE) / eligible_sites >= 0.5")
 def baseline_majority(spark, d):
-    cube = _cube(spark, d)
+    cube = _cube_once(spark, d)
     return baselines.majority(scoring.fact_totals(cube).join(scoring.device_totals(cube), "device_type"))
 
 
@@ -188,13 +186,13 @@ SELECT * FROM (SELECT {_K}, round(sum(w) / any_value(all_w), 9) AS ratio FROM pv
 
 @query(_vote_sql("SELECT site_id, CAST(r AS DOUBLE) / max(r) OVER () AS w FROM (SELECT site_id, sum(n) AS r FROM cube GROUP BY 1)", ">= 0.6"))
 def baseline_weighted(spark, d):
-    return baselines.weighted(_cube(spark, d))
+    return baselines.weighted(_cube_once(spark, d))
 
 
 @query(_vote_sql("SELECT site_id, CASE WHEN site_id IN ('site-8', 'site-9') THEN 0.1 ELSE weight END AS w FROM weights", "> 0.5"))
 def baseline_rwv(spark, d):
     """Sites 8 and 9 are new: they vote on probation."""
-    cube = _cube(spark, d)
+    cube = _cube_once(spark, d)
     return baselines.reputation(cube, scoring.trust_weights(cube).where(~F.col("site_id").isin("site-8", "site-9")))
 
 
@@ -289,7 +287,7 @@ _STAGES = {"observed": "TRUE", "quorum": "supporting_sites >= 2", "class": "supp
     for i, (s, c) in enumerate(_STAGES.items())
 ))
 def recall_funnel(spark, d):
-    scored = overlap.cut(_scored(spark, d))  # one row a fact, read by every stage
+    scored = written(_scored(spark, d))  # one row a fact, read by every stage
     return evaluation.funnel({s: scored.where(c) for s, c in _STAGES.items()}, _truth(spark, d))
 
 
@@ -427,35 +425,39 @@ def cooccurrence_edges(spark, d):
 
 @query("SELECT device_type, a, b, common, either, round(jaccard, 6) AS jaccard FROM jac")
 def site_jaccard(spark, d):
-    return overlap.site_jaccard(_cube(spark, d)).select("device_type", "a", "b", "common", "either", *_r("jaccard"))
+    return overlap.site_jaccard(_cube_once(spark, d)).select("device_type", "a", "b", "common", "either", *_r("jaccard"))
 
 
 @query("""SELECT device_type, site_id, nearest, jaccard FROM (SELECT device_type, site_id, other AS nearest, round(jaccard, 6) AS jaccard, row_number() OVER (PARTITION BY device_type, site_id ORDER BY jaccard DESC, other) AS i
 FROM (SELECT device_type, a AS site_id, b AS other, jaccard FROM jac UNION ALL SELECT device_type, b, a, jaccard FROM jac)) WHERE i = 1""")
 def nearest_site(spark, d):
-    return overlap.nearest_site(overlap.site_jaccard(_cube(spark, d))).select("device_type", "site_id", "nearest", *_r("jaccard"))
+    return overlap.nearest_site(overlap.site_jaccard(_cube_once(spark, d))).select("device_type", "site_id", "nearest", *_r("jaccard"))
 
 
 @query("SELECT a, b, round(avg(jaccard), 6) AS jaccard, count(*) AS devices FROM jac GROUP BY 1, 2")
 def org_overlap(spark, d):
-    return overlap.site_jaccard(_cube(spark, d)).groupBy("a", "b").agg(F.round(F.avg("jaccard"), 6).alias("jaccard"), F.count("*").alias("devices"))
+    return overlap.site_jaccard(_cube_once(spark, d)).groupBy("a", "b").agg(F.round(F.avg("jaccard"), 6).alias("jaccard"), F.count("*").alias("devices"))
 
 
 @query(f"SELECT site_id, device_type, count(*) AS exceptions FROM pairs ANTI JOIN (SELECT {_K} FROM scored WHERE accepted) s USING ({_K}) GROUP BY 1, 2")
 def exceptions_per_site(spark, d):
-    cube = _cube(spark, d)
+    cube = _cube_once(spark, d)
     return cube.select("site_id", *KEY).distinct().join(scoring.score(cube).where("accepted"), list(KEY), "left_anti").groupBy("site_id", "device_type").agg(F.count("*").alias("exceptions"))
 
 
-@query("""SELECT 'site-' || r AS receiver, count(*) AS queue, count(o.device_type) AS confirmed FROM (SELECT 0 AS r UNION ALL SELECT 1 UNION ALL SELECT 2) JOIN
-LATERAL (SELECT device_type, endpoint, protocol, port FROM pairs WHERE site_id <> 'site-' || r GROUP BY ALL HAVING count(*) >= 6) q ON TRUE LEFT JOIN pairs o ON o.site_id = 'site-' || r AND o.device_type = q.device_type AND o.endpoint = q.endpoint AND o.protocol = q.protocol AND o.port = q.port GROUP BY 1""")
+_OTHERS = f""", rc AS (SELECT DISTINCT site_id AS receiver, device_type FROM pairs), oc AS (SELECT receiver, c.* FROM rc JOIN cube c ON c.device_type = rc.device_type AND c.site_id <> receiver),
+od AS (SELECT receiver, device_type, count(DISTINCT site_id) AS es, count(DISTINCT day) AS dd, sum(n) AS dn FROM oc GROUP BY 1, 2),
+ofa AS (SELECT receiver, {_K}, count(DISTINCT site_id) AS ss, count(DISTINCT day) AS ds, sum(n) AS ns FROM oc GROUP BY ALL),
+oscored AS (SELECT f.*, endpoint_class, CAST(0.6 AS DOUBLE) * (CAST(ss AS DOUBLE) / es) + CAST(0.4 AS DOUBLE) * least(1.0, CAST(0.7 AS DOUBLE) * CAST(ds AS DOUBLE) / greatest(dd, 1) + CAST(0.3 AS DOUBLE) * CAST(ns AS DOUBLE) / greatest(dn, 1)) AS score
+  FROM ofa f JOIN od USING (receiver, device_type) JOIN (SELECT {_K}, endpoint_class FROM base) USING ({_K}))
+"""
+
+
+@query(_OTHERS + f"""SELECT receiver, count(*) AS queue, count(o.site_id) AS confirmed FROM (SELECT * FROM oscored WHERE ss >= 2 AND endpoint_class <> 'other' AND score >= CAST(0.65 AS DOUBLE)) q
+LEFT JOIN pairs o ON o.site_id = receiver AND {' AND '.join(f'o.{k} = q.{k}' for k in KEY)} GROUP BY 1""")
 def loo_transfer(spark, d):
-    """Facts that six other sites report, and how many of them the receiver has seen."""
-    pairs = _cube(spark, d).select("site_id", *KEY).distinct()
-    receivers = spark.range(3).select(F.concat(F.lit("site-"), F.col("id").cast("string")).alias("receiver"))
-    others = pairs.join(F.broadcast(receivers), F.col("site_id") != F.col("receiver")).groupBy("receiver", *KEY).agg(F.count("*").alias("s")).where("s >= 6")
-    seen = pairs.select(F.col("site_id").alias("receiver"), *KEY, F.lit(1).alias("seen"))
-    return others.join(seen, ["receiver", *KEY], "left").groupBy("receiver").agg(F.count("*").alias("queue"), F.count("seen").alias("confirmed"))
+    """For every site: the facts that the other sites' evidence alone admits, and how many of them the site has seen."""
+    return scoring.leave_one_out(_cube_once(spark, d)).where("accepted").groupBy("receiver").agg(F.count("*").alias("queue"), F.count_if("seen").alias("confirmed"))
 
 
 @query("SELECT count(*) AS every, count(*) FILTER (supporting_sites >= 4) AS quorum, count(*) FILTER (supporting_sites >= 4 AND score >= CAST(0.5 AS DOUBLE)) AS quorum_score, count(*) FILTER (supporting_sites >= 4 AND score >= CAST(0.5 AS DOUBLE) AND endpoint_class <> 'other') AS admitted FROM scored")
@@ -587,11 +589,11 @@ cn AS (SELECT site_id, device_type, count(*) AS n FROM cs GROUP BY 1, 2), cc AS
 """
 
 
-@query(_CLASS_SETS + "SELECT device_type, round(avg(CAST(common AS DOUBLE) / (x.n + y.n - common)), 6) AS jaccard, count(*) AS pairs FROM cc JOIN cn x USING (device_type) JOIN cn y USING (device_type) WHERE x.site_id = a AND y.site_id = b GROUP BY 1")
+@query(_CLASS_SETS + "SELECT x.device_type, round(avg(CAST(coalesce(common, 0) AS DOUBLE) / (x.n + y.n - coalesce(common, 0))), 6) AS jaccard, count(*) AS pairs FROM cn x JOIN cn y ON x.device_type = y.device_type AND x.site_id < y.site_id LEFT JOIN cc ON cc.device_type = x.device_type AND x.site_id = a AND y.site_id = b GROUP BY 1")
 def granularity_overlap(spark, d):
     """Mean overlap of pairs of sites by service class: coarser than by fact."""
     classes = _cube(spark, d).select("site_id", "device_type", service_class().alias("endpoint")).distinct().withColumn("protocol", F.lit("")).withColumn("port", F.lit(0))
-    pairs = overlap.site_jaccard(classes).where("common > 0")
+    pairs = overlap.site_jaccard(written(classes, "classes"))
     return pairs.groupBy("device_type").agg(F.round(F.avg("jaccard"), 6).alias("jaccard"), F.count("*").alias("pairs"))
 
 
@@ -617,18 +619,19 @@ def weight_grid(spark, d):
 _PRIORS = {"union": 1, "two sites": 2, "five sites": 5}
 
 
-@query(", late AS (SELECT site_id, device_type, endpoint, protocol, port FROM cube WHERE site_id IN ('site-0', 'site-1', 'site-2') GROUP BY ALL HAVING min(day) >= DATE '1995-01-01')\n" + " UNION ALL ".join(
-    f"SELECT l.site_id AS receiver, '{name}' AS prior, count(*) AS later, count(p.device_type) AS known FROM late l LEFT JOIN (SELECT r.site_id AS receiver, {', '.join('o.' + k for k in KEY)} FROM (SELECT DISTINCT site_id FROM late) r JOIN cube o ON o.site_id <> r.site_id AND o.day < DATE '1995-01-01' GROUP BY ALL HAVING count(DISTINCT o.site_id) >= {m}) p ON p.receiver = l.site_id AND {' AND '.join(f'p.{k} = l.{k}' for k in KEY)} GROUP BY 1"
+@query(", late AS (SELECT site_id, device_type, endpoint, protocol, port FROM cube GROUP BY ALL HAVING min(day) >= DATE '1995-01-01'), early AS (SELECT DISTINCT site_id, device_type, endpoint, protocol, port FROM cube WHERE day < DATE '1995-01-01')\n" + " UNION ALL ".join(
+    f"SELECT l.site_id AS receiver, '{name}' AS prior, count(*) AS later, count(p.device_type) AS known FROM late l LEFT JOIN (SELECT {', '.join(KEY)} FROM early GROUP BY ALL HAVING count(*) >= {m}) p ON {' AND '.join(f'p.{k} = l.{k}' for k in KEY)} GROUP BY 1"
     for name, m in _PRIORS.items()
 ))
 def cold_start(spark, d):
-    """How many of a receiver's later facts other sites' earlier evidence already holds, by the prior's quorum."""
-    cube, start = _cube(spark, d), F.lit("1995-01-01").cast("date")
-    receivers = ("site-0", "site-1", "site-2")
-    late = cube.where(F.col("site_id").isin(*receivers)).groupBy("site_id", *KEY).agg(F.min("day").alias("first")).where(F.col("first") >= start).select(F.col("site_id").alias("receiver"), *KEY)
-    names = spark.createDataFrame([(r,) for r in receivers], "receiver string")
-    early = cube.where(F.col("day") < start).select("site_id", *KEY).distinct().join(F.broadcast(names), F.col("site_id") != F.col("receiver")).groupBy("receiver", *KEY).agg(F.count("*").alias("s"))
-    rows = late.join(early, ["receiver", *KEY], "left").withColumn("p", F.explode(F.array(*(F.struct(F.lit(k).alias("prior"), F.lit(v).alias("m")) for k, v in _PRIORS.items()))))
+    """For every site: how many of its later facts the other sites' earlier evidence already holds, by the prior's quorum.
+
+    A later fact is one that the site itself has not seen before, so all earlier evidence of it is the others'.
+    """
+    cube, start = _cube_once(spark, d), F.lit("1995-01-01").cast("date")
+    late = cube.groupBy("site_id", *KEY).agg(F.min("day").alias("first")).where(F.col("first") >= start).select(F.col("site_id").alias("receiver"), *KEY)
+    early = cube.where(F.col("day") < start).groupBy(*KEY).agg(F.count_distinct("site_id").alias("s"))
+    rows = late.join(early, list(KEY), "left").withColumn("p", F.explode(F.array(*(F.struct(F.lit(k).alias("prior"), F.lit(v).alias("m")) for k, v in _PRIORS.items()))))
     return rows.groupBy("receiver", F.col("p.prior").alias("prior")).agg(F.count("*").alias("later"), F.count_if(F.coalesce(F.col("s") >= F.col("p.m"), F.lit(False))).alias("known"))
 
 
@@ -658,4 +661,4 @@ def daily_counts(spark, d):
 @query(None)
 def pagerank_confidence(spark, d):
     """Graph confidence of all facts over the co-occurrence of facts that share a site or more."""
-    return overlap.fact_pagerank(_cube(spark, d))
+    return overlap.fact_pagerank(_cube_once(spark, d))

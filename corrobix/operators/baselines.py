@@ -32,7 +32,7 @@ def reputation(cube: DataFrame, weights: DataFrame, unknown: float = 0.1, share:
 
 
 def _vote(cube: DataFrame, weights: DataFrame, unknown: float) -> DataFrame:
-    pairs = cube.select("site_id", *KEY).distinct().join(F.broadcast(weights), "site_id", "left").fillna(unknown, ["w"])
+    pairs = cube.select("site_id", *KEY).distinct().join(weights, "site_id", "left").fillna(unknown, ["w"])
     eligible = pairs.select("device_type", "site_id", "w").distinct().groupBy("device_type").agg(F.sum("w").alias("all_w"))
     votes = pairs.groupBy(*KEY).agg(F.sum("w").alias("for_w"))
     return votes.join(eligible, "device_type").select(*KEY, F.round(F.col("for_w") / F.col("all_w"), 9).alias("ratio"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import KEY, PRIVATE, in_blocks, ipv4_number
-from .overlap import cut
+from ..sources.tables import written
 
 WILDCARD, GATEWAY = "*", "gateway"
 
@@ -42,8 +42,8 @@ def matches(predicted: DataFrame, rules: DataFrame) -> DataFrame:
 
 def semantic_metrics(predicted: DataFrame, rules: DataFrame) -> DataFrame:
     """Precision, recall and F1 by device type, many to many; an empty side gives 0."""
-    predicted, rules = cut(predicted.select(*KEY)), cut(rules)  # facts and rules are read for every kind of rule
-    m = cut(matches(predicted, rules))
+    predicted, rules = written(predicted.select(*KEY)), written(rules)  # facts and rules are read for every kind of rule
+    m = written(matches(predicted, rules))
     hit_p = m.select(*KEY).distinct().groupBy("device_type").agg(F.count("*").alias("hit_p"))
     hit_r = m.select("device_type", "r_endpoint", "r_protocol", "r_port").distinct().groupBy("device_type").agg(F.count("*").alias("hit_r"))
     sizes = predicted.groupBy("device_type").agg(F.count("*").alias("predicted")).join(rules.distinct().groupBy("device_type").agg(F.count("*").alias("rules")), "device_type", "full")
@@ -66,7 +66,7 @@ def set_metrics(predicted: DataFrame, truth: DataFrame, by: str = "device_type")
 
 def funnel(stages: dict[str, DataFrame], truth: DataFrame) -> DataFrame:
     """Share of the reference facts that survive each stage, over all facts (micro) and as the mean over device types (macro)."""
-    t = cut(truth.select(*KEY).distinct())
+    t = written(truth.select(*KEY).distinct())
     per_device = t.groupBy("device_type").agg(F.count("*").alias("total"))
     out = []
     for i, (name, df) in enumerate(stages.items()):

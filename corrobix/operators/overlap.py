@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import KEY
+from ..sources.tables import written
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder that the session names; a local session without one gets its own."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/corrobix-checkpoints-{os.getpid()}")
-    return df.checkpoint()
+#: Rounds of an iteration in one plan, between two written tables and two looks at whether it has ended.
+LOOK = 6
 
 
 def site_jaccard(cube: DataFrame) -> DataFrame:
@@ -31,18 +26,23 @@ def site_jaccard(cube: DataFrame) -> DataFrame:
     return out.select("device_type", "a", "b", "common", either.alias("either"), (F.col("common").cast("double") / either).alias("jaccard"))
 
 
-def site_clusters(jaccard: DataFrame, cube: DataFrame, tau: float, max_rounds: int = 30) -> DataFrame:
-    """device_type, site_id, cluster (smallest site reachable over pairs of at least tau): min-label rounds until stable."""
+def site_clusters(jaccard: DataFrame, cube: DataFrame, tau: float) -> DataFrame:
+    """device_type, site_id, cluster (smallest site reachable over pairs of at least tau).
+
+    Rounds until nothing moves: a site takes the smallest label of its neighbours, then the label of that label's site, so the
+    rounds grow with the logarithm of a cluster's length.
+    """
     edges = jaccard.where(F.col("jaccard") >= tau).select("device_type", "a", "b")
-    both = cut(edges.unionByName(edges.select("device_type", F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut(cube.select("device_type", "site_id").distinct().withColumn("cluster", F.col("site_id")))
-    for _ in range(max_rounds):
+    both = written(edges.unionByName(edges.select("device_type", F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    labels = written(cube.select("device_type", "site_id").distinct().withColumn("cluster", F.col("site_id")), "labels")
+    while True:
         reach = both.join(labels.toDF("device_type", "b", "c"), ["device_type", "b"]).groupBy("device_type", F.col("a").alias("site_id")).agg(F.min("c").alias("c"))
-        new = cut(labels.join(reach, ["device_type", "site_id"], "left").select("device_type", "site_id", F.least("cluster", F.coalesce("c", "cluster")).alias("cluster"), (F.col("c") < F.col("cluster")).alias("moved")))
+        near = labels.join(reach, ["device_type", "site_id"], "left").select("device_type", "site_id", F.col("cluster").alias("old"), F.least("cluster", F.coalesce("c", "cluster")).alias("near"))
+        far = labels.select("device_type", F.col("site_id").alias("near"), F.col("cluster").alias("far"))
+        new = written(near.join(far, ["device_type", "near"]).select("device_type", "site_id", F.least("near", "far").alias("cluster"), (F.least("near", "far") < F.col("old")).alias("moved")), "labels")
         labels = new.drop("moved")
         if new.where("moved").isEmpty():
-            break
-    return labels
+            return labels
 
 
 def cooccurrence(cube: DataFrame) -> DataFrame:
@@ -51,25 +51,37 @@ def cooccurrence(cube: DataFrame) -> DataFrame:
     return seen.withColumnRenamed("key", "a").join(seen.withColumnRenamed("key", "b"), ["device_type", "site_id"]).where("a < b").groupBy("device_type", "a", "b").agg(F.count("*").alias("weight"))
 
 
+def _iterate(ranks: DataFrame, step: Callable[[DataFrame, int], DataFrame], rounds: int, still: float) -> DataFrame:
+    """Apply step until the ranks (node, rank, old) move by less than `still` in all, or so many rounds have passed.
+
+    A step names the ranks once, so LOOK rounds are one plan of that many joins; then they are written and the moves summed. Up
+    to LOOK - 1 rounds more are made than needed.
+    """
+    for i in range(rounds):
+        ranks = step(ranks, i)
+        if (i + 1) % LOOK == 0 or i + 1 == rounds:
+            ranks = written(ranks, "ranks")
+            if ranks.agg(F.coalesce(F.sum(F.abs(F.col("rank") - F.col("old"))), F.lit(0.0))).first()[0] < still:
+                break
+    return ranks.drop("old")
+
+
 def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
     """node, confidence: weighted PageRank over undirected edges (device_type, a, b, weight), divided by the largest of all."""
     both = edges.select("device_type", "a", "b", "weight").unionByName(edges.select("device_type", F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
     both = both.select(node_of("a").alias("src"), node_of("b").alias("dst"), "weight")
     total = both.groupBy("src").agg(F.sum("weight").alias("total"))
-    links = cut(both.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
-    nodes = cut(total.select(F.col("src").alias("node")))
-    n = nodes.count()
+    n = total.count()
     if not n:
-        return nodes.withColumn("confidence", F.lit(0.0))
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
-    for i in range(rounds):
-        got = links.join(ranks.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        new = nodes.join(got, "node", "left").select("node", ((1 - damping) / n + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        new = cut(new.join(ranks.withColumnRenamed("rank", "old"), "node"))
-        moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-        ranks = new.select("node", "rank")
-        if moved < n * tolerance:
-            break
+        return total.select(F.col("src").alias("node"), F.lit(0.0).alias("confidence"))
+    moves = both.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share"), F.lit(False).alias("own"))
+    links = written(moves.unionByName(total.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("share"), F.lit(True).alias("own"))), "links")  # a node's own row carries its last rank
+
+    def step(ranks: DataFrame, i: int) -> DataFrame:
+        sums = links.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"), F.max(F.when(F.col("own"), F.col("rank"))).alias("old"))
+        return sums.select("node", ((1 - damping) / n + damping * F.col("got")).alias("rank"), "old")
+
+    ranks = _iterate(total.select(F.col("src").alias("node"), F.lit(1.0 / n).alias("rank")), step, rounds, n * tolerance)
     top = ranks.agg(F.max("rank").alias("top"))
     return ranks.crossJoin(F.broadcast(top)).select("node", (F.col("rank") / F.col("top")).alias("confidence"))
 
@@ -78,29 +90,31 @@ def fact_pagerank(cube: DataFrame, rounds: int = 100, damping: float = 0.85, tol
     """node, confidence: PageRank of all facts, joined if they share sites and weighted by how many, divided by the largest.
 
     The sum over a fact's neighbours is taken from fact to site to fact, less the fact's own part, so no pair is made. A fact
-    without a neighbour hands its rank to all facts alike.
+    without a neighbour hands its rank to all facts alike; such facts all have one rank, a number that the rounds carry along.
     """
     seen = cube.select("site_id", "device_type", node_of(F.concat_ws("|", "endpoint", "protocol", F.col("port").cast("string"))).alias("node")).distinct()
     sizes = seen.groupBy("device_type", "site_id").agg(F.count("*").alias("size"))
-    links = cut(seen.join(sizes, ["device_type", "site_id"]))
+    placed = written(seen.join(sizes, ["device_type", "site_id"]), "placed")
     # A fact's edges weigh, in all, one for each other fact at each of its sites.
-    nodes = cut(links.groupBy("node").agg(F.count("*").alias("sites"), (F.sum("size") - F.count("*")).alias("total")))
-    n = nodes.count()
+    nodes = written(placed.groupBy("node").agg(F.count("*").alias("sites"), (F.sum("size") - F.count("*")).alias("total")), "nodes")
+    n, alone = nodes.agg(F.count("*"), F.count_if(F.col("total") == 0)).first()
     if not n:
         return nodes.select("node", F.lit(0.0).alias("confidence"))
-    links = cut(links.join(nodes, "node").select("device_type", "site_id", "node", "total"))
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
+    joined = nodes.where("total > 0")
+    at_sites = placed.join(joined, "node").select(F.struct("device_type", "site_id", F.lit("").alias("of")).alias("at"), "node", "total", F.lit(1).alias("times"))
+    own = joined.select(F.struct(F.lit("").alias("device_type"), F.lit("").alias("site_id"), F.col("node").alias("of")).alias("at"), "node", "total", (-F.col("sites")).alias("times"))
+    links = written(at_sites.unionByName(own), "links")
+    lone = [1.0 / n]
     for _ in range(rounds):
-        share = F.when(F.col("total") > 0, F.col("rank") / F.col("total")).otherwise(0.0)
-        loose = ranks.where("total = 0").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        at_site = links.join(ranks.select("node", share.alias("share")), "node").groupBy("device_type", "site_id").agg(F.sum("share").alias("sum"))
-        got = links.where("total > 0").join(at_site, ["device_type", "site_id"]).groupBy("node").agg(F.sum("sum").alias("got"))
-        own = F.coalesce(F.col("got"), F.lit(0.0)) - F.col("sites") * share
-        new = cut(ranks.join(got, "node", "left").select("node", "sites", "total", ((1 - damping + damping * loose) / n + damping * own).alias("rank"), F.col("rank").alias("old")))
-        moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-        ranks = new.drop("old")
-        if moved < n * tolerance:
-            break
+        lone.append((1 - damping + damping * alone * lone[-1]) / n)
+
+    def step(ranks: DataFrame, i: int) -> DataFrame:
+        sums = links.join(ranks.select("node", "rank"), "node").groupBy("at").agg(F.sum(F.col("rank") / F.col("total")).alias("s"))
+        got = links.join(sums, "at").groupBy("node").agg(F.sum(F.col("times") * F.col("s")).alias("got"), F.max(F.when(F.col("times") < 0, F.col("s") * F.col("total"))).alias("old"))
+        return got.select("node", (F.lit(lone[i + 1]) + damping * F.col("got")).alias("rank"), "old")
+
+    ranks = _iterate(joined.select("node", F.lit(1.0 / n).alias("rank")), step, rounds, n * tolerance)
+    ranks = ranks.unionByName(nodes.where("total = 0").select("node", F.lit(lone[-1]).alias("rank")))
     top = ranks.agg(F.max("rank").alias("top"))
     return ranks.crossJoin(F.broadcast(top)).select("node", (F.col("rank") / F.col("top")).alias("confidence"))
 

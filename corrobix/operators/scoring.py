@@ -1,4 +1,7 @@
-"""Confidence scores of facts from the evidence cube, and the gate that admits them."""
+"""Confidence scores of facts from the evidence cube, and the gate that admits them.
+
+Tables of a row for each site are joined without a hint: Spark broadcasts them while their size allows it.
+"""
 
 from __future__ import annotations
 
@@ -40,7 +43,7 @@ def score(cube: DataFrame, site_confidence: DataFrame | None = None, quarantined
     site_confidence (fact, site_confidence) replaces the plain share of sites. Sites of `quarantined` (site_id) give no
     temporal evidence but still count as sites.
     """
-    used = cube if quarantined is None else cube.join(F.broadcast(quarantined.select("site_id", F.lit(True).alias("q"))), "site_id", "left")
+    used = cube if quarantined is None else cube.join(quarantined.select("site_id", F.lit(True).alias("q")), "site_id", "left")
     clean = F.lit(True) if quarantined is None else F.col("q").isNull()
     facts = used.groupBy(*KEY).agg(F.count_distinct("site_id").alias("supporting_sites"), F.count_distinct(F.when(clean, F.col("day"))).alias("days"), F.coalesce(F.sum(F.when(clean, F.col("n"))), F.lit(0)).alias("n"))
     devices = used.groupBy("device_type").agg(F.count_distinct("site_id").alias("eligible_sites"), F.count_distinct(F.when(clean, F.col("day"))).alias("device_days"), F.coalesce(F.sum(F.when(clean, F.col("n"))), F.lit(0)).alias("device_n"))
@@ -78,7 +81,7 @@ def trust_weights(cube: DataFrame, percent: float = 0.5) -> DataFrame:
 
 def trust_confidence(cube: DataFrame, weights: DataFrame) -> DataFrame:
     """Weight of the sites that support a fact over the weight of all sites of its device type."""
-    pairs = cube.select("site_id", *KEY).distinct().join(F.broadcast(weights.select("site_id", "weight")), "site_id", "left").fillna(0.0, ["weight"])
+    pairs = cube.select("site_id", *KEY).distinct().join(weights.select("site_id", "weight"), "site_id", "left").fillna(0.0, ["weight"])
     support = pairs.groupBy(*KEY).agg(F.sum("weight").alias("w"))
     eligible = pairs.select("device_type", "site_id", "weight").distinct().groupBy("device_type").agg(F.sum("weight").alias("all_w"))
     return support.join(eligible, "device_type").select(*KEY, F.when(F.col("all_w") > 0, F.col("w") / F.col("all_w")).otherwise(0.0).alias("site_confidence"))
@@ -95,7 +98,27 @@ def cluster_confidence(cube: DataFrame, clusters: DataFrame) -> DataFrame:
 def combined_confidence(cube: DataFrame, clusters: DataFrame, weights: DataFrame) -> DataFrame:
     """As cluster_confidence, but each cluster counts with its largest site weight."""
     pairs = cube.select("site_id", *KEY).distinct().join(clusters, ["device_type", "site_id"], "left").withColumn("cluster", F.coalesce("cluster", "site_id"))
-    pairs = pairs.join(F.broadcast(weights.select("site_id", "weight")), "site_id", "left").fillna(0.0, ["weight"])
+    pairs = pairs.join(weights.select("site_id", "weight"), "site_id", "left").fillna(0.0, ["weight"])
     support = pairs.groupBy(*KEY, "cluster").agg(F.max("weight").alias("w")).groupBy(*KEY).agg(F.sum("w").alias("w"))
     eligible = pairs.groupBy("device_type", "cluster").agg(F.max("weight").alias("w")).groupBy("device_type").agg(F.sum("w").alias("all_w"))
     return support.join(eligible, "device_type").select(*KEY, F.when(F.col("all_w") > 0, F.col("w") / F.col("all_w")).otherwise(0.0).alias("site_confidence"))
+
+
+def leave_one_out(cube: DataFrame, **gate) -> DataFrame:
+    """Scores of all facts for each receiver (a site with the device type) from the evidence of the other sites alone.
+
+    Totals are those of all sites less the receiver's part: its rows, and the days that it alone has seen. Facts that only the
+    receiver has reported have no row. `seen` tells whether the receiver has the fact itself.
+    """
+    total, whole = fact_totals(cube), device_totals(cube)
+    alone_f = cube.groupBy(*KEY, "day").agg(F.min("site_id").alias("receiver"), F.max("site_id").alias("last")).where(F.col("receiver") == F.col("last")).groupBy("receiver", *KEY).agg(F.count("*").alias("own_days"))
+    alone_d = cube.groupBy("device_type", "day").agg(F.min("site_id").alias("receiver"), F.max("site_id").alias("last")).where(F.col("receiver") == F.col("last")).groupBy("receiver", "device_type").agg(F.count("*").alias("own_device_days"))
+    own_f = cube.groupBy(F.col("site_id").alias("receiver"), *KEY).agg(F.sum("n").alias("own_n")).join(alone_f, ["receiver", *KEY], "left")
+    receivers = cube.groupBy(F.col("site_id").alias("receiver"), "device_type").agg(F.sum("n").alias("own_device_n")).join(alone_d, ["receiver", "device_type"], "left")
+    rows = receivers.join(whole, "device_type").join(total, "device_type").join(own_f, ["receiver", *KEY], "left").fillna(0, ["own_days", "own_device_days"])
+    seen = F.col("own_n").isNotNull()
+    rows = rows.select(
+        "receiver", *KEY, seen.alias("seen"), (F.col("supporting_sites") - seen.cast("int")).alias("supporting_sites"), (F.col("eligible_sites") - 1).alias("eligible_sites"), (F.col("days") - F.col("own_days")).alias("days"),
+        (F.col("device_days") - F.col("own_device_days")).alias("device_days"), (F.col("n") - F.coalesce("own_n", F.lit(0))).alias("n"), (F.col("device_n") - F.col("own_device_n")).alias("device_n"),
+    ).where("supporting_sites > 0")
+    return finish(rows.withColumn("temporal_confidence", temporal()).withColumn("site_confidence", ratio("supporting_sites", "eligible_sites")), **gate)
