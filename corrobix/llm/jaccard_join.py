@@ -26,7 +26,7 @@ _PART = 1 << 16
 RARE, FREQUENT = 24, 2048
 _SMALL_LEVEL = 16
 #: A key with more documents than this is not paired row by row: its documents are compared in blocks of so many shingles and documents.
-HOT_KEY, BLOCK_SHINGLES, BLOCK_DOCS = 32, 400_000, 2048
+HOT_KEY, BLOCK_SHINGLES, BLOCK_DOCS = 32, 400_000, 1024
 _FINGERPRINT = "doc_id long, n long, spare long, sig1 long, sig2 long, keys array<long>"
 
 
@@ -159,7 +159,7 @@ def compare_groups(rows: DataFrame, docs: DataFrame, k: int, percent: int) -> Da
     return sent.groupBy("g", "i", "j").applyInArrow(linked, "a long, b long")
 
 
-def similar_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, width: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+def similar_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, width: int = 2048) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of indexes from left and right whose sets reach the threshold; shingles in a single set are left out of the products."""
     if not len(left) or not len(right):
         return left[:0], right[:0]
@@ -178,8 +178,10 @@ def similar_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, p
         chunk = np.zeros((len(sets), width), np.float32)
         chunk[row[s:e], at[s:e] - start] = 1
         common += chunk[left] @ chunk[right].T
-    ok = 100 * common.astype(np.float64) >= percent * (sizes[left][:, None] + sizes[right][None, :] - common)
-    i, j = np.nonzero(ok & (common > 0))
+    i, j = np.nonzero(common)
+    n = common[i, j].astype(np.int64)
+    ok = 100 * n >= percent * (sizes[left][i] + sizes[right][j] - n)
+    i, j = i[ok], j[ok]
     a, b = left[i], right[j]
     return a[a != b], b[a != b]
 
