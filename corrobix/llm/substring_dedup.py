@@ -3,7 +3,7 @@
 The index is a list of sorted, immutable runs of (fingerprint, doc_id). A fingerprint is the smallest hash of the 5-word runs
 inside a 13-word window, so equal windows have equal fingerprints and neighbouring windows mostly share theirs: a run is about
 a fifth of all windows. Each new batch becomes a run, is merge-joined with the older runs, and windows whose fingerprint was met
-in several documents are verified on 128 bits of hashes of all their words. Runs are compacted once there are more than `fan_in`.
+in several documents are verified on 96 bits of hashes of all their words. Runs are compacted once there are more than `fan_in`.
 """
 
 from __future__ import annotations
@@ -97,10 +97,10 @@ class FingerprintIndex:
                     found.append(hit)
                     row.append(np.full(len(hit), i))
                 flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-                columns = [pa.array(x[flat].view(np.int64)) for x in (wide, check)]
+                columns = [pa.array(wide[flat].view(np.int64)), pa.array((check[flat] >> np.uint64(32)).astype(np.uint32).view(np.int32))]
                 yield pa.RecordBatch.from_arrays([*columns, b.column(0).take(pa.array(np.concatenate(row) if row else np.zeros(0, np.int64)))], names=["window", "check", "doc_id"])
 
-        seen = Table(texts.mapInArrow(windows, "window long, check long, doc_id long"), "windows")
+        seen = Table(texts.mapInArrow(windows, "window long, check int, doc_id long"), "windows")
         lists.drop()
         del texts, every
         release(self.spark)
