@@ -42,15 +42,61 @@ def step(state: dict, op: str, site: str, admissible: bool, seq: int) -> None:
 
 
 def fold(log: DataFrame) -> DataFrame:
-    """Final state of every (fact, site). A fact's events are few and fold in order; facts run in parallel."""
+    """Final state of every (fact, site).
+
+    Events of a fact are one ordered sequence, so they meet in one partition, but as a stream of sorted rows: a task holds the
+    states of one fact's sites, never its events.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [c.split()[0] for c in STATE.split(", ")]
+        fact, state = None, None
+
+        def ended() -> pd.DataFrame:
+            return pd.DataFrame([(fact, s, *v) for s, v in sorted(state["sites"].items())], columns=columns)
+
+        for b in batches:
+            for r in b.itertuples(index=False):
+                if state is None or r.fact != fact:
+                    if state is not None and state["sites"]:
+                        yield ended()
+                    fact, state = r.fact, {"sites": {}, "disputes": set()}
+                step(state, r.op, r.site_id, bool(r.admissible), int(r.seq))
+        if state is not None and state["sites"]:
+            yield ended()
+
+    ordered = log.where("fact is not null").select("fact", "seq", "op", "site_id", "admissible").repartition("fact").sortWithinPartitions("fact", "seq")
+    return ordered.mapInPandas(run, STATE)
+
+
+def history(log: DataFrame, fact: str, site: str | None = None) -> DataFrame:
+    """The events of a fact, or of it at one site, in order: the log is only ever appended to."""
+    rows = log.where(F.col("fact") == fact)
+    return (rows if site is None else rows.where(F.col("site_id") == site)).orderBy("seq")
+
+
+def once(observations: DataFrame, held: DataFrame, identity: tuple[str, ...]) -> DataFrame:
+    """New observations, each once: repeats within the batch and of what is held, by identity with nulls equal, are dropped."""
+    same = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")).alias(f"_{c}") for c in identity]
+    keys = [f"_{c}" for c in identity]
+    return observations.select("*", *same).dropDuplicates(keys).join(held.select(*same).distinct(), keys, "left_anti").drop(*keys)
+
+
+def upsert_profiles(held: DataFrame, new: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """Profiles (key, first_seen, last_seen, count) after another report: the earliest, the latest and the larger count."""
+    both = held.select(*key, "first_seen", "last_seen", "count").unionByName(new.select(*key, "first_seen", "last_seen", "count"))
+    return both.groupBy(*key).agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max("count").alias("count"))
+
+
+def review_flags(states: DataFrame, scores: DataFrame) -> DataFrame:
+    """Active decisions whose fact the recomputed scores no longer admit, or do not hold: flagged, their state stays."""
+    active = states.where(F.col("status") == "active").join(scores.select("fact", "accepted", "score"), "fact", "left")
+    return active.select("fact", "site_id", "score", (~F.coalesce("accepted", F.lit(False))).alias("review"))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        state = {"sites": {}, "disputes": set()}
-        for r in rows.sort_values("seq").itertuples():
-            step(state, r.op, r.site_id, bool(r.admissible), int(r.seq))
-        return pd.DataFrame([(rows["fact"].iloc[0], s, *v) for s, v in sorted(state["sites"].items())], columns=["fact", "site_id", "status", "origin", "seq"])
 
-    return log.select("fact", "seq", "op", "site_id", "admissible").groupBy("fact").applyInPandas(run, STATE)
+def active_facts(states: DataFrame, site: str) -> DataFrame:
+    """What a site enforces: its active facts alone, also those flagged for review."""
+    return states.where((F.col("status") == "active") & (F.col("site_id") == site)).select("fact")
 
 
 def fold_stream(log: DataFrame) -> DataFrame:
