@@ -111,3 +111,33 @@ def tukey_spread(values: DataFrame, by: str, value: str) -> DataFrame:
     half = F.floor(n / 2)
     q1, q3 = F.when(n < 2, F.element_at("v", 1)).otherwise(middle(F.lit(0), half)), F.when(n < 2, F.element_at("v", 1)).otherwise(middle(n - half, half))
     return sorted_.select(by, n.alias("n"), middle(F.lit(0), n).alias("median"), q1.alias("q1"), q3.alias("q3"), F.element_at("v", F.ceil(n * 0.95).cast("int")).alias("p95"))
+
+
+def cross_validated(rows: DataFrame, grid: list[tuple[float, float]]) -> DataFrame:
+    """fold, alpha, theta, f1: the setting with the best F1 on the other folds, and its F1 on the fold; ties to the smaller setting.
+
+    rows: fold, site_confidence, temporal_confidence and t (1 for reference facts). All folds and settings come from one
+    aggregate; what is chosen from is a row for each fold and setting.
+    """
+    settings = F.explode(F.array(*(F.struct(F.lit(a).alias("alpha"), F.lit(t).alias("theta")) for a, t in grid)))
+    g = rows.withColumn("g", settings)
+    hit = F.round(F.col("g.alpha") * F.col("site_confidence") + (1 - F.col("g.alpha")) * F.col("temporal_confidence"), 9) >= F.col("g.theta")
+    cells = written(g.groupBy("fold", F.col("g.alpha").alias("alpha"), F.col("g.theta").alias("theta")).agg(F.count_if(hit).alias("p"), F.count(F.when(hit, F.col("t"))).alias("k"), F.count("t").alias("a")), "cells")
+    every = Window.partitionBy("alpha", "theta")
+    other = [(F.sum(c).over(every) - F.col(c)).alias(f"o_{c}") for c in "pka"]
+    chosen = cells.select("*", *other).withColumn("o_f1", F.round(2 * F.col("o_k") / F.greatest(F.col("o_p") + F.col("o_a"), F.lit(1)), 9))
+    place = F.row_number().over(Window.partitionBy("fold").orderBy(F.desc("o_f1"), "alpha", "theta"))
+    best = chosen.withColumn("place", place).where("place = 1")
+    return best.select("fold", "alpha", "theta", F.round(2 * F.col("k") / F.greatest(F.col("p") + F.col("a"), F.lit(1)), 6).alias("f1"))
+
+
+def rule_kinds(rules: DataFrame) -> DataFrame:
+    """device_type, kind, rules: what kinds of rule a policy consists of."""
+    return with_kind(rules).groupBy(F.col("r_device").alias("device_type"), "kind").agg(F.count("*").alias("rules"))
+
+
+def device_coverage(observed: DataFrame, rules: DataFrame) -> DataFrame:
+    """device_type, facts, rules, covered: devices that are observed, have a policy, or both."""
+    facts = observed.select(*KEY).distinct().groupBy("device_type").agg(F.count("*").alias("facts"))
+    own = rules.groupBy("device_type").agg(F.count("*").alias("rules"))
+    return facts.join(own, "device_type", "full").fillna(0, ["facts", "rules"]).withColumn("covered", (F.col("facts") > 0) & (F.col("rules") > 0))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import KEY
@@ -123,6 +123,18 @@ def node_of(c):
     return F.concat_ws("|", "device_type", F.col(c) if isinstance(c, str) else c)
 
 
+def top_neighbours(cube: DataFrame, n: int) -> DataFrame:
+    """fact, neighbours: the n facts that share most sites with it, with their weights, as text."""
+    seen = written(cube.select("site_id", *KEY).distinct(), "seen")
+    other = seen.select("device_type", "site_id", F.concat_ws("|", "endpoint", "protocol", F.col("port").cast("string")).alias("other"))
+    own = F.concat_ws("|", "endpoint", "protocol", F.col("port").cast("string"))
+    weights = seen.join(other, ["device_type", "site_id"]).where(own != F.col("other")).groupBy(*KEY, "other").agg(F.count("*").alias("weight"))
+    place = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("weight"), "other"))
+    best = weights.withColumn("place", place).where(F.col("place") <= n)
+    item = F.struct("place", F.concat_ws("=", "other", F.col("weight").cast("string")).alias("text"))
+    return best.groupBy(*KEY).agg(F.array_sort(F.collect_list(item)).alias("items")).select(*KEY, F.array_join("items.text", ", ").alias("neighbours"))
+
+
 def nearest_site(jaccard: DataFrame) -> DataFrame:
     """For each site of a device type the other site with the largest Jaccard; ties to the smaller name."""
     both = jaccard.select("device_type", F.col("a").alias("site_id"), F.col("b").alias("other"), "jaccard").unionByName(jaccard.select("device_type", F.col("b").alias("site_id"), F.col("a").alias("other"), "jaccard"))

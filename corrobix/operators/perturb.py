@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import key_string
+
 
 def inject_endpoint(observations: DataFrame, sites: list[str], device_type: str, fqdn: str, port: int = 443, protocol: str = "https", days: int = 1, offset: int = 0) -> DataFrame:
     """The given sites report a new endpoint on `days` days from each site's first row of the device type, `offset` days later."""
@@ -36,3 +38,31 @@ def balanced_sites(observations: DataFrame, n: int) -> DataFrame:
 def stable_fold(c: str, k: int):
     """Fold of a key: its SHA-256's first eight bytes, modulo k."""
     return (F.conv(F.substring(F.sha2(F.col(c).cast("binary"), 256), 1, 16), 16, 10).cast("decimal(20,0)") % k).cast("int")
+
+
+def shared_facts(pairs: DataFrame, share: float, fanout: int) -> DataFrame:
+    """Pairs of site and fact with a share of the facts, chosen by hash, also at the next `fanout` sites in order of name."""
+    order = Window.orderBy("site_id")  # a row a site
+    sites = pairs.select("site_id").distinct().withColumn("i", F.row_number().over(order) - 1)
+    n = F.count("*").over(Window.partitionBy())
+    steps = sites.withColumn("k", n).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(fanout)))).withColumn("j", (F.col("i") + F.col("step")) % F.col("k"))
+    target = steps.join(sites.select(F.col("i").alias("j"), F.col("site_id").alias("target")), "j").select("site_id", "target")
+    number = F.conv(F.substring(F.sha2(key_string().cast("binary"), 256), 1, 8), 16, 10).cast("long") % 1000
+    copies = pairs.where(number % 10 < round(share * 10)).join(target, "site_id").drop("site_id").withColumnRenamed("target", "site_id")
+    return pairs.unionByName(copies).distinct()
+
+
+def fragmented(rows: DataFrame, label: str, rate: float, parts: int = 2) -> DataFrame:
+    """A share of the devices, by hash, gets one of `parts` labels made from its own: one type seen as several."""
+    hit, part = _hash_share("device_id", "fragment") < rate, F.pmod(F.xxhash64("device_id"), F.lit(parts)).cast("string")
+    return rows.withColumn(label, F.when(hit, F.concat_ws("#", label, part)).otherwise(F.col(label)))
+
+
+def collided(rows: DataFrame, label: str, rate: float, following: DataFrame) -> DataFrame:
+    """A share of the devices, by hash, gets the label that follows its own (label, next): several types seen as one."""
+    return rows.join(following.select(F.col("label").alias(label), "next"), label, "left").withColumn(label, F.when(_hash_share("device_id", "collide") < rate, F.coalesce("next", label)).otherwise(F.col(label))).drop("next")
+
+
+def _hash_share(c: str, salt: str):
+    """A number in [0, 1) from the SHA-256 of a salt and a column."""
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(salt), F.col(c)).cast("binary"), 256), 1, 8), 16, 10).cast("double") / float(2**32)

@@ -1,4 +1,4 @@
-"""Packet captures (PCAP) as observations.
+"""Packet captures (PCAP and PCAPNG, also in archives) as observations.
 
 Files are read whole by Spark, one row a file, and decoded to a row a packet; names come from the latest DNS answer before a
 packet, by a window over each capture, and repeats within a second are dropped by a distinct.
@@ -6,7 +6,12 @@ packet, by a window over each capture, and repeats within a second are dropped b
 
 from __future__ import annotations
 
+import csv
+import io
 import struct
+import tarfile
+import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -59,16 +64,14 @@ def dns_answers(data: bytes) -> list[tuple[str, str]]:
 
 
 def packets(content: bytes) -> Iterator[tuple]:
-    """(packet, seconds, src, dst, protocol, source port, target port, answers) of a classic capture of Ethernet and IPv4."""
-    order = {b"\xd4\xc3\xb2\xa1": "<", b"\x4d\x3c\xb2\xa1": "<", b"\xa1\xb2\xc3\xd4": ">", b"\xa1\xb2\x3c\x4d": ">"}.get(content[:4])
-    if order is None or len(content) < 24 or struct.unpack_from(order + "I", content, 20)[0] != _ETHERNET:
-        return
-    at, number = 24, 0
-    while at + 16 <= len(content):
-        seconds, _, size, _ = struct.unpack_from(order + "IIII", content, at)
-        if size > MOST_BYTES or at + 16 + size > len(content):
-            return
-        p, at, number = content[at + 16 : at + 16 + size], at + 16 + size, number + 1
+    """(packet, seconds, src, dst, protocol, source port, target port, answers) of a capture of Ethernet and IPv4.
+
+    Classic captures and PCAPNG are told apart by their first bytes. A capture that is cut off ends there; a record larger than
+    MOST_BYTES is an error, since what follows could not be trusted and would be lost without a word.
+    """
+    number = 0
+    for seconds, p in _records(content):
+        number += 1
         link = 18 if p[12:14] == struct.pack(">H", _VLAN) else 14
         if len(p) < link + 20 or struct.unpack_from(">H", p, link - 2)[0] != _IPV4:
             continue
@@ -81,18 +84,115 @@ def packets(content: bytes) -> Iterator[tuple]:
         yield number, seconds, src, dst, "tcp" if kind == _TCP else "udp", sport, dport, dns_answers(body[8:]) if kind == _UDP and sport == 53 else []
 
 
+def _records(content: bytes) -> Iterator[tuple[int, bytes]]:
+    """(seconds, packet) of every record."""
+    if content[:4] == b"\x0a\x0d\x0d\x0a":
+        yield from _blocks(content)
+        return
+    order = {b"\xd4\xc3\xb2\xa1": "<", b"\x4d\x3c\xb2\xa1": "<", b"\xa1\xb2\xc3\xd4": ">", b"\xa1\xb2\x3c\x4d": ">"}.get(content[:4])
+    if order is None or len(content) < 24 or struct.unpack_from(order + "I", content, 20)[0] != _ETHERNET:
+        return
+    at = 24
+    while at + 16 <= len(content):
+        seconds, _, size, _ = struct.unpack_from(order + "IIII", content, at)
+        if size > MOST_BYTES:
+            raise ValueError(f"capture record of {size} bytes")
+        if at + 16 + size > len(content):
+            return
+        yield seconds, content[at + 16 : at + 16 + size]
+        at += 16 + size
+
+
+def _blocks(content: bytes) -> Iterator[tuple[int, bytes]]:
+    """Packets of enhanced packet blocks of Ethernet interfaces. A section header sets the byte order and drops the interfaces."""
+    at, order, interfaces = 0, "<", []
+    while at + 12 <= len(content):
+        kind = struct.unpack_from(order + "I", content, at)[0]
+        if content[at : at + 4] == b"\x0a\x0d\x0d\x0a":
+            order, interfaces = {b"\x4d\x3c\x2b\x1a": "<", b"\x1a\x2b\x3c\x4d": ">"}.get(content[at + 8 : at + 12], ""), []
+            if not order:
+                return
+        size = struct.unpack_from(order + "I", content, at + 4)[0]
+        if size > MOST_BYTES:
+            raise ValueError(f"capture block of {size} bytes")
+        if size < 12 or at + size > len(content):
+            return
+        body = content[at + 8 : at + size - 4]
+        if kind == 1 and len(body) >= 8:
+            interfaces.append((struct.unpack_from(order + "H", body)[0], _ticks(body[8:], order)))
+        elif kind == 6 and len(body) >= 20:
+            which, high, low, held, _ = struct.unpack_from(order + "IIIII", body)
+            if which < len(interfaces) and interfaces[which][0] == _ETHERNET and 20 + held <= len(body):
+                yield ((high << 32) + low) // interfaces[which][1], body[20 : 20 + held]
+        at += size
+
+
+def _ticks(options: bytes, order: str) -> int:
+    """Clock ticks a second from the options of an interface: a million unless the resolution option says otherwise."""
+    at = 0
+    while at + 4 <= len(options):
+        code, size = struct.unpack_from(order + "HH", options, at)
+        if code == 0:
+            break
+        if code == 9 and size >= 1:
+            value = options[at + 4]
+            return 2 ** (value & 127) if value & 128 else 10**value
+        at += 4 + size + -size % 4
+    return 1_000_000
+
+
 def read_packets(spark: SparkSession, path: str) -> DataFrame:
-    """A row a packet, and one more for each further DNS answer it carries. Broken files end at the break."""
+    """A row a packet, and one more for each further DNS answer it carries, of captures under path and in archives there."""
 
     def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in PACKETS.split(", ")]
         for b in batches:
             for path_, content in zip(b["path"], b["content"], strict=True):
-                rows = [(path_, *p[:7], *a) for p in packets(bytes(content)) for a in p[7] or [(None, None)]]
-                if rows:
-                    yield pd.DataFrame(rows, columns=columns)
+                for name, inner in members(path_, bytes(content), (".pcap", ".pcapng")):
+                    rows = [(name, *p[:7], *a) for p in packets(inner) for a in p[7] or [(None, None)]]
+                    if rows:
+                        yield pd.DataFrame(rows, columns=columns)
+
+    return _files(spark, path, "*.{pcap,pcapng,zip,tar,tar.gz,tgz}").mapInPandas(decoded, PACKETS)
+
+
+def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "content")
+
+
+def members(path: str, content: bytes, endings: tuple[str, ...]) -> Iterator[tuple[str, bytes]]:
+    """(name, content) of a file, or of the files with these endings inside an archive; broken archives have none."""
+    if path.endswith(endings):
+        yield path, content
+        return
+    try:
+        if path.endswith(".zip"):
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                for name in sorted(z.namelist()):
+                    if name.lower().endswith(endings):
+                        yield f"{path}/{name}", z.read(name)
+        elif path.endswith((".tar", ".tar.gz", ".tgz")):
+            with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as t:
+                for m in t:
+                    if m.isfile() and m.name.lower().endswith(endings):
+                        yield f"{path}/{m.name}", t.extractfile(m).read()
+    except (zipfile.BadZipFile, tarfile.TarError, EOFError, zlib.error):
+        return
+
+
+def read_archived_csv(spark: SparkSession, path: str) -> DataFrame:
+    """file, line, cells (header -> text) of every row of the CSV files in archives under path, each with its own header."""
+
+    def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path_, content in zip(b["path"], b["content"], strict=True):
+                for name, inner in members(path_, bytes(content), (".csv",)):
+                    rows = csv.DictReader(io.StringIO(inner.decode("utf-8", "replace"), newline=""))
+                    made = [(name, i, {k: v for k, v in r.items() if k and isinstance(v, str)}) for i, r in enumerate(rows)]
+                    for at in range(0, len(made), 4096):
+                        yield pd.DataFrame(made[at : at + 4096], columns=["file", "line", "cells"])
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pcap").load(path).select("path", "content").mapInPandas(decoded, PACKETS)
+    return _files(spark, path, "*.{zip,tar,tar.gz,tgz}").mapInPandas(decoded, "file string, line long, cells map<string, string>")
 
 
 def read_captures(spark: SparkSession, path: str, site_id: str, dataset: str) -> DataFrame:

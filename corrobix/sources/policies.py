@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import slug
+from ..functions.keys import KEY, is_address, slug, transport
 
 _LISTS = "struct<`access-lists`: struct<`access-list`: array<struct<name: string>>>>"
 _PORTS = "struct<`destination-port`: struct<port: int>, `source-port`: struct<port: int>>"
@@ -20,7 +20,7 @@ def read_policies(spark: SparkSession, path: str) -> DataFrame:
     The direction is that of the policy container that lists the ACL; an ACL in both or in neither is an error. Missing
     protocols read `unknown`, missing ports 0, missing peers `*`.
     """
-    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
     stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1)
     doc = text.select(slug(stem).alias("device_type"), F.from_json("value", SCHEMA).alias("d"))
 
@@ -40,16 +40,43 @@ def read_policies(spark: SparkSession, path: str) -> DataFrame:
     return rules.select("device_type", "direction", F.lower(peer).alias("endpoint"), protocol.alias("protocol"), port.alias("port"))
 
 
-def policy_documents(accepted: DataFrame, version: int = 1) -> DataFrame:
-    """device_type, mud: a JSON policy of the accepted facts of each device type, readable by read_policies."""
-    named = ~F.col("endpoint").rlike(r"^[0-9.]+$")
-    ports = F.struct(F.struct(F.lit("eq").alias("operator"), F.col("port").alias("port")).alias("destination-port"))
-    ip = F.struct(F.when(F.col("protocol") == "udp", 17).otherwise(6).alias("protocol"), F.when(named, F.col("endpoint")).alias("ietf-acldns:dst-dnsname"), F.when(~named, F.concat("endpoint", F.lit("/32"))).alias("destination-ipv4-network"))
-    matches = F.struct(ip.alias("ipv4"), F.when(F.col("protocol") != "udp", ports).alias("tcp"), F.when(F.col("protocol") == "udp", ports).alias("udp"))
-    ace = F.struct(F.concat_ws("-", "endpoint", "protocol", F.col("port").cast("string")).alias("name"), matches.alias("matches"), F.struct(F.lit("accept").alias("forwarding")).alias("actions"))
-    rows = accepted.groupBy("device_type").agg(F.array_sort(F.collect_list(F.struct("endpoint", "protocol", "port", ace.alias("ace")))).alias("a"))
-    name = F.concat(slug("device_type"), F.lit("-from"))
-    acl = F.struct(name.alias("name"), F.lit("ipv4-acl-type").alias("type"), F.struct(F.col("a.ace").alias("ace")).alias("aces"))
-    lists = F.struct(F.struct(F.array(F.struct(name.alias("name"))).alias("access-list")).alias("access-lists"))
-    doc = F.struct(F.struct(F.lit(version).alias("mud-version"), F.col("device_type").alias("systeminfo"), lists.alias("from-device-policy")).alias("ietf-mud:mud"), F.struct(F.array(acl).alias("acl")).alias("ietf-access-control-list:acls"))
-    return rows.select("device_type", F.to_json(doc).alias("mud"))
+def mud_entries(accepted: DataFrame, answered: DataFrame | None = None) -> DataFrame:
+    """fact, place, transport, entry (from-device, to-device or skipped) of the accepted facts of each device type.
+
+    Facts stand in order of endpoint, protocol and port. Facts without a portable transport and addresses, which name matches
+    cannot express, are skipped, not guessed. `answered` (facts with an observed response) adds the return leg of what is sent.
+    """
+    order = Window.partitionBy("device_type").orderBy("endpoint", "protocol", "port")  # the admitted facts of a device type
+    rows = accepted.select(*KEY).distinct().withColumn("place", (F.row_number().over(order) - 1).cast("long")).withColumn("transport", transport("protocol"))
+    sent = F.coalesce(F.col("transport").isin("tcp", "udp"), F.lit(False)) & ~is_address("endpoint")
+    rows = rows.withColumn("entry", F.when(sent, "from-device").otherwise("skipped"))
+    if answered is None:
+        return rows
+    back = rows.where("entry = 'from-device'").join(answered.select(*KEY).distinct(), list(KEY), "left_semi").withColumn("entry", F.lit("to-device"))
+    return rows.unionByName(back.select(*rows.columns))
+
+
+def policy_documents(accepted: DataFrame, answered: DataFrame | None = None, version: int = 1) -> DataFrame:
+    """device_type, mud, skipped: a JSON policy of the accepted facts of each device type, and how many could not be expressed."""
+    rows = mud_entries(accepted, answered)
+    number = F.when(F.col("transport") == "udp", 17).otherwise(6).alias("protocol")
+
+    def ace(entry: str, end: str):
+        port = F.struct(F.struct(F.lit("eq").alias("operator"), F.col("port").alias("port")).alias(f"{end}-port"), F.lit("from-device").alias("ietf-mud:direction-initiated"))
+        side = "dst" if end == "destination" else "src"
+        ip = F.struct(F.col("endpoint").alias(f"ietf-acldns:{side}-dnsname"), number)
+        matches = F.struct(ip.alias("ipv4"), F.when(F.col("transport") == "tcp", port).alias("tcp"), F.when(F.col("transport") == "udp", port).alias("udp"))
+        body = F.struct(F.concat(slug("device_type"), F.lit("-fr-" if side == "dst" else "-to-"), F.col("place").cast("string")).alias("name"), matches.alias("matches"), F.struct(F.lit("accept").alias("forwarding")).alias("actions"))
+        return F.transform(F.array_sort(F.collect_list(F.when(F.col("entry") == entry, F.struct("place", F.to_json(body).alias("body"))))), lambda x: x["body"])
+
+    made = rows.groupBy("device_type").agg(ace("from-device", "destination").alias("fr"), ace("to-device", "source").alias("to"), F.count_if(F.col("entry") == "skipped").alias("skipped"))
+
+    def acl(side: str):
+        return F.concat(F.lit('{"name":"'), slug("device_type"), F.lit(f'-{side}","type":"ipv4-acl-type","aces":{{"ace":['), F.array_join(side, ","), F.lit("]}}"))
+
+    def listed(side: str):
+        return F.struct(F.struct(F.array(F.struct(F.concat(slug("device_type"), F.lit(f"-{side}")).alias("name"))).alias("access-list")).alias("access-lists"))
+
+    head = F.to_json(F.struct(F.lit(version).alias("mud-version"), F.col("device_type").alias("systeminfo"), F.lit(48).alias("cache-validity"), F.lit(True).alias("is-supported"), listed("fr").alias("from-device-policy"), listed("to").alias("to-device-policy")))
+    doc = F.concat(F.lit('{"ietf-mud:mud":'), head, F.lit(',"ietf-access-control-list:acls":{"acl":['), acl("fr"), F.lit(","), acl("to"), F.lit("]}}"))
+    return made.select("device_type", doc.alias("mud"), "skipped")

@@ -1,5 +1,7 @@
 import struct
 
+import pytest
+
 from corrobix.sources.captures import dns_answers, packets, read_captures
 
 
@@ -37,6 +39,31 @@ def test_guards():
     assert len(list(packets(capture((1, good), order=">")))) == 1
     assert list(packets(capture((1, good))[:-3])) == [] and list(packets(b"")) == []
     huge = capture((1, good))[:24] + struct.pack("<IIII", 1, 0, 1 << 30, 1 << 30) + good
-    assert list(packets(huge)) == []
+    with pytest.raises(ValueError, match="bytes"):
+        list(packets(huge))
     loop = struct.pack(">HHHHHH", 1, 0x8180, 1, 1, 0, 0) + b"\xc0\x0c" * 20
     assert dns_answers(loop) == []
+
+
+def block(kind, body, order="<"):
+    body += b"\0" * (-len(body) % 4)
+    return struct.pack(order + "II", kind, 12 + len(body)) + body + struct.pack(order + "I", 12 + len(body))
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_next_generation_captures(order):
+    """Byte order of the section, clock of the interface, blocks of other kinds and links."""
+    good = frame("10.0.0.1", "8.8.8.8", 6, 1, 2)
+    section = block(0x0A0D0D0A, struct.pack(order + "IHHq", 0x1A2B3C4D, 1, 0, -1), order)
+    plain = block(1, struct.pack(order + "HHI", 1, 0, 0), order)
+    fine = block(1, struct.pack(order + "HHI", 1, 0, 0) + struct.pack(order + "HHB3x", 9, 1, 9) + struct.pack(order + "HH", 0, 0), order)
+    radio = block(1, struct.pack(order + "HHI", 105, 0, 0), order)
+
+    def packet(which, ticks):
+        return block(6, struct.pack(order + "IIIII", which, ticks >> 32, ticks & 0xFFFFFFFF, len(good), len(good)) + good, order)
+
+    data = section + plain + fine + radio + block(5, b"\0" * 12, order) + packet(0, 7_000_000) + packet(1, 9_000_000_000) + packet(2, 1) + packet(3, 1)
+    assert [p[1] for p in packets(data)] == [7, 9]
+    assert [p[1] for p in packets(data[:-5] + b"")] == [7, 9] and list(packets(section[:20])) == []
+    with pytest.raises(ValueError, match="bytes"):
+        list(packets(section + struct.pack(order + "III", 6, 1 << 30, 0)))
