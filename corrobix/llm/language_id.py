@@ -107,7 +107,12 @@ class Profiles:
 
 
 def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimension: int = DIMENSION) -> Profiles:
-    """Prototypes from all rows with a text and a language. What reaches the driver is languages x dimension numbers."""
+    """Prototypes from all rows with a text and a language. What reaches the driver is languages x dimension numbers.
+
+    Null texts and languages are left out; texts without letters and empty ones add nothing; repeated rows count as often as
+    they are there; long texts are read whole. Languages stand in order of name, so ties do not depend on the rows' order. An
+    empty table gives no prototypes. Other columns are not read.
+    """
     bounded_batches(docs.sparkSession)
 
     def partial(batches):

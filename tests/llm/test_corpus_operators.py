@@ -191,6 +191,66 @@ def test_language_id(spark, empty):
     assert language_id.predict_language(empty, profiles).collect() == []
 
 
+def test_language_id_against_single_trigrams(spark):
+    """Every trigram bound and bundled one at a time, prototypes and cosines by the definition."""
+    rng = np.random.default_rng(8)
+    alphabets = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "ijklmnoé"}
+    texts = [(i, " ".join("".join(rng.choice(list(a), int(rng.integers(1, 7)))) for _ in range(int(rng.integers(1, 25)))) + " 12!", k) for i, (k, a) in enumerate(list(alphabets.items()) * 8)]
+    texts += [(100, "Ab-cD  e", None), (101, "12 !", "aa"), (102, None, "bb"), (103, "abc " * 3000, "aa"), (103, "abc " * 3000, "aa"), (None, "ijk lmn", "cc")]
+    docs = spark.createDataFrame([(i, t, k, None, 1, 1, "x") for i, t, k in texts], SCHEMA).withColumn("lang_pred", F.lit(1)).withColumn("score", F.lit("s"))
+
+    def vector(text):
+        out = np.zeros(language_id.DIMENSION)
+        x = [0]
+        for ch in (text or "").lower() + " ":
+            c = ord(ch) if ch.isalpha() else 0
+            if c or x[-1]:
+                x.append(c)
+        for a, b, c in zip(x, x[1:], x[2:]):
+            if b:
+                v = [language_id.letter_vectors(np.array([y], np.uint32), language_id.DIMENSION)[0] for y in (a, b, c)]
+                out += np.roll(v[0], 2) * np.roll(v[1], 1) * v[2]
+        return out
+
+    every = [(i, vector(t) if t is None or len(t) < 9000 else vector("abc ") * 3000, k) for i, t, k in texts]
+    unit = {k: sum(v for _, v, g in every if g == k) for k in alphabets}
+    unit = np.stack([unit[k] / np.linalg.norm(unit[k]) for k in sorted(unit)])
+    mean = unit.mean(axis=0)
+    centred = (unit - mean) / np.linalg.norm(unit - mean, axis=1, keepdims=True)
+    want = []
+    for i, v, _ in every:
+        if not v.any():
+            want.append((i, "und", 0.0))
+            continue
+        w = v / np.linalg.norm(v) - mean
+        cos = centred @ w / np.linalg.norm(w)
+        want.append((i, sorted(alphabets)[int(cos.argmax())], round(float(max(0, cos.max())), 3)))
+    got = language_id.predict_language(docs, language_id.learn_profiles(docs)).collect()
+    assert sorted(((r.doc_id, r.lang_pred, round(r.score, 3)) for r in got), key=repr) == sorted(want, key=repr)
+
+
+def test_co_training_beats_its_views():
+    """Each view alone tells a part of the classes; few labels, many others; scores by the definition."""
+    rng = np.random.default_rng(2)
+    n = 3000
+    y = (rng.random(n) < 0.5).astype(float)
+    views = []
+    for _ in range(2):  # a view that is silent about a third of the rows
+        loud = rng.random(n) < 0.67
+        x = rng.standard_normal((n, 6))
+        x[:, 0] = np.where(loud, (2 * y - 1) * 2.5, 0) + rng.standard_normal(n) * 0.7
+        views.append(x)
+    told, pool, held = slice(0, 120), slice(120, 1500), slice(1500, n)
+    model = quality.co_train(views[0][told], views[1][told], y[told], views[0][pool], views[1][pool])
+    a, b, both = model.score(views[0][held], views[1][held])
+    right = [float(((p >= 0.5) == y[held]).mean()) for p in (a, b, both)]
+    assert right[2] > max(right[:2]) + 0.05 and right[2] > 0.88
+    odds = model.views[0].odds(views[0][held]) + model.views[1].odds(views[1][held]) - model.prior
+    assert np.allclose(both, 1 / (1 + np.exp(-odds)))
+    single = quality.co_train(views[0][told], views[1][told], y[told], views[0][:0], views[1][:0])
+    assert right[2] >= float(((single.score(views[0][held], views[1][held])[2] >= 0.5) == y[held]).mean()) - 0.01
+
+
 def brute_links(rows):
     """n_links and component_id of rows (id, vector), each row on its own."""
     good = [i for i, (_, v) in enumerate(rows) if v and None not in v and np.isfinite(v).all() and np.any(v)]
