@@ -25,19 +25,25 @@ def with_kind(rules: DataFrame) -> DataFrame:
 def matches(predicted: DataFrame, rules: DataFrame) -> DataFrame:
     """Pairs of a predicted fact and a rule it satisfies. Port 0 and protocol `unknown` match anything.
 
-    Each kind of rule has a join of its own, always on the device type, literals also on the endpoint: no product of all pairs.
+    Each kind of rule has a join of its own, always on the device type: literals also on the endpoint, blocks of addresses also
+    on the upper half of the address, of which a block of eight bits or more holds 256 at most. Wider blocks, wildcards and
+    gateways are a few rules of a device type.
     """
     r = with_kind(rules)
     p = predicted.select(*KEY).withColumn("number", ipv4_number("endpoint"))
+    half = F.floor(F.col("number") / 65536)
+    block = r.where("kind = 'cidr'").withColumn("wide", F.col("high") - F.col("low") >= 1 << 24)
+    narrow = block.where("not wide").withColumn("half", F.explode(F.sequence(F.floor(F.col("low") / 65536), F.floor(F.col("high") / 65536))))
     fits = (F.col("r_protocol").isin("unknown") | (F.col("r_protocol") == F.col("protocol")) | (F.col("protocol") == "unknown")) & ((F.col("r_port") == 0) | (F.col("r_port") == F.col("port")))
     device = F.col("device_type") == F.col("r_device")
     parts = [
         p.join(r.where("kind = 'literal'"), device & (F.col("endpoint") == F.col("r_endpoint")) & fits),
-        p.where("number is not null").join(r.where("kind = 'cidr'"), device & F.col("number").between(F.col("low"), F.col("high")) & fits),
+        p.where("number is not null").join(narrow, device & (half == F.col("half")) & F.col("number").between(F.col("low"), F.col("high")) & fits),
+        p.where("number is not null").join(block.where("wide"), device & F.col("number").between(F.col("low"), F.col("high")) & fits),
         p.join(r.where("kind = 'wildcard'"), device & fits),
         p.where(in_blocks("endpoint", PRIVATE)).join(r.where("kind = 'gateway'"), device & fits),
     ]
-    return reduce(DataFrame.unionByName, parts).select(*KEY, "r_endpoint", "r_protocol", "r_port", "kind")
+    return reduce(DataFrame.unionByName, (x.select(*KEY, "r_endpoint", "r_protocol", "r_port", "kind") for x in parts))
 
 
 def semantic_metrics(predicted: DataFrame, rules: DataFrame) -> DataFrame:
