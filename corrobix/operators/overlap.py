@@ -51,8 +51,8 @@ def cooccurrence(cube: DataFrame) -> DataFrame:
     return seen.withColumnRenamed("key", "a").join(seen.withColumnRenamed("key", "b"), ["device_type", "site_id"]).where("a < b").groupBy("device_type", "a", "b").agg(F.count("*").alias("weight"))
 
 
-def _iterate(ranks: DataFrame, step: Callable[[DataFrame, int], DataFrame], rounds: int, still: float) -> DataFrame:
-    """Apply step until the ranks (node, rank, old) move by less than `still` in all, or so many rounds have passed.
+def _iterate(ranks: DataFrame, step: Callable[[DataFrame, int], DataFrame], rounds: int, still: float) -> tuple[DataFrame, bool]:
+    """The ranks, and whether they have come to rest. Apply step until the ranks (node, rank, old) move by less than `still` in all, or so many rounds have passed.
 
     A step names the ranks once, so LOOK rounds are one plan of that many joins; then they are written and the moves summed. Up
     to LOOK - 1 rounds more are made than needed.
@@ -62,8 +62,8 @@ def _iterate(ranks: DataFrame, step: Callable[[DataFrame, int], DataFrame], roun
         if (i + 1) % LOOK == 0 or i + 1 == rounds:
             ranks = written(ranks, "ranks")
             if ranks.agg(F.coalesce(F.sum(F.abs(F.col("rank") - F.col("old"))), F.lit(0.0))).first()[0] < still:
-                break
-    return ranks.drop("old")
+                return ranks.drop("old"), True
+    return ranks.drop("old"), False
 
 
 def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
@@ -81,42 +81,52 @@ def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, toleran
         sums = links.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"), F.max(F.when(F.col("own"), F.col("rank"))).alias("old"))
         return sums.select("node", ((1 - damping) / n + damping * F.col("got")).alias("rank"), "old")
 
-    ranks = _iterate(total.select(F.col("src").alias("node"), F.lit(1.0 / n).alias("rank")), step, rounds, n * tolerance)
+    ranks, _ = _iterate(total.select(F.col("src").alias("node"), F.lit(1.0 / n).alias("rank")), step, rounds, n * tolerance)
     top = ranks.agg(F.max("rank").alias("top"))
     return ranks.crossJoin(F.broadcast(top)).select("node", (F.col("rank") / F.col("top")).alias("confidence"))
 
 
-def fact_pagerank(cube: DataFrame, rounds: int = 100, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+def fact_pagerank(cube: DataFrame, rounds: int = 100, damping: float = 0.85, tolerance: float = 1e-6, seeds: DataFrame | None = None, fallback: bool = True) -> DataFrame:
     """node, confidence: PageRank of all facts, joined if they share sites and weighted by how many, divided by the largest.
 
-    The sum over a fact's neighbours is taken from fact to site to fact, less the fact's own part, so no pair is made. A fact
-    without a neighbour hands its rank to all facts alike; such facts all have one rank, a number that the rounds carry along.
+    The sum over a fact's neighbours is taken from fact to site to fact, less the fact's own part, so no pair is made. `seeds`
+    (node) draws all jumps to known facts among them. A fact without a neighbour hands its rank to where jumps go; such facts
+    have one rank, or two with seeds: numbers that the rounds carry along. If ranks have not come to rest after `rounds`, all
+    facts get the same, unless fallback is off.
     """
     seen = cube.select("site_id", "device_type", node_of(F.concat_ws("|", "endpoint", "protocol", F.col("port").cast("string"))).alias("node")).distinct()
     sizes = seen.groupBy("device_type", "site_id").agg(F.count("*").alias("size"))
     placed = written(seen.join(sizes, ["device_type", "site_id"]), "placed")
     # A fact's edges weigh, in all, one for each other fact at each of its sites.
     nodes = written(placed.groupBy("node").agg(F.count("*").alias("sites"), (F.sum("size") - F.count("*")).alias("total")), "nodes")
-    n, alone = nodes.agg(F.count("*"), F.count_if(F.col("total") == 0)).first()
+    chosen = nodes.withColumn("seed", F.lit(False)) if seeds is None else nodes.join(seeds.select("node").distinct().withColumn("seed", F.lit(True)), "node", "left").fillna(False, ["seed"])
+    nodes = written(chosen, "nodes")
+    lone_node = F.col("total") == 0
+    n, n_seeds, alone, alone_seeds = nodes.agg(F.count("*"), F.count_if("seed"), F.count_if(lone_node), F.count_if(lone_node & F.col("seed"))).first()
     if not n:
         return nodes.select("node", F.lit(0.0).alias("confidence"))
+    jump = (1.0 / n_seeds, 0.0) if n_seeds else (1.0 / n, 1.0 / n)  # of a seed, of another fact
+    nodes = nodes.withColumn("jump", F.when(F.col("seed"), jump[0]).otherwise(jump[1]))
     joined = nodes.where("total > 0")
-    at_sites = placed.join(joined, "node").select(F.struct("device_type", "site_id", F.lit("").alias("of")).alias("at"), "node", "total", F.lit(1).alias("times"))
-    own = joined.select(F.struct(F.lit("").alias("device_type"), F.lit("").alias("site_id"), F.col("node").alias("of")).alias("at"), "node", "total", (-F.col("sites")).alias("times"))
+    at_sites = placed.join(joined, "node").select(F.struct("device_type", "site_id", F.lit("").alias("of")).alias("at"), "node", "total", F.lit(1).alias("times"), F.lit(None).cast("double").alias("jump"))
+    own = joined.select(F.struct(F.lit("").alias("device_type"), F.lit("").alias("site_id"), F.col("node").alias("of")).alias("at"), "node", "total", (-F.col("sites")).alias("times"), "jump")
     links = written(at_sites.unionByName(own), "links")
-    lone = [1.0 / n]
+    lone, given = [(1.0 / n, 1.0 / n)], []
     for _ in range(rounds):
-        lone.append((1 - damping + damping * alone * lone[-1]) / n)
+        given.append(1 - damping + damping * (alone_seeds * lone[-1][0] + (alone - alone_seeds) * lone[-1][1]))
+        lone.append((given[-1] * jump[0], given[-1] * jump[1]))
 
     def step(ranks: DataFrame, i: int) -> DataFrame:
         sums = links.join(ranks.select("node", "rank"), "node").groupBy("at").agg(F.sum(F.col("rank") / F.col("total")).alias("s"))
-        got = links.join(sums, "at").groupBy("node").agg(F.sum(F.col("times") * F.col("s")).alias("got"), F.max(F.when(F.col("times") < 0, F.col("s") * F.col("total"))).alias("old"))
-        return got.select("node", (F.lit(lone[i + 1]) + damping * F.col("got")).alias("rank"), "old")
+        got = links.join(sums, "at").groupBy("node").agg(F.sum(F.col("times") * F.col("s")).alias("got"), F.max(F.when(F.col("times") < 0, F.col("s") * F.col("total"))).alias("old"), F.max("jump").alias("jump"))
+        return got.select("node", (given[i] * F.col("jump") + damping * F.col("got")).alias("rank"), "old")
 
-    ranks = _iterate(joined.select("node", F.lit(1.0 / n).alias("rank")), step, rounds, n * tolerance)
-    ranks = ranks.unionByName(nodes.where("total = 0").select("node", F.lit(lone[-1]).alias("rank")))
+    ranks, rest = _iterate(joined.select("node", F.lit(1.0 / n).alias("rank")), step, rounds, n * tolerance)
+    if fallback and not rest:
+        return nodes.select("node", F.lit(1.0).alias("confidence"))
+    ranks = ranks.unionByName(nodes.where("total = 0").select("node", F.when(F.col("seed"), lone[-1][0]).otherwise(lone[-1][1]).alias("rank")))
     top = ranks.agg(F.max("rank").alias("top"))
-    return ranks.crossJoin(F.broadcast(top)).select("node", (F.col("rank") / F.col("top")).alias("confidence"))
+    return ranks.crossJoin(F.broadcast(top)).select("node", F.when(F.col("top") > 0, F.col("rank") / F.col("top")).otherwise(0.0).alias("confidence"))
 
 
 def node_of(c):

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import KEY, admitted, service_class
+from ..functions.keys import KEY, admitted, key_string, service_class
 
 ALPHA, BETA, THETA, QUORUM = 0.6, 0.4, 0.65, 2
 
@@ -31,17 +31,18 @@ def temporal(days="days", device_days="device_days", n="n", device_n="device_n")
     return F.least(F.lit(1.0), F.lit(0.7) * F.col(days).cast("double") / F.greatest(F.col(device_days), F.lit(1)) + F.lit(0.3) * F.col(n).cast("double") / F.greatest(F.col(device_n), F.lit(1)))
 
 
-def finish(facts: DataFrame, alpha: float = ALPHA, beta: float = BETA, theta: float = THETA, quorum: int = QUORUM) -> DataFrame:
-    """score, class and accepted flag from site and temporal confidence."""
-    scored = facts.withColumn("score", alpha * F.col("site_confidence") + beta * F.col("temporal_confidence")).withColumn("endpoint_class", service_class())
+def finish(facts: DataFrame, alpha: float = ALPHA, beta: float = BETA, theta: float = THETA, quorum: int = QUORUM, gamma: float = 0.0) -> DataFrame:
+    """score, class and accepted flag from site and temporal confidence, and graph_confidence where gamma gives it a weight."""
+    total = alpha * F.col("site_confidence") + beta * F.col("temporal_confidence")
+    scored = facts.withColumn("score", total + gamma * F.col("graph_confidence") if gamma else total).withColumn("endpoint_class", service_class())
     return scored.withColumn("accepted", admitted(theta, quorum))
 
 
-def score(cube: DataFrame, site_confidence: DataFrame | None = None, quarantined: DataFrame | None = None, **gate) -> DataFrame:
+def score(cube: DataFrame, site_confidence: DataFrame | None = None, quarantined: DataFrame | None = None, graph: DataFrame | None = None, **gate) -> DataFrame:
     """Score every fact.
 
     site_confidence (fact, site_confidence) replaces the plain share of sites. Sites of `quarantined` (site_id) give no
-    temporal evidence but still count as sites.
+    temporal evidence but still count as sites. graph (node, confidence) gives graph_confidence, 0 for facts that it lacks.
     """
     used = cube if quarantined is None else cube.join(quarantined.select("site_id", F.lit(True).alias("q")), "site_id", "left")
     clean = F.lit(True) if quarantined is None else F.col("q").isNull()
@@ -52,6 +53,8 @@ def score(cube: DataFrame, site_confidence: DataFrame | None = None, quarantined
         rows = rows.withColumn("site_confidence", ratio("supporting_sites", "eligible_sites"))
     else:
         rows = rows.join(site_confidence, list(KEY))
+    if graph is not None:
+        rows = rows.withColumn("node", key_string()).join(graph.select("node", F.col("confidence").alias("graph_confidence")), "node", "left").fillna(0.0, ["graph_confidence"]).drop("node")
     return finish(rows, **gate)
 
 
