@@ -46,19 +46,27 @@ def churn(accepted: DataFrame) -> DataFrame:
 def nearest_evidence(rows: DataFrame, evidence: DataFrame, by: tuple[str, ...], hours: int) -> DataFrame:
     """Nearest-in-time evidence (by, timestamp, name) of each row (by, timestamp, seq) within the window; ties to the earlier.
 
-    Rows and evidence are merged once by time; the last before and the first after come from two windows over that.
+    Time is cut into spans of the window's length, and evidence also stands in the spans before and after its own, so all that
+    is near enough to a row lies in the row's span. Rows and evidence of a span are merged by time; the last before and the first
+    after come from two windows over that. A site with most of all rows is so many tasks as it has spans. known_here: there is
+    evidence of the row's `by` at any time.
     """
-    merged = rows.select(*by, "timestamp", "seq", F.lit(None).cast("string").alias("name")).withColumn("is_row", F.lit(1)).unionByName(evidence.select(*by, "timestamp", F.lit(None).cast("long").alias("seq"), "name").distinct().withColumn("is_row", F.lit(0)))
+    width = hours * 3600
+    span = F.floor(F.col("timestamp").cast("long") / width)
+    facts = evidence.select(*by, "timestamp", F.lit(None).cast("long").alias("seq"), "name").distinct()
+    spread = facts.withColumn("span", F.explode(F.array(span - 1, span, span + 1))).withColumn("is_row", F.lit(0))
+    merged = rows.select(*by, "timestamp", "seq", F.lit(None).cast("string").alias("name"), span.alias("span"), F.lit(1).alias("is_row")).unionByName(spread)
     given = F.when(F.col("is_row") == 0, F.struct("timestamp", "name"))
-    w = Window.partitionBy(*by)
+    w = Window.partitionBy(*by, "span")
     before = F.last(given, ignorenulls=True).over(w.orderBy("timestamp", "is_row", "name").rowsBetween(Window.unboundedPreceding, 0))
     after = F.first(given, ignorenulls=True).over(w.orderBy("timestamp", F.desc("is_row"), "name").rowsBetween(0, Window.unboundedFollowing))
     found = merged.withColumn("b", before).withColumn("a", after).where("is_row = 1")
     gap_b, gap_a = F.col("timestamp").cast("long") - F.col("b.timestamp").cast("long"), F.col("a.timestamp").cast("long") - F.col("timestamp").cast("long")
     use_b = F.col("a").isNull() | (F.col("b").isNotNull() & (gap_b <= gap_a))
     out = found.withColumn("gap_seconds", F.when(use_b, gap_b).otherwise(gap_a)).withColumn("hit", F.when(use_b, F.col("b.name")).otherwise(F.col("a.name")))
-    inside = F.col("gap_seconds") <= hours * 3600
-    return out.select("seq", F.when(inside, F.col("hit")).alias("name"), F.when(inside, F.col("gap_seconds")).alias("gap_seconds"), F.col("hit").isNotNull().alias("known_here"))
+    known = facts.select(*by).distinct().withColumn("known_here", F.lit(True))
+    inside = F.col("gap_seconds") <= width
+    return out.join(known, list(by), "left").select("seq", F.when(inside, F.col("hit")).alias("name"), F.when(inside, F.col("gap_seconds")).alias("gap_seconds"), F.coalesce("known_here", F.lit(False)).alias("known_here"))
 
 
 def first_name(observations: DataFrame) -> DataFrame:
