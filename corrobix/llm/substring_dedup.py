@@ -104,14 +104,10 @@ class FingerprintIndex:
         lists.drop()
         del texts, every
         release(self.spark)
-        firsts = seen.df.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("check").alias("check"), F.max("check").alias("other")).where("first < last")
-        firsts = Table(firsts.select("window", "first", (F.col("check") != F.col("other")).alias("differs")), "firsts")
+        same = ["window", "check"]
+        firsts = Table(seen.df.groupBy(*same).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select(*same, "first"), "firsts")
         release(self.spark)
-        later = seen.df.join(firsts.df, "window").where("doc_id > first")
-        if not firsts.df.where("differs").isEmpty():  # one hash of several windows: the other hash tells them apart
-            mixed = seen.df.join(firsts.df.where("differs").select("window"), "window", "left_semi")
-            again = mixed.join(mixed.groupBy("window", "check").agg(F.min("doc_id").alias("first")), ["window", "check"]).where("doc_id > first")
-            later = later.where("not differs").select("window", "doc_id").unionByName(again.select("window", "doc_id"))
+        later = seen.df.join(firsts.df, same).where("doc_id > first")
         if archive is not None:
             later = later.join(F.broadcast(batch.agg(F.min("doc_id").alias("low"))), F.col("doc_id") >= F.col("low"))
         out = Table(later.groupBy("doc_id").agg(F.collect_set("window").alias("windows")), "repeats")
