@@ -3,7 +3,7 @@
 The index is a list of sorted, immutable runs of (fingerprint, doc_id). A fingerprint is the smallest hash of the 5-word runs
 inside a 13-word window, so equal windows have equal fingerprints and neighbouring windows mostly share theirs: a run is about
 a fifth of all windows. Each new batch becomes a run, is merge-joined with the older runs, and windows whose fingerprint was met
-in several documents are verified on 96 bits of hashes of all their words. Runs are compacted once there are more than `fan_in`.
+in several documents are verified on 80 bits of hashes of all their words. Runs are compacted once there are more than `fan_in`.
 """
 
 from __future__ import annotations
@@ -97,17 +97,21 @@ class FingerprintIndex:
                     found.append(hit)
                     row.append(np.full(len(hit), i))
                 flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-                columns = [pa.array(wide[flat].view(np.int64)), pa.array((check[flat] >> np.uint64(32)).astype(np.uint32).view(np.int32))]
+                columns = [pa.array(wide[flat].view(np.int64)), pa.array((check[flat] >> np.uint64(48)).astype(np.uint16).view(np.int16))]
                 yield pa.RecordBatch.from_arrays([*columns, b.column(0).take(pa.array(np.concatenate(row) if row else np.zeros(0, np.int64)))], names=["window", "check", "doc_id"])
 
-        seen = Table(texts.mapInArrow(windows, "window long, check int, doc_id long"), "windows")
+        seen = Table(texts.mapInArrow(windows, "window long, check short, doc_id long"), "windows")
         lists.drop()
         del texts, every
         release(self.spark)
-        same = ["window", "check"]
-        firsts = Table(seen.df.groupBy(*same).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select(*same, "first"), "firsts")
+        firsts = seen.df.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("check").alias("check"), F.max("check").alias("other")).where("first < last")
+        firsts = Table(firsts.select("window", "first", (F.col("check") != F.col("other")).alias("differs")), "firsts")
         release(self.spark)
-        later = seen.df.join(firsts.df, same).where("doc_id > first")
+        later = seen.df.join(firsts.df, "window").where("doc_id > first")
+        if not firsts.df.where("differs").isEmpty():  # one hash of several windows: the other hash tells them apart
+            mixed = seen.df.join(firsts.df.where("differs").select("window"), "window", "left_semi")
+            again = mixed.join(mixed.groupBy("window", "check").agg(F.min("doc_id").alias("first")), ["window", "check"]).where("doc_id > first")
+            later = later.where("not differs").select("window", "doc_id").unionByName(again.select("window", "doc_id"))
         if archive is not None:
             later = later.join(F.broadcast(batch.agg(F.min("doc_id").alias("low"))), F.col("doc_id") >= F.col("low"))
         out = Table(later.groupBy("doc_id").agg(F.collect_set("window").alias("windows")), "repeats")
