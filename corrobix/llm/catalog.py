@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bitpack_output import default_tokenizer, read_packed, write_packed
+from .centroid_clusters import cluster_vectors
 from .decontaminate import find_leaks
 from .embedding_dedup import link_embeddings
 from .html_extract import extract_text, train_labeller
 from .jaccard_join import jaccard_components
 from .language_id import held_out, learn_profiles, predict_language
+from .line_dedup import drop_repeated_lines
 from .oracle import ORACLE_SQL
 from .quality import score_quality, train_quality
 from .secret_scan import digest, learn_dictionary, scan_secrets
+from .source_divergence import audit_sources
 from .source_mix import mix_sources
 from .substring_dedup import remove_repeats
 
@@ -77,8 +80,32 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan_secrets(docs, learn_dictionary(docs)))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of 20 code points and more that at least 3 documents hold stay in the largest doc_id alone.
+
+    Null and empty texts are one empty line; repeated ids are one document; null ids keep all lines; an empty table gives no rows.
+    """
+    return drop_repeated_lines(_read(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences of each language's sources in their words, and each source's own words.
+
+    Null texts, languages and sources read as empty; every row is a document; ties go by item; an empty table gives no rows.
+    """
+    return audit_sources(_read(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all vectors of 64 finite components after 10 rounds; others have no row. Ties go to the smaller centroid.
+
+    Repeated ids are vectors of their own; null ids start no centroid; an empty table gives no rows.
+    """
+    return cluster_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard, op3_quality, op4_embedding_dedup, op5_token_output, op6_html_extract, op7_substring_dedup, op8_decontaminate, op9_source_mix, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard, op3_quality, op4_embedding_dedup, op5_token_output, op6_html_extract, op7_substring_dedup, op8_decontaminate, op9_source_mix, op10_secret_scan, op11_line_dedup, op12_source_divergence, op13_centroid_clusters)}
 
 
 def oracle_sql() -> dict[str, str]:

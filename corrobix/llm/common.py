@@ -117,6 +117,8 @@ _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
 _LOWER = _BYTE.copy()
 _LOWER[65:91] = _BYTE[97:123]
+_LOWER_BYTE = np.arange(256, dtype=np.uint8)
+_LOWER_BYTE[65:91] += 32
 #: An odd base that is 3 modulo 8, so differences of its powers keep almost all bits, and its inverse.
 _BASE = np.uint64(0x9E3779B97F4A7C1B)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
