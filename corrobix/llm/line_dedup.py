@@ -251,8 +251,9 @@ def drop_repeated_lines(docs: DataFrame, least_chars: int = 20, least_docs: int
                 columns.append(pa.array([x.decode() for x in text], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_lines", "n_dropped", "kept_sha256", "kept_text"][: len(columns)])
 
-    ids = drops.df.select("doc_id")
+    # Texts meet their lists by a shuffle at every size: a list holds a document's lines, so no bound holds for all lists.
+    lists, ids = drops.df.hint("merge"), drops.df.select("doc_id")
     if ids.count() > BROADCAST_IDS:
-        return docs.join(drops.df, "doc_id", "left").select("doc_id", "text", "hashes", "keys").mapInArrow(kept, schema)
+        return docs.join(lists, "doc_id", "left").select("doc_id", "text", "hashes", "keys").mapInArrow(kept, schema)
     whole = docs.join(F.broadcast(ids), "doc_id", "left_anti").mapInArrow(kept, schema)
-    return whole.unionByName(docs.join(F.broadcast(ids), "doc_id", "left_semi").join(drops.df, "doc_id").select("doc_id", "text", "hashes", "keys").mapInArrow(kept, schema))
+    return whole.unionByName(docs.join(F.broadcast(ids), "doc_id", "left_semi").join(lists, "doc_id").select("doc_id", "text", "hashes", "keys").mapInArrow(kept, schema))
