@@ -1,10 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Words are hashed into buckets weighted by inverse document frequency over all documents. A randomised SVD of passages, summed
-over Spark tasks, gives every bucket a short vector; passages of documents and pieces of benchmark items are compared by cosine
-in that space. Beside them stand all passages whose surroundings hold so many of an item's rare words that it may be leaked
-there; no leak is without them. Both are verified by the longest common subsequence of words and by whether the item's answer,
-its last sentence, is there.
+Words are hashed into buckets weighted by inverse document frequency over all documents. A randomised SVD of the distinct
+passages, summed over Spark tasks, gives every bucket a short vector, without the leading directions that only tell languages
+and house styles apart. All passages of documents and all pieces of benchmark items are compared by cosine in that space; what
+is close, and nothing else, is verified by the longest common subsequence of words and by whether the item's answer, its last
+sentence, is there.
 """
 
 from __future__ import annotations
@@ -17,19 +17,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, small_batches, word_hashes
+from .common import _COEFF, bounded_batches, mix, small_batches, word_hashes
 
-BUCKETS, RANK, EXTRA = 1 << 15, 64, 16
+BUCKETS, RANK, EXTRA = 1 << 15, 64, 32
+#: Directions are left out whose singular value is so many times the median one, EXTRA / 2 at most.
+LEADING = 1.5
 #: Passages of BLOCK * SPAN words, one starting every BLOCK words.
 BLOCK, SPAN = 8, 3
-COSINE, WHOLE, PART, ANSWER = 0.55, 0.75, 0.5, 0.8
+COSINE, WHOLE, PART, ANSWER = 0.45, 0.75, 0.5, 0.8
 ITEMS_AT_ONCE = 4096
 #: Variance of a direction, as a share of the largest, that single precision cannot tell from none.
 ROUNDING = 1e-5
 #: Passages whose vectors are held at once, rows of a partial sum, and the ways that partial sums of one part are first dealt.
 _PASSAGES, _PART, _WAYS = 1 << 11, 1 << 9, 8
-#: Items whose tables are one array, pairs compared at once, and windows whose passages are listed at once.
-_GROUP, _PAIRS, _WINDOWS = 256, 1 << 14, 1 << 12
+#: Items whose tables are one array, and pairs compared at once.
+_GROUP, _PAIRS = 256, 1 << 14
 #: How much likelier a word is in texts of its language than in all, and what a window costs against a word found; only guesses
 #: for speed, no result depends on them.
 TOGETHER, WINDOW_COST = 8, 60
@@ -68,8 +70,48 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int, int]:
     return df, found.get(BUCKETS, 0), found.get(BUCKETS + 1, 0)
 
 
+def distinct_passages(docs: DataFrame) -> DataFrame:
+    """Buckets of the words of every distinct passage of docs (text), as 16-bit numbers; BUCKETS where a passage has no more words.
+
+    Copies would else lend the basis directions of their own. A task drops its repeats before the shuffle, so a passage that is
+    everywhere arrives once from each task.
+    """
+    size = BLOCK * SPAN
+
+    def passed(batches):
+        cache = np.zeros(1 << 20, np.uint64)  # hashes met last: a repeat that slips through goes after the shuffle
+        for b in (x for whole in batches for x in small_batches(whole, 0)):
+            words, rows = word_hashes(b.column(0), lower=True)
+            if not len(words):
+                continue
+            starts, counts = _block_starts(rows, size)
+            at = starts[:, None] + np.arange(size)
+            own = np.where(at < np.repeat(rows[1:], counts)[:, None], _buckets(words)[np.minimum(at, len(words) - 1)], BUCKETS).astype(np.uint16)
+            h = mix((own.astype(np.uint64) * _COEFF[:size]).sum(axis=1, dtype=np.uint64))
+            new, first = np.unique(h, return_index=True)
+            place = (new & np.uint64(len(cache) - 1)).astype(np.int64)
+            first = first[cache[place] != new]
+            cache[place] = new
+            if len(first):
+                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array([x.tobytes() for x in own[first]], pa.binary())], names=["hash", "words"])
+
+    def once(batches):
+        last = None
+        for b in batches:
+            h = b.column(0).to_numpy()
+            new = np.ones(len(h), bool)
+            new[1:] = h[1:] != h[:-1]
+            if len(h):
+                new[0] = h[0] != last
+                last = h[-1]
+            yield b.filter(pa.array(new)).select([1])
+
+    found = docs.select("text").mapInArrow(passed, "hash long, words binary")
+    return found.repartition("hash").sortWithinPartitions("hash").mapInArrow(once, "words binary")
+
+
 def fit_basis(docs: DataFrame, seed: int = 7) -> Basis:
-    """Right singular vectors of the weighted passage matrix A from one pass: G = A'A O for random O, then Nystrom's formula.
+    """Right singular vectors of the weighted matrix A of distinct passages, from one pass: G = A'A O for random O, then Nystrom's formula.
 
     A task adds up one array of fixed size for all of its passages; the tasks' arrays are added in two levels, in parts.
     """
@@ -81,14 +123,16 @@ def fit_basis(docs: DataFrame, seed: int = 7) -> Basis:
     given = docs.sparkSession.sparkContext.broadcast(_padded(probe * idf[:, None]))
 
     def sketch(batches):
-        out = np.zeros((BUCKETS, RANK + EXTRA), np.float32)
-        for b in (x for whole in batches for x in small_batches(whole, 0, 1 << 23)):
-            words, rows = word_hashes(b.column(0), lower=True)
-            if not len(words):
-                continue
-            starts, counts = _block_starts(rows, BLOCK * SPAN)
-            y = _sums(_buckets(words), starts, np.repeat(rows[1:], counts), BLOCK * SPAN, given.value)
-            _add_by_bucket(out, _buckets(words), np.repeat(np.arange(len(starts)), np.diff(np.concatenate([starts, rows[-1:]]))), y)
+        out = np.zeros((BUCKETS + 1, RANK + EXTRA), np.float32)
+        for b in batches:
+            for at in range(0, b.num_rows, 1 << 16):
+                own = np.frombuffer(b"".join(b.column(0).slice(at, 1 << 16).to_pylist()), np.uint16).reshape(-1, BLOCK * SPAN).astype(np.int64)
+                y = np.zeros((len(own), RANK + EXTRA), np.float32)
+                for first in range(0, len(own), _PASSAGES):
+                    for k in range(BLOCK * SPAN):
+                        y[first : first + _PASSAGES] += given.value.take(own[first : first + _PASSAGES, k], axis=0)
+                flat = own.ravel()
+                _add_by_bucket(out, flat, np.repeat(np.arange(len(own)), BLOCK * SPAN), y)
         if out.any():
             way = TaskContext.get().partitionId() % _WAYS
             for part in range(0, BUCKETS, _PART):
@@ -104,19 +148,23 @@ def fit_basis(docs: DataFrame, seed: int = 7) -> Basis:
             yield pa.RecordBatch.from_pydict({"part": [part], "way": [way], "g": [g.astype(np.float32).tobytes()]})
 
     row = "part long, way long, g binary"
-    parts = docs.select("text").mapInArrow(sketch, row).repartition("part", "way").mapInArrow(total, row).repartition("part").mapInArrow(total, row)
+    parts = distinct_passages(docs).mapInArrow(sketch, row).repartition("part", "way").mapInArrow(total, row).repartition("part").mapInArrow(total, row)
     g = np.zeros((BUCKETS, RANK + EXTRA))
     for part, _, body in parts.collect():
-        g[part : part + _PART] = np.frombuffer(bytes(body), np.float32).reshape(-1, RANK + EXTRA)
+        g[part : part + _PART] = np.frombuffer(bytes(body), np.float32)[: (BUCKETS - part) * (RANK + EXTRA)].reshape(-1, RANK + EXTRA)
     g *= idf[:, None]
     q, _ = np.linalg.qr(g)
     core = probe.T.astype(np.float64) @ g
     inner = (q.T @ g) @ np.linalg.pinv((core + core.T) / 2, rcond=1e-9) @ (q.T @ g).T
     values, turn = np.linalg.eigh((inner + inner.T) / 2)
-    top = np.argsort(-values)[:RANK]
-    real = values[top] > values.max() * ROUNDING + 1e-12  # few passages span few directions, the rest is rounding
-    scale = np.where(real, 1 / np.sqrt(np.maximum(values[top], 1e-12)), 0)  # all directions weigh alike, else the language alone decides
-    return Basis(_padded((q @ turn[:, top]) * scale * idf[:, None]), rate)
+    values, turn = values[::-1], turn[:, ::-1]
+    real = int((values > values[0] * ROUNDING + 1e-12).sum())  # few passages span few directions, the rest is rounding
+    leading = int((values[: EXTRA // 2] > LEADING**2 * np.median(values[: max(1, real)])).sum())
+    kept = slice(leading, min(max(real, leading + 1), leading + RANK))
+    scale = 1 / np.sqrt(np.maximum(values[kept], 1e-12))  # all directions weigh alike
+    vectors = np.zeros((BUCKETS, RANK))
+    vectors[:, : kept.stop - kept.start] = (q @ turn[:, kept]) * scale * idf[:, None]
+    return Basis(_padded(vectors), rate)
 
 
 def _add_by_bucket(out: np.ndarray, buckets: np.ndarray, passage: np.ndarray, y: np.ndarray) -> None:
@@ -189,12 +237,15 @@ def answer_length(text: str) -> int:
     return len(body[cut + 1 :].split())
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", gate: float = COSINE) -> DataFrame:
     """doc_id, item_id, cosine (best), common (words of the longest common subsequence), item_words, answered.
 
-    An item is leaked if WHOLE of its words are found in order near a passage, or PART of them with its answer; every such
-    passage is found. Whole texts are searched, every document against every item, items in blocks of ITEMS_AT_ONCE. Null, empty and blank texts and
-    items match nothing; repeated rows give repeated results, null ids a null. Other columns are not read.
+    An item is leaked if WHOLE of its words are found in order near a passage whose cosine with one of the item's pieces is at
+    least `gate`, or PART of them with its answer. With a gate of -1 every passage is verified: what no basis can miss, to measure
+    recall by. Whole texts are searched, every document against every item, items in blocks of ITEMS_AT_ONCE. Null, empty and
+    blank texts and items match nothing, and an empty table of documents or items gives no rows; of passages that tie for an
+    item's best the first is reported; repeated rows give repeated results, null ids a null. Very long texts go through in slices
+    of rows, a text's passages in blocks. Other columns are not read, whatever their names.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -202,7 +253,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("item_text")).where("item is not null and item_text is not null").distinct()
     basis = fit_basis(docs)
     blocks = max(1, -(-items.count() // ITEMS_AT_ONCE))
-    found = [_search(docs, sorted(items.where(F.pmod(F.xxhash64(F.lit(11), "item"), F.lit(blocks)) == i).collect()), basis) for i in range(blocks)]
+    found = [_search(docs, gate, sorted(items.where(F.pmod(F.xxhash64(F.lit(11), "item"), F.lit(blocks)) == i).collect()), basis) for i in range(blocks)]
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -250,12 +301,11 @@ class _Items:
 
     def __init__(self, known: list, queries: np.ndarray, owner: np.ndarray, rate: np.ndarray):
         self.known, self.queries, self.pieces = known, queries, np.searchsorted(owner, np.arange(len(known) + 1))
-        self.most = int(np.diff(self.pieces).max())
+        self.owner = owner
         self.vocabulary, self.table = _bits(known)
         self.length = np.array([len(own) for _, own, _ in known])
         self.last = np.array([min(x, len(own)) for _, own, x in known])
         self.reach = self.length + BLOCK * SPAN // 2
-        self.wide = -(-self.reach // BLOCK)
         needed = _needed(known, rate)
         self.enough = np.array([n for n, _ in needed])
         pairs = [(np.searchsorted(self.vocabulary, np.unique(np.array(own, np.uint64))), i) for i, (_, own) in enumerate(needed)]
@@ -270,55 +320,14 @@ class _Items:
         return np.where(self.vocabulary[at] == words, at, len(self.vocabulary))
 
 
-def _windows(ids: np.ndarray, rows: np.ndarray, g: _Items) -> tuple[np.ndarray, ...]:
-    """Ranges of passages (item, row, first, last passage of the row) around which an item has enough words of its set."""
+def _hits(ids: np.ndarray, g: _Items) -> np.ndarray:
+    """Places of words of the items' sets, item after item: item * words + place, ascending."""
     at = np.flatnonzero(g.some[ids])
     n = (g.post[ids[at] + 1] - g.post[ids[at]]).astype(np.int64)
     first = np.cumsum(n) - n
     item = g.item[np.repeat(g.post[ids[at]] - first, n) + np.arange(int(n.sum()))]
     by = np.argsort(item, kind="stable")
-    item, word = item[by].astype(np.int64), np.repeat(at, n)[by]
-    row = np.searchsorted(rows, word, "right") - 1
-    to = np.arange(len(item)) + g.enough[item] - 1
-    ok = to < len(item)
-    to = np.minimum(to, len(item) - 1)
-    ok &= (item[to] == item) & (row[to] == row) & (word[to] - word < BLOCK * SPAN + 2 * g.reach[item])
-    item, row, word, end = item[ok], row[ok], word[ok], word[to[ok]]
-    most = np.maximum(1, -(-np.diff(rows) // BLOCK) - SPAN + 1)[row] - 1
-    low = np.maximum(0, -(-(end - BLOCK * SPAN - g.reach[item] + 1 - rows[row]) // BLOCK))
-    high = np.minimum(most, (word + g.reach[item] - rows[row]) // BLOCK)
-    same = np.zeros(len(item), bool)
-    same[1:] = (item[1:] == item[:-1]) & (row[1:] == row[:-1])
-    low[1:] = np.where(same[1:], np.maximum(low[1:], high[:-1] + 1), low[1:])  # both ends ascend within a row
-    ok = low <= high
-    return item[ok], row[ok], low[ok], high[ok]
-
-
-def _covered(ids: np.ndarray, rows: np.ndarray, g: _Items, item: np.ndarray, row: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Passages (first word) and items of those ranges whose surroundings hold words for so many of the item's places."""
-    blocks = -(-np.diff(rows) // BLOCK)[row]
-    a, b = np.maximum(0, low - g.wide[item]), np.minimum(blocks, high + SPAN + g.wide[item])
-    n = b - a
-    first = np.cumsum(n) - n
-    of = np.repeat(np.arange(len(item)), n)
-    word = rows[row][of] + (a[of] + np.arange(int(n.sum())) - first[of]) * BLOCK
-    end, which = rows[row + 1][of], item[of]
-    covers = np.zeros(len(word), np.uint64)
-    for k in range(BLOCK):
-        covers |= g.table[np.where(word + k < end, ids[np.minimum(word + k, len(ids) - 1)], len(g.table) - 1), which]
-    m = high - low + 1
-    of = np.repeat(np.arange(len(item)), m)
-    passage = low[of] + np.arange(int(m.sum())) - (np.cumsum(m) - m)[of]
-    which = item[of]
-    begin = first[of] + np.maximum(0, passage - g.wide[which]) - a[of]
-    stop = first[of] + np.minimum(blocks[of], passage + SPAN + g.wide[which]) - a[of]
-    cover = np.zeros(len(of), np.uint64)
-    for t in range(int((stop - begin).max(initial=0))):
-        cover |= covers[np.minimum(begin + t, stop - 1)]
-    length, last = g.length[which], g.last[which]
-    held, tail = np.bitwise_count(cover).astype(np.int64), np.bitwise_count(cover >> np.clip(length - last, 0, 63).astype(np.uint64)).astype(np.int64)
-    ok = (held >= WHOLE * length) | (held >= PART * length) & (tail >= ANSWER * last) | (length > 64)
-    return rows[row][of[ok]] + passage[ok] * BLOCK, which[ok]
+    return item[by].astype(np.int64) * (len(ids) + 1) + np.repeat(at, n)[by]
 
 
 def _common(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray, table: np.ndarray, skip: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -335,7 +344,7 @@ def _common(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray, t
     return length - np.bitwise_count(v).astype(np.int64)
 
 
-def _search(docs: DataFrame, items: list, basis: Basis) -> DataFrame:
+def _search(docs: DataFrame, gate: float, items: list, basis: Basis) -> DataFrame:
     texts = [r.item_text for r in items]
     words, rows = word_hashes(pa.array(texts, pa.string()), lower=True)
     starts, vectors = passages(words, rows, basis)
@@ -357,7 +366,7 @@ def _search(docs: DataFrame, items: list, basis: Basis) -> DataFrame:
             words, rows = word_hashes(b.column(1), lower=True)
             if not len(words) or not groups:
                 continue
-            made = _leaks(words, rows, basis, groups)
+            made = _leaks(words, rows, basis, groups, gate)
             if made:
                 made = [(b.column(0)[i].as_py(), *leak) for i, *leak in sorted(made, key=lambda x: x[0])]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*made, strict=True), schema, strict=True)], schema=schema)
@@ -365,25 +374,22 @@ def _search(docs: DataFrame, items: list, basis: Basis) -> DataFrame:
     return docs.mapInArrow(search, "doc_id long, item_id long, cosine double, common long, item_words long, answered boolean")
 
 
-def _leaks(words: np.ndarray, rows: np.ndarray, basis: Basis, groups: list[_Items]) -> list[tuple]:
+def _leaks(words: np.ndarray, rows: np.ndarray, basis: Basis, groups: list[_Items], gate: float) -> list[tuple]:
     """Row, item, cosine, common words, item's words and whether it is answered, of the best passage of each row and leaked item."""
     starts, vectors = passages(words, rows, basis)
+    row = np.searchsorted(rows, starts, "right") - 1
     out = []
     for g in groups:
         ids = g.ids(words)
-        ranges = _windows(ids, rows, g)
-        possible = [_covered(ids, rows, g, *(x[at : at + _WINDOWS] for x in ranges)) for at in range(0, len(ranges[0]), _WINDOWS)]
-        at, item = (np.concatenate(x) for x in zip(*possible, strict=True)) if possible else (starts[:0], starts[:0])
-        order = np.argsort(at, kind="stable")
-        at, item = np.searchsorted(starts, at[order]), item[order]
-        near = np.zeros(len(at), bool)
-        for first in range(0, len(starts), _PASSAGES):  # cosine search: of all passages and pieces, what is close and what of it can be a leak
-            close = vectors[first : first + _PASSAGES] @ g.queries.T >= COSINE
-            own = slice(*np.searchsorted(at, [first, first + _PASSAGES]))
-            for k in range(g.most):
-                near[own] |= close[at[own] - first, np.minimum(g.pieces[item[own]] + k, g.pieces[item[own] + 1] - 1)]
-        for chosen in (near, ~near):  # then what the words alone say
-            out += _verified(words, ids, rows, g, at[chosen], item[chosen], starts, vectors)
+        hits, span = _hits(ids, g), len(ids) + 1
+        for first in range(0, len(starts), _PASSAGES):
+            cosine = vectors[first : first + _PASSAGES] @ g.queries.T
+            at, piece = np.nonzero(cosine >= gate)
+            at, item = np.divmod(np.unique(at * len(g.known) + g.owner[piece]), len(g.known))
+            at += first
+            lo, hi = np.maximum(rows[row[at]], starts[at] - g.reach[item]), np.minimum(rows[row[at] + 1], starts[at] + BLOCK * SPAN + g.reach[item])
+            enough = np.searchsorted(hits, item * span + hi) - np.searchsorted(hits, item * span + lo) >= g.enough[item]  # else too few of the item's words are there
+            out += _verified(words, ids, rows, g, at[enough], item[enough], starts, vectors)
     best: dict[tuple[int, int], tuple] = {}
     for row, item, *leak in sorted(out, key=lambda x: (x[0], x[1], -x[2], x[-1])):
         best.setdefault((row, item), leak[:-1])
