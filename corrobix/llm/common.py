@@ -17,13 +17,13 @@ BROADCAST_IDS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only a local session without the setting gets a temporary one."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`. Without it only a local session has one, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        return f"file://{tempfile.gettempdir()}/corrobix-{os.getpid()}"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_corrobix_work"
+    if not (spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"file://{tempfile.gettempdir()}/corrobix-{os.getpid()}"
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -59,14 +59,14 @@ def with_ids(df: DataFrame, ids: DataFrame, col: str, n_ids: int | None = None)
     return df.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, col, "left_semi")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> Table:
+def components(edges: DataFrame) -> Table:
     """Connected components of edges (a, b): a table (node, root) where root is the smallest node reachable.
 
-    Alternating large-star and small-star rounds. Each round attaches nodes to the smallest neighbour with a
+    Alternating large-star and small-star rounds, until a round changes nothing. Each round attaches nodes to the smallest neighbour with a
     partially aggregated min and a join on a unique side, so a node with many edges is never gathered into one task.
     """
     e = Table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    for _ in range(max_rounds):
+    while True:
         before = _digest(e.df)
         if before[0] == 0:
             break

@@ -22,6 +22,8 @@ _SEED = 20240607
 _CODES = 0x110000
 _SLICE = 1 << 19
 _TABLE = 2048
+#: Counts that are held as one dense table (16 MB).
+_DENSE = 1 << 22
 _letter_class: list[np.ndarray] = []
 
 
@@ -61,8 +63,29 @@ def _slices(column):
         at = to
 
 
-def trigram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Counts (texts x distinct trigrams, float32) of lower-cased letters with runs of others as one break, and the trigrams' code points."""
+@dataclass
+class Trigrams:
+    """Counts of distinct trigrams (code points a, b, c) by group of texts, as entries sorted by trigram, or dense where that is small."""
+
+    n: int
+    counts: np.ndarray | tuple[np.ndarray, np.ndarray, np.ndarray]
+    a: np.ndarray
+    b: np.ndarray
+    c: np.ndarray
+
+    def part(self, at: int, to: int) -> np.ndarray:
+        """Counts (groups x trigrams at to to)."""
+        if isinstance(self.counts, np.ndarray):
+            return self.counts[:, at:to]
+        trigram, group, n = self.counts
+        own = slice(*np.searchsorted(trigram, [at, to]))
+        out = np.zeros((self.n, to - at), np.float32)
+        out[group[own], trigram[own] - at] = n[own]
+        return out
+
+
+def trigram_counts(texts: list[str], group: np.ndarray | None = None) -> Trigrams:
+    """Trigrams of lower-cased letters, with runs of others as one break, counted for each text or each group of texts."""
     lengths, parts = [], []
     table = _classes()
     for t in texts:
@@ -85,16 +108,23 @@ def trigram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         at = place[code]
     else:
         used, at = np.unique(code, return_inverse=True)
-    counts = np.bincount(row * max(1, len(used)) + at, minlength=len(texts) * max(1, len(used))).astype(np.float32).reshape(len(texts), -1)
-    return counts, letters[used // len(letters) ** 2], letters[used // len(letters) % len(letters)], letters[used % len(letters)]
+    n = len(texts)
+    if group is not None:
+        row, n = group[row], int(group.max()) + 1
+    if n * len(used) <= _DENSE:
+        counts = np.bincount(row * max(1, len(used)) + at, minlength=n * max(1, len(used))).astype(np.float32).reshape(n, -1)
+    else:
+        entry, times = np.unique(at * n + row, return_counts=True)
+        counts = entry // n, entry % n, times.astype(np.float32)
+    return Trigrams(n, counts, letters[used // len(letters) ** 2], letters[used // len(letters) % len(letters)], letters[used % len(letters)])
 
 
-def bundle(counts: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, dimension: int) -> np.ndarray:
-    """Each row's sum of trigram vectors, with the trigram table made piecewise so that memory stays bounded."""
-    out = np.zeros((len(counts), dimension), np.float32)
-    for at in range(0, len(a), _TABLE):
-        part = slice(at, at + _TABLE)
-        out += counts[:, part] @ trigram_vectors(a[part], b[part], c[part], dimension)
+def bundle(grams: Trigrams, dimension: int) -> np.ndarray:
+    """Each group's sum of trigram vectors, with the tables of counts and vectors made piecewise so that memory stays bounded."""
+    out = np.zeros((grams.n, dimension), np.float32)
+    for at in range(0, len(grams.a), _TABLE):
+        to = min(at + _TABLE, len(grams.a))
+        out += grams.part(at, to) @ trigram_vectors(grams.a[at:to], grams.b[at:to], grams.c[at:to], dimension)
     return out
 
 
@@ -120,10 +150,8 @@ def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), object)
             for at, to, texts in _slices(batch.column(0)):
-                counts, *grams = trigram_counts(texts)
-                names = sorted(set(langs[at:to]))
-                per = np.stack([counts[langs[at:to] == x].sum(axis=0) for x in names])
-                for name, v in zip(names, bundle(per, *grams, dimension), strict=True):
+                names, own = np.unique(langs[at:to].astype(str), return_inverse=True)
+                for name, v in zip(names.tolist(), bundle(trigram_counts(texts, own), dimension), strict=True):
                     sums[name] = sums.get(name, 0) + np.rint(v).astype(np.int64)
         for name, v in sums.items():
             yield pa.RecordBatch.from_pydict({"lang": [name], "profile": [v.tolist()]}, schema=schema)
@@ -145,7 +173,8 @@ def predict_language(docs: DataFrame, profiles: Profiles, keep: tuple[str, ...]
     """doc_id, the columns of keep, lang_pred and score (cosine, 0 if negative) from the whole text alone.
 
     A text that is null or has no letter is `und` with score 0, as is every text when no language was learned. Ties go to the
-    first language by name. Repeated rows and null ids give a row each; very long texts are read whole.
+    first language by name. Repeated rows and null ids give a row each; very long texts are read whole; an empty table gives no
+    rows. Columns besides id, text and those of keep are not read, whatever their names.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -156,13 +185,12 @@ def predict_language(docs: DataFrame, profiles: Profiles, keep: tuple[str, ...]
         for batch in batches:
             langs, scores = [], []
             for _, _, texts in _slices(batch.column(1)):
-                counts, *grams = trigram_counts(texts)
-                letters = counts.sum(axis=1) > 0
+                letters = np.array([any(map(str.isalpha, t)) for t in texts])
                 if not len(p.languages):
                     langs += [UNKNOWN] * len(texts)
                     scores += [0.0] * len(texts)
                     continue
-                v = bundle(counts, *grams, p.dimension).astype(np.float64)
+                v = bundle(trigram_counts(texts), p.dimension).astype(np.float64)
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
                 v -= p.mean
                 cos = v @ p.centred.T / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)

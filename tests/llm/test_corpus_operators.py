@@ -191,6 +191,41 @@ def test_language_id(spark, empty):
     assert language_id.predict_language(empty, profiles).collect() == []
 
 
+def test_trigrams_of_many_letters_stay_small(monkeypatch):
+    """Ideographs make nearly every trigram a new one: memory follows the text, and sparse counts give the dense ones' sums."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9FA0, 340))) for _ in range(500)]
+    tracemalloc.start()
+    whole = language_id.bundle(language_id.trigram_counts(texts), 1024)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6
+    group = np.arange(500) % 3
+    some = language_id.bundle(language_id.trigram_counts(texts, group), 1024)
+    assert np.abs(some - np.stack([whole[group == g].sum(axis=0) for g in range(3)])).max() < 1e-2
+    dense = language_id.bundle(language_id.trigram_counts(texts[:20]), 1024)
+    monkeypatch.setattr(language_id, "_DENSE", 0)
+    assert np.array_equal(dense, language_id.bundle(language_id.trigram_counts(texts[:20]), 1024)) and np.array_equal(dense, whole[:20])
+
+
+def test_columns_with_clashing_names(spark, docs):
+    """Columns that are named like results or helpers change nothing."""
+    names = "held_out lang_pred score hash key n bits n_words kept_sha256 fp windows start n_tokens block ids spans kinds cosine item_id common".split()
+    odd = docs.select("*", *(F.lit("x").alias(c) for c in names))
+    bench = spark.createDataFrame([(1, docs.where("length(text) > 100").first().text, "x")], "item_id long, text string, doc_id string")
+    profiles = language_id.learn_profiles(docs.withColumn("lang", F.lit("en")))
+    for run in (
+        lambda d: language_id.predict_language(d, profiles),
+        lambda d: substring_dedup.remove_repeats(d),
+        lambda d: bitpack_output.read_packed(bitpack_output.write_packed(d, bitpack_output.default_tokenizer()).df).select("doc_id", "start", "n_tokens"),
+        lambda d: decontaminate.find_leaks(d, bench).select("doc_id", "item_id", "common"),
+        lambda d: secret_scan.digest(secret_scan.scan_secrets(d)),
+    ):
+        assert sorted(map(tuple, run(odd).collect()), key=repr) == sorted(map(tuple, run(docs).collect()), key=repr)
+
+
 def test_language_id_against_single_trigrams(spark):
     """Every trigram bound and bundled one at a time, prototypes and cosines by the definition."""
     rng = np.random.default_rng(8)
