@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.keys import ELIGIBLE_CLASSES, KEY, blocked_reason, keeps_global, service_class
-from .operators import baselines, evaluation, lifecycle, overlap, perturb, scoring, sequences
+from .operators import baselines, evaluation, overlap, perturb, scoring, sequences
 from .plans.oracle import BASE, EVENTS
 from .plans.registered import QUERIES as _QUERIES
 from .plans.registered import SQL as _SQL
@@ -23,7 +23,7 @@ _K = "device_type, endpoint, protocol, port"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import attack_queries, report_queries  # noqa: F401  they register theirs
+    from . import attack_queries, lifecycle_queries, report_queries  # noqa: F401  they register theirs
 
     return dict(_QUERIES)
 
@@ -646,12 +646,6 @@ def management_strategies(spark, d):
     return rows.select(granted.alias("strategy"), "t").groupBy("strategy").agg(F.count("*").alias("facts"), F.count("t").alias("confirmed"), (F.count("*") - F.count("t")).alias("false_grants"))
 
 
-@query(None)
-def lifecycle_fold(spark, d):
-    """Status of every endpoint at every site after all events."""
-    return lifecycle.fold(lifecycle.event_log(from_events(spark, d)))
-
-
 @query("SELECT CAST(ts AS DATE) AS day, site_id, device_type, count(*) AS n FROM ev GROUP BY 1, 2, 3", EVENTS)
 def daily_counts(spark, d):
     """The tumbling daily count, as a batch; the streaming variant has the same operator."""

@@ -1,4 +1,4 @@
-"""Lifecycle of facts: a fold of an ordered event log, per fact and site, and its streaming twin."""
+"""Lifecycle of facts: one event's step and the stream of it, registry upserts and review flags. `timeline` folds whole logs."""
 
 from __future__ import annotations
 
@@ -41,34 +41,6 @@ def step(state: dict, op: str, site: str, admissible: bool, seq: int) -> None:
                 s[:] = ["monitor-only", "restore", seq]
 
 
-def fold(log: DataFrame) -> DataFrame:
-    """Final state of every (fact, site).
-
-    Events of a fact are one ordered sequence, so they meet in one partition, but as a stream of sorted rows: a task holds the
-    states of one fact's sites, never its events.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in STATE.split(", ")]
-        fact, state = None, None
-
-        def ended() -> pd.DataFrame:
-            return pd.DataFrame([(fact, s, *v) for s, v in sorted(state["sites"].items())], columns=columns)
-
-        for b in batches:
-            for r in b.itertuples(index=False):
-                if state is None or r.fact != fact:
-                    if state is not None and state["sites"]:
-                        yield ended()
-                    fact, state = r.fact, {"sites": {}, "disputes": set()}
-                step(state, r.op, r.site_id, bool(r.admissible), int(r.seq))
-        if state is not None and state["sites"]:
-            yield ended()
-
-    ordered = log.where("fact is not null").select("fact", "seq", "op", "site_id", "admissible").repartition("fact").sortWithinPartitions("fact", "seq")
-    return ordered.mapInPandas(run, STATE)
-
-
 def history(log: DataFrame, fact: str, site: str | None = None) -> DataFrame:
     """The events of a fact, or of it at one site, in order: the log is only ever appended to."""
     rows = log.where(F.col("fact") == fact)

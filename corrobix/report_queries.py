@@ -234,14 +234,6 @@ def new_observations(spark, d):
     return new.groupBy("site_id").agg(F.count("*").alias("n"))
 
 
-@query(None)
-def review_flags(spark, d):
-    """Active decisions whose endpoint fewer than five sites have reported lately: flagged, not changed."""
-    events = from_events(spark, d)
-    scores = events.groupBy(F.col("endpoint").alias("fact")).agg(F.count_distinct("site_id").alias("score")).withColumn("accepted", F.col("score") >= 5)
-    return lifecycle.review_flags(lifecycle.fold(lifecycle.event_log(events)), scores)
-
-
 @query("SELECT device_type, count(DISTINCT device_id) AS devices, count(DISTINCT site_id) AS sites, count(*) AS n FROM obs JOIN (SELECT device_type FROM obs GROUP BY 1 HAVING count(DISTINCT device_id) >= 5) USING (device_type) GROUP BY 1")
 def eligible_devices(spark, d):
     """Device types of at least five devices, and their rows alone."""

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corrobix.functions import keys
-from corrobix.operators import evaluation, lifecycle, overlap, scoring, sequences
+from corrobix.operators import evaluation, lifecycle, overlap, scoring, sequences, timeline
 from corrobix.sources import observations
 from corrobix.streaming import windows
 
@@ -106,9 +106,9 @@ def log(spark, events):
 
 def test_lifecycle(spark):
     events = [("a", "query"), ("a", "commit"), ("b", "query"), ("c", "query"), ("c", "revoke"), ("b", "dispute")]
-    assert {r.site_id: r.status for r in lifecycle.fold(log(spark, events)).collect()} == {"a": "disputed", "b": "disputed", "c": "revoked"}
-    assert {r.site_id: r.status for r in lifecycle.fold(log(spark, [*events, ("a", "dispute")])).collect()} == {"a": "revoked", "b": "revoked", "c": "revoked"}
-    after = {r.site_id: (r.status, r.origin) for r in lifecycle.fold(log(spark, [*events, ("a", "dispute"), ("a", "restore")])).collect()}
+    assert {r.site_id: r.status for r in timeline.fold(log(spark, events)).collect()} == {"a": "disputed", "b": "disputed", "c": "revoked"}
+    assert {r.site_id: r.status for r in timeline.fold(log(spark, [*events, ("a", "dispute")])).collect()} == {"a": "revoked", "b": "revoked", "c": "revoked"}
+    after = {r.site_id: (r.status, r.origin) for r in timeline.fold(log(spark, [*events, ("a", "dispute"), ("a", "restore")])).collect()}
     assert after == {"a": ("monitor-only", "restore"), "b": ("monitor-only", "restore"), "c": ("revoked", "local")}
 
 
@@ -130,4 +130,4 @@ def test_streamed_fold_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     latest = spark.table("folded").groupBy("fact", "site_id").agg(F.max_by("status", "seq").alias("status"))
-    assert sorted(latest.collect()) == sorted(lifecycle.fold(events).select("fact", "site_id", "status").collect())
+    assert sorted(latest.collect()) == sorted(timeline.fold(events).select("fact", "site_id", "status").collect())
