@@ -148,7 +148,8 @@ def fit_basis(docs: DataFrame, seed: int = 7) -> Basis:
             yield pa.RecordBatch.from_pydict({"part": [part], "way": [way], "g": [g.astype(np.float32).tobytes()]})
 
     row = "part long, way long, g binary"
-    parts = distinct_passages(docs).mapInArrow(sketch, row).repartition("part", "way").mapInArrow(total, row).repartition("part").mapInArrow(total, row)
+    tasks = 2 * docs.sparkSession.sparkContext.defaultParallelism  # a sketch has one size, however few passages a task has
+    parts = distinct_passages(docs).coalesce(tasks).mapInArrow(sketch, row).repartition("part", "way").mapInArrow(total, row).repartition("part").mapInArrow(total, row)
     g = np.zeros((BUCKETS, RANK + EXTRA))
     for part, _, body in parts.collect():
         g[part : part + _PART] = np.frombuffer(bytes(body), np.float32)[: (BUCKETS - part) * (RANK + EXTRA)].reshape(-1, RANK + EXTRA)
