@@ -24,7 +24,7 @@ BUCKETS, RANK, EXTRA = 1 << 15, 64, 32
 LEADING = 1.5
 #: Passages of BLOCK * SPAN words, one starting every BLOCK words.
 BLOCK, SPAN = 8, 3
-COSINE, WHOLE, PART, ANSWER = 0.45, 0.75, 0.5, 0.8
+COSINE, WHOLE, PART, ANSWER = 0.5, 0.75, 0.5, 0.8
 ITEMS_AT_ONCE = 4096
 #: Variance of a direction, as a share of the largest, that single precision cannot tell from none.
 ROUNDING = 1e-5
