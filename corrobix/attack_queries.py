@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.keys import KEY
-from .operators import attacks, scoring
+from .operators import attacks, overlap, scoring
 from .plans.oracle import BASE
 from .plans.registered import query
 from .sources.observations import evidence_cube, from_star_schema
@@ -197,3 +197,34 @@ def joined_organisations(spark, d):
     cube = _cube(spark, d)
     orgs = spark.createDataFrame([("site-8", "org-a"), ("site-9", "org-a"), ("site-6", "org-b"), ("site-7", "org-b")], "site_id string, organisation string")
     return scoring.fact_totals(attacks.joined_organisations(cube, orgs)).groupBy("device_type", F.col("supporting_sites").alias("supporting")).agg(F.count("*").alias("facts"))
+
+
+_TAUS = tuple(i / 20 for i in range(1, 20, 2))
+_SWEEP = f""", taus AS (SELECT CAST(t AS DOUBLE) AS tau FROM (VALUES {", ".join(f"({t})" for t in _TAUS)}) v(t)),
+se AS (SELECT tau, device_type, a, b FROM jac, taus WHERE jaccard >= tau UNION ALL SELECT tau, device_type, b, a FROM jac, taus WHERE jaccard >= tau),
+sr AS (SELECT tau, device_type, site_id, site_id AS other FROM sizes, taus UNION SELECT r.tau, r.device_type, r.site_id, e.b FROM sr r JOIN se e ON e.tau = r.tau AND e.device_type = r.device_type AND e.a = r.other),
+sc AS (SELECT tau, device_type, site_id, min(other) AS cluster FROM sr GROUP BY 1, 2, 3)
+"""
+
+
+@query(_SWEEP + "SELECT tau, device_type, count(*) AS clusters, max(n) AS largest FROM (SELECT tau, device_type, cluster, count(*) AS n FROM sc GROUP BY 1, 2, 3) GROUP BY 1, 2", _RECURSIVE)
+def cluster_sweep(spark, d):
+    """Clusters of sites at every threshold, cut from one spanning forest."""
+    cube = _cube(spark, d)
+    sizes = overlap.clusters_at(overlap.spanning_forest(overlap.site_jaccard(cube)), cube, _TAUS).groupBy("tau", "device_type", "cluster").agg(F.count("*").alias("n"))
+    return sizes.groupBy("tau", "device_type").agg(F.count("*").alias("clusters"), F.max("n").alias("largest"))
+
+
+@query(_SWEEP + f"""SELECT tau, count(*) AS facts, count(*) FILTER (supporting_sites >= 2 AND endpoint_class <> 'other' AND round(0.6::DOUBLE * c / all_c + 0.4::DOUBLE * temporal_confidence, 9) >= 0.65) AS accepted, round(avg(CAST(c AS DOUBLE) / all_c), 6) AS site_confidence
+FROM (SELECT tau, {_K}, count(DISTINCT cluster) AS c FROM pairs JOIN sc USING (device_type, site_id) GROUP BY ALL) JOIN (SELECT tau, device_type, count(DISTINCT cluster) AS all_c FROM sc GROUP BY 1, 2) USING (tau, device_type) JOIN base USING ({_K}) GROUP BY 1""", _RECURSIVE)
+def jaccard_threshold_sweep(spark, d):
+    """Facts that the cluster-aware score admits at every threshold of similar sites, scored in one pass."""
+    cube = _cube(spark, d)
+    clusters = written(overlap.clusters_at(overlap.spanning_forest(overlap.site_jaccard(cube)), cube, _TAUS), "clusters")
+    pairs = cube.select("site_id", *KEY).distinct().join(clusters, ["device_type", "site_id"])
+    support = pairs.groupBy("tau", *KEY).agg(F.count_distinct("cluster").alias("c"))
+    eligible = clusters.groupBy("tau", "device_type").agg(F.count_distinct("cluster").alias("all_c"))
+    share = F.col("c").cast("double") / F.col("all_c")
+    rows = support.join(eligible, ["tau", "device_type"]).join(scoring.score(cube).select(*KEY, "supporting_sites", "endpoint_class", "temporal_confidence"), list(KEY)).withColumn("site_confidence", share)
+    admitted = (F.col("supporting_sites") >= 2) & (F.col("endpoint_class") != "other") & (F.round(0.6 * F.col("site_confidence") + 0.4 * F.col("temporal_confidence"), 9) >= 0.65)
+    return rows.groupBy("tau").agg(F.count("*").alias("facts"), F.count_if(admitted).alias("accepted"), F.round(F.avg("site_confidence"), 6).alias("site_confidence"))

@@ -26,25 +26,63 @@ def site_jaccard(cube: DataFrame) -> DataFrame:
     return out.select("device_type", "a", "b", "common", either.alias("either"), (F.col("common").cast("double") / either).alias("jaccard"))
 
 
-def site_clusters(jaccard: DataFrame, cube: DataFrame, tau: float) -> DataFrame:
-    """device_type, site_id, cluster (smallest site reachable over pairs of at least tau).
+def connected(edges: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """nodes (keys, node) with root: the smallest node reachable over edges (keys, a, b).
 
-    Rounds until nothing moves: a site takes the smallest label of its neighbours, then the label of that label's site, so the
-    rounds grow with the logarithm of a cluster's length.
+    Rounds until nothing moves: a node takes the smallest label of its neighbours, then the label of that label's node, so the
+    rounds grow with the logarithm of a component's length.
     """
-    edges = jaccard.where(F.col("jaccard") >= tau).select("device_type", "a", "b")
-    both = written(edges.unionByName(edges.select("device_type", F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    labels = written(cube.select("device_type", "site_id").distinct().withColumn("cluster", F.col("site_id")), "labels")
+    both = written(edges.select(*keys, "a", "b").unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    labels = written(nodes.select(*keys, "node").distinct().withColumn("root", F.col("node")), "labels")
     while True:
-        reach = both.join(labels.toDF("device_type", "b", "c"), ["device_type", "b"]).groupBy("device_type", F.col("a").alias("site_id")).agg(F.min("c").alias("c"))
-        near = labels.join(reach, ["device_type", "site_id"], "left").select("device_type", "site_id", F.col("cluster").alias("old"), F.least("cluster", F.coalesce("c", "cluster")).alias("near"))
-        far = labels.select("device_type", F.col("site_id").alias("near"), F.col("cluster").alias("far"))
-        new = written(near.join(far, ["device_type", "near"]).select("device_type", "site_id", F.least("near", "far").alias("cluster"), (F.least("near", "far") < F.col("old")).alias("moved")), "labels")
+        reach = both.join(labels.toDF(*keys, "b", "c"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("node")).agg(F.min("c").alias("c"))
+        near = labels.join(reach, [*keys, "node"], "left").select(*keys, "node", F.col("root").alias("old"), F.least("root", F.coalesce("c", "root")).alias("near"))
+        far = labels.select(*keys, F.col("node").alias("near"), F.col("root").alias("far"))
+        new = written(near.join(far, [*keys, "near"]).select(*keys, "node", F.least("near", "far").alias("root"), (F.least("near", "far") < F.col("old")).alias("moved")), "labels")
         labels = new.drop("moved")
         if new.where("moved").isEmpty():
             return labels
 
 
+def site_clusters(jaccard: DataFrame, cube: DataFrame, tau: float) -> DataFrame:
+    """device_type, site_id, cluster (smallest site reachable over pairs of at least tau)."""
+    nodes = cube.select("device_type", F.col("site_id").alias("node"))
+    return connected(jaccard.where(F.col("jaccard") >= tau), nodes, ["device_type"]).toDF("device_type", "site_id", "cluster")
+
+
+def spanning_forest(jaccard: DataFrame) -> DataFrame:
+    """device_type, a, b, jaccard: a maximum spanning forest of the sites of each device type, over pairs with something in common.
+
+    Each round every component takes its largest edge to another one (ties by name, so no cycle closes), a partial aggregate;
+    then components that are joined become one. At most the logarithm of the sites in rounds. Two sites are in one cluster at a
+    threshold if and only if the forest's edges of at least that much join them, so all thresholds need these edges alone.
+    """
+    edges = written(jaccard.where("common > 0").select("device_type", "a", "b", "jaccard"), "pairs")
+    nodes = edges.select("device_type", F.col("a").alias("node")).unionByName(edges.select("device_type", F.col("b").alias("node"))).distinct()
+    labels = written(nodes.withColumn("root", F.col("node")), "labels")
+    forest = None
+    while True:
+        ends = [labels.toDF("device_type", x, f"root_{x}") for x in ("a", "b")]
+        across = edges.join(ends[0], ["device_type", "a"]).join(ends[1], ["device_type", "b"]).where("root_a <> root_b")
+        edge = F.struct("jaccard", "a", "b", "root_a", "root_b")
+        best = across.select("device_type", F.explode(F.array("root_a", "root_b")).alias("root"), edge.alias("e")).groupBy("device_type", "root").agg(F.max("e").alias("e"))
+        chosen = written(best.select("device_type", "e.*").distinct(), "chosen")
+        if chosen.isEmpty():
+            return forest if forest is not None else edges.limit(0)
+        taken = chosen.select("device_type", "a", "b", "jaccard")
+        forest = taken if forest is None else forest.unionByName(taken)
+        roots = connected(chosen.select("device_type", F.col("root_a").alias("a"), F.col("root_b").alias("b")), labels.select("device_type", F.col("root").alias("node")), ["device_type"])
+        labels = written(labels.join(roots.toDF("device_type", "root", "new"), ["device_type", "root"]).select("device_type", "node", F.col("new").alias("root")), "labels")
+
+
+def clusters_at(forest: DataFrame, cube: DataFrame, taus: tuple[float, ...]) -> DataFrame:
+    """tau, device_type, site_id, cluster at every threshold, from the edges of a spanning forest."""
+    tau = F.explode(F.array(*map(F.lit, taus)))
+    edges = forest.withColumn("tau", tau).where("jaccard >= tau")
+    nodes = cube.select("device_type", F.col("site_id").alias("node")).distinct().withColumn("tau", tau)
+    return connected(edges, nodes, ["tau", "device_type"]).toDF("tau", "device_type", "site_id", "cluster")
+
+
 def cooccurrence(cube: DataFrame) -> DataFrame:
     """Facts of a device type that are seen at the same sites: a, b (keys), weight = shared sites."""
     seen = cube.select("site_id", *KEY).distinct().select("device_type", "site_id", F.concat_ws("|", "endpoint", "protocol", F.col("port").cast("string")).alias("key"))
