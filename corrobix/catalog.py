@@ -23,7 +23,7 @@ _K = "device_type, endpoint, protocol, port"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import attack_queries, drift_queries, lifecycle_queries, report_queries, transfer_queries  # noqa: F401  they register theirs
+    from . import attack_queries, drift_queries, fingerprint_queries, lifecycle_queries, report_queries, transfer_queries  # noqa: F401  they register theirs
 
     return dict(_QUERIES)
 

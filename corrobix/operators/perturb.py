@@ -52,17 +52,17 @@ def shared_facts(pairs: DataFrame, share: float, fanout: int) -> DataFrame:
     return pairs.unionByName(copies).distinct()
 
 
-def fragmented(rows: DataFrame, label: str, rate: float, parts: int = 2) -> DataFrame:
-    """A share of the devices, by hash, gets one of `parts` labels made from its own: one type seen as several."""
-    hit, part = _hash_share("device_id", "fragment") < rate, F.pmod(F.xxhash64("device_id"), F.lit(parts)).cast("string")
-    return rows.withColumn(label, F.when(hit, F.concat_ws("#", label, part)).otherwise(F.col(label)))
+def fragmented(label: str, rate: float, parts: int = 2, by: tuple[str, ...] = ("device_id",)):
+    """The label, for a share of the devices (or of what `by` names) with the number of one of `parts`: one type seen as several."""
+    part = _hash_share("part", *by)
+    return F.when(_hash_share("fragment", *by) < rate, F.concat(F.col(label), F.lit("#"), F.floor(part * parts).cast("string"))).otherwise(F.col(label))
 
 
-def collided(rows: DataFrame, label: str, rate: float, following: DataFrame) -> DataFrame:
-    """A share of the devices, by hash, gets the label that follows its own (label, next): several types seen as one."""
-    return rows.join(following.select(F.col("label").alias(label), "next"), label, "left").withColumn(label, F.when(_hash_share("device_id", "collide") < rate, F.coalesce("next", label)).otherwise(F.col(label))).drop("next")
+def collided(label: str, rate: float, following: str, by: tuple[str, ...] = ("device_id",)):
+    """The label, for a share of the devices the one in column `following`: several types seen as one."""
+    return F.when(_hash_share("collide", *by) < rate, F.coalesce(following, label)).otherwise(F.col(label))
 
 
-def _hash_share(c: str, salt: str):
-    """A number in [0, 1) from the SHA-256 of a salt and a column."""
-    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(salt), F.col(c)).cast("binary"), 256), 1, 8), 16, 10).cast("double") / float(2**32)
+def _hash_share(salt: str, *cols: str):
+    """A number in [0, 1) from the SHA-256 of a salt and columns."""
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(salt), *cols).cast("binary"), 256), 1, 8), 16, 10).cast("double") / float(2**32)
