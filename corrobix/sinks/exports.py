@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import KEY, slug
+from ..operators.overlap import connected
 
 SCORE_COLUMNS = (*KEY, "endpoint_class", "supporting_sites", "eligible_sites", "site_confidence", "temporal_confidence", "score", "accepted")
 
@@ -54,14 +55,26 @@ def read_baseline(spark, path: str) -> DataFrame:
 
 
 def graph_summary(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """device_type, nodes, edges, density of a graph of facts (device_type, a, b, weight) with all nodes (device_type, node)."""
+    """device_type, nodes, edges, density, degree (mean), components of a graph of facts (device_type, a, b, weight) with all nodes
+    (device_type, node)."""
     n = nodes.groupBy("device_type").agg(F.count_distinct("node").alias("nodes"))
     e = edges.groupBy("device_type").agg(F.count("*").alias("edges"))
+    parts = connected(edges, nodes, ["device_type"]).groupBy("device_type").agg(F.count_distinct("root").alias("components"))
     possible = F.col("nodes") * (F.col("nodes") - 1) / 2
-    return n.join(e, "device_type", "left").fillna(0, ["edges"]).withColumn("density", F.when(possible > 0, F.col("edges") / possible).otherwise(0.0))
-
-
-def write_graph(edges: DataFrame, path: str) -> None:
-    """Edges as GML text, a file for each part of the data, edges by the names of their ends; readers join the parts."""
-    text = F.concat(F.lit('  edge [ source "'), F.regexp_replace("a", '"', "&quot;"), F.lit('" target "'), F.regexp_replace("b", '"', "&quot;"), F.lit('" weight '), F.col("weight").cast("string"), F.lit(" ]"))
-    edges.select(text.alias("value")).write.mode("overwrite").text(path)
+    rows = n.join(e, "device_type", "left").fillna(0, ["edges"]).join(parts, "device_type")
+    return rows.withColumn("density", F.when(possible > 0, F.col("edges") / possible).otherwise(0.0)).withColumn("degree", 2 * F.col("edges") / F.col("nodes")).select("device_type", "nodes", "edges", "density", "degree", "components")
+
+
+def write_graph(edges: DataFrame, nodes: DataFrame, path: str) -> None:
+    """A GML document for each device type, in a folder of its own: its nodes with numbers and labels, then its edges.
+
+    A document is one file, so a device type's lines pass through one task, sorted and in a stream, never held.
+    """
+    numbered = nodes.select("device_type", "node").distinct().withColumn("id", F.row_number().over(Window.partitionBy("device_type").orderBy("node")))
+    ends = edges.join(numbered.toDF("device_type", "a", "ia"), ["device_type", "a"]).join(numbered.toDF("device_type", "b", "ib"), ["device_type", "b"])
+    label = F.regexp_replace(F.regexp_replace("node", "&", "&amp;"), '"', "&quot;")
+    lines = numbered.select("device_type", F.lit(1).alias("part"), F.col("id").alias("x"), F.lit(0).alias("y"), F.concat(F.lit("  node [ id "), F.col("id").cast("string"), F.lit(' label "'), label, F.lit('" ]')).alias("value"))
+    lines = lines.unionByName(ends.select("device_type", F.lit(2).alias("part"), F.col("ia").alias("x"), F.col("ib").alias("y"), F.concat(F.lit("  edge [ source "), F.col("ia").cast("string"), F.lit(" target "), F.col("ib").cast("string"), F.lit(" weight "), F.col("weight").cast("string"), F.lit(" ]")).alias("value")))
+    around = nodes.select("device_type").distinct().select("device_type", F.explode(F.array(F.struct(F.lit(0).alias("part"), F.lit("graph [\n  directed 0").alias("value")), F.struct(F.lit(3).alias("part"), F.lit("]").alias("value")))).alias("e"))
+    lines = lines.unionByName(around.select("device_type", "e.part", F.lit(0).alias("x"), F.lit(0).alias("y"), "e.value"))
+    lines.repartition("device_type").sortWithinPartitions("device_type", "part", "x", "y").select("device_type", "value").write.mode("overwrite").partitionBy("device_type").text(path)

@@ -18,10 +18,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import PRIVATE, clean_host, in_blocks
+from ..functions.keys import PRIVATE, canonical_device, clean_address, clean_host, epoch_or_iso, in_blocks, is_address, is_global, lenient_int, optional, protocol_name
+from .observations import ALIASES
 
 # Link type, ether types and IP protocols that are decoded; the largest record that is believed.
-_ETHERNET, _IPV4, _VLAN, _TCP, _UDP = 1, 0x0800, 0x8100, 6, 17
+_ETHERNET, _IPV4, _VLAN, _ICMP, _TCP, _UDP = 1, 0x0800, 0x8100, 1, 6, 17
 MOST_BYTES = 16 << 20
 PACKETS = "path string, packet long, seconds long, src_ip string, dst_ip string, protocol string, src_port int, dst_port int, answer_name string, answer_ip string"
 
@@ -78,6 +79,8 @@ def packets(content: bytes) -> Iterator[tuple]:
         head = (p[link] & 15) * 4
         kind, body = p[link + 9], p[link + head :]
         src, dst = (".".join(map(str, p[link + i : link + i + 4])) for i in (12, 16))
+        if kind == _ICMP:
+            yield number, seconds, src, dst, "icmp", 0, 0, []
         if kind not in (_TCP, _UDP) or len(body) < 8:
             continue
         sport, dport = struct.unpack_from(">HH", body)
@@ -195,6 +198,59 @@ def read_archived_csv(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path, "*.{zip,tar,tar.gz,tgz}").mapInPandas(decoded, "file string, line long, cells map<string, string>")
 
 
+def archived_observations(rows: DataFrame, site_id: str, dataset: str) -> DataFrame:
+    """Observations of rows of archived CSV files (file, line, cells), whose headers vary from file to file.
+
+    Headers are matched once for each file, by the same names as those of plain logs. Rows without an endpoint, a port or a time
+    are dropped, as are files without such columns. The device is the row's, else its address, else its device type.
+    """
+    headers = rows.groupBy("file").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.map_keys("cells"))))).alias("names"))
+
+    def header(meaning: str):
+        forms = (lambda c: c, F.lower, lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", ""))
+
+        def found(form, name: str):
+            return F.get(F.filter("names", lambda k: form(k) == form(F.lit(name))), F.lit(0))
+
+        return F.coalesce(*(found(f, n) for f in forms for n in ALIASES[meaning])).alias(f"h_{meaning}")
+
+    known = headers.select("file", *map(header, ALIASES)).where("h_timestamp is not null and coalesce(h_dst_ip, h_hostname) is not null")
+
+    def get(meaning: str):
+        return F.expr(f"cells[h_{meaning}]")
+
+    folder = F.element_at(F.split("file", "/"), -2)
+    kind, host = F.coalesce(optional(get("device")), folder), clean_host(get("hostname"))
+    found = rows.join(known, "file").select(
+        F.lit(site_id).alias("site_id"), F.coalesce(optional(get("device_id")), optional(get("src_ip")), kind).alias("device_id"), kind.alias("device_type"), host.alias("fqdn"), clean_address(get("dst_ip")).alias("remote_ip"), protocol_name(get("protocol")).alias("protocol"),
+        lenient_int(get("dst_port")).alias("port"), epoch_or_iso(get("timestamp")).alias("timestamp"), F.lit(dataset).alias("source_dataset"), F.when(host.isNotNull(), "flow+hostname").otherwise("flow").alias("evidence_type"), F.lit(False).alias("response_observed"), F.lit("out").alias("direction"),
+    )
+    return found.where(F.coalesce("fqdn", "remote_ip").isNotNull() & (F.col("port") > 0) & F.col("timestamp").isNotNull())
+
+
+def device_mapping(spark: SparkSession, path: str) -> DataFrame:
+    """ip, device of a table of `name,address` rows without a header; rows without a name or a valid address are left out."""
+    rows = spark.read.schema("name string, ip string").csv(path).select(F.trim("ip").alias("ip"), F.trim("name").alias("device"))
+    return rows.where((F.col("device") != "") & is_address("ip")).groupBy("ip").agg(F.max("device").alias("device"))
+
+
+def read_mapped_captures(spark: SparkSession, path: str, devices: DataFrame, site_id: str, dataset: str, aliases: dict[str, str] | None = None) -> DataFrame:
+    """Observations of captures in which several devices are known by their addresses (devices: ip, device).
+
+    What a known device sends to a usable port counts once a second, with the name that the capture last gave the peer. Peers
+    without a name must be global addresses. Device types are the devices' canonical names.
+    """
+    rows = read_packets(spark, path)
+    answers = rows.where("answer_ip is not null").select("path", "packet", F.col("answer_ip").alias("remote_ip"), F.col("answer_name").alias("name"), F.lit(0).alias("sent"))
+    sent = rows.join(devices.withColumnRenamed("ip", "src_ip"), "src_ip").where("dst_port > 0").select("path", "packet", F.col("dst_ip").alias("remote_ip"), "seconds", "protocol", F.col("dst_port").alias("port"), F.col("src_ip").alias("device_id"), "device").distinct().withColumn("sent", F.lit(1))
+    known = F.last("name", ignorenulls=True).over(Window.partitionBy("path", "remote_ip").orderBy("packet", "sent").rowsBetween(Window.unboundedPreceding, 0))
+    named = sent.unionByName(answers, allowMissingColumns=True).withColumn("fqdn", clean_host(known)).where("sent = 1").dropDuplicates(["path", "device_id", "remote_ip", "protocol", "port", "seconds"])
+    return named.where(F.col("fqdn").isNotNull() | is_global("remote_ip")).select(
+        F.lit(site_id).alias("site_id"), "device_id", canonical_device("device", aliases).alias("device_type"), "fqdn", "remote_ip", "protocol", "port", F.timestamp_seconds("seconds").alias("timestamp"), F.lit(dataset).alias("source_dataset"),
+        F.when(F.col("fqdn").isNotNull(), "flow+dns_answer").otherwise("flow").alias("evidence_type"), F.lit(False).alias("response_observed"), F.lit("out").alias("direction"),
+    )
+
+
 def read_captures(spark: SparkSession, path: str, site_id: str, dataset: str) -> DataFrame:
     """Observations of all captures under path: the device type is the folder, the device the busiest private address."""
     rows = read_packets(spark, path)
@@ -202,7 +258,7 @@ def read_captures(spark: SparkSession, path: str, site_id: str, dataset: str) ->
     seen = ends.groupBy("path", "ip").agg(F.count("*").alias("n"), F.min("packet").alias("first"))
     device = seen.groupBy("path").agg(F.min_by("ip", F.struct(-F.col("n"), "first")).alias("device_id"))
     answers = rows.where("answer_ip is not null").select("path", "packet", F.col("answer_ip").alias("remote_ip"), F.col("answer_name").alias("name"), F.lit(0).alias("sent"))
-    sent = rows.join(device, "path").where(F.col("src_ip") == F.col("device_id")).select("path", "packet", F.col("dst_ip").alias("remote_ip"), "seconds", "protocol", F.col("dst_port").alias("port"), "device_id").distinct().withColumn("sent", F.lit(1))
+    sent = rows.join(device, "path").where(F.col("src_ip") == F.col("device_id")).select("path", "packet", F.col("dst_ip").alias("remote_ip"), "seconds", "protocol", F.col("dst_port").alias("port"), "device_id").where("port > 0").distinct().withColumn("sent", F.lit(1))
     merged = sent.unionByName(answers, allowMissingColumns=True)
     known = F.last("name", ignorenulls=True).over(Window.partitionBy("path", "remote_ip").orderBy("packet", "sent").rowsBetween(Window.unboundedPreceding, 0))
     named = merged.withColumn("fqdn", clean_host(known)).where("sent = 1").dropDuplicates(["path", "remote_ip", "protocol", "port", "seconds"])

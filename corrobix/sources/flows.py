@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import PROTOCOL_NUMBERS, clean_address, clean_host, in_blocks, lenient_int
@@ -94,19 +94,22 @@ def flow_time(c: str) -> Column:
     return F.try_to_timestamp(text)
 
 
-def read_flows(spark: SparkSession, path: str, names: DataFrame | None = None, site_id: str = "flows", dataset: str = "flows") -> DataFrame:
+def read_flows(spark: SparkSession, path: str, names: DataFrame | None = None, site_id: str = "flows", dataset: str = "flows", counters: Observation | None = None) -> DataFrame:
     """Observations of all `<type>_<id>_flows.csv` files: what the device itself sent, with names where the index has them.
 
     Files without a private address, and rows whose peer is no usable address, give none. A response was seen if packets came
-    back.
+    back. `counters` gets the rows by what became of them (STATUSES) while the observations are read, without another scan.
     """
     flows = _csv(spark, path, "*_flows.csv", [c.split()[0] for c in FLOWS.split(", ")])
     stem = F.regexp_extract("file", r"([^/]+)_flows\.csv$", 1)
     split = F.contains(stem, F.lit("_"))
-    rows = flows.join(device_addresses(flows), "file").where("srcIp = device_ip").select(
+    judged = flows.join(device_addresses(flows), "file", "left").withColumn("status", flow_status())
+    if counters is not None:
+        judged = judged.observe(counters, F.count("*").alias("rows"), *(F.count_if(F.col("status") == x).alias(x) for x in STATUSES))
+    rows = judged.where("status = 'observation'").select(
         F.when(split, F.regexp_extract(stem, r"^(.*)_[^_]*$", 1)).otherwise(stem).alias("device_type"), F.substring_index(stem, "_", -1).alias("device_id"), clean_address("dstIp").alias("remote_ip"), lenient_int("dstPort").alias("port"),
         flow_protocol(F.col("protocol"), F.col("ipProto")).alias("protocol"), flow_time("time").alias("timestamp"), (lenient_int("dstNumPackets") > 0).alias("response_observed"),
-    ).where("remote_ip is not null")
+    )
     rows = rows.join(names, ["device_id", "remote_ip", "port"], "left") if names is not None else rows.withColumn("fqdn", F.lit(None).cast("string")).withColumn("named_by", F.lit(None).cast("string"))
     return rows.select(
         F.lit(site_id).alias("site_id"), "device_id", "device_type", "fqdn", "remote_ip", "protocol", "port", "timestamp", F.lit(dataset).alias("source_dataset"),
@@ -141,6 +144,10 @@ def parse_statistics(rows: DataFrame, status: Column) -> DataFrame:
     return rows.groupBy("file", status.alias("status")).agg(F.count("*").alias("rows"))
 
 
+#: What becomes of a row of a flow table.
+STATUSES = ("no device address", "not sent by the device", "no usable peer", "observation")
+
+
 def flow_status() -> Column:
     """Why a flow row (with device_ip) gives an observation or none."""
     return F.when(F.col("device_ip").isNull(), "no device address").when(F.col("srcIp").isNull() | (F.col("srcIp") != F.col("device_ip")), "not sent by the device").when(clean_address("dstIp").isNull(), "no usable peer").otherwise("observation")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import KEY, is_address, slug, transport
+from ..functions.keys import KEY, is_address, lenient_int, protocol_name, slug, transport
 
 _LISTS = "struct<`access-lists`: struct<`access-list`: array<struct<name: string>>>>"
 _PORTS = "struct<`destination-port`: struct<port: int>, `source-port`: struct<port: int>>"
@@ -14,6 +14,11 @@ _MATCHES = f"struct<ipv4: {_IP}, ipv6: {_IP}, tcp: {_PORTS}, udp: {_PORTS}, `iet
 SCHEMA = f"struct<`ietf-mud:mud`: struct<`from-device-policy`: {_LISTS}, `to-device-policy`: {_LISTS}>, `ietf-access-control-list:acls`: struct<acl: array<struct<name: string, aces: struct<ace: array<struct<name: string, matches: {_MATCHES}>>>>>>>"
 
 
+def _file():
+    """Path of a row's file as it was named: Spark gives it percent-encoded."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def read_policies(spark: SparkSession, path: str) -> DataFrame:
     """device_type, direction, endpoint, protocol, port, one row a rule of every JSON file under path.
 
@@ -21,7 +26,7 @@ def read_policies(spark: SparkSession, path: str) -> DataFrame:
     protocols read `unknown`, missing ports 0, missing peers `*`.
     """
     text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
-    stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1)
+    stem = F.regexp_extract(_file(), r"([^/]+)\.json$", 1)
     doc = text.select(slug(stem).alias("device_type"), F.from_json("value", SCHEMA).alias("d"))
 
     def names(policy: str):
@@ -40,6 +45,27 @@ def read_policies(spark: SparkSession, path: str) -> DataFrame:
     return rules.select("device_type", "direction", F.lower(peer).alias("endpoint"), protocol.alias("protocol"), port.alias("port"))
 
 
+def read_policy_tables(spark: SparkSession, path: str) -> DataFrame:
+    """The same columns as read_policies, of every CSV file under path; the device type is the file's name.
+
+    The peer is dst_class, else dst_dnsname, else dst_ip; rows without one are left out. A file without a direction, or a row
+    with another than from-device, to-device, out or in, is an error: it cannot be guessed.
+    """
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").option("mergeSchema", True).csv(path, header=True)
+    if "direction" not in raw.columns:
+        raise ValueError("policy table without a direction")
+
+    def first(*names: str):
+        return F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in names if c in raw.columns), F.lit(None).cast("string"))
+
+    given = F.lower(F.trim("direction"))
+    direction = F.when(given.isin("from-device", "out"), "from-device").when(given.isin("to-device", "in"), "to-device").otherwise(F.raise_error(F.concat(F.lit("unknown direction: "), F.coalesce(given, F.lit("none")))))
+    kind = slug(F.regexp_extract(_file(), r"([^/]+)\.csv$", 1))
+    port = F.coalesce(lenient_int(first("dst_port", "port")), F.lit(0))
+    rows = raw.select(kind.alias("device_type"), direction.alias("direction"), F.lower(first(*(c for c in ("dst_class", "dst_dnsname", "dst_ip")))).alias("endpoint"), F.coalesce(protocol_name(first("protocol", "ip_proto")), F.lit("unknown")).alias("protocol"), port.alias("port"))
+    return rows.where("endpoint is not null").distinct()
+
+
 def mud_entries(accepted: DataFrame, answered: DataFrame | None = None) -> DataFrame:
     """fact, place, transport, entry (from-device, to-device or skipped) of the accepted facts of each device type.
 
