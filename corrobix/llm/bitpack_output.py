@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import BROADCAST_IDS, Table, bounded_batches, hash_spans, utf8, word_bounds
+from .common import BROADCAST_IDS, Table, bounded_batches, hash_spans, kept, turn_to, utf8, word_bounds
 
 END_ID = 2
 _BLOCK_IDS = 1 << 16
@@ -136,14 +136,12 @@ def bits_of(tokenizer: Tokenizer) -> int:
     return max(1, max(END_ID, *tokenizer.get_vocab(with_added_tokens=True).values()).bit_length())
 
 
-_tokenizers: dict[tuple[str, bool], WordTokenizer | TextTokenizer] = {}
-
-
 def shared_tokenizer(path: str, by_words: bool) -> WordTokenizer | TextTokenizer:
     """One tokenizer for all tasks of a worker."""
-    if (path, by_words) not in _tokenizers:
-        _tokenizers[path, by_words] = (WordTokenizer if by_words else TextTokenizer)(path)
-    return _tokenizers[path, by_words]
+    own = kept("tokens")
+    if (path, by_words) not in own:
+        own[path, by_words] = (WordTokenizer if by_words else TextTokenizer)(path)
+    return own[path, by_words]
 
 
 def write_packed(docs: DataFrame, tokenizer_path: str, n_shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", by_words: bool = True) -> Table:
@@ -163,6 +161,7 @@ def write_packed(docs: DataFrame, tokenizer_path: str, n_shards: int | None = No
     schema = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("bits", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary())])
 
     def blocks(batches):
+        turn_to("tokens")
         words = shared_tokenizer(tokenizer_path, by_words)
         kind, width = words.kind, words.kind.itemsize
         end = np.array([END_ID], kind).tobytes()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import tempfile
@@ -32,6 +34,30 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
 
 
+#: What a Python worker keeps from task to task, by the operator that keeps it.
+_kept: dict[str, dict] = {}
+_turn: list[str] = []
+
+
+def kept(operator: str) -> dict:
+    """A table of what an operator keeps in a worker between its tasks, until the worker turns to another operator."""
+    return _kept.setdefault(operator, {})
+
+
+def turn_to(operator: str) -> None:
+    """Called at a task's start: workers serve one operator after another, and give back what the one before has kept."""
+    if _turn[:1] == [operator]:
+        return
+    _turn[:] = [operator]
+    for name, own in _kept.items():
+        if name != operator:
+            own.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other systems than Linux with glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class Table:
     """A DataFrame written as Parquet in the shared folder: cuts lineage and survives lost executors."""
 

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _COEFF, bounded_batches, mix, small_batches, word_hashes
+from .common import _COEFF, bounded_batches, mix, small_batches, turn_to, word_hashes
 
 BUCKETS, RANK, EXTRA = 1 << 15, 64, 32
 #: Directions are left out whose singular value is so many times the median one, EXTRA / 2 at most.
@@ -70,11 +70,12 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int, int]:
     return df, found.get(BUCKETS, 0), found.get(BUCKETS + 1, 0)
 
 
-def distinct_passages(docs: DataFrame) -> DataFrame:
-    """Buckets of the words of every distinct passage of docs (text), as 16-bit numbers; BUCKETS where a passage has no more words.
+def dealt_passages(docs: DataFrame) -> DataFrame:
+    """hash, words (buckets as 16-bit numbers, BUCKETS where a passage has no more words) of the passages of docs (text), equal
+    ones side by side for `_once`.
 
     Copies would else lend the basis directions of their own. A task drops its repeats before the shuffle, so a passage that is
-    everywhere arrives once from each task.
+    everywhere arrives about once from each task.
     """
     size = BLOCK * SPAN
 
@@ -95,19 +96,21 @@ def distinct_passages(docs: DataFrame) -> DataFrame:
             if len(first):
                 yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array([x.tobytes() for x in own[first]], pa.binary())], names=["hash", "words"])
 
-    def once(batches):
-        last = None
-        for b in batches:
-            h = b.column(0).to_numpy()
-            new = np.ones(len(h), bool)
-            new[1:] = h[1:] != h[:-1]
-            if len(h):
-                new[0] = h[0] != last
-                last = h[-1]
-            yield b.filter(pa.array(new)).select([1])
-
     found = docs.select("text").mapInArrow(passed, "hash long, words binary")
-    return found.repartition("hash").sortWithinPartitions("hash").mapInArrow(once, "words binary")
+    return found.repartition("hash").sortWithinPartitions("hash")
+
+
+def _once(batches):
+    """Words of sorted rows (hash, words), each hash once."""
+    last = None
+    for b in batches:
+        h = b.column(0).to_numpy()
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        if len(h):
+            new[0] = h[0] != last
+            last = h[-1]
+        yield b.filter(pa.array(new)).column(1)
 
 
 def fit_basis(docs: DataFrame, seed: int = 7) -> Basis:
@@ -123,10 +126,11 @@ def fit_basis(docs: DataFrame, seed: int = 7) -> Basis:
     given = docs.sparkSession.sparkContext.broadcast(_padded(probe * idf[:, None]))
 
     def sketch(batches):
+        turn_to("leaks")
         out = np.zeros((BUCKETS + 1, RANK + EXTRA), np.float32)
-        for b in batches:
-            for at in range(0, b.num_rows, 1 << 16):
-                own = np.frombuffer(b"".join(b.column(0).slice(at, 1 << 16).to_pylist()), np.uint16).reshape(-1, BLOCK * SPAN).astype(np.int64)
+        for b in _once(batches):
+            for at in range(0, len(b), 1 << 13):
+                own = np.frombuffer(b"".join(b.slice(at, 1 << 13).to_pylist()), np.uint16).reshape(-1, BLOCK * SPAN).astype(np.int64)
                 y = np.zeros((len(own), RANK + EXTRA), np.float32)
                 for first in range(0, len(own), _PASSAGES):
                     for k in range(BLOCK * SPAN):
@@ -149,7 +153,7 @@ def fit_basis(docs: DataFrame, seed: int = 7) -> Basis:
 
     row = "part long, way long, g binary"
     tasks = 2 * docs.sparkSession.sparkContext.defaultParallelism  # a sketch has one size, however few passages a task has
-    parts = distinct_passages(docs).coalesce(tasks).mapInArrow(sketch, row).repartition("part", "way").mapInArrow(total, row).repartition("part").mapInArrow(total, row)
+    parts = dealt_passages(docs).coalesce(tasks).mapInArrow(sketch, row).repartition("part", "way").mapInArrow(total, row).repartition("part").mapInArrow(total, row)
     g = np.zeros((BUCKETS, RANK + EXTRA))
     for part, _, body in parts.collect():
         g[part : part + _PART] = np.frombuffer(bytes(body), np.float32)[: (BUCKETS - part) * (RANK + EXTRA)].reshape(-1, RANK + EXTRA)
@@ -358,6 +362,7 @@ def _search(docs: DataFrame, gate: float, items: list, basis: Basis) -> DataFram
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("common", pa.int64()), ("item_words", pa.int64()), ("answered", pa.bool_())])
 
     def search(batches):
+        turn_to("leaks")
         basis, queries, owner, known = given.value
         groups = []
         for first in range(0, len(known), _GROUP):

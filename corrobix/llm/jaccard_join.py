@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, Table, bounded_batches, components, mix, release, shingle_sets, spanning, with_ids
+from .common import BROADCAST_IDS, Table, bounded_batches, components, mix, release, shingle_sets, spanning, turn_to, with_ids
 
 SKETCH_BITS = 22
 _PART = 1 << 16
@@ -45,6 +45,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     classes = spark.sparkContext.broadcast(frequency_classes(docs, k))
 
     def fingerprints(batches):
+        turn_to("jaccard")
         for b in batches:
             sets = shingle_sets(b.column(1), k)
             keys, spare = zip(*(prefix_keys(s, classes.value, percent) for s in sets), strict=True) if sets else ((), ())
@@ -195,6 +196,7 @@ def frequency_classes(docs: DataFrame, k: int) -> np.ndarray:
     shift = np.uint64(64 - SKETCH_BITS)
 
     def count(batches):
+        turn_to("jaccard")
         table = np.zeros(1 << SKETCH_BITS, np.uint32)
         for b in batches:
             sets = shingle_sets(b.column(1), k)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, small_batches, utf8, word_hashes
+from .common import bounded_batches, small_batches, turn_to, utf8, word_hashes
 
 #: Bounds of the labelled and the unlabelled sample that the models are fitted on. All documents are scored.
 LABELLED, POOL = 6000, 4000
@@ -208,6 +208,7 @@ def score_quality(docs: DataFrame, model: Quality) -> DataFrame:
     given = spark.sparkContext.broadcast(model)
 
     def scored(batches):
+        turn_to("quality")
         for b in (x for whole in batches for x in small_batches(whole, 1)):
             scores = given.value.score(text_features(b.column(1)), meta_features(*(b.column(i).to_pylist() for i in (2, 3, 4))))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(s) for s in scores), pa.array(scores[2] >= REJECT_BELOW)], names=["doc_id", "text_score", "meta_score", "score", "kept"])
