@@ -152,7 +152,8 @@ def fit_basis(docs: DataFrame, seed: int = 7) -> Basis:
             yield pa.RecordBatch.from_pydict({"part": [part], "way": [way], "g": [g.astype(np.float32).tobytes()]})
 
     row = "part long, way long, g binary"
-    tasks = 2 * docs.sparkSession.sparkContext.defaultParallelism  # a sketch has one size, however few passages a task has
+    spark = docs.sparkSession
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16)  # a sketch has one size, however few passages a task has
     parts = dealt_passages(docs).coalesce(tasks).mapInArrow(sketch, row).repartition("part", "way").mapInArrow(total, row).repartition("part").mapInArrow(total, row)
     g = np.zeros((BUCKETS, RANK + EXTRA))
     for part, _, body in parts.collect():
