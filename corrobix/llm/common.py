@@ -59,12 +59,16 @@ def turn_to(operator: str) -> None:
 
 
 class Table:
-    """A DataFrame written as Parquet in the shared folder: cuts lineage and survives lost executors."""
+    """A DataFrame written as Parquet in the shared folder: cuts lineage and survives lost executors.
 
-    def __init__(self, df: DataFrame, name: str, compression: str = "snappy"):
+    `delta` stores integers as differences, which sorted hashes and ids need fewer bits for.
+    """
+
+    def __init__(self, df: DataFrame, name: str, compression: str = "snappy", delta: bool = False):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/corrobix/{name}-{uuid.uuid4().hex}"
-        df.write.option("compression", compression).parquet(self.path)
+        writer = df.write.option("compression", compression)
+        (writer.option("parquet.writer.version", "v2") if delta else writer).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:

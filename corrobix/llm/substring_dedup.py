@@ -3,7 +3,7 @@
 The index is a list of sorted, immutable runs of (fingerprint, doc_id). A fingerprint is the smallest hash of the 5-word runs
 inside a 13-word window, so equal windows have equal fingerprints and neighbouring windows mostly share theirs: a run is about
 a fifth of all windows. Each new batch becomes a run, is merge-joined with the older runs, and windows whose fingerprint was met
-in several documents are verified on 80 bits of hashes of all their words. Runs are compacted once there are more than `fan_in`.
+in several documents are verified on 128 bits of hashes of all their words. Runs are compacted once there are more than `fan_in`.
 """
 
 from __future__ import annotations
@@ -68,7 +68,7 @@ class FingerprintIndex:
         Rows without an id or with fewer words than a window add nothing; an empty batch adds an empty run. Rows that repeat an
         id never count as each other's earlier document.
         """
-        self.runs.append(Table(self._postings(batch).hint("rebalance", F.col("fp")).sortWithinPartitions("fp", "doc_id"), "run"))
+        self.runs.append(Table(self._postings(batch).hint("rebalance", F.col("fp")).sortWithinPartitions("fp", "doc_id"), "run", "zstd", delta=True))
         old, new = [r.df.withColumn("fresh", F.lit(False)) for r in self.runs[:-1]], self.runs[-1].df.withColumn("fresh", F.lit(True))
         every = reduce(DataFrame.unionByName, [*old, new])
         met = every.groupBy("fp").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("fresh").alias("fresh"))
@@ -97,10 +97,10 @@ class FingerprintIndex:
                     found.append(hit)
                     row.append(np.full(len(hit), i))
                 flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-                columns = [pa.array(wide[flat].view(np.int64)), pa.array((check[flat] >> np.uint64(48)).astype(np.uint16).view(np.int16))]
+                columns = [pa.array(wide[flat].view(np.int64)), pa.array(check[flat].view(np.int64))]
                 yield pa.RecordBatch.from_arrays([*columns, b.column(0).take(pa.array(np.concatenate(row) if row else np.zeros(0, np.int64)))], names=["window", "check", "doc_id"])
 
-        seen = Table(texts.mapInArrow(windows, "window long, check short, doc_id long"), "windows")
+        seen = Table(texts.mapInArrow(windows, "window long, check long, doc_id long"), "windows", "zstd", delta=True)
         lists.drop()
         del texts, every
         release(self.spark)
@@ -124,7 +124,7 @@ class FingerprintIndex:
 
     def compact(self) -> None:
         """Merge all runs into one sorted run without repeated entries."""
-        merged = Table(reduce(DataFrame.unionByName, [r.df for r in self.runs]).distinct().hint("rebalance", F.col("fp")).sortWithinPartitions("fp", "doc_id"), "run")
+        merged = Table(reduce(DataFrame.unionByName, [r.df for r in self.runs]).distinct().hint("rebalance", F.col("fp")).sortWithinPartitions("fp", "doc_id"), "run", "zstd", delta=True)
         self.close()
         self.runs = [merged]
 
@@ -140,7 +140,8 @@ def remove_repeats(docs: DataFrame, width: int = 13, n_batches: int = 2, fan_in:
     Returns doc_id, n_words, n_removed, kept_sha256 (and kept_text: the kept words joined by a space, if asked). Windows are
     judged on the input. Null texts have no words; texts with fewer words than a window are kept whole; rows with a null id
     are kept whole and are no one's earlier document. Repeated rows of an id are each judged against smaller ids only, so
-    equal ids never remove each other's words. Other columns are not read.
+    equal ids never remove each other's words. An empty table gives an empty result. Other columns are not read, whatever their
+    names.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
