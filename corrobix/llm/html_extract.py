@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 
 #: Bounds of the training set: the table's own pages (and their length), generated pages.
-OWN_PAGES, OWN_CHARS, MADE_PAGES = 200, 60_000, 500
+OWN_PAGES, OWN_CHARS, MADE_PAGES = 200, 60_000, 800
 BUCKETS, EMBED, HIDDEN, EPOCHS = 1024, 16, 20, 12
 _NUMBERS = 5
 #: Tokens pooled apart as the innermost elements; the whole path is pooled beside them.
@@ -168,11 +168,12 @@ def parse_blocks(page: str) -> list[Block]:
     elements, blocks, parts = _Open(), [], []
     linked = total = at = 0
     begun: Block | None = None
+    broken: int | None = None  # the place behind the block's last line break
     endless: set[str] = set()
     pattern, last = _TAG, page.rfind(">")
 
     def end() -> None:
-        nonlocal linked, total, begun
+        nonlocal linked, total, begun, broken
         if begun is not None:
             raw = "".join(parts)
             begun.text, begun.linked = " ".join((html.unescape(raw) if "&" in raw else raw).split()), linked / max(1, total)
@@ -180,7 +181,7 @@ def parse_blocks(page: str) -> list[Block]:
                 blocks.append(begun)
         parts.clear()
         linked = total = 0
-        begun = None
+        begun = broken = None
 
     def add(text: str) -> None:
         nonlocal linked, total, begun
@@ -230,8 +231,11 @@ def parse_blocks(page: str) -> list[Block]:
             continue
         if tag in _BREAKS:
             end()
-        elif tag == "br":
+        elif tag == "br":  # two with nothing but white space between them part paragraphs
+            if broken is not None and not "".join(parts[broken:]).strip():
+                end()
             parts.append(" ")
+            broken = len(parts)
         if tag in _VOID:
             continue
         if closing:
@@ -416,7 +420,7 @@ _SYLLABLES = "an er in on re ti es or th ou la de que ción ß ung lich tre é a
 # What such parts often say.
 _SAYS = {
     "nav": "home about contact us news archive blog shop login help start kontakt inicio accueil", "header": "welcome to our site magazine daily journal", "aside": "related popular latest posts read more recommended",
-    "footer": "copyright © 2019 2024 all rights reserved terms privacy imprint powered by", "ad": "advertisement sponsored buy now offer sale", "notice": "we use cookies accept settings this site", "form": "subscribe newsletter email search submit sign up",
+    "footer": "copyright © 2019 2024 all rights reserved terms privacy imprint powered by last updated webmaster", "ad": "advertisement sponsored buy now offer sale", "notice": "we use cookies accept settings this site", "form": "subscribe newsletter email search submit sign up",
     "comments": "reply says comments posted by guest on at leave a comment thanks great agree", "share": "share tweet facebook tags filed under previous next page",
 }
 _MARK = "\x02"
@@ -468,7 +472,7 @@ def _made_page(rng: np.random.Generator) -> str:
         """Paragraphs of a page whose elements have no names."""
         out = [f"<h{rng.integers(1, 3)}>{_MARK}{say(rng.integers(2, 12))}</h1>"] if rng.random() < 0.8 else []
         for _ in range(int(rng.integers(2, 14))):
-            n = int(rng.integers(8, 120))
+            n = int(rng.integers(1, 6)) if rng.random() < 0.12 else int(rng.integers(8, 120))
             out.append(f"<p>{_MARK}{say(n)}" + (f' <a href="/y">{say(2)}</a> {say(6)}' if rng.random() < 0.2 else "") + pick("</p> <p></p>"))
             if rng.random() < 0.1:
                 out.append("<ul>" + "".join(f"<li>{_MARK}{say(rng.integers(3, 20))}</li>" for _ in range(rng.integers(2, 6))) + "</ul>")
@@ -483,9 +487,38 @@ def _made_page(rng: np.random.Generator) -> str:
             return f"<b>{line('aside', 2)}</b>" + "".join(f'<p><a href="/x">{say(rng.integers(2, 9))}</a></p>' for _ in range(rng.integers(2, 6)))
         return f"<{(tag := pick('p div span center'))}>{line(kind, int(rng.integers(2, 14)))}" + (f' <a href="/z">{line(kind, 2)}</a>' if rng.random() < 0.5 else "") + f"</{tag}>"
 
+    def broken_text() -> str:
+        """Paragraphs that only line breaks part, under a heading or a line in bold."""
+        head = pick("b h1 h2 font center strong")
+        rest = [f"{_MARK}{say(int(rng.integers(1, 4)) if rng.random() < 0.15 else int(rng.integers(6, 110)))}" for _ in range(int(rng.integers(2, 12)))]
+        return f"<{head}>{_MARK}{say(rng.integers(2, 9))}</{head}>{pick('<br><br> <p> <br><br><br>')}" + "<br><br>".join(rest)
+
+    def old_page() -> str:
+        """A page of plain text in one element, with a line of links above or below and a note at its end."""
+        links = pick("| - &middot; &nbsp;").join(f'<a href="/x">{line("nav", int(rng.integers(1, 3)))}</a>' for _ in range(rng.integers(3, 9)))
+        note = pick("<hr> <br><br> <p>") + pick("<i> <small> <font>") + line("footer", int(rng.integers(3, 9)))
+        parts = [*([f"<{(t := pick('h1 center b'))}>{line('header', 3)}</{t}>"] if rng.random() < 0.4 else []), links, broken_text() if rng.random() < 0.7 else "".join(body_text()), *([links] if rng.random() < 0.3 else []), note]
+        wrap = pick("center center font div body td")
+        return f"<{wrap}>" + pick("<br><br> <hr> <p>").join(parts) + f"</{wrap}>"
+
+    def columns() -> str:
+        """Columns and boxes whose classes say how they look, not what they hold."""
+        def box(inner: str) -> str:
+            return f'<div class="{pick("wrap col row inner box left right grid block cell main-col w100 c1 c2 half")}">{inner}</div>'
+
+        text = "".join(f"<{(t := pick('p p p div'))}>{_MARK}{say(int(rng.integers(1, 4)) if rng.random() < 0.2 else int(rng.integers(5, 110)))}</{t}>" for _ in range(int(rng.integers(2, 12))))
+        text = (f"<h{(n := rng.integers(1, 3))}>{_MARK}{say(rng.integers(2, 10))}</h{n}>" if rng.random() < 0.8 else "") + text
+        order = [*([box(plain("header"))] if rng.random() < 0.6 else []), *([box(plain("nav"))] if rng.random() < 0.7 else []), box(text), *([box(plain("aside"))] if rng.random() < 0.4 else []), box(plain("footer"))]
+        return box("".join(order)) if rng.random() < 0.7 else "".join(order)
+
     def unnamed() -> str:
         """A layout of tables, or of elements without names."""
-        text = "".join(body_text())
+        r = rng.random()
+        if r < 0.3:
+            return old_page()
+        if r < 0.55:
+            return columns()
+        text = "".join(body_text()) if rng.random() < 0.8 else broken_text()
         side = [plain("nav"), *([plain("aside")] if rng.random() < 0.4 else [])]
         if rng.random() < 0.5:
             cells = [f"<td{pick('  width=200 valign=top').strip() and ' valign=top'}>{x}</td>" for x in side] + [f"<td>{text}</td>"]
@@ -529,7 +562,7 @@ def _made_page(rng: np.random.Generator) -> str:
         return head + "".join(deep("".join(out[i:j])) for i, j in zip(cuts, cuts[1:], strict=False)) + f"</{tag}>"
 
     nested = rng.random() < 0.5
-    if rng.random() < 0.3:
+    if rng.random() < 0.45:
         return f"<html><head><title>{say(6)}</title></head><body>{unnamed()}</body></html>"
     before = [other(k) for k in ("nav", "header", "ad", "notice", "aside", "form") if rng.random() < 0.5]
     after = [other(k) for k in ("comments", "aside", "ad", "form", "share", "footer") if rng.random() < 0.5]
@@ -569,7 +602,7 @@ def train_labeller(pages: DataFrame, html_col: str = "html", id_col: str = "page
             b.text = b.text.replace(_MARK, "") or "x"
         data.append(features(blocks))
     for r in sorted(sample):
-        blocks = parse_blocks(r.html)[:400]
+        blocks = parse_blocks(r.html)
         y = semantic_labels(blocks)
         if y is not None:
             data.append(features(blocks))
@@ -582,8 +615,9 @@ def train_labeller(pages: DataFrame, html_col: str = "html", id_col: str = "page
 def extract_text(pages: DataFrame, model: Labeller, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page, from the whole html.
 
-    Blocks labelled as article are joined by an empty line. A null or empty page, or one without article text, has empty text.
-    Repeated rows and null ids give a row each. Other columns are not read.
+    Blocks labelled as article are joined by an empty line; a probability of exactly one half counts. A null or empty page, or
+    one without article text, has empty text; an empty table gives no rows. Pages of any length are parsed and labelled whole,
+    in time that grows with it. Repeated rows and null ids give a row each. Other columns are not read, whatever their names.
     """
     spark = pages.sparkSession
     bounded_batches(spark)
