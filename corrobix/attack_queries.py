@@ -92,7 +92,7 @@ def poisoning_resistance(spark, d):
     return attacks.attack_report(attacks.under_attack(cube, grid, _compromised(cube, grid, [(FAKE, "https", 443)])))
 
 
-_COUNTS, _DAYS = (2, 8, 40), (1, 20, 200)
+_COUNTS, _DAYS = (1, 2, 4, 8, 16, 32, 64, 128), (1, 7, 20, 60, 120, 200)
 _SURFACE = _attack_sql(f"SELECT 's' || s || 'd' || d AS scenario, s AS sites, d AS days FROM (SELECT unnest({list(_COUNTS)}) AS s), (SELECT unnest({list(_DAYS)}) AS d)", _FALSE)
 
 

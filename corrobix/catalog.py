@@ -174,7 +174,7 @@ def baseline_local(spark, d):
 
 @query(f"SELECT {_K}, supporting_sites, eligible_sites FROM base WHERE CAST(supporting_sites AS DOUBLE) / eligible_sites >= 0.5")
 def baseline_majority(spark, d):
-    cube = _cube_once(spark, d)
+    cube = _cube(spark, d)  # both totals start from one exchange of the plan, so nothing is written
     return baselines.majority(scoring.fact_totals(cube).join(scoring.device_totals(cube), "device_type"))
 
 
@@ -248,7 +248,7 @@ _TRUTH = f", truth AS (SELECT {_K} FROM keyed WHERE response_observed GROUP BY A
 
 def _rules(spark, d):
     """Literal rules from the reference facts that have names; a block of addresses and a wildcard for each device type."""
-    truth = _truth(spark, d)
+    truth = written(_truth(spark, d), "truth")
     devices = truth.select("device_type").distinct()
     block = devices.select("device_type", F.lit("8.8.0.0/25").alias("endpoint"), F.lit("unknown").alias("protocol"), F.lit(0).alias("port"))
     clock = devices.select("device_type", F.lit("*").alias("endpoint"), F.lit("udp").alias("protocol"), F.lit(123).alias("port"))
@@ -569,11 +569,13 @@ def holm_adjust(spark, d):
     return rows.select("site_id", "p", F.least(F.lit(1.0), F.max("raw").over(order.rowsBetween(Window.unboundedPreceding, 0))).alias("adjusted"))
 
 
-@query("SELECT k, sites, round(0.6 * least(1.0, k / sites) + 0.4, 6) AS bound, 0.65 - (0.6 * least(1.0, k / sites) + 0.4) > 1e-9 AS safe FROM (SELECT unnest(range(0, 11))::DOUBLE AS k), (SELECT unnest([5, 10, 20])::DOUBLE AS sites)", "")
+@query("SELECT device_type, k, eligible_sites AS sites, round(0.6::DOUBLE * least(1.0, CAST(k AS DOUBLE) / eligible_sites) + 0.4::DOUBLE, 6) AS bound, 0.65 - (0.6::DOUBLE * least(1.0, CAST(k AS DOUBLE) / eligible_sites) + 0.4::DOUBLE) > 1e-9 AS safe FROM dev, LATERAL (SELECT unnest(range(0, eligible_sites + 1)) AS k)")
 def poison_bound_grid(spark, d):
-    grid = spark.range(11).select(F.col("id").cast("double").alias("k"), F.explode(F.array(*(F.lit(x) for x in (5.0, 10.0, 20.0)))).alias("sites"))
+    """For each device type and number of compromised sites: the score that they can reach at most, and whether that is too low."""
+    devices = scoring.device_totals(_cube(spark, d)).select("device_type", F.col("eligible_sites").alias("sites"))
+    grid = devices.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sites"))))
     bound = 0.6 * F.least(F.lit(1.0), F.col("k") / F.col("sites")) + 0.4
-    return grid.select("k", "sites", F.round(bound, 6).alias("bound"), (F.lit(0.65) - bound > 1e-9).alias("safe"))
+    return grid.select("device_type", "k", "sites", F.round(bound, 6).alias("bound"), (F.lit(0.65) - bound > 1e-9).alias("safe"))
 
 
 @query("SELECT device_type, endpoint, protocol, port, row_number() OVER (PARTITION BY device_type ORDER BY endpoint, protocol, port) - 1 AS ace, 'ietf-acldns:dst-dnsname' AS matcher FROM scored WHERE accepted AND endpoint LIKE '%example.com'")

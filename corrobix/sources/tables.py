@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,8 +21,30 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/corrobix-{os.getpid()}"
 
 
+#: Tables written inside each open `scratch`, innermost last.
+_open: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that queries write inside are dropped at the end: use their results inside, or write them.
+
+    >>> with scratch(spark):
+    ...     queries["score_combined"](spark, folder).write.parquet(out)
+    """
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """The same rows, computed once, written as Parquet in the shared folder and read again."""
+    """The same rows, computed once, written as Parquet in the shared folder and read again; an open `scratch` drops them."""
     path = f"{shared_folder(df.sparkSession)}/corrobix/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

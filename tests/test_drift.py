@@ -73,3 +73,14 @@ def test_checkpoints_equal_rescoring(spark, checkpoints):
         expected.append((c, len(accepted[c]), len(accepted[c] - before), len(before - accepted[c]), len(accepted[c] ^ before)))
         before = accepted[c]
     assert sorted(map(tuple, drift.decision_churn(got, checkpoints).collect())) == expected
+
+
+def test_scratch_tables_go(spark):
+    from corrobix.sources import tables
+
+    with tables.scratch(spark):
+        rows = tables.written(spark.range(3), "gone")
+        path = rows.inputFiles()[0].rsplit("/", 1)[0]
+        assert rows.count() == 3
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
