@@ -652,9 +652,3 @@ def management_strategies(spark, d):
 def daily_counts(spark, d):
     """The tumbling daily count, as a batch; the streaming variant has the same operator."""
     return windows.daily_counts(from_events(spark, d))
-
-
-@query(None)
-def pagerank_confidence(spark, d):
-    """Graph confidence of all facts over the co-occurrence of facts that share a site or more."""
-    return overlap.fact_pagerank(_cube_once(spark, d))

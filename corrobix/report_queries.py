@@ -68,16 +68,17 @@ def threshold_delta(spark, d):
     return wide.select("device_type", "metric", F.col("`0.5`").alias("before"), F.col("`0.65`").alias("after"), (F.col("`0.65`") - F.col("`0.5`")).alias("delta"))
 
 
-_ROUNDS = 6
+#: Rounds of the queries that stop after so many; of the SQL where ranks come to rest; and the mean move that is rest.
+_ROUNDS, _REST, _STILL = 6, 60, 1e-13
 
 
-def _ranks_sql(seed: str) -> str:
+def _ranks_sql(seed: str, n_rounds: int = _ROUNDS) -> str:
     """PageRank unrolled: every round is the sum over a fact's sites less its own part."""
     step = "SELECT j.node, (1 - 0.85 + 0.85 * (SELECT coalesce(sum(rank), 0) FROM r{i} JOIN nt USING (node) WHERE total = 0)) * jp + 0.85 * coalesce(s - sites * own, 0) AS rank FROM jj j LEFT JOIN (SELECT node, sum(x) AS s, max(own) AS own FROM (SELECT node, rank / total AS own, sum(rank / total) OVER (PARTITION BY pn.device_type, site_id) AS x FROM pn JOIN nt USING (node) JOIN r{i} USING (node) WHERE total > 0) GROUP BY 1) q USING (node)"
-    rounds = ", ".join(f"r{i + 1} AS MATERIALIZED ({step.format(i=i)})" for i in range(_ROUNDS))
+    rounds = ", ".join(f"r{i + 1} AS MATERIALIZED ({step.format(i=i)})" for i in range(n_rounds))
     return f""", pn AS (SELECT site_id, device_type, device_type || '|' || endpoint || '|' || protocol || '|' || port AS node, {_K} FROM pairs), sn AS (SELECT device_type, site_id, count(*) AS size FROM pn GROUP BY 1, 2),
 nt AS (SELECT node, any_value(pn.device_type) AS device_type, any_value(endpoint) AS endpoint, any_value(protocol) AS protocol, any_value(port) AS port, count(*) AS sites, sum(size) - count(*) AS total FROM pn JOIN sn USING (device_type, site_id) GROUP BY 1),
-jj AS (SELECT *, CASE WHEN {seed} THEN 1.0::DOUBLE / count(*) FILTER ({seed}) OVER () ELSE 0 END AS jp FROM nt), r0 AS (SELECT node, 1.0::DOUBLE / count(*) OVER () AS rank FROM nt), {rounds}, cf AS (SELECT node, rank / max(rank) OVER () AS confidence FROM r{_ROUNDS})
+jj AS (SELECT *, CASE WHEN {seed} THEN 1.0::DOUBLE / count(*) FILTER ({seed}) OVER () ELSE 0 END AS jp FROM nt), r0 AS (SELECT node, 1.0::DOUBLE / count(*) OVER () AS rank FROM nt), {rounds}, cf AS (SELECT node, rank / max(rank) OVER () AS confidence FROM r{n_rounds})
 """
 
 
@@ -95,11 +96,17 @@ def pagerank_seeded(spark, d):
     return overlap.fact_pagerank(cube, rounds=_ROUNDS, tolerance=0, seeds=seeds, fallback=False).select("node", *_r("confidence"))
 
 
-@query(_ranks_sql("TRUE") + f"SELECT {_K}, round(confidence, 6) AS graph_confidence, round(0.5 * site_confidence + 0.3 * temporal_confidence + 0.2 * confidence, 6) AS score FROM base JOIN nt USING ({_K}) JOIN cf USING (node)")
+@query(_ranks_sql("TRUE", _REST) + "SELECT node, round(confidence, 6) AS confidence FROM cf")
+def pagerank_confidence(spark, d):
+    """Graph confidence of all facts over the co-occurrence of facts that share a site or more, when ranks have come to rest."""
+    return overlap.fact_pagerank(_cube(spark, d), tolerance=_STILL).select("node", *_r("confidence"))
+
+
+@query(_ranks_sql("TRUE", _REST) + f"SELECT {_K}, round(confidence, 6) AS graph_confidence, round(0.5 * site_confidence + 0.3 * temporal_confidence + 0.2 * confidence, 6) AS score FROM base JOIN nt USING ({_K}) JOIN cf USING (node)")
 def score_graph(spark, d):
-    """Scores with the graph term: half sites, three tenths time, two tenths graph."""
+    """Scores with the graph term, of ranks at rest: half sites, three tenths time, two tenths graph."""
     cube = _cube(spark, d)
-    graph = overlap.fact_pagerank(cube, rounds=_ROUNDS, tolerance=0, fallback=False)
+    graph = overlap.fact_pagerank(cube, tolerance=_STILL)
     return scoring.score(cube, graph=graph, alpha=0.5, beta=0.3, gamma=0.2).select(*KEY, *_r("graph_confidence", "score"))
 
 
