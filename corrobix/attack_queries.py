@@ -228,3 +228,22 @@ def jaccard_threshold_sweep(spark, d):
     rows = support.join(eligible, ["tau", "device_type"]).join(scoring.score(cube).select(*KEY, "supporting_sites", "endpoint_class", "temporal_confidence"), list(KEY)).withColumn("site_confidence", share)
     admitted = (F.col("supporting_sites") >= 2) & (F.col("endpoint_class") != "other") & (F.round(0.6 * F.col("site_confidence") + 0.4 * F.col("temporal_confidence"), 9) >= 0.65)
     return rows.groupBy("tau").agg(F.count("*").alias("facts"), F.count_if(admitted).alias("accepted"), F.round(F.avg("site_confidence"), 6).alias("site_confidence"))
+
+
+_MANAGED = _attack_sql(f"SELECT 'f' || f AS scenario, CAST(round(hosts * f) AS INTEGER) AS real_sites, 30 AS days FROM first, (SELECT unnest({list(_FRACTIONS)})::DOUBLE AS f)", _real(_ONE_FAKE)) + f""", gs AS (SELECT DISTINCT site_id FROM tc),
+own AS (SELECT scenario, site_id, count(*) AS size, max(CASE WHEN endpoint = '{FAKE}' THEN 1 ELSE 0 END) AS fake FROM ap SEMI JOIN gs USING (site_id) GROUP BY 1, 2),
+mf AS (SELECT s.*, af.n AS rows_seen FROM srows s JOIN af USING (scenario, {_K}))
+SELECT scenario, 'local only' AS strategy, count(*) AS units, round(avg(size), 6) AS policy_size, max(fake) > 0 AS fake_accepted, round(avg(fake), 6) AS false_grant_rate, CAST(NULL AS DOUBLE) AS fake_score FROM own GROUP BY 1
+UNION ALL """ + " UNION ALL ".join(
+    f"SELECT scenario, '{name}', 1, CAST(count(*) FILTER ({ok}) AS DOUBLE), coalesce(bool_or(injected AND {ok}), false), CASE WHEN coalesce(bool_or(injected AND {ok}), false) THEN 1.0 ELSE 0.0 END, {score} FROM mf GROUP BY 1"
+    for name, ok, score in [("pooled union", "TRUE", "NULL"), ("majority", "CAST(sites AS DOUBLE) / all_sites >= 0.5", "NULL"), ("frequency", "rows_seen >= 2", "NULL"), *((m, f"accepted_{m}", f"round(max(score_{m}) FILTER (injected), 6)") for m in attacks.STRATEGIES[4:])]
+)
+
+
+@query(_MANAGED, _RECURSIVE)
+def management_attack(spark, d):
+    """What eight ways of managing policies grant when a share of the real sites reports a false endpoint for a month."""
+    cube = _cube(spark, d)
+    grid = _grid(cube, [(f"f{f}", f, 30) for f in _FRACTIONS], "scenario string, real_share double, days int")
+    injected = written(_compromised(cube, grid, [(FAKE, "https", 443)]), "injected")
+    return attacks.management_report(attacks.under_attack(cube, grid, injected), cube, grid, injected)

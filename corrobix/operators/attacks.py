@@ -208,3 +208,31 @@ def compromised_report(rows: DataFrame, cube: DataFrame, malicious: DataFrame) -
         out.append(flags.groupBy("scenario", "device_type").agg(F.count_if(ok & F.col("bad").isNotNull()).alias("admitted"), F.sum(F.when(~ok & F.col("bad").isNull(), F.col("clean_sites")).otherwise(0)).alias("lacking")).withColumn("mode", F.lit(m)))
     found = reduce(DataFrame.unionByName, out).join(total, "device_type").join(hosts, "device_type")
     return found.select("scenario", "mode", F.round(F.col("admitted") / F.col("bad_facts"), 6).alias("malicious_admission_rate"), F.round(F.col("lacking") / F.col("hosts"), 6).alias("benign_exceptions_per_site"))
+
+
+STRATEGIES = ("local only", "pooled union", "majority", "frequency", "rwv", "vanilla", "trust", "independence")
+
+
+def management_report(rows: DataFrame, cube: DataFrame, scenarios: DataFrame, injected: DataFrame, share: float = 0.5, least: int = 2) -> DataFrame:
+    """For each scenario and way of managing policies: scenario, strategy, units, policy_size, fake_accepted, false_grant_rate, fake_score.
+
+    rows: of `under_attack`. Local policies are those of the device type's genuine sites: their mean size, and the share of them
+    that holds an injected fact. All other ways make one policy: every fact, those of at least `share` of the sites, those with
+    `least` rows, and what each score admits; fake_score is the best score of an injected fact, where there is a score.
+    """
+    target = cube.join(scenarios.select("scenario", "device_type"), "device_type")
+    genuine = target.select("scenario", "site_id").distinct()
+    every = genuine.unionByName(injected.select("scenario", "site_id")).distinct().groupBy("scenario").agg(F.count("*").alias("all_sites"))
+    local = target.select("scenario", "site_id", *KEY).unionByName(injected.select("scenario", "site_id", *KEY).join(genuine, ["scenario", "site_id"], "left_semi")).distinct()
+    fake = rows.where("injected").select("scenario", *KEY, F.lit(1).alias("fake"))
+    own = local.join(fake, ["scenario", *KEY], "left").groupBy("scenario", "site_id").agg(F.count("*").alias("size"), F.coalesce(F.max("fake"), F.lit(0)).alias("fake"))
+    own = own.groupBy("scenario").agg(F.count("*").alias("units"), F.avg("size").alias("policy_size"), F.avg("fake").alias("rate")).select("scenario", F.lit("local only").alias("strategy"), "units", "policy_size", "rate", F.lit(None).cast("double").alias("fake_score"))
+    n = target.select("scenario", *KEY, "n").unionByName(injected.select("scenario", *KEY, "n")).groupBy("scenario", *KEY).agg(F.sum("n").alias("n"))
+    facts = rows.join(n, ["scenario", *KEY]).join(every, "scenario")
+    none = F.lit(None).cast("double")
+    tests = {"pooled union": (F.lit(True), none), "majority": (F.col("supporting_sites") / F.col("all_sites") >= share, none), "frequency": (F.col("n") >= least, none)}
+    tests |= {m: (F.col(f"accepted_{m}"), F.col(f"score_{m}")) for m in STRATEGIES[4:]}
+    cells = F.explode(F.array(*(F.struct(F.lit(k).alias("strategy"), ok.alias("ok"), score.alias("score")) for k, (ok, score) in tests.items())))
+    one = facts.select("scenario", "injected", cells.alias("c")).groupBy("scenario", F.col("c.strategy").alias("strategy"))
+    one = one.agg(F.lit(1).cast("long").alias("units"), F.count_if("c.ok").cast("double").alias("policy_size"), F.coalesce(F.max((F.col("injected") & F.col("c.ok")).cast("double")), F.lit(0.0)).alias("rate"), F.max(F.when(F.col("injected"), F.col("c.score"))).alias("fake_score"))
+    return own.unionByName(one).select("scenario", "strategy", "units", F.round("policy_size", 6).alias("policy_size"), (F.col("rate") > 0).alias("fake_accepted"), F.round("rate", 6).alias("false_grant_rate"), F.round("fake_score", 6).alias("fake_score"))
