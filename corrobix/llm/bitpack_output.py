@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import BROADCAST_IDS, Table, bounded_batches, hash_spans, kept, turn_to, utf8, word_bounds
+from .common import BROADCAST_IDS, Table, bounded_batches, give_back, hash_spans, kept, turn_to, utf8, word_bounds
 
 END_ID = 2
 _BLOCK_IDS = 1 << 16
@@ -154,6 +154,7 @@ def write_packed(docs: DataFrame, tokenizer_path: str, n_shards: int | None = No
     spark = docs.sparkSession
     bounded_batches(spark)
     bits = bits_of(Tokenizer.from_file(tokenizer_path))
+    give_back()  # the driver needs the vocabulary's size alone
     shards = n_shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = [F.col("doc_id").asc_nulls_first(), F.col("text")]  # ranges are cut by a text's head: sampled keys go to the driver
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).repartitionByRange(shards, order[0], F.substring("text", 1, 64)).sortWithinPartitions(*order)

@@ -44,6 +44,14 @@ def kept(operator: str) -> dict:
     return _kept.setdefault(operator, {})
 
 
+def give_back() -> None:
+    """Return memory that Python and Arrow have freed to the system: drivers and workers live longer than an operator's arrays."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other systems than Linux with glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def turn_to(operator: str) -> None:
     """Called at a task's start: workers serve one operator after another, and give back what the one before has kept."""
     if _turn[:1] == [operator]:
@@ -52,10 +60,7 @@ def turn_to(operator: str) -> None:
     for name, own in _kept.items():
         if name != operator:
             own.clear()
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # other systems than Linux with glibc
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    give_back()
 
 
 class Table:
@@ -78,7 +83,7 @@ class Table:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that are no longer referenced; else they stay until the driver's next collection."""
-    gc.collect()
+    give_back()
     spark._jvm.System.gc()
 
 

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _COEFF, bounded_batches, mix, small_batches, turn_to, word_hashes
+from .common import _COEFF, bounded_batches, mix, release, small_batches, turn_to, word_hashes
 
 BUCKETS, RANK, EXTRA = 1 << 15, 64, 32
 #: Directions are left out whose singular value is so many times the median one, EXTRA / 2 at most.
@@ -160,7 +160,7 @@ def fit_basis(docs: DataFrame, seed: int = 7) -> Basis:
         g[part : part + _PART] = np.frombuffer(bytes(body), np.float32)[: (BUCKETS - part) * (RANK + EXTRA)].reshape(-1, RANK + EXTRA)
     g *= idf[:, None]
     q, _ = np.linalg.qr(g)
-    core = probe.T.astype(np.float64) @ g
+    core = sum(probe[at : at + _PART].T.astype(np.float64) @ g[at : at + _PART] for at in range(0, BUCKETS, _PART))
     inner = (q.T @ g) @ np.linalg.pinv((core + core.T) / 2, rcond=1e-9) @ (q.T @ g).T
     values, turn = np.linalg.eigh((inner + inner.T) / 2)
     values, turn = values[::-1], turn[:, ::-1]
@@ -170,7 +170,10 @@ def fit_basis(docs: DataFrame, seed: int = 7) -> Basis:
     scale = 1 / np.sqrt(np.maximum(values[kept], 1e-12))  # all directions weigh alike
     vectors = np.zeros((BUCKETS, RANK))
     vectors[:, : kept.stop - kept.start] = (q @ turn[:, kept]) * scale * idf[:, None]
-    return Basis(_padded(vectors), rate)
+    basis = Basis(_padded(vectors), rate)
+    del g, q, vectors, probe, given
+    release(spark)
+    return basis
 
 
 def _add_by_bucket(out: np.ndarray, buckets: np.ndarray, passage: np.ndarray, y: np.ndarray) -> None:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, small_batches, turn_to, utf8, word_hashes
+from .common import bounded_batches, give_back, small_batches, turn_to, utf8, word_hashes
 
 #: Bounds of the labelled and the unlabelled sample that the models are fitted on. All documents are scored.
 LABELLED, POOL = 6000, 4000
@@ -189,7 +189,10 @@ def train_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
 
     told, pool = [r for r in rows if r.y is not None], [r for r in rows if r.y is None]
     y = np.array([float(r.y > 0) for r in told])
-    return co_train(matrix(told, TEXT_WIDTH, "text_x"), matrix(told, META_WIDTH, "meta_x"), y, matrix(pool, TEXT_WIDTH, "text_x"), matrix(pool, META_WIDTH, "meta_x"))
+    model = co_train(matrix(told, TEXT_WIDTH, "text_x"), matrix(told, META_WIDTH, "meta_x"), y, matrix(pool, TEXT_WIDTH, "text_x"), matrix(pool, META_WIDTH, "meta_x"))
+    del rows, told, pool
+    give_back()
+    return model
 
 
 def _columns(docs: DataFrame) -> DataFrame:
