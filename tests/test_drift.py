@@ -50,7 +50,7 @@ def test_rollout_equals_scores_of_each_day(spark):
 
 
 def test_drift_over_many_sites_is_promoted_and_one_site_is_not(spark):
-    cube = spark.createDataFrame([(f"site-{s}", "camera", e, "https", 443, DAY, 1) for s in "abcd" for e in ("api.vendor.example", "time.vendor.example")], CUBE)
+    cube = spark.createDataFrame([(f"site-{s}", "camera", e, "https", 443, DAY, 1) for s in "abcd" for e in ("api.maker.example", "clock.maker.example")], CUBE)
     starts = cube.selectExpr("device_type", "site_id", "day", "1.0D as weight").distinct()
     rows = drift.rollout(cube, drift.adopters(starts, (0.25, 1.0)), 30, theta=0.55).collect()
     assert {(r.fraction, r.rollout_days): r.accepted for r in rows if r.rollout_days in (1, 30)} == {(0.25, 1): False, (0.25, 30): False, (1.0, 1): True, (1.0, 30): True}

@@ -23,10 +23,10 @@ def test_what_is_wrong_with_folders(spark, tmp_path):
     at = tmp_path / "flows"
     at.mkdir()
     assert [r.reason for r in inventory.flow_issues(spark, str(at), "flows").collect()] == ["there are no *_flows.csv files"]
-    (at / "camera_dev1_flows.csv").write_text("srcIp,dstIp,dstPort,time\n1.1.1.1,2.2.2.2,443,2026-01-01T00:00:00\n")
-    (at / "camera_dev2_flows.csv").write_text("srcIp,port\n1.1.1.1,443\n\n")
-    (at / "empty_dev3_flows.csv").write_text("srcIp,dstIp,dstPort,time\n")
-    assert sorted((r.path.rsplit("/", 1)[-1], r.reason) for r in inventory.flow_issues(spark, str(at), "flows").collect()) == [("camera_dev2_flows.csv", "missing columns: dstIp, dstPort, time"), ("empty_dev3_flows.csv", "no rows")]
+    (at / "lamp_x1_flows.csv").write_text("srcIp,dstIp,dstPort,time\n1.1.1.1,2.2.2.2,443,2026-01-01T00:00:00\n")
+    (at / "lamp_x2_flows.csv").write_text("srcIp,port\n1.1.1.1,443\n\n")
+    (at / "empty_x3_flows.csv").write_text("srcIp,dstIp,dstPort,time\n")
+    assert sorted((r.path.rsplit("/", 1)[-1], r.reason) for r in inventory.flow_issues(spark, str(at), "flows").collect()) == [("lamp_x2_flows.csv", "missing columns: dstIp, dstPort, time"), ("empty_x3_flows.csv", "no rows")]
     own = tmp_path / "profiles"
     own.mkdir()
     for name, text in (("camera", json.dumps({"rules": [1, 2]})), ("broken", "not json"), ("list", "[]")):
@@ -157,7 +157,7 @@ def test_priors_of_a_site_that_has_just_begun(spark):
     import datetime
 
     day = datetime.date(2026, 1, 1)
-    rows = [(s, "camera", "api.vendor.example", "https", 443, day, 1) for s in ("a", "b", "c")] + [("new", "camera", "api.vendor.example", "https", 443, day + datetime.timedelta(10), 1), ("b", "thermostat", "api.other.example", "https", 443, day, 1), ("c", "thermostat", "api.other.example", "https", 443, day, 1)]
+    rows = [(s, "camera", "api.maker.example", "https", 443, day, 1) for s in ("a", "b", "c")] + [("new", "camera", "api.maker.example", "https", 443, day + datetime.timedelta(10), 1), ("b", "heater", "api.rival.example", "https", 443, day, 1), ("c", "heater", "api.rival.example", "https", 443, day, 1)]
     cube = spark.createDataFrame(rows, "site_id string, device_type string, endpoint string, protocol string, port int, day date, n long")
     truth = cube.select("device_type", "endpoint", "protocol", "port").distinct()
     from corrobix.operators import overlap
