@@ -26,7 +26,7 @@ def test_what_is_wrong_with_folders(spark, tmp_path):
     (at / "lamp_x1_flows.csv").write_text("srcIp,dstIp,dstPort,time\n1.1.1.1,2.2.2.2,443,2026-01-01T00:00:00\n")
     (at / "lamp_x2_flows.csv").write_text("srcIp,port\n1.1.1.1,443\n\n")
     (at / "empty_x3_flows.csv").write_text("srcIp,dstIp,dstPort,time\n")
-    assert sorted((r.path.rsplit("/", 1)[-1], r.reason) for r in inventory.flow_issues(spark, str(at), "flows").collect()) == [("lamp_x2_flows.csv", "missing columns: dstIp, dstPort, time"), ("empty_x3_flows.csv", "no rows")]
+    assert sorted((r.path.rsplit("/", 1)[-1], r.reason) for r in inventory.flow_issues(spark, str(at), "flows").collect()) == [("empty_x3_flows.csv", "no rows"), ("lamp_x2_flows.csv", "missing columns: dstIp, dstPort, time")]
     own = tmp_path / "profiles"
     own.mkdir()
     for name, text in (("camera", json.dumps({"rules": [1, 2]})), ("broken", "not json"), ("list", "[]")):
