@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import _OTHERS, _TRUTH, _truth
+from .catalog import _OTHERS, _truth
 from .functions.keys import KEY
 from .operators import domains, overlap, scoring, transfer
 from .plans.registered import query
