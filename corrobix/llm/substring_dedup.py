@@ -73,7 +73,7 @@ class FingerprintIndex:
         every = reduce(DataFrame.unionByName, [*old, new])
         met = every.groupBy("fp").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("fresh").alias("fresh"))
         met = Table(met.where("fresh and first < last").select("fp"), "met")
-        lists = Table(every.join(met.df, "fp").groupBy("doc_id").agg(F.collect_set("fp").alias("fps")), "lists")
+        lists = Table(every.join(met.df, "fp").groupBy("doc_id").agg(F.collect_set("fp").alias("fps")), "lists", "zstd", delta=True)
         met.drop()
         release(self.spark)
         texts = with_ids(batch if archive is None else archive.unionByName(batch), lists.df.select("doc_id"), "doc_id").join(lists.df, "doc_id")
@@ -105,7 +105,7 @@ class FingerprintIndex:
         del texts, every
         release(self.spark)
         firsts = seen.df.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("check").alias("check"), F.max("check").alias("other")).where("first < last")
-        firsts = Table(firsts.select("window", "first", (F.col("check") != F.col("other")).alias("differs")), "firsts")
+        firsts = Table(firsts.select("window", "first", (F.col("check") != F.col("other")).alias("differs")), "firsts", "zstd", delta=True)
         release(self.spark)
         later = seen.df.join(firsts.df, "window").where("doc_id > first")
         if not firsts.df.where("differs").isEmpty():  # one hash of several windows: the other hash tells them apart
@@ -114,7 +114,7 @@ class FingerprintIndex:
             later = later.where("not differs").select("window", "doc_id").unionByName(again.select("window", "doc_id"))
         if archive is not None:
             later = later.join(F.broadcast(batch.agg(F.min("doc_id").alias("low"))), F.col("doc_id") >= F.col("low"))
-        out = Table(later.groupBy("doc_id").agg(F.collect_set("window").alias("windows")), "repeats")
+        out = Table(later.groupBy("doc_id").agg(F.collect_set("window").alias("windows")), "repeats", "zstd", delta=True)
         for t in (seen, firsts):
             t.drop()
         release(self.spark)
