@@ -48,7 +48,8 @@ def nearest_evidence(rows: DataFrame, evidence: DataFrame, by: tuple[str, ...],
 
     Time is cut into spans of the window's length, and evidence also stands in the spans before and after its own, so all that
     is near enough to a row lies in the row's span. Rows and evidence of a span are merged by time; the last before and the first
-    after come from two windows over that. A site with most of all rows is so many tasks as it has spans. known_here: there is
+    after come from two windows over that, one in either direction, as a frame that only grows takes linear time and one that
+    shrinks is read again for each row. A site with most of all rows is so many tasks as it has spans. known_here: there is
     evidence of the row's `by` at any time.
     """
     width = hours * 3600
@@ -59,7 +60,7 @@ def nearest_evidence(rows: DataFrame, evidence: DataFrame, by: tuple[str, ...],
     given = F.when(F.col("is_row") == 0, F.struct("timestamp", "name"))
     w = Window.partitionBy(*by, "span")
     before = F.last(given, ignorenulls=True).over(w.orderBy("timestamp", "is_row", "name").rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(given, ignorenulls=True).over(w.orderBy("timestamp", F.desc("is_row"), "name").rowsBetween(0, Window.unboundedFollowing))
+    after = F.last(given, ignorenulls=True).over(w.orderBy(F.desc("timestamp"), "is_row", F.desc("name")).rowsBetween(Window.unboundedPreceding, 0))
     found = merged.withColumn("b", before).withColumn("a", after).where("is_row = 1")
     gap_b, gap_a = F.col("timestamp").cast("long") - F.col("b.timestamp").cast("long"), F.col("a.timestamp").cast("long") - F.col("timestamp").cast("long")
     use_b = F.col("a").isNull() | (F.col("b").isNotNull() & (gap_b <= gap_a))
