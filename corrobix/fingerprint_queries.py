@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .operators import fingerprints, perturb, scoring
+from .operators import fingerprints, perturb
 from .plans.registered import query
 from .sources.observations import from_star_schema, with_key
+from .sources.tables import written
 
 
 def _predictions(spark, d, kind: str) -> DataFrame:
@@ -52,13 +53,12 @@ FROM ls LEFT JOIN (SELECT variant, count(*) AS r FROM en SEMI JOIN be USING (end
 @query(_FEED)
 def feed_through(spark, d):
     """What admission makes of true types, of types split and merged for a fifth of the devices, and of a stump's types."""
-    rows = with_key(from_star_schema(spark, d)).groupBy("device_id", "site_id", "device_type", "endpoint", "protocol", "port", "day").agg(F.count("*").alias("n"))
-    names = rows.select("device_type").distinct()
-    from pyspark.sql import Window
-
+    rows = with_key(from_star_schema(spark, d)).select("device_id", "site_id", "device_type", "endpoint", "protocol", "port", "day", F.lit(1).alias("n"))
+    names = from_star_schema(spark, d).select("device_type").distinct()
     follow = F.coalesce(F.lead("device_type").over(Window.orderBy("device_type")), F.min("device_type").over(Window.partitionBy()))  # a row for each device type
     stump = spark.read.parquet(f"{d}/embeddings.parquet").groupBy(F.concat(F.lit("dev-"), F.col("vec_id").cast("string")).alias("device_id")).agg(F.max(F.when(F.col("embedding")[0] >= 0, "right").otherwise("left")).alias("stump"))
-    rows = rows.join(names.select("device_type", follow.alias("next")), "device_type").join(stump, "device_id", "left")
+    # Written, so that Spark knows how small they are and need not shuffle the observations to meet them.
+    rows = rows.join(written(names.select("device_type", follow.alias("next")), "names"), "device_type").join(written(stump, "stump"), "device_id", "left")
     labels = {
         "true": F.col("device_type"),
         "fragmented": perturb.fragmented("device_type", 0.2),
@@ -66,7 +66,7 @@ def feed_through(spark, d):
         "collided": perturb.collided("device_type", 0.2, "next"),
         "stump": F.coalesce("stump", "device_type"),
     }
-    out = fingerprints.fed_through(scoring.score(fingerprints.variants(rows, labels)))
+    out = fingerprints.fed_through(fingerprints.score_variants(rows, labels))
     return out.withColumn("reach", F.round("reach", 6))
 
 
@@ -74,5 +74,5 @@ def feed_through(spark, d):
 def feed_through_forest(spark, d):
     """Admission when the devices of held vectors get the type that a forest predicts, beside their labels' types."""
     told = _predictions(spark, d, "forest").select(F.concat(F.lit("dev-"), F.col("vec_id").cast("string")).alias("device_id"), F.col("label").cast("string").alias("label"), "predicted").dropDuplicates(["device_id"])
-    rows = with_key(from_star_schema(spark, d)).groupBy("device_id", "site_id", "endpoint", "protocol", "port", "day").agg(F.count("*").alias("n")).join(told, "device_id")
-    return fingerprints.fed_through(scoring.score(fingerprints.variants(rows, {"true": F.col("label"), "predicted": F.col("predicted")})))
+    rows = with_key(from_star_schema(spark, d)).select("device_id", "site_id", "endpoint", "protocol", "port", "day", F.lit(1).alias("n")).join(written(told, "told"), "device_id")
+    return fingerprints.fed_through(fingerprints.score_variants(rows, {"true": F.col("label"), "predicted": F.col("predicted")}))

@@ -9,7 +9,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import KEY
+from ..sources.tables import written
 from .perturb import stable_fold
+from .scoring import finish, ratio, temporal
 
 KINDS = ("forest", "boosted", "stump")
 
@@ -53,12 +56,41 @@ def relabelled(observations: DataFrame, predictions: DataFrame, key: tuple[str,
 
 
 def variants(observations: DataFrame, labels: dict[str, Column]) -> DataFrame:
-    """The evidence cube under several labellings at once: device_type is `variant|label`, so that one score of it scores all.
+    """The evidence cube under several labellings at once: device_type is a label, n_0, n_1, ... its rows under each labelling.
 
-    observations: site_id, endpoint, protocol, port, day, n and what the labels are made of.
+    observations: site_id, endpoint, protocol, port, day, n and what the labels are made of. Most rows have one label under all
+    labellings and stay one row.
     """
-    each = F.explode(F.array(*(F.concat(F.lit(f"{name}|"), label) for name, label in labels.items())))
-    return observations.withColumn("_label", each).groupBy("site_id", F.col("_label").alias("device_type"), "endpoint", "protocol", "port", "day").agg(F.sum("n").alias("n"))
+    told = {f"_label_{i}": label for i, label in enumerate(labels.values())}
+    rows = observations.select("site_id", "endpoint", "protocol", "port", "day", "n", *(label.alias(c) for c, label in told.items()))
+    rows = rows.withColumn("device_type", F.explode(F.array_distinct(F.array(*told))))
+    sums = [F.sum(F.when(F.col(c) == F.col("device_type"), F.col("n")).otherwise(0)).alias(f"n_{i}") for i, c in enumerate(told)]
+    return rows.groupBy("site_id", "device_type", "endpoint", "protocol", "port", "day").agg(*sums)
+
+
+def score_variants(observations: DataFrame, labels: dict[str, Column], **gate) -> DataFrame:
+    """Scores of all facts under each labelling, where device_type is `variant|label`: the labellings are columns until facts are counted."""
+    cube = written(variants(observations, labels), "variants")
+    names, ns = list(labels), [f"n_{i}" for i in range(len(labels))]
+
+    def counted(keys: tuple[str, ...], sites: str, days: str, n: str) -> DataFrame:
+        parts = []
+        for by, some in (("site_id", [F.sum(c).alias(c) for c in ns]), ("day", [F.max(c).alias(c) for c in ns])):
+            rows = cube.select(*keys, by, *ns)
+            rows = (rows.repartition(*keys) if len(keys) > 1 else rows).groupBy(*keys, by).agg(*some).groupBy(*keys)
+            seen = [F.count(F.when(F.col(c) > 0, F.col(by))) for c in ns]
+            none = F.lit(0).cast("long")
+            cells = [(x, none, F.sum(c)) if by == "site_id" else (none, x, none) for x, c in zip(seen, ns, strict=True)]
+            parts.append(rows.agg(*(F.struct(*(e.alias(a) for e, a in zip(cell, (sites, days, n), strict=True))).alias(f"c_{c}") for cell, c in zip(cells, ns, strict=True))))
+        both = parts[0].unionByName(parts[1]).groupBy(*keys).agg(*(F.struct(*(F.sum(f"c_{c}.{a}").alias(a) for a in (sites, days, n))).alias(f"c_{c}") for c in ns))
+        each = F.explode(F.array(*(F.struct(F.lit(v).alias("variant"), F.col(f"c_{c}").alias("c")) for v, c in zip(names, ns, strict=True))))
+        rows = both.select(*keys, each.alias("v")).select("v.variant", *keys, "v.c.*").where(F.col(n) > 0)
+        return rows.withColumn("device_type", F.concat("variant", F.lit("|"), "device_type")).drop("variant")
+
+    facts = counted(KEY, "supporting_sites", "days", "n")
+    devices = written(counted(("device_type",), "eligible_sites", "device_days", "device_n"), "devices")
+    rows = facts.join(devices, "device_type").withColumn("temporal_confidence", temporal()).withColumn("site_confidence", ratio("supporting_sites", "eligible_sites"))
+    return finish(rows, **gate)
 
 
 def fed_through(scored: DataFrame, variant: str = "true") -> DataFrame:
@@ -66,7 +98,7 @@ def fed_through(scored: DataFrame, variant: str = "true") -> DataFrame:
 
     reach is the share of the endpoints admitted under `variant`, of whatever type, that a labelling still admits.
     """
-    rows = scored.withColumn("variant", F.substring_index("device_type", "|", 1)).withColumn("type", F.expr("substring(device_type, instr(device_type, '|') + 1)"))
+    rows = written(scored.select("device_type", "endpoint", "protocol", "port", "accepted"), "scored").withColumn("variant", F.substring_index("device_type", "|", 1)).withColumn("type", F.expr("substring(device_type, instr(device_type, '|') + 1)"))
     where = ["endpoint", "protocol", "port"]
     ends = rows.where("accepted").select("variant", *where).distinct()
     base = ends.where(F.col("variant") == variant).select(*where)
