@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import KEY
+from ..sources.tables import written
 from .scoring import device_totals, fact_totals, finish, leave_one_out, ratio, score, temporal
 
 METHODS = ("local only", "registry", "pooled union", "nearest site", "mismatched type")
@@ -21,6 +22,7 @@ def leave_group_out(cube: DataFrame, groups: DataFrame, **gate) -> DataFrame:
     groups: site_id, left_out; sites without a group stay in always. A site of a group counts once for a fact, a day is the
     group's alone if all sites that saw it then are in the group.
     """
+    groups = written(groups, "groups")  # small tables are written, so that the cube and its facts are not shuffled to meet them
     marked = cube.join(groups.select("site_id", "left_out"), "site_id", "left")
 
     def own(keys: tuple[str, ...], name: str) -> DataFrame:
@@ -32,7 +34,7 @@ def leave_group_out(cube: DataFrame, groups: DataFrame, **gate) -> DataFrame:
 
     facts, devices = fact_totals(cube), device_totals(cube)
     rows = groups.select("left_out").where("left_out is not null").distinct().join(devices)  # a row for each group and device type
-    rows = rows.join(own(("device_type",), "device_"), ["left_out", "device_type"], "left").join(facts, "device_type").join(own(KEY, ""), ["left_out", *KEY], "left").na.fill(0)
+    rows = written(rows.join(own(("device_type",), "device_"), ["left_out", "device_type"], "left"), "devices").join(facts, "device_type").join(own(KEY, ""), ["left_out", *KEY], "left").na.fill(0)
     minus = {"supporting_sites": "own_sites", "days": "own_days", "n": "own_n", "eligible_sites": "own_device_sites", "device_days": "own_device_days", "device_n": "own_device_n"}
     rows = rows.select("left_out", *KEY, *((F.col(a) - F.col(b)).alias(a) for a, b in minus.items())).where("supporting_sites > 0")
     return finish(rows.withColumn("temporal_confidence", temporal()).withColumn("site_confidence", ratio("supporting_sites", "eligible_sites")), **gate)
