@@ -1,8 +1,8 @@
 """Secret scan: fixed patterns, and dictionary-primed zstandard novelty for strings that no pattern names.
 
 A candidate near a sensitive word, on either side, or next to a reported one is priced by what it adds to the compressed size of
-its surroundings, under a dictionary: what code commonly holds, and the parts of words and identifiers that a sample of the table
-holds in several texts. The same characters in another order set the scale: they cost what a random string of that alphabet and
+its surroundings, under a dictionary: what code commonly holds, and the parts of words and identifiers that most texts of the
+table hold. The same characters in another order set the scale: they cost what a random string of that alphabet and
 length costs. Words, paths and identifiers cost much less than their jumble; random keys cost as much, however long they are.
 """
 
@@ -29,8 +29,8 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _ADJOINS = re.compile(r"""(?:\\[nr]|[\s"'+,;>|*#\\]){1,64}""")
 _SENSITIVE = re.compile(r"key|secret|token|passw|pwd|auth|credential|private|bearer|signature|session", re.I | re.A)
 _HINTS = ("key", "secret", "token", "passw", "pwd", "auth", "credential", "private", "bearer", "signature", "session")
-#: Bounds of the dictionary's sample, and of the parts that are taken from it: those in most texts, in at least SEVERAL.
-SAMPLE_DOCS, PARTS, SEVERAL = 4000, 2000, 3
+#: How many parts the dictionary has at most: those in most texts, in at least SEVERAL.
+PARTS, SEVERAL = 2000, 3
 #: A part: letters of one case, or of lower case behind a capital. Random strings hold only short ones.
 _PART = "[A-Z]?[a-z]{2,13}|[A-Z]{3,14}"
 #: Characters of context on either side, and the marginal cost that is reported: in all, and as a share of the jumble's.
@@ -153,15 +153,15 @@ def _joined(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
 
 
 def learn_dictionary(docs: DataFrame, text_col: str = "text") -> str:
-    """Parts of words and identifiers that at least SEVERAL of SAMPLE_DOCS different texts hold, the PARTS most common ones.
+    """Parts of words and identifiers that at least SEVERAL different texts of all hold, the PARTS most common ones.
 
-    Texts are chosen by their hash, so copies count once and a part's order does not depend on how rows are dealt. Null and
-    empty texts and texts without such parts add nothing; an empty table gives an empty dictionary. Other columns are not read.
+    Every text is read; copies, told by their hash, count once, and only a text's parts are shuffled. Null and empty texts and
+    texts without such parts add nothing; an empty table gives an empty dictionary. Other columns are not read.
     """
-    texts = docs.select(F.col(text_col).cast("string").alias("text")).where("text > ''").withColumn("h", F.xxhash64("text"))
-    chosen = texts.select("h").distinct().orderBy("h").limit(SAMPLE_DOCS)
-    single = texts.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("text").alias("text"))
-    parts = single.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_PART), F.lit(0)))).alias("part"))
+    texts = docs.select(F.col(text_col).cast("string").alias("text")).where("text > ''")
+    held = F.array_join(F.array_distinct(F.regexp_extract_all("text", F.lit(_PART), F.lit(0))), " ")  # in one string, half as long as an array in a shuffle
+    single = texts.select(F.xxhash64("text").alias("h"), held.alias("held")).groupBy("h").agg(F.any_value("held").alias("held"))
+    parts = single.where("held > ''").select(F.explode(F.split("held", " ")).alias("part"))
     rows = parts.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") >= SEVERAL).orderBy(F.desc("n"), "part").limit(PARTS).collect()
     return " ".join(r.part for r in reversed(rows))
 

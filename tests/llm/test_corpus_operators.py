@@ -441,6 +441,14 @@ def test_secret_scan_of_planted_secrets(spark):
     assert caught >= 0.95 * len(planted) and wrong <= 0.05 * len(harmless)
 
 
+def test_secret_dictionary_of_all_texts(spark):
+    """Every text is counted, however many there are; copies of one text count once."""
+    words = ["w" + "".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(1500)]
+    texts = [f"{word} {i}" for word in words for i in range(3)] + ["copied 0"] * 3
+    docs = spark.createDataFrame([(i, t, None, None, 1, 1, "") for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(secret_scan.learn_dictionary(docs).split()) == sorted(words)
+
+
 ALPHABETS = {"upper hex": "ABCDEF0123456789", "lower and digits": "abcdefghijklmnopqrstuvwxyz0123456789", "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "digits": "0123456789"}
 
 
