@@ -166,3 +166,27 @@ def test_priors_of_a_site_that_has_just_begun(spark):
     got = {(r.window, r.method): r.f1 for r in transfer.cold_start(cube, truth, nearest, (0, 1)).where("receiver = 'new'").collect()}
     assert {m: got[0, m] for m in transfer.METHODS} == {"local only": 0.0, "registry": 1.0, "pooled union": 1.0, "nearest site": 1.0, "mismatched type": 0.0}
     assert got[1, "local only"] == 1.0 and got[1, "mismatched type"] == pytest.approx(2 / 3)
+
+
+def test_priors_shuffle_facts_twice(spark, monkeypatch):
+    """Facts are shuffled once for all priors and once for the wrong type's; a fact without a port counts as the SQL counts it."""
+    import datetime
+
+    day = datetime.date(2026, 1, 1)
+    rows = [(s, "camera", "api.maker.example", "https", port, day, 1) for s, port in (("a", 443), ("b", 443), ("b", None), (None, 443))] + [("a", "lock", "api.maker.example", "https", 443, day, 1)]
+    cube = spark.createDataFrame(rows, "site_id string, device_type string, endpoint string, protocol string, port int, day date, n long")
+    truth = cube.where("port = 443").select("device_type", "endpoint", "protocol", "port").distinct()
+    nearest = spark.createDataFrame([("a", "b"), ("b", "a")], "site_id string, nearest string")
+    plans, write = [], transfer.written
+
+    def kept(df, name="step"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(transfer, "written", kept)
+    found = transfer.cold_start(write(cube, "cube"), write(truth, "truth"), nearest, (0, 1))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert sum("Exchange hashpartitioning" in line and "endpoint" in line for p in plans for line in p.splitlines()) <= 2
+    got = {(r.receiver, r.window, r.method): (r.devices, r.predicted, round(r.recall, 6)) for r in found.collect()}
+    assert got["b", 1, "local only"] == (1, 2, 1.0) and got["b", 0, "nearest site"] == (1, 1, 1.0) and got["a", 0, "nearest site"] == (2, 2, 0.5)
+    assert got["a", 0, "pooled union"] == (2, 2, 0.5) and got["b", 0, "local only"] == (1, 0, 0.0)
