@@ -84,6 +84,30 @@ def test_pagerank_of_all_facts(spark):
     assert got == pytest.approx({f"cam|{f}|tcp|1": rank[f] / max(rank.values()) for f in names}, abs=1e-6)
 
 
+def test_pagerank_rounds_are_made_of_sets_of_sites(spark, monkeypatch):
+    """Facts with the same sites are one row of every round, apart from seeds; all ranks as of the whole matrix, at rest by all facts' moves."""
+    sites = {f"{own}{i}": own for own, times in {"12": 5, "1": 4, "23": 3, "4": 1, "5": 2}.items() for i in range(times)}
+    names, seeds = sorted(sites), ["120", "230", "40"]
+    cube = spark.createDataFrame([(s, "cam", f, "tcp", 1) for f in names for s in sites[f]] + [(None, "cam", "nowhere", "tcp", 1)], "site_id string, device_type string, endpoint string, protocol string, port int")
+    weight = {(x, y): len(set(sites[x]) & set(sites[y])) if x != y else 0 for x in names for y in names}
+    total = {x: sum(weight[x, y] for y in names) for x in names}
+    sizes, write = [], overlap.written
+    monkeypatch.setattr(overlap, "written", lambda df, name="step": sizes.append((name, (out := write(df, name)).count())) or out)
+    for known in (None, seeds):
+        jump = {x: 1 / len(names) if known is None else (x in known) / len(known) for x in names}
+        rank = dict.fromkeys(names, 1 / len(names))
+        for _ in range(7):
+            loose = sum(rank[x] for x in names if not total[x])
+            rank = {y: (0.15 + 0.85 * loose) * jump[y] + 0.85 * sum(rank[x] * weight[x, y] / total[x] for x in names if total[x]) for y in names}
+        given = None if known is None else spark.createDataFrame([(f"cam|{x}|tcp|1",) for x in known], "node string")
+        sizes.clear()
+        got = {r.node: r.confidence for r in overlap.fact_pagerank(cube, rounds=7, tolerance=0, seeds=given, fallback=False).collect()}
+        assert got == pytest.approx({f"cam|{f}|tcp|1": rank[f] / max(rank.values()) for f in names}, abs=1e-9)
+        assert max(rows for name, rows in sizes if name == "ranks") <= (5 if known is None else 7)
+    still = {r.node for r in overlap.fact_pagerank(cube, rounds=6, tolerance=1e-12).where("confidence = 1").collect()}
+    assert len(still) == len(names)
+
+
 def test_csv_reader(spark, tmp_path):
     (tmp_path / "o.csv").write_text("site_id,device_type,fqdn,protocol,port,timestamp,source_dataset,evidence_type,response_observed\na,cam, x.example ,HTTPS,443,2026-01-01T00:00:00Z,unit,flow,Yes\na,cam,,udp,53,2026-01-01T00:00:00Z,unit,flow,\n")
     rows = observations.read_observations_csv(spark, str(tmp_path / "o.csv")).collect()
