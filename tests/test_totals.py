@@ -3,10 +3,13 @@
 import datetime
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from corrobix import catalog
 from corrobix.functions.keys import KEY
 from corrobix.operators import fingerprints, scoring
+from corrobix.plans import registered
 from corrobix.sources import tables
 
 
@@ -56,3 +59,17 @@ def test_partitions_grow_with_the_tables(spark, monkeypatch):
     tables.bounded_tasks(spark, "/root/testdata/sf0.001")
     assert int(spark.conf.get(name)) > 50
     tables.bounded_tasks(spark, "/nowhere")
+
+
+def test_every_registered_query_bounds_its_tasks_first(monkeypatch):
+    class Bounded(Exception):
+        pass
+
+    def bound(spark, sf_dir):
+        raise Bounded(sf_dir)
+
+    monkeypatch.setattr(registered, "bounded_tasks", bound)
+    for name, q in catalog.queries().items():
+        with pytest.raises(Bounded, match="folder"):
+            q(None, "folder")
+            pytest.fail(name)
