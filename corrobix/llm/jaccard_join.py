@@ -1,8 +1,8 @@
 """N-gram Jaccard join with token-combination prefixes.
 
-A document is its set of distinct k-word shingles. Shingles are ordered by frequency class, then hash. A document indexes the
-shortest prefix that any partner must meet: single shingles of the rare class and, where a prefix reaches frequent classes,
-pairs or triples of shingles that fall in the same subclass. If fewer than k of a subclass's prefix shingles are shared, at
+A document is its set of distinct k-word shingles. Shingles are ordered by frequency class, rare ones by how rare, then by
+hash. A document indexes the shortest prefix that any partner must meet: single shingles of the rare class and, where a prefix
+reaches frequent classes, pairs or triples of shingles that fall in the same subclass. If fewer than k of a subclass's prefix shingles are shared, at
 least c - k + 1 of its c are missing; the prefix grows until these sum to more than a linked document can miss, so every
 linked pair shares a key. A prefix of rare shingles alone is extended by `spare` more, and then a linked pair shares more than
 the smaller spare of its two documents. Candidates are verified on the whole sets.
@@ -20,10 +20,16 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, Table, bounded_batches, components, mix, release, shingle_sets, spanning, turn_to, with_ids
 
-SKETCH_BITS = 22
+#: A sketch has 2**SKETCH_BITS buckets, and twice as many until BUCKET_LOAD shingles or fewer meet in one, up to 2**MOST_BITS.
+SKETCH_BITS, MOST_BITS, BUCKET_LOAD = 22, 28, 16
 _PART = 1 << 16
+#: Shingles that a task counts at once.
+_AT_ONCE = 1 << 22
 #: A shingle is rare below RARE counts above the sketch's noise, in the middle class below FREQUENT.
 RARE, FREQUENT = 24, 2048
+#: Rare shingles are ordered by so many levels of their counts; with the other classes these fill four bits.
+LEVELS = 14
+_VALUES = np.array([level << 2 for level in range(LEVELS)] + [1, 2], np.uint8)
 _SMALL_LEVEL = 16
 #: A key with more documents than this is not paired row by row: its documents are compared in blocks of so many shingles and documents.
 HOT_KEY, BLOCK_SHINGLES, BLOCK_DOCS = 32, 400_000, 1024
@@ -62,7 +68,9 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
                 names=["doc_id", "n", "spare", "sig1", "sig2", "keys"],
             )
 
+    release(spark)
     prints = Table(docs.mapInArrow(fingerprints, _FINGERPRINT), "prints")
+    classes.unpersist()
     same = ["n", "sig1", "sig2"]
     copies = Table(prints.df.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"), "copies")
     member = prints.df.select("doc_id", *same).join(copies.df, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
@@ -76,13 +84,17 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     rows = singles.select("doc_id", "n", "spare", F.explode(F.array_distinct("keys")).alias("key"))
     shared = rows.groupBy("key").agg(F.min(F.struct("doc_id", "n", "spare")).alias("pivot"), F.max("doc_id").alias("last"), F.count("*").alias("c"))
     shared = Table(shared.where("pivot.doc_id < last").select("key", "pivot", "c"), "keys")
+    release(spark)
     posted = Table(rows.join(shared.df, "key"), "postings")
     shared.drop()
+    prints.drop()
+    copies.drop()
+    release(spark)
     alike = f"{percent} * greatest(n1, n2) <= 100 * least(n1, n2)"
     # Each key's documents against its smallest one first: most groups of near copies are one component after that.
     stars = posted.df.where("doc_id <> pivot.doc_id").select(F.col("pivot.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("pivot.n").alias("n1"), F.col("n").alias("n2"), F.least("spare", "pivot.spare").alias("spare"))
     tried = Table(stars.where(alike).groupBy("a", "b").agg(F.count("*").alias("c"), F.min("spare").alias("spare")).where("c > spare").select("a", "b"), "stars")
-    linked = Table(verify(tried.df, docs, k, percent), "linked")
+    linked = verify(tried.df, docs, k, percent)
     labels = components(linked.df.where("similar"))
     # Then what a key still holds of other components, against all documents of the key.
     by_doc, by_pivot = labels.df.toDF("doc_id", "label"), labels.df.toDF("first", "top")
@@ -93,19 +105,19 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     odd = light.where("label <> top").select("key", F.col("doc_id").alias("x"), F.col("n2").alias("n1"), F.col("s2").alias("s1"), F.col("label").alias("own"))
     cross = odd.join(light, "key").where(f"own <> label and (label = top or x < doc_id) and {alike}")
     cross = cross.groupBy(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("s1", "s2")).alias("spare")).where("c > spare")
-    more = Table(verify(cross.select("a", "b").join(tried.df, ["a", "b"], "left_anti"), docs, k, percent), "linked")
-    blocks = Table(compare_groups(labelled.df.where(F.col("c") > HOT_KEY), docs, k, percent), "blocks")
+    more = verify(cross.select("a", "b").join(tried.df, ["a", "b"], "left_anti"), docs, k, percent)
+    blocks = compare_groups(labelled.df.where(F.col("c") > HOT_KEY), docs, k, percent)
     edges = linked.df.unionByName(more.df).where("similar").select("a", "b").unionByName(blocks.df).unionByName(own.df)
     final = components(edges)
-    for t in (prints, copies, tried, labelled, labels, linked, more, blocks, own):
+    for t in (tried, labelled, labels, linked, more, blocks, own):
         t.drop()
     release(spark)
     roots = final.df.toDF("rep", "root")
     return member.df.join(roots, "rep", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep")).alias("component_id"))
 
 
-def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """pairs (a, b) with a column similar: whether the whole texts' shingle sets reach the threshold."""
+def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> Table:
+    """pairs (a, b) with a column similar: whether the whole texts' shingle sets reach the threshold. Texts go once it is written."""
     pairs = Table(pairs, "pairs")
     ids = Table(pairs.df.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     texts = Table(with_ids(docs, ids.df, "doc_id"), "texts")
@@ -128,10 +140,14 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
                 ok.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "similar"])
 
-    return both.mapInArrow(judged, "a long, b long, similar boolean")
+    out = Table(both.mapInArrow(judged, "a long, b long, similar boolean"), "linked")
+    pairs.drop()
+    texts.drop()
+    release(docs.sparkSession)
+    return out
 
 
-def compare_groups(rows: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def compare_groups(rows: DataFrame, docs: DataFrame, k: int, percent: int) -> Table:
     """Edges (a, b) that span all links among documents that share a key of rows.
 
     Keys with the same first document form one group, as the many keys of near copies mostly do, so a pair is compared about
@@ -157,7 +173,10 @@ def compare_groups(rows: DataFrame, docs: DataFrame, k: int, percent: int) -> Da
         edges = spanning(np.stack([ids[a], ids[b]], axis=1))
         return pa.table({"a": pa.array(edges[:, 0], pa.int64()), "b": pa.array(edges[:, 1], pa.int64())})
 
-    return sent.groupBy("g", "i", "j").applyInArrow(linked, "a long, b long")
+    out = Table(sent.groupBy("g", "i", "j").applyInArrow(linked, "a long, b long"), "blocks")
+    dealt.drop()
+    texts.drop()
+    return out
 
 
 def similar_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, width: int = 2048) -> tuple[np.ndarray, np.ndarray]:
@@ -187,26 +206,57 @@ def similar_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, p
     return a[a != b], b[a != b]
 
 
-def frequency_classes(docs: DataFrame, k: int) -> np.ndarray:
-    """Class 0, 1 or 2 (rare to frequent) for each of 2**SKETCH_BITS hash buckets, from counts over all documents.
+def sketch_bits(docs: DataFrame) -> int:
+    """Bits of a bucket's number, by the bytes of all texts: about five make a shingle."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = SKETCH_BITS
+    while bits < MOST_BITS and size / 5 > BUCKET_LOAD << bits:
+        bits += 1
+    return bits
+
+
+class Classes:
+    """A value for each hash bucket, of four bits: class 0, 1 or 2 (rare to frequent) in its low two bits, a rare one's level above them."""
+
+    def __init__(self, halves: np.ndarray):
+        self.halves = halves
+
+    def __len__(self) -> int:
+        return 2 * len(self.halves)
 
-    A task keeps one fixed-size counter table and sends it compressed, in parts; parts are summed as a stream. Any fixed
-    classes give exact results: they only decide how selective the keys are. 4 MB reach the driver at every input size.
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return _VALUES[self.halves[at >> 1] >> (at % 2 * 4).astype(np.uint8) & 15]
+
+
+def frequency_classes(docs: DataFrame, k: int) -> Classes:
+    """Classes of all hash buckets, from counts over all documents.
+
+    A task counts a bounded number of shingles at once and sends the counts compressed, in parts; parts are summed where they
+    meet and leave as classes. Any fixed classes give exact results: they only decide how selective the keys are. Four bits of
+    each bucket reach the driver: 2 MB, and up to 128 MB as texts grow, so that a bucket's count still tells rare shingles apart.
     """
-    shift = np.uint64(64 - SKETCH_BITS)
+    bits = sketch_bits(docs)
+    shift = np.uint64(64 - bits)
+
+    def counted(sets):
+        at = np.sort((np.concatenate(sets) >> shift).astype(np.uint32))
+        bounds = np.searchsorted(at, np.arange((1 << bits) // _PART + 1) * _PART)
+        for part in np.flatnonzero(np.diff(bounds)).tolist():
+            piece = np.bincount(at[bounds[part] : bounds[part + 1]] % _PART, minlength=_PART)
+            wide = bool(piece.max() > 255)
+            yield pa.RecordBatch.from_pydict({"part": [part], "wide": [wide], "body": [zlib.compress(piece.astype(np.uint32 if wide else np.uint8).tobytes(), 1)]})
 
     def count(batches):
         turn_to("jaccard")
-        table = np.zeros(1 << SKETCH_BITS, np.uint32)
+        held, n = [], 0
         for b in batches:
-            sets = shingle_sets(b.column(1), k)
-            if sets:
-                np.add.at(table, (np.concatenate(sets) >> shift).astype(np.int64), 1) if len(sets) < 8 else _add(table, sets, shift)
-        for part in range(len(table) // _PART):
-            piece = table[part * _PART : (part + 1) * _PART]
-            if piece.any():
-                wide = piece.max() > 255
-                yield pa.RecordBatch.from_pydict({"part": [part], "wide": [bool(wide)], "body": [zlib.compress((piece if wide else piece.astype(np.uint8)).tobytes(), 1)]})
+            held += (sets := shingle_sets(b.column(1), k))
+            n += sum(map(len, sets))
+            if n >= _AT_ONCE:
+                yield from counted(held)
+                held, n = [], 0
+        if n:
+            yield from counted(held)
 
     def total(batches):
         sums: dict[int, np.ndarray] = {}
@@ -216,19 +266,21 @@ def frequency_classes(docs: DataFrame, k: int) -> np.ndarray:
                 sums.setdefault(part, np.zeros(_PART, np.int64))
                 sums[part] += piece
         for part, v in sums.items():
-            yield pa.RecordBatch.from_pydict({"part": [part], "body": [zlib.compress(np.minimum(v, 2**31 - 1).astype(np.int32).tobytes(), 1)]})
+            yield pa.RecordBatch.from_pydict({"part": [part], "body": [zlib.compress(_classed(v).tobytes(), 1)]})
 
     parts = docs.mapInArrow(count, "part long, wide boolean, body binary").repartition(64, "part").mapInArrow(total, "part long, body binary")
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
+    halves = np.zeros(1 << bits - 1, np.uint8)
     for part, body in parts.collect():
-        counts[part * _PART : (part + 1) * _PART] = np.frombuffer(zlib.decompress(bytes(body)), np.int32)
-    noise = 2 * float(np.median(counts))
-    return ((counts >= RARE + noise).astype(np.uint8) + (counts >= FREQUENT + noise)).astype(np.uint8)
+        halves[part * _PART // 2 : (part + 1) * _PART // 2] = np.frombuffer(zlib.decompress(bytes(body)), np.uint8)
+    return Classes(halves)
 
 
-def _add(table: np.ndarray, sets: list[np.ndarray], shift: np.uint64) -> None:
-    at, n = np.unique((np.concatenate(sets) >> shift).astype(np.int64), return_counts=True)
-    table[at] += n.astype(np.uint32)
+def _classed(counts: np.ndarray) -> np.ndarray:
+    """Classes and levels of a part's buckets, whose median count is noise, two in a byte."""
+    rare = RARE + 2 * int(np.median(counts))
+    kind = (counts >= rare).astype(np.uint8) + (counts >= rare - RARE + FREQUENT)
+    found = np.where(kind, LEVELS - 1 + kind, np.minimum(counts, rare - 1) * LEVELS // rare).astype(np.uint8)
+    return found[::2] | found[1::2] << 4
 
 
 @lru_cache
@@ -240,17 +292,22 @@ def _levels(percent: int) -> np.ndarray:
     return np.array(bounds)
 
 
-def prefix_keys(tokens: np.ndarray, classes: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """Index keys of a sorted set of shingle hashes, and by how many the prefix is longer than it must be."""
+def prefix_keys(tokens: np.ndarray, classes: Classes | np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """Index keys of a sorted set of shingle hashes, and by how many the prefix is longer than it must be.
+
+    classes has a value for each bucket of a power of two: the class in two bits, and above them the level of a rare one.
+    """
     n = len(tokens)
     if not n:
         return tokens, 0
     budget = n - (percent * n + 99) // 100 + 1
     bounds = _levels(percent)
     level = int(np.searchsorted(bounds, n, "right")) - 1
-    kind = classes[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    found = classes[(tokens >> np.uint64(65 - len(classes).bit_length())).astype(np.int64)]
+    by = np.argsort((found & 3) << 6 | found >> 2, kind="stable")
+    tokens, kind = tokens[by], found[by] & 3
     if bounds[level] < _SMALL_LEVEL:  # sets this small index single shingles of any class
-        keys = tokens[np.argsort(kind, kind="stable")][:budget]
+        keys = tokens[:budget]
         if bounds[level + 1] >= _SMALL_LEVEL:
             keys = np.unique(np.concatenate([keys, _at_level(tokens, kind, budget, level + 1, bounds)]))
         return keys, 0

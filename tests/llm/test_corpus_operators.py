@@ -1,6 +1,7 @@
 """Corpus operators against brute force on small, awkward tables."""
 
 import hashlib
+import os
 import re
 import time
 import zlib
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corrobix.llm import bitpack_output, decontaminate, embedding_dedup, html_extract, jaccard_join, language_id, quality, secret_scan, source_mix, substring_dedup
+from corrobix.llm.common import shared_dir, shingle_sets
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rep long, label string"
@@ -84,6 +86,32 @@ def test_jaccard_components_of_repeated_ids(spark):
     assert len(got) == len(texts)
 
 
+def test_jaccard_components_leave_no_texts(spark, docs, monkeypatch):
+    """Texts and blocks of what was compared are gone from the shared folder when the result is read: it needs two tables."""
+    monkeypatch.setattr(jaccard_join, "HOT_KEY", 3)
+    folder = shared_dir(spark).removeprefix("file://") + "/corrobix"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    got = jaccard_join.jaccard_components(docs)
+    left = sorted(name[:-33] for name in set(os.listdir(folder)) - before)
+    assert not {"texts", "pairs", "dealt", "prints", "postings", "blocks", "linked"} & set(left) and {"member", "components"} <= set(left), left
+    assert got.count() == docs.count()
+
+
+def test_prefix_keys_take_the_rarest_shingles(spark, monkeypatch):
+    """What twenty texts share stays out of their keys while their own shingles suffice, and a sketch grows with the texts."""
+    rng = np.random.default_rng(33)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    passage, *own = (" ".join("".join(rng.choice(letters, 8)) for _ in range(n)) for n in (60, *[300] * 200))
+    docs = spark.createDataFrame([(i, f"{x} {passage}" if i < 20 else x) for i, x in enumerate(own)], "doc_id long, text string")
+    monkeypatch.setattr(jaccard_join, "SKETCH_BITS", 16)
+    monkeypatch.setattr(jaccard_join, "BUCKET_LOAD", 1)
+    classes = jaccard_join.frequency_classes(docs, 4)
+    sets = shingle_sets(pa.array([passage, *(r.text for r in docs.where("doc_id < 20").collect())]), 4)
+    keys = [jaccard_join.prefix_keys(x, classes, 85) for x in sets[1:]]
+    assert all(spare > 0 and np.isin(k, x).all() and not np.isin(k, sets[0]).any() for (k, spare), x in zip(keys, sets[1:], strict=True))
+    assert len(classes) == 1 << 17
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_prefix_keys_lose_no_link(percent):
     """Linked sets share a key, and more keys than the smaller spare, whatever the classes of their shingles."""
