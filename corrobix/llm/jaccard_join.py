@@ -82,13 +82,16 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     several = member.df.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("doc_id")
     own = Table(member.df.join(several, "doc_id", "left_semi").where("n_shingles > 0 and rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "own")
     rows = singles.select("doc_id", "n", "spare", F.explode(F.array_distinct("keys")).alias("key"))
-    shared = rows.groupBy("key").agg(F.min(F.struct("doc_id", "n", "spare")).alias("pivot"), F.max("doc_id").alias("last"), F.count("*").alias("c"))
-    shared = Table(shared.where("pivot.doc_id < last").select("key", "pivot", "c"), "keys")
+    # Most keys are in one row: all are counted alone, and only rows of the others meet with what they carry.
+    shared = Table(rows.groupBy("key").count().where("count > 1").select("key"), "shared")
     release(spark)
-    posted = Table(rows.join(shared.df, "key"), "postings")
-    shared.drop()
-    prints.drop()
-    copies.drop()
+    met = Table(rows.join(shared.df, "key"), "met")
+    for t in (shared, prints, copies):
+        t.drop()
+    release(spark)
+    pivots = met.df.groupBy("key").agg(F.min(F.struct("doc_id", "n", "spare")).alias("pivot"), F.max("doc_id").alias("last"), F.count("*").alias("c"))
+    posted = Table(met.df.join(pivots.where("pivot.doc_id < last").drop("last"), "key"), "postings")
+    met.drop()
     release(spark)
     alike = f"{percent} * greatest(n1, n2) <= 100 * least(n1, n2)"
     # Each key's documents against its smallest one first: most groups of near copies are one component after that.

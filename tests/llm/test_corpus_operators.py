@@ -93,10 +93,24 @@ def test_jaccard_components_leave_no_texts(spark, docs, monkeypatch):
     before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
     got = jaccard_join.jaccard_components(docs)
     left = sorted(name[:-33] for name in set(os.listdir(folder)) - before)
-    assert not {"texts", "pairs", "dealt", "prints", "postings", "blocks", "linked"} & set(left) and {"member", "components"} <= set(left), left
+    assert not {"texts", "pairs", "dealt", "prints", "shared", "met", "postings", "blocks", "linked"} & set(left) and {"member", "components"} <= set(left), left
     assert got.count() == docs.count()
 
 
+def test_jaccard_components_count_keys_alone(docs, monkeypatch):
+    """Most keys are in one text: rows meet with their ids and sizes only by keys that several rows have."""
+    seen = {}
+
+    class Seen(jaccard_join.Table):
+        def __init__(self, df, name, **options):
+            super().__init__(df, name, **options)
+            seen.setdefault(name, (self.df.columns, self.df.groupBy(self.df.columns[0]).count().where("count = 1").count()))
+
+    monkeypatch.setattr(jaccard_join, "Table", Seen)
+    assert jaccard_join.jaccard_components(docs).count() == docs.count()
+    assert seen["shared"][0] == ["key"] and seen["met"][0][0] == "key" and seen["met"][1] == 0
+
+
 def test_prefix_keys_take_the_rarest_shingles(spark, monkeypatch):
     """What twenty texts share stays out of their keys while their own shingles suffice, and a sketch grows with the texts."""
     rng = np.random.default_rng(33)
